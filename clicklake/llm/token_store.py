@@ -21,7 +21,7 @@ from .tokens import memo_for
 
 LEVEL = 3
 #: Bytes of the shared dictionary, and documents and ids of each that it is trained on (bounds of a sample by hash).
-DICTIONARY_BYTES, SAMPLE_DOCS, SAMPLE_IDS = 64 * 1024, 2_000, 1_024
+DICTIONARY_BYTES, SAMPLE_DOCS, SAMPLE_IDS = 64 * 1024, 1_000, 1_024
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
@@ -31,7 +31,9 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
     """
     import zstandard
 
-    rows = docs.select(F.xxhash64("doc_id", F.length("text")).alias("h"), F.substring("text", 1, 8 * SAMPLE_IDS).alias("text")).orderBy("h").limit(SAMPLE_DOCS).collect()
+    h = F.xxhash64("doc_id")
+    least = docs.select(h.alias("h")).orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]  # only hashes are sorted
+    rows = docs.filter(h <= F.lit(least)).select(F.substring("text", 1, 8 * SAMPLE_IDS).alias("text")).limit(2 * SAMPLE_DOCS).collect() if least is not None else []
     ids = memo_for(tokenizer).encode([r["text"] for r in rows])
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [x[: 4 * SAMPLE_IDS] + end_id.to_bytes(4, "little") for x in ids], level=LEVEL).as_bytes()

@@ -2,22 +2,35 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
 #: A space that follows other white space: there the pieces between spaces are not encoded one by one.
 _AFTER_SPACE = re.compile(r"\s ")
+#: Pieces of letters, common marks and single line ends: both tokenizers split them into exactly these parts.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PLAIN = re.compile(rf"[{_LETTERS},.;:!?](?:[{_LETTERS},.;:!?]|\n(?!\n))*")
+_PARTS = re.compile(rf"[{_LETTERS}]+|[,.;:!?]+|\n")
 #: Longer pieces are encoded each time they occur instead of being remembered.
 _LONGEST = 48
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level tokenizers write bytes with: printable ones stand for themselves, others follow at 256."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordMemo:
     """Encodes texts to little-endian unsigned 32-bit ids, exactly as the tokenizer does for the whole text.
 
     Both tokenizers split a text before any merge, and never inside `x` + space: no pattern of theirs matches across
     the place before a space that follows a character other than white space. So a text is the sequence of its pieces
-    cut before such spaces, each encoded alone, and a piece seen before is looked up. Texts with a space after white
-    space go through the tokenizer whole. Special tokens' strings are ordinary text. At most `entries` pieces are
+    cut before such spaces, each encoded alone, and a piece seen before is looked up. Plain pieces go further, to words
+    and marks, which the tokenizer's model encodes; other pieces, and texts with a space after white space, go through
+    the tokenizer whole. Special tokens' strings are ordinary text. At most `entries` pieces and as many words are
     remembered; a full memory is emptied.
     """
 
@@ -27,14 +40,29 @@ class WordMemo:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.entries, self.memo = entries, {}
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        made = json.loads(self.tokenizer.to_str())
+        self.lower = "Lowercase" in json.dumps(made["normalizer"])  # this kind also drops white space
+        self.entries, self.memo, self.words = entries, {}, {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str | None], group: int = 64) -> list[bytes]:
+        return [b"".join(i.to_bytes(4, "little") for i in e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            raw = word.encode().decode("latin-1").translate(self.letters)
+            found = self.words[word] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(raw)])
+        return found
+
+    def _plain(self, piece: str) -> bytes:
+        """The ids of a space and a plain piece."""
+        if self.lower:
+            return b"".join([self._word(p) for p in _PARTS.findall(piece.lower()) if p != "\n"])
+        first, *rest = _PARTS.findall(piece)
+        return self._word(" " + first) + b"".join(map(self._word, rest))
+
+    def encode(self, texts: list[str | None], group: int = 256) -> list[bytes]:
         """The ids of each text as bytes; null is the empty text."""
         out: list[bytes] = []
         for at in range(0, len(texts), group):
@@ -44,6 +72,8 @@ class WordMemo:
     def _group(self, texts: list[str]) -> list[bytes]:
         if len(self.memo) > self.entries:
             self.memo.clear()
+        if len(self.words) > self.entries:
+            self.words.clear()
         memo, cut, wanted = self.memo, [], set()
         for text in texts:
             if _AFTER_SPACE.search(text):
@@ -52,13 +82,18 @@ class WordMemo:
             first, *rest = text.split(" ")
             cut.append((first, rest))
             wanted.update(rest)
-        long = {w for w in wanted if len(w) > _LONGEST}
-        missing = [w for w in wanted - long if w not in memo]
-        memo.update(zip(missing, self._whole([" " + w for w in missing])))
-        longs = dict(zip(long, self._whole([" " + w for w in long])))
+        long, odd = set(), []
+        for piece in [p for p in wanted if p not in memo]:
+            if len(piece) > _LONGEST:
+                long.add(piece)
+            elif _PLAIN.fullmatch(piece):
+                memo[piece] = self._plain(piece)
+            else:
+                odd.append(piece)
+        memo.update(zip(odd, self._whole([" " + w for w in odd])))
         heads = iter(self._whole([text if c is None else c[0] for text, c in zip(texts, cut)]))
-        if longs:
-            memo = _Both(longs, memo)
+        if long:
+            memo = _Both(dict(zip(long, self._whole([" " + w for w in long]))), memo)
         return [next(heads) + (b"".join(map(memo.__getitem__, c[1])) if c else b"") for c in cut]
 
 
