@@ -100,3 +100,148 @@ def jaccard(a, b) -> float:
 
     common = len(a) + len(b) - len(np.union1d(a, b))
     return common / (len(a) + len(b) - common)
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """row_key, doc_id, line_no, line, k of docs (row_key, doc_id, text): lines in lower case with white space made one.
+
+    k is the line's 64-bit hash, its name in all that follows. Blank lines are separators and left out.
+    """
+    line = F.trim(F.regexp_replace(F.lower("raw"), r"\s+", " "))
+    split = docs.select("row_key", "doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "raw"))
+    return split.select("row_key", "doc_id", "line_no", line.alias("line")).filter("line <> ''").withColumn("k", F.xxhash64("line"))
+
+
+def _band_rows(lines: DataFrame) -> DataFrame:
+    """(k, band): per distinct line of a task its name and each of its band keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        seen: set[int] = set()
+        for batch in batches:
+            names, texts = [], []
+            for k, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if k not in seen:
+                    seen.add(k)
+                    names.append(k)
+                    texts.append(line)
+            if len(seen) > 1_000_000:  # repeats beyond are sorted out by the next step
+                seen.clear()
+            if texts:
+                keys = band_keys(signatures(texts))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names, np.int64), BANDS)), pa.array(keys.ravel())], names=["k", "band"])
+
+    return lines.select("k", "line").mapInArrow(run, "k long, band long")
+
+
+def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, similar): the pairs of line names with whether their exact Jaccard similarity reaches SIMILARITY."""
+    both = pairs.join(texts.select(F.col("k").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("k").alias("b"), F.col("line").alias("line_b")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        name, own = None, None
+        for batch in batches:
+            out = []
+            for b, line_a, line_b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if b != name:  # runs of one b come together
+                    name, own = b, np.unique(shingle_hashes(line_b))
+                out.append(jaccard(np.unique(shingle_hashes(line_a)), own) >= SIMILARITY)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.bool_())], names=["a", "b", "similar"])
+
+    return both.select("a", "b", "line_a", "line_b").mapInArrow(run, "a long, b long, similar boolean")
+
+
+def line_classes(spark: SparkSession, scratch: Scratch, docs: DataFrame) -> DataFrame:
+    """(node, root) for every line (by name) that a similar line exists for; docs has row_key, doc_id, text.
+
+    A bucket is the distinct lines with one band key. All pairs of a bucket of up to DIRECT lines are verified. A larger
+    bucket, such as thousands of near copies make, begins with LEADERS stars: each line against a few of the bucket's;
+    after union-find, what is left are pairs of a bucket between different components, and all of these are verified
+    too. So every pair that meets in any band ends in one component if it is similar, at a cost that follows the square
+    of a bucket's size only where most of its lines are unlike each other.
+    """
+    rows = _band_rows(_lines(docs))
+    # Equal lines of several tasks count once; buckets of one line end here.
+    w = Window.partitionBy("band")
+    members = rows.withColumns({"low": F.min("k").over(w), "high": F.max("k").over(w)}).filter("low <> high").select("band", "k").distinct()
+    members = scratch.cut(members, "members")
+    sizes = members.groupBy("band").agg(F.count("*").alias("size"), *(F.min(F.struct(F.xxhash64("k", F.lit(j)), "k")).alias(f"lead{j}") for j in range(LEADERS)))
+    sizes = sizes.select("band", "size", F.array_distinct(F.array(*(F.col(f"lead{j}.k") for j in range(LEADERS)))).alias("leads"))
+    members = scratch.cut(members.join(sizes, "band").withColumn("leads", F.when(F.col("size") > DIRECT, F.col("leads"))), "sized")
+    wanted = members.select("k").distinct()
+    texts = scratch.cut(_lines(docs).select("k", "line").join(wanted, "k", "left_semi").dropDuplicates(["k"]), "texts")
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    small = members.filter(F.col("size") <= DIRECT).select("band", "k")
+    direct = small.join(small.withColumnRenamed("k", "k2"), "band").filter("k < k2").select(*pair(F.col("k"), F.col("k2")))
+    stars = members.filter(F.col("size") > DIRECT).select("k", F.explode("leads").alias("k2")).filter("k <> k2").select(*pair(F.col("k"), F.col("k2")))
+    edges = scratch.cut(_verify(direct.unionByName(stars).distinct().repartition("b").sortWithinPartitions("b"), texts).filter("similar").select("a", "b"), "links")
+    roots = scratch.cut(connected_components(spark, scratch, edges), "roots")
+    large = members.filter(F.col("size") > DIRECT).select("band", "k").join(roots.withColumnRenamed("node", "k"), "k", "left").select("band", "k", F.coalesce("root", "k").alias("root"))
+    mixed = scratch.cut(large.join(large.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band"), "band", "left_semi"), "mixed")
+    if not mixed.isEmpty():
+        other = mixed.select("band", F.col("k").alias("k2"), F.col("root").alias("root2"))
+        rest = mixed.join(other, "band").filter("root < root2").select(*pair(F.col("k"), F.col("k2"))).distinct()
+        more = _verify(rest, texts).filter("similar").select("a", "b")
+        roots = connected_components(spark, scratch, roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    return roots
+
+
+def removed_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(row_key, removed, n_lines): per row of docs (row_key, doc_id, text) the sorted numbers of its lines that go.
+
+    Of each component of similar lines, equal ones included, the first line stays: by doc_id (null last), row and place.
+    Rows without non-blank lines are left out.
+    """
+    scratch = Scratch(spark, "lines")
+    roots = line_classes(spark, scratch, docs)
+    lines = scratch.cut(_lines(docs).select("row_key", "doc_id", "line_no", "k"), "places")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key", "line_no")
+    firsts = lines.groupBy("k").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    classes = firsts.join(roots.withColumnRenamed("node", "k"), "k", "left").filter("n > 1 or root is not null").select("k", F.coalesce("root", "k").alias("root"), "first")
+    classes = scratch.cut(classes, "classes")  # only lines that some other line repeats or resembles
+    kept = classes.groupBy("root").agg(F.min("first").alias("kept"))
+    kept = classes.join(kept, "root").select("k", F.col("kept.row_key").alias("kept_row"), F.col("kept.line_no").alias("kept_line"))
+    found = lines.join(kept, "k").filter("row_key <> kept_row or line_no <> kept_line")
+    gone = found.groupBy("row_key").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))  # a document's own lines
+    return lines.groupBy("row_key").agg(F.count("*").alias("n_lines")).join(gone, "row_key", "left")
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
+    """`docs` with the repeated and near-repeated lines taken out of its texts; with `counts`, also n_lines and n_removed.
+
+    Every row stays, in order of nothing in particular; a text whose lines all go becomes empty, and a null text stays
+    null. Blank lines stay. Lines are compared in lower case with white space made one; shorter ones than a shingle are
+    equal or not. All columns are kept as they are, whatever their names; `counts` needs the names n_lines and
+    n_removed to be free. Repeated rows keep their lines in the first row only. An empty table stays empty.
+    """
+    key, gone = fresh(docs, "row_key"), fresh(docs, "removed")
+    total = "n_lines" if counts else fresh(docs, "n_lines")
+    own = with_row_key(docs, key)
+    found = removed_lines(spark, own.select(F.col(key).alias("row_key"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")))
+    found = found.select(F.col("row_key").alias(key), F.col("removed").alias(gone), F.col("n_lines").alias(total))
+
+    @F.pandas_udf("string")
+    def without(texts, removed):
+        import pandas as pd
+
+        out = []
+        for text, numbers in zip(texts, removed):
+            if numbers is not None and len(numbers):
+                drop = set(numbers)
+                text = "\n".join(line for i, line in enumerate(text.split("\n")) if i not in drop)
+            out.append(text)
+        return pd.Series(out, dtype=object)
+
+    joined = own.join(found, key, "left").withColumn(text_col, without(F.col(f"`{text_col}`"), F.col(gone)))
+    names = [f"`{c}`" for c in docs.columns]
+    if counts:
+        return joined.select(*names, F.coalesce(F.col(total), F.lit(0)).cast("long").alias("n_lines"), F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long").alias("n_removed"))
+    return joined.select(*names)
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(spark, docs, counts=True)

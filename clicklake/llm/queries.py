@@ -6,17 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sharding, simhash, token_store
+from . import decontamination, html_text, licenses, line_dedup, media, packing, sharding, simhash, token_store, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": line_dedup.query,
         "op2_best_fit_packing": packing.query,
+        "op3_html_extraction": html_text.query,
         "op4_sharding": sharding.query,
+        "op5_media_columns": media.query,
         "op6_simhash_near_dedup": simhash.query,
         "op7_token_ids": token_store.query,
+        "op8_benchmark_decontamination": decontamination.query,
+        "op9_license_scan": licenses.query,
+        "op10_toxicity": toxicity.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": sharding.SQL}
+    return {"op4_sharding": sharding.SQL, "op9_license_scan": licenses.sql()}
