@@ -57,16 +57,18 @@ def _segment(i: int):
     return F.shiftrightunsigned("fp", 32 * i).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def links(spark: SparkSession, scratch: Scratch, fps: DataFrame) -> DataFrame:
-    """(a, b) among distinct fingerprints fp: enough links at 2 or fewer differing bits for exact components.
+def links(spark: SparkSession, scratch: Scratch, fps: DataFrame, distance: int = 2) -> DataFrame:
+    """(a, b) among distinct fingerprints fp: enough links at `distance` (1 to 3) or fewer differing bits for exact components.
 
-    Two differing bits leave one of two 32-bit segments with one at most. The index has each fingerprint under both of
+    Up to three differing bits leave one of two 32-bit segments with one at most. The index has each fingerprint under both of
     its segments' values; it is looked up with the same value and with each set bit of the segment cleared (the variant
     with that bit as wildcard, from the side that has it), and every hit is verified on all 64 bits. So each pair whose
     segment differs by one bit meets once. Segment values of more than DIRECT fingerprints, which large groups of near
-    copies make, are not compared pair by pair: their members get all variants with two of 64 bits masked, a bucket of
-    which holds at most four fingerprints, all of them linked to its least.
+    copies make, are not compared pair by pair: their members get all variants with `distance` of 64 bits masked; a
+    bucket of these holds at most 2^distance fingerprints, all of them linked to its least.
     """
+    if not 1 <= distance <= 3:
+        raise ValueError("two segments find links at 1 to 3 differing bits")
     index = None
     for i in (0, 1):
         own = fps.select("fp", F.lit(i).alias("seg"), _segment(i).alias("val"))
@@ -79,21 +81,19 @@ def links(spark: SparkSession, scratch: Scratch, fps: DataFrame) -> DataFrame:
     keys = F.concat(F.array(F.col("val")), F.transform(places, lambda p: F.col("val") - bit(p)))
     variants = index.select(F.col("fp").alias("a"), "seg", "hot", F.col("val").alias("from"), F.explode(keys).alias("key"))
     other = index.select(F.col("fp").alias("b"), "seg", F.col("val").alias("key"), F.col("hot").alias("hot_b"))
-    found = variants.join(other, ["seg", "key"]).filter("not (hot and hot_b)").filter("key <> from or a < b").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).select("a", "b")
+    found = variants.join(other, ["seg", "key"]).filter("not (hot and hot_b)").filter("key <> from or a < b").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance).select("a", "b")
     if hot.isEmpty():
         return found.distinct()
-    masks = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda p: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda q: F.struct(p.alias("p"), q.alias("q")))))
-    masked = (
-        index.filter("hot").select("fp").distinct()
-        .select("fp", F.explode(F.filter(masks, lambda m: m.p < m.q)).alias("m"))
-        .select("fp", "m", F.col("fp").bitwiseAND(F.bitwise_not(bit(F.col("m.p")).bitwiseOR(bit(F.col("m.q"))))).alias("key"))
-    )
-    # A bucket of at most four, all within two bits of each other: its least and greatest, and whatever lies between.
-    stars = masked.groupBy("m", "key").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all")).filter(F.size("all") > 1).select("a", F.explode("all").alias("b")).filter("a <> b")
+    # Every choice of `distance` places, made one place at a time, each after the one before.
+    masked = index.filter("hot").select("fp").distinct().select("fp", F.lit(-1).alias("last"), F.lit(0).cast("long").alias("mask"))
+    for left in range(distance - 1, -1, -1):
+        masked = masked.select("fp", "mask", F.explode(F.sequence(F.col("last") + 1, F.lit(63 - left))).alias("last")).withColumn("mask", F.col("mask").bitwiseOR(bit(F.col("last"))))
+    stars = masked.groupBy("mask", F.col("fp").bitwiseAND(F.bitwise_not("mask")).alias("key")).agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all"))
+    stars = stars.filter(F.size("all") > 1).select("a", F.explode("all").alias("b")).filter("a <> b")
     return found.unionByName(stars).distinct()
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
     """Per row: doc_id, row_key, fp (signed), root (least fp of the component), component_id (least doc_id that links lead to).
 
     Texts are fingerprinted whole. Equal fingerprints are one node, so copies cost nothing beyond their rows. Null and
@@ -104,20 +104,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     keyed = with_row_key(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "row_key")
     rows = scratch.cut(fingerprints(keyed, ["row_key", "doc_id"], "text", shingle), "fingerprints")
     nodes = scratch.cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = connected_components(spark, scratch, links(spark, scratch, nodes.select("fp")))
+    roots = connected_components(spark, scratch, links(spark, scratch, nodes.select("fp"), distance))
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     component = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = named.join(component, "root").select("fp", "root", "component_id")
     return rows.join(classes, "fp").select("doc_id", "row_key", "fp", "root", "component_id")
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
     """The rows of `docs`, one of each component: the one with the least id, and of repeated rows the first in the input.
 
     All columns are kept as they are, whatever their names. Rows without an id come after those with one.
     """
     key = fresh(docs, "row_key")
-    found = near_duplicates(spark, docs, id_col, text_col, shingle)
+    found = near_duplicates(spark, docs, id_col, text_col, shingle, distance)
     # Rows of one component share a fingerprint's node or a link; the least (id, row) is a map-side combined minimum.
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("best")).select(F.col("best.row_key").alias(key))
     return with_row_key(docs, key).join(best, key, "left_semi").drop(key)
