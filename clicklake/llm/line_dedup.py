@@ -13,8 +13,8 @@ from .common import Scratch, connected_components, fresh, read_table, with_row_k
 SHINGLE, BANDS, ROWS = 8, 14, 4
 #: Jaccard similarity of two lines' sets of shingles from which on they are linked.
 SIMILARITY = 0.8
-#: Lines of one bucket up to which all its pairs are compared; larger ones begin with LEADERS stars.
-DIRECT, LEADERS = 48, 4
+#: Lines of one bucket up to which all its pairs are compared; larger ones begin with LEADERS stars and go on in blocks.
+DIRECT, LEADERS, BLOCK_LINES = 48, 4, 512
 _BLOCK = 1 << 20
 
 
@@ -154,14 +154,57 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "line_a", "line_b").mapInArrow(run, "a long, b long, similar boolean")
 
 
+def block_links(lines: list[str], roots: list[int]) -> set[tuple[int, int]]:
+    """Pairs of different roots of which two lines are similar, from the product of the lines' shingle incidences."""
+    import numpy as np
+
+    sets = [np.unique(shingle_hashes(line)) for line in lines]
+    size = np.array([len(x) for x in sets])
+    row, found = np.repeat(np.arange(len(lines)), size), np.concatenate(sets)
+    _, column, seen = np.unique(found, return_inverse=True, return_counts=True)
+    # Shingles of one line only are in no intersection. The others in slices, to bound the matrix.
+    common, shared = np.zeros((len(lines), len(lines)), np.float32), np.flatnonzero(seen > 1)
+    place = np.full(len(seen), -1)
+    place[shared] = np.arange(len(shared))
+    column = place[column]
+    for at in range(0, len(shared), 4096):
+        inside = (column >= at) & (column < at + 4096)
+        m = np.zeros((len(lines), 4096), np.float32)
+        m[row[inside], column[inside] - at] = 1
+        common += m @ m.T
+    similar = common >= SIMILARITY * (size[:, None] + size[None, :] - common) - 1e-3
+    r = np.array(roots)
+    i, j = np.nonzero(np.triu(similar & (r[:, None] != r[None, :]), 1))
+    return {(min(a, b), max(a, b)) for a, b in zip(r[i].tolist(), r[j].tolist())}
+
+
+def compare_blocks(lines: DataFrame) -> DataFrame:
+    """(a, b): links between components of a bucket, from all its pairs of lines (band, k, root, line).
+
+    A bucket's lines are dealt to blocks of about BLOCK_LINES by hash, and each pair of blocks is one group of bounded
+    size: a line is repeated once per block, pairs of lines are never rows.
+    """
+    blocks = lines.groupBy("band").agg(F.ceil(F.count("*") / BLOCK_LINES).cast("int").alias("blocks"))
+    own = lines.join(blocks, "band").withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "root", "line")
+
+    def run(rows):
+        import pandas as pd
+
+        return pd.DataFrame(sorted(block_links(rows["line"].tolist(), rows["root"].tolist())), columns=["a", "b"], dtype="int64")
+
+    return dealt.groupBy("band", "i", "j").applyInPandas(run, "a long, b long").distinct()
+
+
 def line_classes(spark: SparkSession, scratch: Scratch, docs: DataFrame) -> DataFrame:
     """(node, root) for every line (by name) that a similar line exists for; docs has row_key, doc_id, text.
 
     A bucket is the distinct lines with one band key. All pairs of a bucket of up to DIRECT lines are verified. A larger
-    bucket, such as thousands of near copies make, begins with LEADERS stars: each line against a few of the bucket's;
-    after union-find, what is left are pairs of a bucket between different components, and all of these are verified
-    too. So every pair that meets in any band ends in one component if it is similar, at a cost that follows the square
-    of a bucket's size only where most of its lines are unlike each other.
+    bucket, such as thousands of near copies make, begins with LEADERS stars: each line against a few of the bucket's.
+    After union-find, large buckets that hold several components are compared block by block (compare_blocks), which
+    gives a link for every two components that have one, but no pairs. So every pair that meets in any band ends in one
+    component if it is similar.
     """
     rows = _band_rows(_lines(docs))
     # Equal lines of several tasks count once; buckets of one line end here.
@@ -182,9 +225,7 @@ def line_classes(spark: SparkSession, scratch: Scratch, docs: DataFrame) -> Data
     large = members.filter(F.col("size") > DIRECT).select("band", "k").join(roots.withColumnRenamed("node", "k"), "k", "left").select("band", "k", F.coalesce("root", "k").alias("root"))
     mixed = scratch.cut(large.join(large.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band"), "band", "left_semi"), "mixed")
     if not mixed.isEmpty():
-        other = mixed.select("band", F.col("k").alias("k2"), F.col("root").alias("root2"))
-        rest = mixed.join(other, "band").filter("root < root2").select(*pair(F.col("k"), F.col("k2"))).distinct()
-        more = _verify(rest, texts).filter("similar").select("a", "b")
+        more = compare_blocks(mixed.join(texts, "k"))
         roots = connected_components(spark, scratch, roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     return roots
 
