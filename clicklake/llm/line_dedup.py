@@ -107,7 +107,12 @@ def _lines(docs: DataFrame) -> DataFrame:
 
     k is the line's 64-bit hash, its name in all that follows. Blank lines are separators and left out.
     """
-    line = F.trim(F.regexp_replace(F.lower("raw"), r"\s+", " "))
+    low = F.lower("raw")
+    # The pattern costs far more than looking for what it would change.
+    odd = F.contains(low, F.lit("  "))
+    for mark in "\t\r\x0b\x0c":
+        odd = odd | F.contains(low, F.lit(mark))
+    line = F.trim(F.when(odd, F.regexp_replace(low, r"\s+", " ")).otherwise(low))
     split = docs.select("row_key", "doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "raw"))
     return split.select("row_key", "doc_id", "line_no", line.alias("line")).filter("line <> ''").withColumn("k", F.xxhash64("line"))
 
