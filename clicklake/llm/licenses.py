@@ -119,7 +119,10 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, templates: dict[str, str
     base = base.select("doc_id", "shingles", F.transform("shingles", lambda s: F.xxhash64(s)).alias("h"))
     starts = F.sequence(F.lit(0), F.greatest(F.size("h") - 1, F.lit(0)), F.lit(STRIDE))
     # min(x ^ seed) ^ seed is the shingle hash that a permutation of the hash space puts first.
-    mins = F.flatten(F.transform(starts, lambda p: F.array(*(F.array_min(F.transform(F.slice("h", p + 1, WINDOW), lambda x, s=s: x.bitwiseXOR(F.lit(s)))).bitwiseXOR(F.lit(s)) for s in seeds))))
+    def first(p, seed):
+        return F.array_min(F.transform(F.slice("h", p + 1, WINDOW), lambda x: x.bitwiseXOR(F.lit(seed)))).bitwiseXOR(F.lit(seed))
+
+    mins = F.flatten(F.transform(starts, lambda p: F.array(*(first(p, seed) for seed in seeds))))
     base = base.select("doc_id", "shingles", F.concat(F.array_intersect("h", short), F.array_intersect(mins, long)).alias("met"))
     share = lambda t: F.size(F.array_intersect(t.shingles, F.col("shingles"))) / F.size(t.shingles)
     verified = F.filter(F.transform(F.filter(library, lambda t: F.arrays_overlap(t.getField("keys"), F.col("met"))), lambda t: F.struct(t.getField("name").alias("name"), share(t).alias("containment"))), lambda v: v.containment >= containment)
