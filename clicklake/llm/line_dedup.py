@@ -18,12 +18,10 @@ DIRECT, LEADERS, BLOCK_LINES = 48, 4, 512
 _BLOCK = 1 << 20
 
 
-def shingle_hashes(line: str):
-    """64-bit hashes of a line's character shingles, in order; a line shorter than a shingle is one shingle."""
+def _rolled(codes, width: int):
+    """64-bit hashes of all runs of `width` characters."""
     import numpy as np
 
-    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    width = min(SHINGLE, len(codes))
     n = len(codes) - width + 1
     h = np.zeros(n, np.uint64)
     for i in range(width):
@@ -35,6 +33,36 @@ def shingle_hashes(line: str):
     return h
 
 
+def _codes(text: str):
+    import numpy as np
+
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+
+
+def shingle_hashes(line: str):
+    """64-bit hashes of a line's character shingles, in order; a line shorter than a shingle is one shingle."""
+    codes = _codes(line)
+    return _rolled(codes, min(SHINGLE, len(codes)))
+
+
+def batch_hashes(lines: list[str]):
+    """The shingle hashes of several lines one after the other, and how many each has: as shingle_hashes line by line."""
+    import numpy as np
+
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    ends = np.cumsum(size)
+    h = _rolled(_codes("".join(lines)), SHINGLE) if ends[-1] >= SHINGLE else np.zeros(0, np.uint64)
+    out = np.zeros(ends[-1], np.uint64)
+    out[: len(h)] = h
+    whole = np.ones(ends[-1], bool)
+    for back in range(1, SHINGLE):  # runs that begin in a line's last places reach into the next
+        whole[(ends - back)[size >= back]] = False
+    for i in np.flatnonzero(size < SHINGLE):
+        at = ends[i] - size[i]
+        out[at], whole[at] = shingle_hashes(lines[i])[0], True
+    return out[whole], np.maximum(size - (SHINGLE - 1), 1)
+
+
 def _permutations():
     import numpy as np
 
@@ -50,33 +78,29 @@ def signatures(lines: list[str]):
     a, b = _permutations()
     out = np.full((len(lines), len(a)), 0xFFFFFFFF, np.uint32)
 
-    def run(first: int, parts: list) -> None:
-        h = (np.concatenate(parts) >> np.uint64(32)).astype(np.uint32)
-        starts = np.cumsum([0, *(len(p) for p in parts[:-1])])
-        stop, buffer = first + len(parts), np.empty_like(h)
+    def run(first: int, hashes, starts) -> None:
+        h = (hashes >> np.uint64(32)).astype(np.uint32)
+        stop, buffer = first + len(starts), np.empty_like(h)
         for j in range(len(a)):
             np.multiply(h, a[j], out=buffer)
             buffer += b[j]
             # The multiplication leaves low bits weak; they do not decide minima.
             out[first:stop, j] = np.minimum(out[first:stop, j], np.minimum.reduceat(buffer, starts))
 
-    parts, first, size = [], 0, 0
-    for i, line in enumerate(lines):
-        h = shingle_hashes(line)
-        if len(h) > 1 << 15:  # a very long line, in blocks
-            if parts:
-                run(first, parts)
+    i = 0
+    while i < len(lines):
+        k, size = i, 0
+        while k < len(lines) and (size := size + len(lines[k])) <= 1 << 15:  # so that buffers stay in the processor's cache
+            k += 1
+        if k > i:
+            hashes, counts = batch_hashes(lines[i:k])
+            run(i, hashes, np.cumsum(counts) - counts)
+            i = k
+        else:  # a very long line, in blocks
+            h = shingle_hashes(lines[i])
             for at in range(0, len(h), _BLOCK):
-                run(i, [h[at : at + _BLOCK]])
-            parts, first, size = [], i + 1, 0
-            continue
-        parts.append(h)
-        size += len(h)
-        if size > 1 << 15:  # so that the buffers stay in the processor's cache
-            run(first, parts)
-            parts, first, size = [], i + 1, 0
-    if parts:
-        run(first, parts)
+                run(i, h[at : at + _BLOCK], np.zeros(1, np.int64))
+            i += 1
     return out
 
 
