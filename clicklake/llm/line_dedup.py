@@ -171,13 +171,19 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        name, own = None, None
         for batch in batches:
-            out = []
-            for b, line_a, line_b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if b != name:  # runs of one b come together
-                    name, own = b, np.unique(shingle_hashes(line_b))
-                out.append(jaccard(np.unique(shingle_hashes(line_a)), own) >= SIMILARITY)
+            out, columns = [], [batch.column(i).to_pylist() for i in (1, 2, 3)]
+            for at in range(0, len(columns[0]), 256):
+                names, lines_a, lines_b = (c[at : at + 256] for c in columns)
+                sides = []
+                for lines in (lines_a, lines_b):
+                    hashes, counts = batch_hashes(lines)
+                    sides.append(np.split(hashes, np.cumsum(counts)[:-1]))
+                last, own = None, None
+                for name, x, y in zip(names, *sides):
+                    if name != last:  # runs of one b come together
+                        last, own = name, np.unique(y)
+                    out.append(jaccard(np.unique(x), own) >= SIMILARITY)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.bool_())], names=["a", "b", "similar"])
 
     return both.select("a", "b", "line_a", "line_b").mapInArrow(run, "a long, b long, similar boolean")
