@@ -14,8 +14,8 @@ from .common import Scratch, fresh, read_table
 
 #: Words a passage, and from one passage of a document to the next.
 PASSAGE, STEP = 40, 20
-#: Dimensions of the latent space; words in a larger share of all passages carry no weight; seed of the random sketch.
-RANK, COMMON, SEED = 256, 0.05, 42
+#: Dimensions of the latent space; seed of the random sketch.
+RANK, SEED = 256, 42
 #: Cosine from which on a passage is a candidate for an item.
 COSINE = 0.4
 #: Longest common subsequence, as a share of the item's words, that makes a leak; and that does with the answer present
@@ -195,8 +195,6 @@ def _right_vectors(texts: DataFrame, items: Items, idf):
             packed = batch.column(0).to_pylist()
             for i in range(0, len(packed), 512):
                 passage, term, count, _, total = passages_of(packed[i : i + 512], n)
-                some = idf[term] > 0
-                passage, term, count = passage[some], term[some], count[some]
                 w = _weights(passage, term, count, idf, total)
                 y = _sums(w, sketch, term, passage, total)
                 order = np.argsort(term, kind="stable")
@@ -251,8 +249,6 @@ class Search:
         n = len(self.items.terms)
         passage, term, count, windows, total = passages_of(packed, n)
         out: list[list[tuple]] = [[] for _ in packed]
-        some = self.idf[term] > 0
-        passage, term, count = passage[some], term[some], count[some]
         if not len(passage) or not self.basis.shape[1]:
             return out
         have = np.unique(passage)
@@ -308,7 +304,8 @@ def searches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, columns
             numbers = encoded.select("numbers")
             df, n = _document_frequencies(numbers, items)
             if n:
-                idf = np.where(df <= max(COMMON * n, 100), np.log((1 + n) / (1 + df)) + 1e-6, 0.0)
+                # Positive for every word at every size: an item in a hot group of copies keeps the weight of its words.
+                idf = np.log((1 + n) / (1 + df)) + 1
                 yield Search(items, idf, _right_vectors(numbers, items, idf)), encoded
         if len(block) < BLOCK_ITEMS:
             return

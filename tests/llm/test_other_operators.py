@@ -238,3 +238,13 @@ def test_leaks_odd_rows(spark, odd, empty):
     assert kept.columns == odd.columns and kept.count() == odd.count()
     assert decontamination.find_leaks(spark, empty, bench).count() == 0 and decontamination.keep_unleaked(spark, empty, bench).count() == 0
     assert decontamination.find_leaks(spark, odd, bench.limit(0)).count() == 0
+
+
+def test_item_in_a_third_of_all_rows_is_found(spark):
+    item = "Which river carries the most water past the old harbour town in spring? It is the broad river Vellamo"
+    fill = lambda i: " ".join(f"filler{i * 7 + k}" for k in range(6))
+    rows = [(i, f"{fill(i)} {item} {fill(i + 1)}" if i % 3 == 0 else f"{fill(i)} {fill(i + 2)}") for i in range(900)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    want = {i for i in range(900) if i % 3 == 0}
+    assert {r["doc_id"] for r in decontamination.find_leaks(spark, docs, bench).collect()} == want
+    assert {r["doc_id"] for r in decontamination.keep_unleaked(spark, docs, bench).collect()} == set(range(900)) - want
