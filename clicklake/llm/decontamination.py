@@ -1,7 +1,8 @@
-"""Benchmark decontamination by latent semantic retrieval: randomised SVD of TF-IDF passages, cosine search, LCS checks."""
+"""Benchmark decontamination by latent semantic retrieval: randomised SVD of TF-IDF passages, cosine search, shared words, LCS checks."""
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,13 +15,17 @@ from .common import Scratch, fresh, read_table
 
 #: Words a passage, and from one passage of a document to the next.
 PASSAGE, STEP = 40, 20
-#: Dimensions of the latent space; seed of the random sketch.
-RANK, SEED = 256, 42
+#: Dimensions of the latent space, and those over them that the sketch has and keeps; power iterations; seed of the sketch.
+RANK, OVERSAMPLING, POWER, SEED = 256, 16, 1, 42
 #: Cosine from which on a passage is a candidate for an item.
 COSINE = 0.4
 #: Longest common subsequence, as a share of the item's words, that makes a leak; and that does with the answer present
 #: (this share of an answer of so many words at least).
 LEAK, PARAPHRASE, ANSWER, LEAST_ANSWER = 0.7, 0.6, 0.9, 4
+#: Of an item's rarest words, as many as a leak can lack and so many more are looked for: a leak has that many of them.
+SHARED = 4
+#: Numbers of one product of passages and queries at most.
+_PRODUCT = 1 << 22
 #: Items searched for at once: they and their words, of fixed size, are what every task holds.
 BLOCK_ITEMS = 2_000
 
@@ -178,16 +183,29 @@ def _document_frequencies(texts: DataFrame, items: Items):
 
 
 def _right_vectors(texts: DataFrame, items: Items, idf):
-    """An orthonormal basis (terms x RANK) of the space that A'A maps a random sketch to, A the TF-IDF passages by terms.
+    """An orthonormal basis (terms x RANK + OVERSAMPLING) of the leading right singular vectors of A, the TF-IDF passages by terms.
 
-    Randomised SVD: tasks add up their share of A'(A S), S Gaussian, the shares are summed by term in Spark, and the
-    orthonormalised sum spans nearly the leading right singular vectors. Only terms x RANK numbers reach the driver.
+    Randomised SVD with power iterations: tasks add up their share of A'(A S), S Gaussian, the shares are summed by term
+    in Spark, and the sum is orthonormalised; POWER more passes begin with what the one before gave. The dimensions of
+    the oversampling stay. Only terms x (RANK + OVERSAMPLING) numbers reach the driver.
     """
     import numpy as np
 
     n = len(items.terms)
-    rank = min(RANK, n)
-    sketch = np.random.default_rng(SEED).standard_normal((n, rank)).astype(np.float32)
+    rank = min(RANK + OVERSAMPLING, n)
+    basis = np.random.default_rng(SEED).standard_normal((n, rank)).astype(np.float32)
+    for _ in range(1 + POWER):
+        q, scale = np.linalg.qr(_products(texts, n, idf, basis))
+        length = np.abs(np.diag(scale))
+        basis = q[:, length > 1e-9 * max(1e-30, length.max(initial=0))].astype(np.float32)
+    return basis
+
+
+def _products(texts: DataFrame, n: int, idf, sketch):
+    """A'(A S) for a sketch S (terms x dimensions)."""
+    import numpy as np
+
+    rank = sketch.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = np.zeros((n, rank), np.float64)
@@ -202,12 +220,12 @@ def _right_vectors(texts: DataFrame, items: Items, idf):
         some = np.flatnonzero(z.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(list(z[some]), pa.list_(pa.float64()))], names=["term", "z"])
 
-    sums = texts.mapInArrow(run, "term int, z array<double>").groupBy("term").agg(F.array(*(F.sum(F.col("z")[j]) for j in range(rank))).alias("z"))
     z = np.zeros((n, rank))
-    for r in sums.collect():
-        z[r["term"]] = r["z"]
-    basis, scale = np.linalg.qr(z)
-    return basis[:, np.abs(np.diag(scale)) > 1e-9 * max(1e-30, np.abs(np.diag(scale)).max())].astype(np.float32)
+    if rank:
+        sums = texts.mapInArrow(run, "term int, z array<double>").groupBy("term").agg(F.array(*(F.sum(F.col("z")[j]) for j in range(rank))).alias("z"))
+        for r in sums.collect():
+            z[r["term"]] = r["z"]
+    return z
 
 
 @dataclass
@@ -222,19 +240,36 @@ class Search:
         import numpy as np
 
         words, n = self.items.words, len(self.items.terms)
-        queries = np.zeros((len(words), n), np.float32)
-        for i, own in enumerate(words):
-            for w in own:
-                queries[i, self.items.terms[w]] += self.idf[self.items.terms[w]]
-        latent = queries @ self.basis
-        self.queries = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
         number = self.items.terms.__getitem__
-        self.bits = [bits_of(list(map(number, w))) for w in words]
+        numbers = [np.fromiter(map(number, w), np.int64, len(w)) for w in words]
+        # Items longer than a passage are searched for by passages of their own: a row of queries each.
+        windows = [n_windows(len(w)) for w in words]
+        self.first = np.r_[0, np.cumsum(windows)]
+        latent = np.zeros((self.first[-1], self.basis.shape[1]), np.float32)
+        for i, own in enumerate(numbers):
+            for k in range(windows[i]):
+                part = own[k * STEP : k * STEP + PASSAGE]
+                latent[self.first[i] + k] = self.idf[part].astype(np.float32) @ self.basis[part]
+        self.queries = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
+        self.bits = [bits_of(own.tolist()) for own in numbers]
         self.answer_bits = [bits_of(list(map(number, a))) for a in self.items.answers]
         # Which terms an item has; the last column is for words outside the vocabulary, numbered -1.
         self.has = np.zeros((len(words), n + 1), bool)
-        for i, own in enumerate(words):
-            self.has[i, list(map(number, own))] = True
+        for i, own in enumerate(numbers):
+            self.has[i, own] = True
+        # How many of its words a leak of the item has at least; how many of its rarest ones; and by classes of size,
+        # each term's items that have it among their rarest words: (stride, start by term, items, occurrences).
+        self.least = [math.ceil(PARAPHRASE * len(w) - 1e-9) for w in words]
+        self.shared = np.minimum(SHARED, self.least)
+        classes: dict[int, list[tuple[int, int, int]]] = {}
+        for i, own in enumerate(numbers):
+            rarest = own[np.lexsort((own, -self.idf[own]))][: len(own) - self.least[i] + self.shared[i]]
+            stride = PASSAGE + 2 * max(64, 1 << (len(own) - 1).bit_length())
+            classes.setdefault(stride, []).extend((t, i, k) for t, k in zip(*(x.tolist() for x in np.unique(rarest, return_counts=True))))
+        self.postings = []
+        for stride, rows in sorted(classes.items()):
+            term, item, occurrences = np.array(sorted(rows), np.int64).T
+            self.postings.append((stride, np.searchsorted(term, np.arange(n + 1)), item, occurrences))
 
     def hits(self, packed: list[bytes]) -> list[list[tuple]]:
         """Per text (its words' numbers): (item id, cosine, item's share in the common subsequence, first word) of its leaks."""
@@ -243,32 +278,81 @@ class Search:
             out += self._hits(packed[i : i + 256])
         return out
 
+    def _near(self, latent) -> Iterator[tuple]:
+        """(passages, items) with a cosine of COSINE or more, some passages at a time."""
+        import numpy as np
+
+        rows = max(1, _PRODUCT // max(1, len(self.queries)))
+        for i in range(0, len(latent), rows):
+            at, item = np.nonzero(np.maximum.reduceat(latent[i : i + rows] @ self.queries.T, self.first[:-1], axis=1) >= COSINE)
+            yield at + i, item
+
+    def _sharing(self, packed: list[bytes]) -> Iterator[tuple[int, int, int]]:
+        """(text, passage of it, item) wherever the passage's region has enough of the item's words to hold a leak.
+
+        A leak has `least` of an item's words, so of its rarest words, as many as it can lack and `shared` more, it has
+        `shared` at least. They are counted in overlapping pieces of the texts, each region inside one of them; where they
+        suffice, all of the item's words are counted in each region. Nothing that LCS could confirm is left out.
+        """
+        import numpy as np
+
+        n, m = len(self.items.terms), len(self.items.words)
+        texts = [np.frombuffer(t, width_of(n)) for t in packed]
+        size = np.array([len(t) for t in texts], np.int64)
+        words = np.concatenate(texts).astype(np.int64)
+        place = np.arange(len(words)) - np.repeat(np.cumsum(size) - size, size)
+        for stride, start, items, occurrences in self.postings:
+            pieces = -(-size // stride)
+            first = np.cumsum(pieces) - pieces
+            length = np.append(np.diff(start), 0)
+            at = np.flatnonzero(length.take(words, mode="wrap") * (words >= 0))
+            piece, term = np.repeat(first, size)[at] + place[at] // stride, words[at]
+            back = place[at] >= stride
+            key = np.unique(np.r_[piece * n + term, (piece[back] - 1) * n + term[back]])
+            if not len(key):
+                continue
+            piece, term = key // n, key % n
+            k = length[term]
+            entry = np.repeat(start[term] - np.cumsum(k) + k, k) + np.arange(k.sum())
+            pairs, which = np.unique(np.repeat(piece, k) * m + items[entry], return_inverse=True)
+            pairs = pairs[np.bincount(which, occurrences[entry]) >= self.shared[pairs % m]]
+            row = np.searchsorted(np.cumsum(pieces), pairs // m, side="right")
+            for i, p, j in zip(row.tolist(), (pairs // m - first[row]).tolist(), (pairs % m).tolist()):
+                own, base = len(self.items.words[j]), p * stride
+                inside = np.cumsum(np.r_[0, self.has[j].take(texts[i][base : base + 2 * stride], mode="wrap")])
+                if inside[-1] < self.least[j]:
+                    continue
+                # The passages whose regions begin in the piece's first half.
+                number = np.arange(-(-(base + own) // STEP) if p else 0, min(-(-(base + stride + own) // STEP), n_windows(int(size[i]))))
+                begin, end = np.maximum(0, number * STEP - own) - base, number * STEP + PASSAGE + own - base
+                for x in number[inside[np.minimum(end, len(inside) - 1)] - inside[np.minimum(begin, len(inside) - 1)] >= self.least[j]].tolist():
+                    yield i, x, j
+
     def _hits(self, packed: list[bytes]) -> list[list[tuple]]:
         import numpy as np
 
-        n = len(self.items.terms)
+        n, m = len(self.items.terms), len(self.items.words)
         passage, term, count, windows, total = passages_of(packed, n)
         out: list[list[tuple]] = [[] for _ in packed]
         if not len(passage) or not self.basis.shape[1]:
             return out
-        have = np.unique(passage)
-        latent = _sums(_weights(passage, term, count, self.idf, total), self.basis, term, np.searchsorted(have, passage), len(have))
+        latent = _sums(_weights(passage, term, count, self.idf, total), self.basis, term, passage, total)
         latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-        near = latent @ self.queries.T
-        at, item = np.nonzero(near >= COSINE)
-        if not len(at):
-            return out
-        ends = np.cumsum(windows)
-        rows = np.searchsorted(ends, have[at], side="right")
+        begin = np.cumsum(windows) - windows
+        found = [at * m + item for at, item in self._near(latent)]
+        found.append(np.array([(begin[i] + x) * m + j for i, x, j in self._sharing(packed)], np.int64))
+        found = np.unique(np.concatenate(found))
+        at, item = found // m, found % m
+        rows = np.searchsorted(begin + windows, at, side="right")
         best: dict[tuple[int, int], tuple] = {}
         last, words = -1, []
-        for row, number, j, c in zip(rows.tolist(), (have[at] - (ends - windows)[rows]).tolist(), item.tolist(), near[at, item].tolist()):
+        for row, passage, number, j in zip(rows.tolist(), at.tolist(), (at - begin[rows]).tolist(), item.tolist()):
             if row != last:
                 last, words = row, np.frombuffer(packed[row], width_of(n))
             size = len(self.items.words[j])
             region = words[max(0, number * STEP - size) : number * STEP + PASSAGE + size]
             region = region[self.has[j].take(region, mode="wrap")]
-            if len(region) < PARAPHRASE * size:
+            if len(region) < self.least[j]:
                 continue  # a subsequence is no longer than the words in common
             region = region.tolist()
             share = lcs(self.bits[j], size, region) / size
@@ -278,6 +362,7 @@ class Search:
                 answer = self.items.answers[j]
                 if len(answer) < LEAST_ANSWER or lcs(self.answer_bits[j], len(answer), region) < ANSWER * len(answer):
                     continue
+            c = float((self.queries[self.first[j] : self.first[j + 1]] @ latent[passage]).max())
             if (row, j) not in best or (share, c) > best[row, j][2:0:-1]:
                 best[row, j] = (self.items.ids[j], c, share, number * STEP)
         for (row, _), hit in sorted(best.items()):
@@ -315,8 +400,9 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_co
     """A row per document row and benchmark item that it holds: doc_id, item_id, cosine, lcs, first_word.
 
     Passages are windows of 40 words, 20 apart, of whole texts, weighted by TF-IDF over the benchmark's words (others
-    weigh nothing in any item). Passages and items are compared in the space of a randomised SVD of all passages; pairs
-    at a cosine of COSINE or more are candidates. A candidate is a leak if the longest common subsequence of the item's
+    weigh nothing in any item). Passages and items, long ones by passages of their own, are compared in the space of a
+    randomised SVD of all passages; pairs at a cosine of COSINE or more are candidates. So is every other pair with
+    enough words in common for a leak, so that the rows are those of comparing all passages with all items. A candidate is a leak if the longest common subsequence of the item's
     words and of the passage with as much again on both sides has LEAK of the item, or PARAPHRASE of it and
     ANSWER of the item's answer, its last sentence.
 

@@ -248,3 +248,42 @@ def test_item_in_a_third_of_all_rows_is_found(spark):
     want = {i for i in range(900) if i % 3 == 0}
     assert {r["doc_id"] for r in decontamination.find_leaks(spark, docs, bench).collect()} == want
     assert {r["doc_id"] for r in decontamination.keep_unleaked(spark, docs, bench).collect()} == set(range(900)) - want
+
+
+def test_leaks_equal_brute_force_over_all_passages(spark):
+    import random
+
+    draw = random.Random(7)
+    vocabulary = [f"w{int(draw.paretovariate(0.6)) % 3000}" for _ in range(6000)]
+    words = lambda n: [draw.choice(vocabulary) for _ in range(n)]
+    items = [words(n) for n in [15, 25, 40, 59] * 4 + [300, 400]]
+    docs = []
+    for i in range(120):
+        own = items[i % len(items)]
+        kept = [w if draw.random() >= (0, 0.15, 0.3, 0.45)[i % 4] else draw.choice(vocabulary) for w in own]
+        docs.append(words(draw.randrange(0, 150)) + kept + words(draw.randrange(0, 150)) if i % 5 else words(60))
+    text = lambda own: " ".join(own[:-5]) + ". " + " ".join(own[-5:])
+    want = set()
+    for d, doc in enumerate(docs):
+        for j, own in enumerate(items):
+            for p in range(decontamination.n_windows(len(doc))):
+                region = doc[max(0, p * 20 - len(own)) : p * 20 + 40 + len(own)]
+                if sum(w in set(own) for w in region) < 0.6 * len(own):
+                    continue
+                share = brute_lcs(own, region) / len(own)
+                if share >= 0.7 or share >= 0.6 and brute_lcs(own[-5:], [w for w in region if w in own]) >= 4.5:
+                    want.add((d, j))
+                    break
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(j, text(w)) for j, w in enumerate(items)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(spark, table, bench).collect()}
+    assert found == want and {16, 17} <= {j for _, j in want}
+
+
+def test_long_items_are_found_word_for_word(spark):
+    """A window of 40 words has a cosine of some 0.2 to an item of 1,000 different words."""
+    items = [" ".join(f"i{j}w{k}" for k in range(1000)) for j in range(3)]
+    docs = [f"before it {items[j]} after it" for j in range(3)] + [" ".join(f"i{i % 3}w{i * 13 % 900 + k}" for k in range(100)) for i in range(30)]
+    table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(spark, table, bench).collect()} == {(j, j) for j in range(3)}
