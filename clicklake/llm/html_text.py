@@ -52,6 +52,7 @@ class Node:
     noise: bool
     parent: Node | None
     items: list = field(default_factory=list)  # Node or str, in page order
+    weak: bool = False  # noise by a part of class or id, or as a form, alone
 
 
 def parse(page: str | None) -> Node:
@@ -95,8 +96,9 @@ def parse(page: str | None) -> Node:
                     role = value
                 else:
                     names += " " + value
-        noise = tag in NOISE_TAGS or role in NOISE_ROLES or (tag == "header" and not _inside_main(here)) or (tag not in ("html", "body") and tag not in MAIN and any(p in NOISE_PARTS for p in _PART.findall(names)))
-        node = Node(tag, f"{here.path}/{tag}{'.' + '.'.join(names.split()) if names else ''}", noise, here)
+        strong = tag in NOISE_TAGS and tag != "form" or role in NOISE_ROLES or (tag == "header" and not _inside_main(here))
+        weak = not strong and (tag == "form" or (tag not in ("html", "body") and tag not in MAIN and any(p in NOISE_PARTS for p in _PART.findall(names))))
+        node = Node(tag, f"{here.path}/{tag}{'.' + '.'.join(names.split()) if names else ''}", strong or weak, here, weak=weak)
         here.items.append(node)
         if tag in VOID or m[3].endswith("/") and tag in ("svg", "path"):
             continue
@@ -105,9 +107,42 @@ def parse(page: str | None) -> Node:
             at = page.find(">", end.start()) + 1 or len(page) if end else len(page)
             continue
         here = node
+    _spare(root)
     return root
 
 
+def _spare(root: Node) -> None:
+    """Noise by a class part or as a form alone is none around the main text; what is left is for the style tree to judge.
+
+    That is, if it holds most of the text of all article and main elements, or any while none is outside noise; on a page
+    without such elements, if it holds most of the page's text. Comments that are articles stay noise beside a longer
+    story. Text inside what is noise for a better reason counts for nothing.
+    """
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if node.noise and not node.weak:
+            continue
+        order.append(node)
+        stack += [x for x in node.items if isinstance(x, Node)]
+    if not any(node.weak for node in order):
+        return
+    size: dict[int, int] = {}
+    main: dict[int, int] = {}
+    for node in reversed(order):
+        size[id(node)] = sum(len("".join(x.split())) if isinstance(x, str) else size.get(id(x), 0) for x in node.items)
+        main[id(node)] = size[id(node)] if node.tag in MAIN else sum(main.get(id(x), 0) for x in node.items if isinstance(x, Node))
+    held = main if main[id(root)] else size
+    holds = {id(node) for node in order if any(isinstance(x, Node) and (x.tag in MAIN or id(x) in main and main[id(x)]) for x in node.items)}
+    for node in order:
+        if node.weak and (held is size or id(node) in holds) and 2 * held[id(node)] > held[id(root)]:
+            node.noise = False
+    if held is main and not any(size.get(id(x)) for x in main_parts(root)):
+        for node in order:
+            if node.weak and node.tag not in MAIN and not _inside_main(node) and main[id(node)]:
+                node.noise = False
+
+
 def _inside_main(node: Node | None) -> bool:
     while node is not None:
         if node.tag in MAIN:

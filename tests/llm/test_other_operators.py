@@ -287,3 +287,19 @@ def test_long_items_are_found_word_for_word(spark):
     table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(spark, table, bench).collect()} == {(j, j) for j in range(3)}
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<div class='layout with-sidebar'><article><p>a</p></article><div class=sidebar>s</div></div>", "a"),
+        ("<body class=x><div class='no-sidebar'><div id=social-science><main>a</main></div></div></body>", "a"),
+        ("<form><div class='page has-menu'><article>a<form>f</form></article></div></form>", "a"),
+        ("<div class='has-menu'><div class=menu>m</div><p>The story of the page is longer</p></div><p>end</p>", "The story of the page is longer\nend"),
+        ("<nav><article>n</article></nav><div class=ad>x</div><p>kept</p>", "kept"),
+        ("<article><p>The longer story</p><div class=comments><article>c</article></div></article><div class=related><article>r</article></div>", "The longer story"),
+        ("<div class='social-a'><article>a</article></div><div class='social-b'><article>b</article></div>", "a\nb"),
+    ],
+)
+def test_noise_by_name_never_holds_the_main_text(page, want):
+    assert html_text.main_text(page) == want
