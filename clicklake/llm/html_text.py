@@ -201,15 +201,13 @@ def blocks_of(nodes: list[Node], dropped: set[str] = frozenset()) -> list[str]:
 def style_rows(root: Node) -> list[tuple[str, int, int]]:
     """(path, kind, value) for the style tree: kind 0 a node's sequence of children, kind 1 a piece of its own text.
 
-    Paths are merged within a page. What lies below article and main elements is content by its role and left out.
+    Paths are merged within a page. Article and main elements are like any others.
     """
     styles: dict[str, list[str]] = {}
     texts: set[tuple[str, str]] = set()
     stack = [x for x in root.items if isinstance(x, Node)]
     while stack:
         node = stack.pop()
-        if node.tag in MAIN and not node.noise:
-            continue
         children = [x for x in node.items if isinstance(x, Node)]
         styles.setdefault(node.path, []).append(",".join(x.tag for x in children))
         texts |= {(node.path, t) for x in node.items if isinstance(x, str) and (t := " ".join(x.split()))}
@@ -224,8 +222,8 @@ def template_paths(root: Node, table: dict[str, tuple[float, float]]) -> set[str
     """Paths of the highest branches whose composite importance is under TEMPLATE.
 
     A node's composite importance is (1 - GAMMA^l) times its presentation's plus GAMMA^l times the mean over its l
-    children and its own text of theirs. Nodes without an entry in the host's table have importance 1. Ancestors of the
-    main text and the skeleton of the page are never template.
+    children and its own text of theirs. Nodes without an entry in the host's table have importance 1. Main elements, their
+    ancestors and the skeleton of the page are never template, nor are inline elements inside main ones: parts of sentences.
     """
     worth: dict[int, float] = {}
     order, stack = [], [root]
@@ -244,27 +242,27 @@ def template_paths(root: Node, table: dict[str, tuple[float, float]]) -> set[str
         parts = children + [text] * any(isinstance(x, str) and x.strip() for x in node.items)
         g = GAMMA ** len(children)
         worth[id(node)] = (1 - g) * shape + g * (sum(parts) / len(parts) if parts else shape)
-    out, stack = set(), [root]
+    out, stack = set(), [(root, False)]
     while stack:
-        node = stack.pop()
-        if node is not root and node.tag not in ("html", "body") and id(node) not in held and worth[id(node)] < TEMPLATE:
+        node, inside = stack.pop()
+        inside = inside or node.tag in MAIN
+        if node is not root and node.tag not in ("html", "body") and id(node) not in held and worth[id(node)] < TEMPLATE and not (inside and node.tag in INLINE):
             out.add(node.path)
             continue
-        if node.tag not in MAIN:
-            stack += [x for x in node.items if isinstance(x, Node)]
+        stack += [(x, inside) for x in node.items if isinstance(x, Node)]
     return out
 
 
 def main_text(page: str | None, table: dict[str, tuple[float, float]] | None = None) -> str:
-    """The main text: the article or main elements if there are any, else all of the page that is neither noise nor template.
+    """The main text: what is neither noise nor template of the article or main elements if there are any, else of the page.
 
-    If the template's removal would leave nothing of a page without such elements, its branches are kept.
+    If the template's removal would leave nothing, its branches are kept.
     """
     root = parse(page)
     dropped = template_paths(root, table) if table else set()
     parts = main_parts(root)
     if parts:
-        return "\n".join(blocks_of(parts))
+        return "\n".join(blocks_of(parts, dropped) or blocks_of(parts))
     return "\n".join(blocks_of([root], dropped) or blocks_of([root]))
 
 

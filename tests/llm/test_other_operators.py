@@ -303,3 +303,11 @@ def test_long_items_are_found_word_for_word(spark):
 )
 def test_noise_by_name_never_holds_the_main_text(page, want):
     assert html_text.main_text(page) == want
+
+
+def test_style_tree_removes_what_a_host_repeats_inside_articles(spark):
+    page = "<html><body><article><h1>Story {0}</h1><p>It has its <b>own</b> words {0}</p><div>Sign up for our letters</div></article></body></html>"
+    pages = spark.createDataFrame([(i, f"http://h.example/{i}", page.format(i)) for i in range(12)] + [(100, "http://one.example/", page.format(1))], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark, pages).collect()}
+    assert all(got[i] == f"Story {i}\nIt has its own words {i}" for i in range(12))
+    assert got[100] == "Story 1\nIt has its own words 1\nSign up for our letters"
