@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import Scratch, read_table, with_row_key
-from .tokens import memo_for
+from .tokens import encoder_for
 
 #: Pieces that one task packs; a piece is three numbers there.
 GROUP_PIECES = 50_000
@@ -25,7 +25,13 @@ def lower_bound(lengths, capacity: int) -> int:
     """
     import numpy as np
 
-    count = np.bincount(np.asarray(lengths, dtype=np.int64), minlength=capacity + 1)
+    return bound_of_counts(np.bincount(np.asarray(lengths, dtype=np.int64), minlength=capacity + 1), capacity)
+
+
+def bound_of_counts(count, capacity: int) -> int:
+    """`lower_bound` from the number of items of each length up to `capacity`."""
+    import numpy as np
+
     if not count.sum():
         return 0
     x = np.arange(capacity + 1)
@@ -69,10 +75,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, end = memo_for(tokenizer), end_id.to_bytes(4, "little")
+        encoder, end = encoder_for(tokenizer), end_id.to_bytes(4, "little")
         for batch in batches:
             rows = []
-            for key, doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), memo.encode(batch.column(2).to_pylist())):
+            for key, doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), encoder.encode(batch.column(2))):
                 ids += end
                 n = len(ids) // 4
                 first = n if n <= capacity else n % capacity or capacity
@@ -143,6 +149,18 @@ def pack_pieces(spark: SparkSession, scratch: Scratch, pieces: DataFrame, capaci
     return placed.select("row_key", "piece", sequence.alias("sequence_id"), "offset")
 
 
+def packing_gap(packed: DataFrame, capacity: int = 2048) -> tuple[int, int]:
+    """(sequences used, sequences that any packing of the same pieces needs), for rows with sequence_id and length.
+
+    The bound is that of `lower_bound` over all pieces, from how many there are of each length: at most `capacity` rows.
+    """
+    import numpy as np
+
+    used = packed.agg(F.count_distinct("sequence_id")).first()[0]
+    counts = {r["length"]: r["n"] for r in packed.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    return used, bound_of_counts(np.array([counts.get(i, 0) for i in range(capacity + 1)], np.int64), capacity)
+
+
 def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack every document into sequences of at most `capacity` ids; a row per piece.
 

@@ -17,28 +17,31 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import Scratch, filesystem, read_table, write_once
-from .tokens import memo_for
+from .tokens import encoder_for
 
 LEVEL = 3
 #: Bytes of the shared dictionary, and documents and ids of each that it is trained on (bounds of a sample by hash).
 DICTIONARY_BYTES, SAMPLE_DOCS, SAMPLE_IDS = 64 * 1024, 1_000, 1_024
+#: Documents that a dictionary is trained on at least.
+LEAST_DOCS = 16
+#: Characters of a text that take part in dealing equal ids to tasks: range bounds stay small, whatever the texts.
+RANGE_CHARS = 32
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
     """A zstandard dictionary from the serialized ids of at most SAMPLE_DOCS documents, those with the least hash.
 
-    Only the compression ratio depends on the sample. Fewer documents than zstandard can train on give no dictionary.
+    Only the compression ratio depends on the sample. A sample too small to train on is the dictionary itself.
     """
     import zstandard
 
     h = F.xxhash64("doc_id")
     least = docs.select(h.alias("h")).orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]  # only hashes are sorted
     rows = docs.filter(h <= F.lit(least)).select(F.substring("text", 1, 8 * SAMPLE_IDS).alias("text")).limit(2 * SAMPLE_DOCS).collect() if least is not None else []
-    ids = memo_for(tokenizer).encode([r["text"] for r in rows])
-    try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, [x[: 4 * SAMPLE_IDS] + end_id.to_bytes(4, "little") for x in ids], level=LEVEL).as_bytes()
-    except (zstandard.ZstdError, ValueError):
-        return b""
+    ids = [x[: 4 * SAMPLE_IDS] + end_id.to_bytes(4, "little") for x in encoder_for(tokenizer).encode([r["text"] for r in rows])]
+    if sum(map(len, ids)) < 2 * DICTIONARY_BYTES or len(ids) < LEAST_DOCS:
+        return b"".join(ids)[:DICTIONARY_BYTES]
+    return zstandard.train_dictionary(DICTIONARY_BYTES, ids, level=LEVEL).as_bytes()
 
 
 def write_store(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, DataFrame]:
@@ -46,8 +49,8 @@ def write_store(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: in
 
     The documents are range-partitioned by id; each task sorts its range, encodes it and writes one shard, so shards
     in the order of their names hold the ids of all documents in ascending order. A task that runs again writes the
-    same file under the same name. Null text: the end id alone. Null ids come first; equal ids (repeated rows) are
-    ordered by text. An empty table gives an empty index. Other columns of `docs` are not read.
+    same file under the same name. Only ids and the texts' first characters are sampled for the ranges. Null text: the
+    end id alone. Null ids come first; equal ids (repeated rows) are ordered by text. An empty table gives an empty index. Other columns of `docs` are not read.
 
     Index: doc_id, shard, offset, length, local_start (ids before it in its shard), n_tokens, dictionary.
     """
@@ -65,13 +68,13 @@ def write_store(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: in
         task, index = TaskContext.get(), []
         name = f"shard-{task.partitionId():06d}"
         pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(trained) if trained else None)
-        memo = memo_for(tokenizer)
+        encoder = encoder_for(tokenizer)
 
         def frames() -> Iterator[bytes]:
             offset = start = 0
             for batch in batches:
                 ids = batch.column(0).to_pylist()
-                for doc_id, tokens in zip(ids, memo.encode(batch.column(1).to_pylist())):
+                for doc_id, tokens in zip(ids, encoder.encode(batch.column(1))):
                     frame = pack.compress(tokens + end)
                     n = len(tokens) // 4 + 1
                     index.append((doc_id, name, offset, len(frame), start, n))
@@ -83,7 +86,7 @@ def write_store(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: in
             columns = list(zip(*index))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "shard", "offset", "length", "local_start", "n_tokens"])
 
-    ranged = docs.withColumn("doc_id", F.col("doc_id").cast("long")).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ranged = docs.withColumn("doc_id", F.col("doc_id").cast("long")).repartitionByRange("doc_id", F.substring("text", 1, RANGE_CHARS)).sortWithinPartitions("doc_id", "text")
     index = ranged.mapInArrow(write, "doc_id long, shard string, offset long, length long, local_start long, n_tokens long")
     return folder, scratch.cut(index.withColumn("dictionary", F.lit(digest)), "index")
 

@@ -1,119 +1,129 @@
-"""Token ids of whole texts with a public tokenizer, with a bounded memory of what each word encodes to."""
+"""Token ids of whole texts with a public tokenizer: a batch's distinct pieces are encoded once, together."""
 
 from __future__ import annotations
 
 import json
 import os
-import re
 
-#: A space that follows other white space: there the pieces between spaces are not encoded one by one.
-_AFTER_SPACE = re.compile(r"\s ")
-#: Pieces of letters, common marks and single line ends: both tokenizers split them into exactly these parts.
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_PLAIN = re.compile(rf"[{_LETTERS},.;:!?](?:[{_LETTERS},.;:!?]|\n(?!\n))*")
-_PARTS = re.compile(rf"[{_LETTERS}]+|[,.;:!?]+|\n")
-#: Longer pieces are encoded each time they occur instead of being remembered.
-_LONGEST = 48
+import pyarrow as pa
+import pyarrow.compute as pc
 
+#: White space of Unicode but the space and the line end, as a class of the columnar library's patterns.
+_WHITE = r"\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: What begins a text's first piece, which no space comes before.
+_FIRST = "\x00"
+#: Bytes of texts whose pieces are made distinct together, and bytes whose ids are put together at once.
+GROUP_BYTES, SLICE_BYTES = 16 << 20, 2 << 20
+#: Pieces that are encoded as one text.
+_JOINED = 2_000
 
-def _byte_letters() -> dict[int, str]:
-    """The letters that byte-level tokenizers write bytes with: printable ones stand for themselves, others follow at 256."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
-
-class WordMemo:
+class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids, exactly as the tokenizer does for the whole text.
 
-    Both tokenizers split a text before any merge, and never inside `x` + space: no pattern of theirs matches across
-    the place before a space that follows a character other than white space. So a text is the sequence of its pieces
-    cut before such spaces, each encoded alone, and a piece seen before is looked up. Plain pieces go further, to words
-    and marks, which the tokenizer's model encodes; other pieces, and texts with a space after white space, go through
-    the tokenizer whole. Special tokens' strings are ordinary text. At most `entries` pieces and as many words are
-    remembered; a full memory is emptied.
+    Two kinds of tokenizers are known, others are an error: byte-level BPE whose pattern keeps a space with the word
+    behind it, and BPE with word ends whose pattern drops white space. Neither has a pattern that matches across the
+    place before a space that follows a character other than white space, so a text is the sequence of its pieces cut
+    there, each encoded alone. The distinct pieces of some megabytes of texts are encoded together, joined by a mark that is
+    always a token of its own; then each text's ids are gathered. Pieces in which the mark could join its neighbours are
+    encoded alone, and texts with white space before a space as a whole where the tokenizer keeps white space. The
+    strings of special tokens are ordinary text.
     """
 
-    def __init__(self, path: str, entries: int = 500_000):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model, self.letters = self.tokenizer.model, _byte_letters()
         made = json.loads(self.tokenizer.to_str())
-        self.lower = "Lowercase" in json.dumps(made["normalizer"])  # this kind also drops white space
-        self.entries, self.memo, self.words = entries, {}, {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(i.to_bytes(4, "little") for i in e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            raw = word.encode().decode("latin-1").translate(self.letters)
-            found = self.words[word] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(raw)])
-        return found
-
-    def _plain(self, piece: str) -> bytes:
-        """The ids of a space and a plain piece."""
-        if self.lower:
-            return b"".join([self._word(p) for p in _PARTS.findall(piece.lower()) if p != "\n"])
-        first, *rest = _PARTS.findall(piece)
-        return self._word(" " + first) + b"".join(map(self._word, rest))
-
-    def encode(self, texts: list[str | None], group: int = 256) -> list[bytes]:
+        keeps_space = made["normalizer"] is None and made["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        steps = (made["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        drops_space = made["model"]["end_of_word_suffix"] == "</w>" and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and "[^\\s" in steps[0]["pattern"].get("Regex", "")
+        if made["model"]["type"] != "BPE" or not (keeps_space or drops_space):
+            raise ValueError(f"{path}: neither byte-level BPE that keeps spaces nor BPE with word ends")
+        if keeps_space:
+            self.mark, self.whole, self.alone = "\r", rf"[\n {_WHITE}] |{_FIRST}.*{_FIRST}", rf"[{_WHITE}]|\n\n|\n$|^{_FIRST}?\n|^{_FIRST}?$"
+        else:
+            self.mark, self.whole, self.alone = " \x01 ", rf"{_FIRST}.*{_FIRST}", rf"[\x01{_WHITE}]|^{_FIRST}?$"
+        (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
+
+    def _whole(self, texts: list[str]) -> list:
+        import numpy as np
+
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """The ids of each text as bytes; null is the empty text."""
+        import numpy as np
+
+        texts = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
         out: list[bytes] = []
-        for at in range(0, len(texts), group):
-            out += self._group([t or "" for t in texts[at : at + group]])
+        while len(out) < len(texts):
+            base = ends[len(out) - 1] if out else 0
+            stop = max(len(out) + 1, int(np.searchsorted(ends, base + GROUP_BYTES, side="right")))
+            out += self._group(texts.slice(len(out), stop - len(out)))
+        return out
+
+    def _group(self, texts: pa.Array) -> list[bytes]:
+        import numpy as np
+
+        marked = pc.binary_join_element_wise(pa.scalar(_FIRST, pa.large_string()), texts, pa.scalar("", pa.large_string()))
+        whole = pc.match_substring_regex(marked, f"(?s){self.whole}").to_numpy(zero_copy_only=False)
+        out: list[bytes] = [b""] * len(texts)
+        odd = np.flatnonzero(whole).tolist()
+        for i in odd:  # one by one: they may be long
+            out[i] = self._whole([texts[i].as_py()])[0].tobytes()
+        cut = pc.split_pattern(marked.filter(pa.array(~whole)), " ")
+        pieces = pc.list_flatten(cut).dictionary_encode()
+        pool, start, size = self._pieces(pieces.dictionary)
+        index = pieces.indices.to_numpy()
+        ends = np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False))
+        rows = np.flatnonzero(~whole)
+        at = 0
+        while at < len(rows):
+            first = int(ends[at - 1]) if at else 0
+            total = np.cumsum(size[index[first : first + (SLICE_BYTES >> 2)]])
+            stop = max(at + 1, int(np.searchsorted(ends, first + len(total), side="right")))
+            own = index[first : int(ends[stop - 1])]
+            n = size[own]
+            before = np.cumsum(n) - n
+            ids = pool[np.repeat(start[own] - before, n) + np.arange(int(n.sum()))]
+            cuts = np.append(before, len(ids))[np.r_[0, ends[at:stop] - first]].tolist()
+            for row, a, b in zip(rows[at:stop].tolist(), cuts, cuts[1:]):
+                out[row] = ids[a:b].tobytes()
+            at = stop
         return out
 
-    def _group(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > self.entries:
-            self.memo.clear()
-        if len(self.words) > self.entries:
-            self.words.clear()
-        memo, cut, wanted = self.memo, [], set()
-        for text in texts:
-            if _AFTER_SPACE.search(text):
-                cut.append(None)
-                continue
-            first, *rest = text.split(" ")
-            cut.append((first, rest))
-            wanted.update(rest)
-        long, odd = set(), []
-        for piece in [p for p in wanted if p not in memo]:
-            if len(piece) > _LONGEST:
-                long.add(piece)
-            elif _PLAIN.fullmatch(piece):
-                memo[piece] = self._plain(piece)
-            else:
-                odd.append(piece)
-        memo.update(zip(odd, self._whole([" " + w for w in odd])))
-        heads = iter(self._whole([text if c is None else c[0] for text, c in zip(texts, cut)]))
-        if long:
-            memo = _Both(dict(zip(long, self._whole([" " + w for w in long]))), memo)
-        return [next(heads) + (b"".join(map(memo.__getitem__, c[1])) if c else b"") for c in cut]
-
-
-class _Both(dict):
-    """Looks first among the long pieces of this group, then in the memory."""
-
-    def __init__(self, longs: dict, memo: dict):
-        super().__init__(longs)
-        self._memo = memo
-
-    def __missing__(self, key):
-        return self._memo[key]
-
-
-_OPEN: dict[str, WordMemo] = {}
-
-
-def memo_for(path: str) -> WordMemo:
-    """The encoder of this Python worker: kept between tasks, so its memory goes on being of use."""
+    def _pieces(self, pieces: pa.Array):
+        """The ids of some pieces one after the other, and where each piece's begin and how many they are."""
+        import numpy as np
+
+        alone = pc.match_substring_regex(pieces, self.alone).to_numpy(zero_copy_only=False)
+        full = [p[1:] if p[:1] == _FIRST else " " + p for p in pieces.to_pylist()]
+        together = np.flatnonzero(~alone).tolist()
+        joined = [self.mark.join([full[i] for i in together[k : k + _JOINED]]) + self.mark for k in range(0, len(together), _JOINED)]
+        pool = np.concatenate([np.zeros(0, np.uint32), *self._whole(joined)])
+        marks = np.flatnonzero(pool == self.mark_id)
+        if len(marks) != len(together):
+            raise ValueError("a piece holds the mark between pieces")
+        start, size = np.zeros(len(full), np.int64), np.zeros(len(full), np.int64)
+        start[together] = np.r_[0, marks[:-1] + 1] if len(marks) else []
+        size[together] = marks - start[together]
+        rest = np.flatnonzero(alone).tolist()
+        found = self._whole([full[i] for i in rest])
+        size[rest] = [len(x) for x in found]
+        start[rest] = len(pool) + np.cumsum(size[rest]) - size[rest]
+        return np.concatenate([pool, *found]), start, size
+
+
+_OPEN: dict[str, Encoder] = {}
+
+
+def encoder_for(path: str) -> Encoder:
+    """The encoder of this Python worker, read from its file once."""
     if path not in _OPEN:
         _OPEN.clear()
-        _OPEN[path] = WordMemo(path)
+        _OPEN[path] = Encoder(path)
     return _OPEN[path]

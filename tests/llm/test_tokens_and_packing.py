@@ -4,7 +4,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from clicklake.llm import packing, token_store
-from clicklake.llm.tokens import WordMemo
+from clicklake.llm.tokens import Encoder
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -18,20 +18,38 @@ def whole(path, texts):
     return [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
-MEMO = {p: WordMemo(p, entries=40) for p in (BYTE, WORD)}
+ENCODERS = {p: Encoder(p) for p in (BYTE, WORD)}
 
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
 @settings(max_examples=150, deadline=None)
-@given(texts=st.lists(st.text(alphabet="ab é.,'  \n\t1?sS|ñßΣς\x1cİ<|endof>漢", max_size=40), max_size=5))
-def test_memo_equals_whole_texts(path, texts):
-    assert MEMO[path].encode(texts) == whole(path, texts)
+@given(texts=st.lists(st.text(alphabet="ab é.,'  \n\t1?sS|ñßΣς\x1cİ<|endof>漢\x00\x01\r\u0308\u00a0\u0b3e", max_size=40), max_size=5))
+def test_encoder_equals_whole_texts(path, texts):
+    assert ENCODERS[path].encode(texts) == whole(path, texts)
 
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
-def test_memo_on_documents(documents, path):
+def test_encoder_on_documents(documents, path):
     texts = [r["text"] for r in documents.select("text").collect()]
-    assert MEMO[path].encode(texts) == whole(path, texts)
+    assert ENCODERS[path].encode(texts) == whole(path, texts)
+
+
+def test_encoder_takes_texts_in_groups(documents, monkeypatch):
+    from clicklake.llm import tokens
+
+    monkeypatch.setattr(tokens, "GROUP_BYTES", 5_000)
+    monkeypatch.setattr(tokens, "SLICE_BYTES", 2_000)
+    texts = [None, "", *(r["text"] for r in documents.select("text").collect()), "a  b", " x"]
+    for path in (BYTE, WORD):
+        assert ENCODERS[path].encode(texts) == whole(path, texts)
+
+
+def test_unknown_tokenizers_are_an_error(tmp_path):
+    from tokenizers import models
+
+    Tokenizer(models.BPE()).save(str(tmp_path / "t.json"))
+    with pytest.raises(ValueError):
+        Encoder(str(tmp_path / "t.json"))
 
 
 @settings(max_examples=100, deadline=None)
@@ -73,6 +91,7 @@ def test_packing_documents(spark, documents):
     rows = packing.query(spark, "/root/testdata/sf0.001").collect()
     used = check_pieces(rows, [(r["doc_id"], r["text"]) for r in documents.collect()], 2048)
     assert 0 <= used - packing.lower_bound([r["length"] for r in rows], 2048) <= 1
+    assert packing.packing_gap(spark.createDataFrame(rows)) == (used, packing.lower_bound([r["length"] for r in rows], 2048))
 
 
 def test_packing_exchanges_between_partitions(spark):
