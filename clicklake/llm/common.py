@@ -15,12 +15,27 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_row_key(df: DataFrame, name: str) -> DataFrame:
     """Add a 64-bit key that is unique per row, so repeated ids and repeated rows stay apart.
 
-    The key is a row's place in its input partition: it comes out the same each time a table is scanned, so
-    callers pass table reads (or other plans with a fixed row order), never the result of a shuffle.
+    The key is a row's place in its input partition, and two scans of a table can be split differently (as executors
+    come and go). So what needs the key twice writes the keyed rows once (`Scratch.cut`) and reads them from there.
     """
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+#: A key with more than one in so many of all rows is hot; there are at most as many hot keys.
+HOT_SHARE = 1_000
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """Inner join of `left` with `right`, a row per key with the number `count` of rows that the key has in `left`.
+
+    Keys with more than a HOT_SHARE-th of the `total` rows of `left`, at most HOT_SHARE of them, are broadcast, so no
+    key's rows have to meet in one task; the rest is joined by shuffle.
+    """
+    hot = F.broadcast(right.filter(F.col(count) * HOT_SHARE > total).drop(count))
+    rest = right.filter(F.col(count) * HOT_SHARE <= total).drop(count)
+    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(rest, key))
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that `df` does not have yet."""
     taken, name = {c.lower() for c in df.columns}, stem
@@ -58,7 +73,7 @@ class Scratch:
         """Write `df` and return the written table."""
         self._n += 1
         path = f"{self.path}/{self._n:03d}-{label}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

@@ -6,8 +6,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import ArrayType, LongType
 
-from .common import Scratch, connected_components, fresh, read_table, with_row_key
+from .common import Scratch, connected_components, fresh, join_counted, read_table, with_row_key
 
 #: Characters a shingle, bands and rows a band: a pair of similarity 0.8 meets with a chance of 1 - (1 - 0.8^4)^14 > 0.999.
 SHINGLE, BANDS, ROWS = 8, 14, 4
@@ -118,50 +119,90 @@ def band_keys(signature):
     return out.view(np.int64)
 
 
-def jaccard(a, b) -> float:
-    """Similarity of two sorted arrays of distinct hashes."""
+def distinct(hashes):
+    """The different values of an array, sorted."""
     import numpy as np
 
-    common = len(a) + len(b) - len(np.union1d(a, b))
-    return common / (len(a) + len(b) - common)
+    out = np.sort(hashes)
+    first = np.empty(len(out), bool)
+    first[:1] = True
+    np.not_equal(out[1:], out[:-1], out=first[1:])
+    return out[first]
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """row_key, doc_id, line_no, line, k of docs (row_key, doc_id, text): lines in lower case with white space made one.
+def similar(a, b) -> bool:
+    """Whether the Jaccard similarity of two sorted arrays of distinct hashes reaches SIMILARITY."""
+    import numpy as np
+
+    if min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)):
+        return False
+    both = np.concatenate((a, b))
+    both.sort(kind="stable")  # merges the two runs
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return common >= SIMILARITY * (len(both) - common)
+
+
+#: White space other than single spaces and line ends: only a text that has some needs its lines put together anew.
+_ODD_SPACE = ("  ", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
+
+
+def normal_lines(text: str | None) -> list[str]:
+    """A text's lines in lower case, with white space made one space and trimmed; blank lines are empty."""
+    low = (text or "").lower()
+    if any(mark in low for mark in _ODD_SPACE):
+        return [" ".join(line.split()) for line in low.split("\n")]
+    return [line.strip(" ") for line in low.split("\n")]
 
-    k is the line's 64-bit hash, its name in all that follows. Blank lines are separators and left out.
-    """
-    low = F.lower("raw")
-    # The pattern costs far more than looking for what it would change.
-    odd = F.contains(low, F.lit("  "))
-    for mark in "\t\r\x0b\x0c":
-        odd = odd | F.contains(low, F.lit(mark))
-    line = F.trim(F.when(odd, F.regexp_replace(low, r"\s+", " ")).otherwise(low))
-    split = docs.select("row_key", "doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "raw"))
-    return split.select("row_key", "doc_id", "line_no", line.alias("line")).filter("line <> ''").withColumn("k", F.xxhash64("line"))
 
+@F.arrow_udf(ArrayType(LongType()))
+def line_names(texts: pa.Array) -> pa.Array:
+    """Per line of a text its name in all that follows, the 64-bit hash of the normal line; null for blank lines."""
+    import xxhash
 
-def _band_rows(lines: DataFrame) -> DataFrame:
+    name = lambda line: xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63) if line else None
+    return pa.array([[name(line) for line in normal_lines(text)] for text in texts.to_pylist()], pa.list_(pa.int64()))
+
+
+def _distinct_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[str]]]:
+    """Names and normal lines of the texts of batches (names, text), those of a task once."""
+    seen: set[int] = set()
+    for batch in batches:
+        names, lines = [], []
+        for own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if seen.issuperset(own):
+                continue
+            for k, line in zip(own, normal_lines(text)):
+                if line and k not in seen:
+                    seen.add(k)
+                    names.append(k)
+                    lines.append(line)
+        if len(seen) > 500_000:  # repeats beyond are sorted out by the next step
+            seen.clear()
+        if names:
+            yield names, lines
+
+
+def _band_rows(docs: DataFrame) -> DataFrame:
     """(k, band): per distinct line of a task its name and each of its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        seen: set[int] = set()
-        for batch in batches:
-            names, texts = [], []
-            for k, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if k not in seen:
-                    seen.add(k)
-                    names.append(k)
-                    texts.append(line)
-            if len(seen) > 1_000_000:  # repeats beyond are sorted out by the next step
-                seen.clear()
-            if texts:
-                keys = band_keys(signatures(texts))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names, np.int64), BANDS)), pa.array(keys.ravel())], names=["k", "band"])
+        for names, lines in _distinct_lines(batches):
+            keys = band_keys(signatures(lines))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names, np.int64), BANDS)), pa.array(keys.ravel())], names=["k", "band"])
+
+    return docs.select("names", "text").mapInArrow(run, "k long, band long")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """(k, line): per distinct line of a task its name and itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names, lines in _distinct_lines(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(lines, pa.string())], names=["k", "line"])
 
-    return lines.select("k", "line").mapInArrow(run, "k long, band long")
+    return docs.select("names", "text").mapInArrow(run, "k long, line string")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -175,15 +216,13 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             out, columns = [], [batch.column(i).to_pylist() for i in (1, 2, 3)]
             for at in range(0, len(columns[0]), 256):
                 names, lines_a, lines_b = (c[at : at + 256] for c in columns)
-                sides = []
-                for lines in (lines_a, lines_b):
-                    hashes, counts = batch_hashes(lines)
-                    sides.append(np.split(hashes, np.cumsum(counts)[:-1]))
-                last, own = None, None
-                for name, x, y in zip(names, *sides):
-                    if name != last:  # runs of one b come together
-                        last, own = name, np.unique(y)
-                    out.append(jaccard(np.unique(x), own) >= SIMILARITY)
+                new = [i for i, name in enumerate(names) if i == 0 or name != names[i - 1]]  # runs of one b come together
+                hashes, counts = batch_hashes([lines_b[i] for i in new])
+                right = dict(zip(new, map(distinct, np.split(hashes, np.cumsum(counts)[:-1]))))
+                hashes, counts = batch_hashes(lines_a)
+                for i, own in enumerate(np.split(hashes, np.cumsum(counts)[:-1])):
+                    last = right.get(i, last) if i else right[0]
+                    out.append(similar(distinct(own), last))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.bool_())], names=["a", "b", "similar"])
 
     return both.select("a", "b", "line_a", "line_b").mapInArrow(run, "a long, b long, similar boolean")
@@ -214,14 +253,20 @@ def block_links(lines: list[str], roots: list[int]) -> set[tuple[int, int]]:
 
 
 def compare_blocks(lines: DataFrame) -> DataFrame:
-    """(a, b): links between components of a bucket, from all its pairs of lines (band, k, root, line).
+    """(a, b): links between components of a bucket, from all pairs of its lines in two components (band, k, root, line).
 
-    A bucket's lines are dealt to blocks of about BLOCK_LINES by hash, and each pair of blocks is one group of bounded
-    size: a line is repeated once per block, pairs of lines are never rows.
+    A bucket's lines are dealt to blocks of about BLOCK_LINES by hash, the lines of its largest component to blocks of
+    their own, and each pair of blocks is one group of bounded size, but for two blocks of the largest component: it needs
+    no links to itself. A line is repeated once per block it meets, pairs of lines are never rows.
     """
-    blocks = lines.groupBy("band").agg(F.ceil(F.count("*") / BLOCK_LINES).cast("int").alias("blocks"))
-    own = lines.join(blocks, "band").withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sizes = lines.groupBy("band", "root").agg(F.count("*").alias("n"))
+    large = sizes.groupBy("band").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"))
+    blocks = lambda n: F.ceil(n / BLOCK_LINES).cast("int")
+    large = large.select("band", F.col("top.root").alias("top"), blocks(F.col("top.n")).alias("tops"), blocks(F.col("all") - F.col("top.n")).alias("rest"))
+    own = lines.join(large, "band").withColumn("is_top", F.col("root") == F.col("top"))
+    own = own.withColumn("own", F.when(F.col("is_top"), F.col("rest") + F.pmod(F.xxhash64("k"), F.col("tops"))).otherwise(F.pmod(F.xxhash64("k"), F.col("rest"))).cast("int"))
+    # Blocks 0 to rest - 1 are the small components', those behind them the largest one's.
+    dealt = own.withColumn("other", F.explode(F.when(F.col("is_top"), F.sequence(F.lit(0), F.col("rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("rest") + F.col("tops") - 1))))
     dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "root", "line")
 
     def run(rows):
@@ -233,7 +278,7 @@ def compare_blocks(lines: DataFrame) -> DataFrame:
 
 
 def line_classes(spark: SparkSession, scratch: Scratch, docs: DataFrame) -> DataFrame:
-    """(node, root) for every line (by name) that a similar line exists for; docs has row_key, doc_id, text.
+    """(node, root) for every line (by name) that a similar line exists for; docs has names (line_names) and text.
 
     A bucket is the distinct lines with one band key. All pairs of a bucket of up to DIRECT lines are verified. A larger
     bucket, such as thousands of near copies make, begins with LEADERS stars: each line against a few of the bucket's.
@@ -241,7 +286,7 @@ def line_classes(spark: SparkSession, scratch: Scratch, docs: DataFrame) -> Data
     gives a link for every two components that have one, but no pairs. So every pair that meets in any band ends in one
     component if it is similar.
     """
-    rows = _band_rows(_lines(docs))
+    rows = _band_rows(docs)
     # Equal lines of several tasks count once; buckets of one line end here.
     w = Window.partitionBy("band")
     members = rows.withColumns({"low": F.min("k").over(w), "high": F.max("k").over(w)}).filter("low <> high").select("band", "k").distinct()
@@ -250,7 +295,7 @@ def line_classes(spark: SparkSession, scratch: Scratch, docs: DataFrame) -> Data
     sizes = sizes.select("band", "size", F.array_distinct(F.array(*(F.col(f"lead{j}.k") for j in range(LEADERS)))).alias("leads"))
     members = scratch.cut(members.join(sizes, "band").withColumn("leads", F.when(F.col("size") > DIRECT, F.col("leads"))), "sized")
     wanted = members.select("k").distinct()
-    texts = scratch.cut(_lines(docs).select("k", "line").join(wanted, "k", "left_semi").dropDuplicates(["k"]), "texts")
+    texts = scratch.cut(_texts(docs).join(wanted, "k", "left_semi").dropDuplicates(["k"]), "texts")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     small = members.filter(F.col("size") <= DIRECT).select("band", "k")
     direct = small.join(small.withColumnRenamed("k", "k2"), "band").filter("k < k2").select(*pair(F.col("k"), F.col("k2")))
@@ -265,24 +310,25 @@ def line_classes(spark: SparkSession, scratch: Scratch, docs: DataFrame) -> Data
     return roots
 
 
-def removed_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(row_key, removed, n_lines): per row of docs (row_key, doc_id, text) the sorted numbers of its lines that go.
+def removed_lines(spark: SparkSession, scratch: Scratch, docs: DataFrame) -> DataFrame:
+    """(row_key, removed, n_lines): per row of docs (row_key, doc_id, names, text) the sorted numbers of its lines that go.
 
     Of each component of similar lines, equal ones included, the first line stays: by doc_id (null last), row and place.
     Rows without non-blank lines are left out.
     """
-    scratch = Scratch(spark, "lines")
     roots = line_classes(spark, scratch, docs)
-    lines = scratch.cut(_lines(docs).select("row_key", "doc_id", "line_no", "k"), "places")
+    lines = docs.select("row_key", "doc_id", F.posexplode("names").alias("line_no", "k")).filter("k is not null")
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key", "line_no")
     firsts = lines.groupBy("k").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    classes = firsts.join(roots.withColumnRenamed("node", "k"), "k", "left").filter("n > 1 or root is not null").select("k", F.coalesce("root", "k").alias("root"), "first")
+    classes = firsts.join(roots.withColumnRenamed("node", "k"), "k", "left").filter("n > 1 or root is not null").select("k", F.coalesce("root", "k").alias("root"), "first", "n")
     classes = scratch.cut(classes, "classes")  # only lines that some other line repeats or resembles
     kept = classes.groupBy("root").agg(F.min("first").alias("kept"))
-    kept = classes.join(kept, "root").select("k", F.col("kept.row_key").alias("kept_row"), F.col("kept.line_no").alias("kept_line"))
-    found = lines.join(kept, "k").filter("row_key <> kept_row or line_no <> kept_line")
+    kept = scratch.cut(classes.join(kept, "root").select("k", "n", F.col("kept.row_key").alias("kept_row"), F.col("kept.line_no").alias("kept_line")), "kept")
+    counts = docs.select("row_key", F.size(F.filter("names", lambda k: k.isNotNull())).alias("n_lines")).filter("n_lines > 0")
+    total = counts.agg(F.sum("n_lines")).first()[0] or 0
+    found = join_counted(lines.select("row_key", "line_no", "k"), kept, "k", "n", total).filter("row_key <> kept_row or line_no <> kept_line")
     gone = found.groupBy("row_key").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))  # a document's own lines
-    return lines.groupBy("row_key").agg(F.count("*").alias("n_lines")).join(gone, "row_key", "left")
+    return counts.join(gone, "row_key", "left")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
@@ -292,30 +338,30 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     null. Blank lines stay. Lines are compared in lower case with white space made one; shorter ones than a shingle are
     equal or not. All columns are kept as they are, whatever their names; `counts` needs the names n_lines and
     n_removed to be free. Repeated rows keep their lines in the first row only. An empty table stays empty.
+
+    The rows, with a key each and their lines' names, are written once; all steps read them from there.
     """
-    key, gone = fresh(docs, "row_key"), fresh(docs, "removed")
+    key, names, gone = fresh(docs, "row_key"), fresh(docs, "names"), fresh(docs, "removed")
     total = "n_lines" if counts else fresh(docs, "n_lines")
-    own = with_row_key(docs, key)
-    found = removed_lines(spark, own.select(F.col(key).alias("row_key"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")))
-    found = found.select(F.col("row_key").alias(key), F.col("removed").alias(gone), F.col("n_lines").alias(total))
-
-    @F.pandas_udf("string")
-    def without(texts, removed):
-        import pandas as pd
-
-        out = []
-        for text, numbers in zip(texts, removed):
-            if numbers is not None and len(numbers):
+    scratch = Scratch(spark, "lines")
+    own = scratch.cut(with_row_key(docs, key).withColumn(names, line_names(F.col(f"`{text_col}`"))), "keyed")
+    plain = own.select(F.col(key).alias("row_key"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(names).alias("names"), F.col(f"`{text_col}`").alias("text"))
+    found = removed_lines(spark, scratch, plain).select(F.col("row_key").alias(key), F.col("removed").alias(gone), F.col("n_lines").alias(total))
+
+    @F.arrow_udf("string")
+    def without(texts: pa.Array, removed: pa.Array) -> pa.Array:
+        out = texts.to_pylist()
+        for i, numbers in enumerate(removed.to_pylist()):
+            if numbers:
                 drop = set(numbers)
-                text = "\n".join(line for i, line in enumerate(text.split("\n")) if i not in drop)
-            out.append(text)
-        return pd.Series(out, dtype=object)
+                out[i] = "\n".join(line for j, line in enumerate(out[i].split("\n")) if j not in drop)
+        return pa.array(out, pa.string())
 
     joined = own.join(found, key, "left").withColumn(text_col, without(F.col(f"`{text_col}`"), F.col(gone)))
-    names = [f"`{c}`" for c in docs.columns]
+    columns = [f"`{c}`" for c in docs.columns]
     if counts:
-        return joined.select(*names, F.coalesce(F.col(total), F.lit(0)).cast("long").alias("n_lines"), F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long").alias("n_removed"))
-    return joined.select(*names)
+        return joined.select(*columns, F.coalesce(F.col(total), F.lit(0)).cast("long").alias("n_lines"), F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long").alias("n_removed"))
+    return joined.select(*columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
