@@ -1,4 +1,4 @@
-"""Token ids of whole texts with a public tokenizer: a batch's distinct pieces are encoded once, together."""
+"""Token ids of whole texts with a public tokenizer: distinct pieces are encoded once, their words remembered."""
 
 from __future__ import annotations
 
@@ -14,8 +14,26 @@ _WHITE = r"\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{
 _FIRST = "\x00"
 #: Bytes of texts whose pieces are made distinct together, and bytes whose ids are put together at once.
 GROUP_BYTES, SLICE_BYTES = 16 << 20, 2 << 20
-#: Pieces that are encoded as one text.
-_JOINED = 2_000
+#: Pieces that are encoded as one text; words that are remembered.
+_JOINED, _WORDS = 2_000, 500_000
+#: Plain pieces are a word and marks, and perhaps a line end and as much again: both tokenizers split them into these parts.
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ",.;:!?"
+_PLAIN = rf"^(?P<first>{_FIRST}?)(?P<word>[{_LETTERS}]+)(?P<marks>[{_MARKS}]*)(?:(?P<end>\n)(?P<next>[{_LETTERS}]+)(?P<more>[{_MARKS}]*))?$"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level tokenizers write bytes with: printable ones stand for themselves, others follow at 256."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+def _runs(pool, start, size):
+    """The runs of a pool one after the other."""
+    import numpy as np
+
+    before = np.cumsum(size) - size
+    return pool[np.repeat(start - before, size) + np.arange(int(size.sum()))]
 
 
 class Encoder:
@@ -24,10 +42,11 @@ class Encoder:
     Two kinds of tokenizers are known, others are an error: byte-level BPE whose pattern keeps a space with the word
     behind it, and BPE with word ends whose pattern drops white space. Neither has a pattern that matches across the
     place before a space that follows a character other than white space, so a text is the sequence of its pieces cut
-    there, each encoded alone. The distinct pieces of some megabytes of texts are encoded together, joined by a mark that is
-    always a token of its own; then each text's ids are gathered. Pieces in which the mark could join its neighbours are
-    encoded alone, and texts with white space before a space as a whole where the tokenizer keeps white space. The
-    strings of special tokens are ordinary text.
+    there, each encoded alone. The distinct pieces of some megabytes of texts are encoded once, then each text's ids are
+    gathered. Plain pieces are looked up by word; words that are not remembered go through the tokenizer's model, and at
+    most _WORDS are, a full memory is emptied. Other pieces are encoded together, joined by a mark that is always a token
+    of its own; pieces in which the mark could join its neighbours are encoded alone, and texts with white space before
+    a space as a whole where the tokenizer keeps white space. The strings of special tokens are ordinary text.
     """
 
     def __init__(self, path: str):
@@ -47,6 +66,44 @@ class Encoder:
         else:
             self.mark, self.whole, self.alone = " \x01 ", rf"{_FIRST}.*{_FIRST}", rf"[\x01{_WHITE}]|^{_FIRST}?$"
         (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
+        self.model, self.letters, self.keeps_space = self.tokenizer.model, _byte_letters(), keeps_space
+        self._forget()
+
+    def _forget(self) -> None:
+        import numpy as np
+
+        self.known, self.ids, self.start, self.size = {}, np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _numbers(self, words: list[str]):
+        """The words' numbers among the remembered ones; those that are new are encoded."""
+        import numpy as np
+
+        if len(self.known) > _WORDS:
+            self._forget()
+        known, model, letters = self.known, self.model, self.letters
+        new = [w for w in words if w not in known]
+        if new:
+            found = [[t.id for t in model.tokenize(w.encode().decode("latin-1").translate(letters))] if w else [] for w in new]
+            known.update(zip(new, range(len(known), len(known) + len(new))))
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            self.start = np.r_[self.start, len(self.ids) + np.cumsum(size) - size]
+            self.size = np.r_[self.size, size]
+            self.ids = np.r_[self.ids, np.fromiter((i for x in found for i in x), np.uint32, int(size.sum()))]
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+    def _plain(self, parts: pa.StructArray):
+        """The ids of plain pieces one after the other, and how many each has."""
+        import numpy as np
+
+        first, word, marks, end, after, more = parts.flatten()
+        if self.keeps_space:
+            word = pc.if_else(pc.equal(first, ""), pc.binary_join_element_wise(pa.scalar(" ", word.type), word, pa.scalar("", word.type)), word)
+        else:
+            word, after, end = pc.utf8_lower(word), pc.utf8_lower(after), pc.replace_substring(end, "\n", "")
+        slots = pa.concat_arrays([pc.fill_null(x, "") for x in (word, marks, end, after, more)]).dictionary_encode()
+        at = self._numbers(slots.dictionary.to_pylist())[slots.indices.to_numpy()].reshape(5, -1).T.ravel()
+        size = self.size[at]
+        return _runs(self.ids, self.start[at], size), size.reshape(-1, 5).sum(axis=1)
 
     def _whole(self, texts: list[str]) -> list:
         import numpy as np
@@ -87,10 +144,8 @@ class Encoder:
             total = np.cumsum(size[index[first : first + (SLICE_BYTES >> 2)]])
             stop = max(at + 1, int(np.searchsorted(ends, first + len(total), side="right")))
             own = index[first : int(ends[stop - 1])]
-            n = size[own]
-            before = np.cumsum(n) - n
-            ids = pool[np.repeat(start[own] - before, n) + np.arange(int(n.sum()))]
-            cuts = np.append(before, len(ids))[np.r_[0, ends[at:stop] - first]].tolist()
+            ids = _runs(pool, start[own], size[own])
+            cuts = np.r_[0, np.cumsum(size[own])][np.r_[0, ends[at:stop] - first]].tolist()
             for row, a, b in zip(rows[at:stop].tolist(), cuts, cuts[1:]):
                 out[row] = ids[a:b].tobytes()
             at = stop
@@ -100,22 +155,29 @@ class Encoder:
         """The ids of some pieces one after the other, and where each piece's begin and how many they are."""
         import numpy as np
 
-        alone = pc.match_substring_regex(pieces, self.alone).to_numpy(zero_copy_only=False)
-        full = [p[1:] if p[:1] == _FIRST else " " + p for p in pieces.to_pylist()]
-        together = np.flatnonzero(~alone).tolist()
+        parts = pc.extract_regex(pieces, _PLAIN)
+        plain = parts.is_valid().to_numpy(zero_copy_only=False)
+        start, size = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        pool, size[plain] = self._plain(parts.filter(pa.array(plain)))
+        pools, at = [pool], len(pool)
+        start[plain] = np.cumsum(size[plain]) - size[plain]
+        # The others, together where that is safe.
+        rest = np.flatnonzero(~plain)
+        others = pieces.take(pa.array(rest))
+        alone = pc.match_substring_regex(others, self.alone).to_numpy(zero_copy_only=False)
+        full = [p[1:] if p[:1] == _FIRST else " " + p for p in others.to_pylist()]
+        together, single = np.flatnonzero(~alone).tolist(), np.flatnonzero(alone).tolist()
         joined = [self.mark.join([full[i] for i in together[k : k + _JOINED]]) + self.mark for k in range(0, len(together), _JOINED)]
         pool = np.concatenate([np.zeros(0, np.uint32), *self._whole(joined)])
         marks = np.flatnonzero(pool == self.mark_id)
         if len(marks) != len(together):
             raise ValueError("a piece holds the mark between pieces")
-        start, size = np.zeros(len(full), np.int64), np.zeros(len(full), np.int64)
-        start[together] = np.r_[0, marks[:-1] + 1] if len(marks) else []
-        size[together] = marks - start[together]
-        rest = np.flatnonzero(alone).tolist()
-        found = self._whole([full[i] for i in rest])
-        size[rest] = [len(x) for x in found]
-        start[rest] = len(pool) + np.cumsum(size[rest]) - size[rest]
-        return np.concatenate([pool, *found]), start, size
+        first = np.r_[0, marks[:-1] + 1] if len(marks) else np.zeros(0, np.int64)
+        start[rest[together]], size[rest[together]] = at + first, marks - first
+        found = self._whole([full[i] for i in single])
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        start[rest[single]], size[rest[single]] = at + len(pool) + np.cumsum(n) - n, n
+        return np.concatenate([*pools, pool, *found]), start, size
 
 
 _OPEN: dict[str, Encoder] = {}
