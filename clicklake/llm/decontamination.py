@@ -6,16 +6,17 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain, repeat
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import Scratch, fresh, read_table
 
 #: Words a passage, and from one passage of a document to the next.
 PASSAGE, STEP = 40, 20
-#: Dimensions of the latent space, and those over them that the sketch has and keeps; power iterations; seed of the sketch.
+#: Dimensions of the latent space, and those over them that the iteration carries; power iterations; seed of the sketch.
 RANK, OVERSAMPLING, POWER, SEED = 256, 16, 1, 42
 #: Cosine from which on a passage is a candidate for an item.
 COSINE = 0.4
@@ -28,6 +29,8 @@ SHARED = 4
 _PRODUCT = 1 << 22
 #: Items searched for at once: they and their words, of fixed size, are what every task holds.
 BLOCK_ITEMS = 2_000
+#: Bytes of texts that are turned into numbers at once.
+_GROUP_BYTES = 16 << 20
 
 _WORDS = re.compile(r"\w+").findall
 _SENTENCE = re.compile(r"[.!?:\n]+\s*")
@@ -82,35 +85,56 @@ class Items:
         return cls(ids, words, answers, terms)
 
 
-def numbers_of(terms: dict[str, int], text: str | None) -> bytes:
-    """The terms' numbers of a text's words, -1 for words outside the vocabulary, as packed integers."""
+def numbers_of(terms: dict[str, int], texts: pa.Array) -> Iterator[bytes]:
+    """Per text the numbers of its words as packed integers: the terms', and -1 for words outside the vocabulary.
+
+    The pieces between spaces are looked up once for some megabytes of texts, then gathered.
+    """
     import numpy as np
 
-    words = words_of(text)
-    return np.fromiter(map(terms.get, words, repeat(-1)), width_of(len(terms)), len(words)).tobytes()
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _GROUP_BYTES, side="right")))
+        cut = pc.split_pattern(texts.slice(at, stop - at), " ")
+        pieces = pc.list_flatten(cut).dictionary_encode()
+        found = [_WORDS(p) for p in pc.utf8_lower(pieces.dictionary).to_pylist()]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        pool = np.fromiter(map(terms.get, chain.from_iterable(found), repeat(-1)), "<i4", int(size.sum()))
+        start, index = np.cumsum(size) - size, pieces.indices.to_numpy()
+        first = 0
+        for last in np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False)).tolist():
+            own = index[first:last]
+            k = size[own]
+            before = np.cumsum(k) - k
+            yield pool[np.repeat(start[own] - before, k) + np.arange(int(k.sum()))].tobytes()
+            first = last
+        at = stop
+
 
+def passages_of(packed: list[bytes], n_terms: int):
+    """In how many passages of some texts each term occurs, and the number of passages."""
+    import numpy as np
 
-def width_of(n_terms: int) -> str:
-    return "<i2" if n_terms < 1 << 15 else "<i4"
+    words, size, _ = _joined(packed)
+    windows = np.array([n_windows(n) for n in size.tolist()], np.int64)
+    at = np.flatnonzero(words >= 0)
+    text = np.repeat(np.arange(len(size)), size)[at]
+    # A word is in the passage that begins at the step before it, and in the one before that.
+    late, term = (at - (np.cumsum(size) - size)[text]) // STEP, words[at].astype(np.int64)
+    begin = (np.cumsum(windows) - windows)[text]
+    keys = [(begin[ok] + p[ok]) * n_terms + term[ok] for p, ok in ((late, late < windows[text]), (late - 1, late > 0))]
+    return np.bincount(np.unique(np.concatenate(keys)) % n_terms, minlength=n_terms), int(windows.sum())
 
 
-def passages_of(packed: list[bytes], n_terms: int):
-    """The passages of some texts as entries (passage, term, count), sorted; passages by text; and their number."""
+def _joined(packed: list[bytes]):
+    """The words of some texts one after the other, how many each has, and its steps (runs of STEP words)."""
     import numpy as np
 
-    keys, windows, total = [], [], 0
-    for text in packed:
-        got = np.frombuffer(text, width_of(n_terms))
-        own = n_windows(len(got))
-        at = np.flatnonzero(got >= 0)
-        if len(at):
-            # A word is in the passage that begins at the step before it, and in the one before that.
-            late, term = at // STEP, got[at].astype(np.int64)
-            keys += [(total + p[ok]) * n_terms + term[ok] for p, ok in ((late, late < own), (late - 1, late > 0))]
-        windows.append(own)
-        total += own
-    key, count = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    return key // n_terms, key % n_terms, count, np.asarray(windows, np.int64), total
+    words = np.frombuffer(b"".join(packed), "<i4")
+    size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+    return words, size, -(-size // STEP)
 
 
 def n_windows(n_words: int) -> int:
@@ -118,109 +142,156 @@ def n_windows(n_words: int) -> int:
     return 0 if n_words == 0 else 1 + max(0, -(-(n_words - PASSAGE) // STEP))
 
 
-def _sums(weights, matrix, rows, groups, n: int):
-    """Sums of weights * matrix[rows] by sorted group numbers, as n rows.
+def _sums(matrix, rows, groups, n: int):
+    """Sums of matrix[rows] by sorted group numbers, as n rows.
 
-    Small groups are added entry by entry, all groups' first entries, then all second ones; large ones are products.
+    Groups are cut into runs of at most 64 rows. All runs' first rows are added, then all second ones, the longest runs first,
+    and the sums of the runs are summed in turn.
     """
     import numpy as np
 
-    out = np.zeros((n, matrix.shape[1]), np.float32)
+    out = np.zeros((n, matrix.shape[1]), matrix.dtype)
     if not len(groups):
         return out
     first = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
-    size = np.diff(np.r_[first, len(groups)])
-    for a, k in zip(first[size > 48].tolist(), size[size > 48].tolist()):
-        out[groups[a]] = weights[a : a + k] @ matrix[rows[a : a + k]]
-    first, size = first[size <= 48], size[size <= 48]
-    for j in range(int(size.max(initial=0))):
-        at = first[size > j] + j
-        out[groups[at]] += weights[at][:, None] * matrix[rows[at]]
-    return out
+    place = np.arange(len(groups)) - np.repeat(first, np.diff(np.r_[first, len(groups)]))
+    start = np.flatnonzero(place % 64 == 0)
+    size = np.diff(np.r_[start, len(groups)])
+    order = np.argsort(-size, kind="stable")
+    ordered, down = start[order], -size[order]
+    runs = np.zeros((len(start), matrix.shape[1]), matrix.dtype)
+    for j in range(-int(down[0])):
+        k = int(np.searchsorted(down, -j))  # the runs of more than j rows
+        runs[:k] += matrix[rows[ordered[:k] + j]]
+    if len(start) == len(first):
+        out[groups[ordered]] = runs
+        return out
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    return _sums(runs, back, groups[start], n)
 
 
-def _weights(passage, term, count, idf, total: int):
-    """TF-IDF weights of the entries, each passage's of length 1."""
-    import numpy as np
+class Rows:
+    """The rows of A, TF-IDF passages by terms, of some texts: what products with A and A' need.
 
-    w = (count * idf[term]).astype(np.float32)
-    norm = np.sqrt(np.bincount(passage, w.astype(float) ** 2, total))
-    return w / np.maximum(norm[passage], 1e-12).astype(np.float32)
+    A passage is two steps of words that follow each other, so products go over steps: a word counts once, not for each passage.
+    """
 
+    def __init__(self, packed: list[bytes], idf):
+        import numpy as np
 
-def encode(docs: DataFrame, terms: dict[str, int], columns: list[str], text_col: str) -> DataFrame:
-    """The columns and `numbers`, the texts' words as numbers of the vocabulary: all that the search needs of a text."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*columns).schema) if columns else ""
+        words, size, self.steps = _joined(packed)
+        self.at = np.flatnonzero(words >= 0)
+        self.term, self.idf = words[self.at], idf
+        base = np.cumsum(self.steps) - self.steps
+        text = np.repeat(np.arange(len(size)), size)[self.at]
+        self.step = base[text] + (self.at - (np.cumsum(size) - size)[text]) // STEP
+        self.windows = np.where(self.steps > 0, np.maximum(1, self.steps - 1), 0)
+        # The steps in which passages begin, and whether another one follows in it.
+        self.begin = np.flatnonzero(np.ones(int(self.steps.sum()), bool))
+        last = np.zeros(len(self.begin), bool)
+        last[np.cumsum(self.steps)[self.steps > 1] - 1] = True
+        self.begin = self.begin[~last]
+        self.two = np.repeat(self.steps > 1, self.windows)
+
+    def times(self, matrix):
+        """A times a matrix of terms by dimensions, a row a passage."""
+        import numpy as np
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed = [numbers_of(terms, t) for t in batch.column(len(columns)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(packed, pa.binary())], names=[*columns, "numbers"])
+        sums = _sums(matrix * self.idf[:, None].astype(matrix.dtype), self.term, self.step, int(self.steps.sum()))
+        out = sums[self.begin]
+        out[self.two] += sums[self.begin[self.two] + 1]
+        return out
+
+    def back(self, passages):
+        """A' times a matrix of passages by dimensions, a row a term."""
+        import numpy as np
 
-    return docs.select(*columns, F.col(f"`{text_col}`").alias("text")).mapInArrow(run, schema + "numbers binary")
+        steps = np.zeros((int(self.steps.sum()), passages.shape[1]), passages.dtype)
+        steps[self.begin] += passages
+        steps[self.begin[self.two] + 1] += passages[self.two]
+        order = np.argsort(self.term, kind="stable")
+        return _sums(steps, self.step[order], self.term[order], len(self.idf)) * self.idf[:, None].astype(passages.dtype)
 
 
-def _document_frequencies(texts: DataFrame, items: Items):
-    """In how many passages of all texts each term occurs, and the number of passages."""
-    import numpy as np
+def with_numbers(docs: DataFrame, name: str, terms: dict[str, int], text_col: str) -> DataFrame:
+    """`docs` with the texts' words as numbers: all that the search needs of a text."""
+
+    @F.arrow_udf("binary")
+    def numbers(texts: pa.Array) -> pa.Array:
+        return pa.array(numbers_of(terms, texts), pa.binary())
+
+    return docs.withColumn(name, numbers(F.col(f"`{text_col}`").cast("string")))
 
-    n = len(items.terms)
+
+def _inverse_frequencies(texts: DataFrame, n_terms: int):
+    """Smoothed idf of the terms over the passages of all texts, the root of passages by a term's passages; null without passages.
+
+    With the root, every term has about the same share of the matrix, so the leading singular vectors are words that occur
+    together, as an item's do in its copies. By the logarithm the frequent words had nearly all of it, and most passages
+    of one language looked alike.
+    """
+    import numpy as np
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, passages = np.zeros(n, np.int64), 0
+        df, passages = np.zeros(n_terms, np.int64), 0
         for batch in batches:
             packed = batch.column(0).to_pylist()
             for i in range(0, len(packed), 512):
-                _, term, _, _, total = passages_of(packed[i : i + 512], n)
-                df += np.bincount(term, minlength=n)
-                passages += total
+                found, total = passages_of(packed[i : i + 512], n_terms)
+                df, passages = df + found, passages + total
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[some, -1].astype(np.int32)), pa.array(np.r_[df[some], passages])], names=["term", "n"])
 
     rows = texts.mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row a term of the block
     found = {r["term"]: r["n"] for r in rows}
-    return np.array([found.get(i, 0) for i in range(n)], float), found.get(-1, 0)
+    n = found.pop(-1, 0)
+    # Positive for every word at every size: an item in a hot group of copies keeps the weight of its words.
+    return np.sqrt((1 + n) / (1 + np.array([found.get(i, 0) for i in range(n_terms)], float))) if n else None
 
 
-def _right_vectors(texts: DataFrame, items: Items, idf):
-    """An orthonormal basis (terms x RANK + OVERSAMPLING) of the leading right singular vectors of A, the TF-IDF passages by terms.
+def _right_vectors(texts: DataFrame, n_terms: int, idf):
+    """The leading right singular vectors (terms x RANK at most) of A, all passages' TF-IDF by terms, and their singular values.
 
-    Randomised SVD with power iterations: tasks add up their share of A'(A S), S Gaussian, the shares are summed by term
-    in Spark, and the sum is orthonormalised; POWER more passes begin with what the one before gave. The dimensions of
-    the oversampling stay. Only terms x (RANK + OVERSAMPLING) numbers reach the driver.
+    Randomised SVD: a Gaussian sketch S of RANK + OVERSAMPLING columns, Q from the QR of A'(A S), and POWER times more Q
+    from that of A'(A Q). With the last product, T = Q'(A'A Q) is the square of B = A Q; its eigenvectors turn Q into the
+    singular vectors, its eigenvalues are the squared singular values, of which the RANK largest stay. Tasks add up their
+    share of A'(A Q), the shares are summed by term in Spark; terms x (RANK + OVERSAMPLING) numbers reach the driver.
     """
     import numpy as np
 
-    n = len(items.terms)
-    rank = min(RANK + OVERSAMPLING, n)
-    basis = np.random.default_rng(SEED).standard_normal((n, rank)).astype(np.float32)
+    rank = min(RANK + OVERSAMPLING, n_terms)
+    basis = np.random.default_rng(SEED).standard_normal((n_terms, rank)).astype(np.float32)
+    product = _products(texts, idf, basis)
     for _ in range(1 + POWER):
-        q, scale = np.linalg.qr(_products(texts, n, idf, basis))
+        basis, scale = np.linalg.qr(product)
         length = np.abs(np.diag(scale))
-        basis = q[:, length > 1e-9 * max(1e-30, length.max(initial=0))].astype(np.float32)
-    return basis
+        basis = basis[:, length > 1e-9 * max(1e-30, length.max(initial=0))].astype(np.float32)
+        product = _products(texts, idf, basis)
+    small = basis.T.astype(float) @ product
+    values, turn = np.linalg.eigh((small + small.T) / 2)
+    lead = np.argsort(-values)[:RANK]
+    return (basis @ turn[:, lead]).astype(np.float32), np.sqrt(np.maximum(values[lead], 0))
 
 
-def _products(texts: DataFrame, n: int, idf, sketch):
+def _products(texts: DataFrame, idf, sketch):
     """A'(A S) for a sketch S (terms x dimensions)."""
     import numpy as np
 
     rank = sketch.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = np.zeros((n, rank), np.float64)
+        z = np.zeros((len(idf), rank), np.float64)
         for batch in batches:
             packed = batch.column(0).to_pylist()
-            for i in range(0, len(packed), 512):
-                passage, term, count, _, total = passages_of(packed[i : i + 512], n)
-                w = _weights(passage, term, count, idf, total)
-                y = _sums(w, sketch, term, passage, total)
-                order = np.argsort(term, kind="stable")
-                z += _sums(w[order], y, passage[order], term[order], n)
+            for i in range(0, len(packed), 256):
+                rows = Rows(packed[i : i + 256], idf)
+                z += rows.back(rows.times(sketch))
         some = np.flatnonzero(z.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(list(z[some]), pa.list_(pa.float64()))], names=["term", "z"])
+        values = pa.FixedSizeListArray.from_arrays(pa.array(z[some].ravel()), rank).cast(pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), values], names=["term", "z"])
 
-    z = np.zeros((n, rank))
+    z = np.zeros((len(idf), rank))
     if rank:
         sums = texts.mapInArrow(run, "term int, z array<double>").groupBy("term").agg(F.array(*(F.sum(F.col("z")[j]) for j in range(rank))).alias("z"))
         for r in sums.collect():
@@ -228,6 +299,13 @@ def _products(texts: DataFrame, n: int, idf, sketch):
     return z
 
 
+def _among(words, own):
+    """Which of some words' numbers are among an item's, which are sorted."""
+    import numpy as np
+
+    return own[np.minimum(np.searchsorted(own, words), len(own) - 1)] == words
+
+
 @dataclass
 class Search:
     """What tasks need to look for a block of items in texts."""
@@ -235,6 +313,7 @@ class Search:
     items: Items
     idf: object
     basis: object
+    values: object = None  # the singular values
 
     def __post_init__(self):
         import numpy as np
@@ -253,10 +332,7 @@ class Search:
         self.queries = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
         self.bits = [bits_of(own.tolist()) for own in numbers]
         self.answer_bits = [bits_of(list(map(number, a))) for a in self.items.answers]
-        # Which terms an item has; the last column is for words outside the vocabulary, numbered -1.
-        self.has = np.zeros((len(words), n + 1), bool)
-        for i, own in enumerate(numbers):
-            self.has[i, own] = True
+        self.own = [np.unique(own) for own in numbers]
         # How many of its words a leak of the item has at least; how many of its rarest ones; and by classes of size,
         # each term's items that have it among their rarest words: (stride, start by term, items, occurrences).
         self.least = [math.ceil(PARAPHRASE * len(w) - 1e-9) for w in words]
@@ -297,16 +373,16 @@ class Search:
         import numpy as np
 
         n, m = len(self.items.terms), len(self.items.words)
-        texts = [np.frombuffer(t, width_of(n)) for t in packed]
+        texts = [np.frombuffer(t, "<i4") for t in packed]
         size = np.array([len(t) for t in texts], np.int64)
-        words = np.concatenate(texts).astype(np.int64)
+        words = np.concatenate(texts)
         place = np.arange(len(words)) - np.repeat(np.cumsum(size) - size, size)
         for stride, start, items, occurrences in self.postings:
             pieces = -(-size // stride)
             first = np.cumsum(pieces) - pieces
-            length = np.append(np.diff(start), 0)
-            at = np.flatnonzero(length.take(words, mode="wrap") * (words >= 0))
-            piece, term = np.repeat(first, size)[at] + place[at] // stride, words[at]
+            length = np.append(np.diff(start), 0)  # the last one is for words outside the vocabulary
+            at = np.flatnonzero(length[words])
+            piece, term = np.repeat(first, size)[at] + place[at] // stride, words[at].astype(np.int64)
             back = place[at] >= stride
             key = np.unique(np.r_[piece * n + term, (piece[back] - 1) * n + term[back]])
             if not len(key):
@@ -319,7 +395,7 @@ class Search:
             row = np.searchsorted(np.cumsum(pieces), pairs // m, side="right")
             for i, p, j in zip(row.tolist(), (pairs // m - first[row]).tolist(), (pairs % m).tolist()):
                 own, base = len(self.items.words[j]), p * stride
-                inside = np.cumsum(np.r_[0, self.has[j].take(texts[i][base : base + 2 * stride], mode="wrap")])
+                inside = np.cumsum(np.r_[0, _among(texts[i][base : base + 2 * stride], self.own[j])])
                 if inside[-1] < self.least[j]:
                     continue
                 # The passages whose regions begin in the piece's first half.
@@ -332,26 +408,27 @@ class Search:
         import numpy as np
 
         n, m = len(self.items.terms), len(self.items.words)
-        passage, term, count, windows, total = passages_of(packed, n)
         out: list[list[tuple]] = [[] for _ in packed]
-        if not len(passage) or not self.basis.shape[1]:
+        rows = Rows(packed, self.idf)
+        windows = rows.windows
+        if not windows.any() or not self.basis.shape[1]:
             return out
-        latent = _sums(_weights(passage, term, count, self.idf, total), self.basis, term, passage, total)
+        latent = rows.times(self.basis)
         latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
         begin = np.cumsum(windows) - windows
         found = [at * m + item for at, item in self._near(latent)]
         found.append(np.array([(begin[i] + x) * m + j for i, x, j in self._sharing(packed)], np.int64))
         found = np.unique(np.concatenate(found))
         at, item = found // m, found % m
-        rows = np.searchsorted(begin + windows, at, side="right")
+        texts = np.searchsorted(begin + windows, at, side="right")
         best: dict[tuple[int, int], tuple] = {}
         last, words = -1, []
-        for row, passage, number, j in zip(rows.tolist(), at.tolist(), (at - begin[rows]).tolist(), item.tolist()):
+        for row, passage, number, j in zip(texts.tolist(), at.tolist(), (at - begin[texts]).tolist(), item.tolist()):
             if row != last:
-                last, words = row, np.frombuffer(packed[row], width_of(n))
+                last, words = row, np.frombuffer(packed[row], "<i4")
             size = len(self.items.words[j])
             region = words[max(0, number * STEP - size) : number * STEP + PASSAGE + size]
-            region = region[self.has[j].take(region, mode="wrap")]
+            region = region[_among(region, self.own[j])]
             if len(region) < self.least[j]:
                 continue  # a subsequence is no longer than the words in common
             region = region.tolist()
@@ -370,48 +447,50 @@ class Search:
         return out
 
 
-def searches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, columns: list[str], text_col: str = "text") -> Iterator[tuple[Search, DataFrame]]:
-    """For each block of at most BLOCK_ITEMS benchmark items a prepared search, and the texts (with `columns`) as numbers.
+def blocks_of(benchmark: DataFrame) -> Iterator[Items]:
+    """Blocks of at most BLOCK_ITEMS benchmark items in the order of their ids: a larger benchmark makes more, not larger ones."""
+    every = benchmark.filter("item_id is not null and text is not null").select("item_id", "text").orderBy("item_id", "text").toLocalIterator()
+    while block := [(r["item_id"], r["text"]) for _, r in zip(range(BLOCK_ITEMS), every)]:
+        items = Items.of(block)
+        if items.ids:
+            yield items
+
 
-    Items are read in the order of their ids, a block at a time, so a larger benchmark makes more passes, not larger ones.
-    The texts of a block are read once, whole; the frequencies, the sketch and the search all go over the written numbers.
+def prepare(texts: DataFrame, items: Items) -> Search | None:
+    """The search for a block of items in texts (numbers), null if there is nothing to search in.
+
+    Frequencies and SVD go over all passages of all texts.
     """
     import numpy as np
 
-    scratch = Scratch(spark, "leaks")
-    rows = benchmark.filter("item_id is not null and text is not null").select("item_id", "text").orderBy("item_id", "text")
-    every = rows.toLocalIterator()
-    while True:
-        block = [(r["item_id"], r["text"]) for _, r in zip(range(BLOCK_ITEMS), every)]
-        items = Items.of(block)
-        if items.ids:
-            encoded = scratch.cut(encode(docs, items.terms, columns, text_col), "numbers")
-            numbers = encoded.select("numbers")
-            df, n = _document_frequencies(numbers, items)
-            if n:
-                # Positive for every word at every size: an item in a hot group of copies keeps the weight of its words.
-                idf = np.log((1 + n) / (1 + df)) + 1
-                yield Search(items, idf, _right_vectors(numbers, items, idf)), encoded
-        if len(block) < BLOCK_ITEMS:
-            return
+    n = len(items.terms)
+    idf = _inverse_frequencies(texts, n)
+    if idf is None:
+        return None
+    basis, values = _right_vectors(texts, n, idf)
+    return Search(items, idf, basis, values)
 
 
 def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document row and benchmark item that it holds: doc_id, item_id, cosine, lcs, first_word.
 
-    Passages are windows of 40 words, 20 apart, of whole texts, weighted by TF-IDF over the benchmark's words (others
-    weigh nothing in any item). Passages and items, long ones by passages of their own, are compared in the space of a
-    randomised SVD of all passages; pairs at a cosine of COSINE or more are candidates. So is every other pair with
-    enough words in common for a leak, so that the rows are those of comparing all passages with all items. A candidate is a leak if the longest common subsequence of the item's
-    words and of the passage with as much again on both sides has LEAK of the item, or PARAPHRASE of it and
-    ANSWER of the item's answer, its last sentence.
+    Passages are windows of 40 words, 20 apart, of whole texts, weighted by TF-IDF in the benchmark's vocabulary, outside
+    of which all items are zero. Passages and items, long ones by passages of their own, are compared in the space of a randomised SVD; pairs at a cosine of COSINE
+    or more are candidates. So is every other pair with enough words in common for a leak (items of common words, and
+    passages that hold little of a short item), so that the rows are those of comparing all passages with all items. A
+    candidate is a leak if the longest common subsequence of the item's words and of the passage with as much again on
+    both sides has LEAK of the item, or PARAPHRASE of it and ANSWER of the item's answer, its last sentence.
 
     Null and empty texts and items hold and match nothing; null item ids are ignored; repeated rows and items give rows
     of their own each; empty tables give no rows. Texts do not move between tasks. Other columns are not read.
     """
-    out = None
+    out, scratch = None, Scratch(spark, "leaks")
     named = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    for search, encoded in searches(spark, named, benchmark, ["doc_id"]):
+    for items in blocks_of(benchmark):
+        encoded = scratch.cut(with_numbers(named, "numbers", items.terms, "text").drop("text"), "numbers")
+        search = prepare(encoded.select("numbers"), items)
+        if search is None:
+            continue
         shared = spark.sparkContext.broadcast(search)  # of the size of one block of items
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -427,20 +506,25 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_co
 
 
 def keep_unleaked(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that hold no benchmark item, all columns as they are."""
-    out = docs
-    for search, _ in searches(spark, docs, benchmark, [], text_col):
-        shared, flag = spark.sparkContext.broadcast(search), fresh(docs, "is_leak")
+    """The rows of `docs` that hold no benchmark item, all columns as they are. They are written with their words' numbers once a block."""
+    out, scratch, name = docs, Scratch(spark, "unleaked"), fresh(docs, "numbers")
+    for items in blocks_of(benchmark):
+        encoded = scratch.cut(with_numbers(out, name, items.terms, text_col), "numbers")
+        search = prepare(encoded.select(F.col(name).alias("numbers")), items)
+        if search is None:
+            continue
+        out = encoded.filter(~_is_leak(spark.sparkContext.broadcast(search))(F.col(name))).drop(name)
+    return out
 
-        @F.pandas_udf("boolean")
-        def leaks(texts, shared=shared):
-            import pandas as pd
 
-            terms = shared.value.items.terms
-            return pd.Series([bool(h) for h in shared.value.hits([numbers_of(terms, t) for t in texts])], dtype=bool)
+def _is_leak(shared):
+    """A function that tells of texts as numbers whether they hold an item of a search."""
 
-        out = out.withColumn(flag, leaks(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))).filter(~F.col(flag)).drop(flag)
-    return out
+    @F.arrow_udf("boolean")
+    def leaks(numbers: pa.Array) -> pa.Array:
+        return pa.array([bool(h) for h in shared.value.hits(numbers.to_pylist())], pa.bool_())
+
+    return leaks
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

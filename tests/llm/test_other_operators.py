@@ -143,6 +143,42 @@ def test_licence_windows_meet_copies_and_near_copies(spark, odd, empty):
         licenses.scan_licenses(spark, df, {"short": "four words are few"})
 
 
+def test_licence_versions_are_told_apart(spark):
+    names = list(licenses.TEMPLATES)
+    df = spark.createDataFrame([(i, f"before {licenses.TEMPLATES[n]} behind") for i, n in enumerate(names)], "doc_id long, text string")
+    got = {r["doc_id"]: [x["name"] for x in r["licenses"]] for r in licenses.scan_licenses(spark, df).collect()}
+    assert {n: got[i] for i, n in enumerate(names) if got[i] != [n]} == {"Apache-2.0-header": ["Apache-2.0", "Apache-2.0-header"]}
+
+
+def test_licence_near_copies_are_found_through_windows(spark):
+    """Templates of whole windows with words changed, so that a containment of 0.8 to 1 is left: all have to be met."""
+    import random
+
+    draw, rows = random.Random(4), []
+    for name, text in licenses.TEMPLATES.items():
+        parts, own = set(licenses.shingle_texts(text)), licenses.own_shingles(licenses.TEMPLATES)[name]
+        if len(licenses.shingle_texts(text)) < licenses.WINDOW + licenses.STRIDE:
+            continue
+        for _ in range(25):
+            words = text.split()
+            for _ in range(draw.randrange(4)):
+                words[draw.randrange(len(words))] = f"word{draw.randrange(100)}"
+            near = f"some {draw.random()} words {' '.join(words)} and more of them"
+            left = set(licenses.shingle_texts(near))
+            if len(parts & left) >= 0.8 * len(parts) and all(len(left & set(o)) >= 0.5 * len(o) for o in own):
+                rows.append((len(rows), near, name))
+    df = spark.createDataFrame(rows, "doc_id long, text string, name string")
+    got = {r["doc_id"]: [x["name"] for x in r["licenses"]] for r in licenses.scan_licenses(spark, df.select("doc_id", "text")).collect()}
+    assert len(rows) > 100
+    assert sum(name in got[i] for i, _, name in rows) >= 0.99 * len(rows)
+
+
+def test_licences_of_a_long_text_can_be_filtered(spark):
+    text = " ".join(f"w{i % 977}" for i in range(30_000)) + " " + licenses.TEMPLATES["MIT-text"]
+    df = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    assert [r["doc_id"] for r in licenses.scan_licenses(spark, df).filter("n_licenses > 0").collect()] == [1]
+
+
 # Toxicity
 
 def labelled(n=400):
