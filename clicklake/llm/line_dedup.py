@@ -5,17 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .common import Scratch, connected_components, fresh, join_counted, read_table, with_row_key
+from .buckets import distinct, similar_components
+from .common import Scratch, fresh, join_counted, read_table, with_row_key
 
 #: Characters a shingle, bands and rows a band: a pair of similarity 0.8 meets with a chance of 1 - (1 - 0.8^4)^14 > 0.999.
 SHINGLE, BANDS, ROWS = 8, 14, 4
 #: Jaccard similarity of two lines' sets of shingles from which on they are linked.
 SIMILARITY = 0.8
-#: Lines of one bucket up to which all its pairs are compared; larger ones begin with LEADERS stars and go on in blocks.
-DIRECT, LEADERS, BLOCK_LINES = 48, 4, 512
+#: Lines of one bucket up to which all its pairs are compared; larger ones begin with stars and go on in blocks.
+DIRECT, BLOCK_LINES = 48, 512
 _BLOCK = 1 << 20
 
 
@@ -119,27 +120,12 @@ def band_keys(signature):
     return out.view(np.int64)
 
 
-def distinct(hashes):
-    """The different values of an array, sorted."""
+def line_sets(lines: list[str]) -> list:
+    """The sets of shingle hashes of some lines, sorted."""
     import numpy as np
 
-    out = np.sort(hashes)
-    first = np.empty(len(out), bool)
-    first[:1] = True
-    np.not_equal(out[1:], out[:-1], out=first[1:])
-    return out[first]
-
-
-def similar(a, b) -> bool:
-    """Whether the Jaccard similarity of two sorted arrays of distinct hashes reaches SIMILARITY."""
-    import numpy as np
-
-    if min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)):
-        return False
-    both = np.concatenate((a, b))
-    both.sort(kind="stable")  # merges the two runs
-    common = int(np.count_nonzero(both[1:] == both[:-1]))
-    return common >= SIMILARITY * (len(both) - common)
+    hashes, counts = batch_hashes(lines)
+    return [distinct(x) for x in np.split(hashes, np.cumsum(counts)[:-1])]
 
 
 #: White space other than single spaces and line ends: only a text that has some needs its lines put together anew.
@@ -196,125 +182,31 @@ def _band_rows(docs: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    """(k, line): per distinct line of a task its name and itself."""
+    """(k, content): per distinct line of a task its name and itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for names, lines in _distinct_lines(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(lines, pa.string())], names=["k", "line"])
-
-    return docs.select("names", "text").mapInArrow(run, "k long, line string")
-
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(lines, pa.string())], names=["k", "content"])
 
-def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, similar): the pairs of line names with whether their exact Jaccard similarity reaches SIMILARITY."""
-    both = pairs.join(texts.select(F.col("k").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("k").alias("b"), F.col("line").alias("line_b")), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        for batch in batches:
-            out, columns = [], [batch.column(i).to_pylist() for i in (1, 2, 3)]
-            for at in range(0, len(columns[0]), 256):
-                names, lines_a, lines_b = (c[at : at + 256] for c in columns)
-                new = [i for i, name in enumerate(names) if i == 0 or name != names[i - 1]]  # runs of one b come together
-                hashes, counts = batch_hashes([lines_b[i] for i in new])
-                right = dict(zip(new, map(distinct, np.split(hashes, np.cumsum(counts)[:-1]))))
-                hashes, counts = batch_hashes(lines_a)
-                for i, own in enumerate(np.split(hashes, np.cumsum(counts)[:-1])):
-                    last = right.get(i, last) if i else right[0]
-                    out.append(similar(distinct(own), last))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.bool_())], names=["a", "b", "similar"])
-
-    return both.select("a", "b", "line_a", "line_b").mapInArrow(run, "a long, b long, similar boolean")
-
-
-def block_links(lines: list[str], roots: list[int]) -> set[tuple[int, int]]:
-    """Pairs of different roots of which two lines are similar, from the product of the lines' shingle incidences."""
-    import numpy as np
-
-    sets = [np.unique(shingle_hashes(line)) for line in lines]
-    size = np.array([len(x) for x in sets])
-    row, found = np.repeat(np.arange(len(lines)), size), np.concatenate(sets)
-    _, column, seen = np.unique(found, return_inverse=True, return_counts=True)
-    # Shingles of one line only are in no intersection. The others in slices, to bound the matrix.
-    common, shared = np.zeros((len(lines), len(lines)), np.float32), np.flatnonzero(seen > 1)
-    place = np.full(len(seen), -1)
-    place[shared] = np.arange(len(shared))
-    column = place[column]
-    for at in range(0, len(shared), 4096):
-        inside = (column >= at) & (column < at + 4096)
-        m = np.zeros((len(lines), 4096), np.float32)
-        m[row[inside], column[inside] - at] = 1
-        common += m @ m.T
-    similar = common >= SIMILARITY * (size[:, None] + size[None, :] - common) - 1e-3
-    r = np.array(roots)
-    i, j = np.nonzero(np.triu(similar & (r[:, None] != r[None, :]), 1))
-    return {(min(a, b), max(a, b)) for a, b in zip(r[i].tolist(), r[j].tolist())}
-
-
-def compare_blocks(lines: DataFrame) -> DataFrame:
-    """(a, b): links between components of a bucket, from all pairs of its lines in two components (band, k, root, line).
-
-    A bucket's lines are dealt to blocks of about BLOCK_LINES by hash, the lines of its largest component to blocks of
-    their own, and each pair of blocks is one group of bounded size, but for two blocks of the largest component: it needs
-    no links to itself. A line is repeated once per block it meets, pairs of lines are never rows.
-    """
-    sizes = lines.groupBy("band", "root").agg(F.count("*").alias("n"))
-    large = sizes.groupBy("band").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"))
-    blocks = lambda n: F.ceil(n / BLOCK_LINES).cast("int")
-    large = large.select("band", F.col("top.root").alias("top"), blocks(F.col("top.n")).alias("tops"), blocks(F.col("all") - F.col("top.n")).alias("rest"))
-    own = lines.join(large, "band").withColumn("is_top", F.col("root") == F.col("top"))
-    own = own.withColumn("own", F.when(F.col("is_top"), F.col("rest") + F.pmod(F.xxhash64("k"), F.col("tops"))).otherwise(F.pmod(F.xxhash64("k"), F.col("rest"))).cast("int"))
-    # Blocks 0 to rest - 1 are the small components', those behind them the largest one's.
-    dealt = own.withColumn("other", F.explode(F.when(F.col("is_top"), F.sequence(F.lit(0), F.col("rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("rest") + F.col("tops") - 1))))
-    dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "root", "line")
-
-    def run(rows):
-        import pandas as pd
-
-        return pd.DataFrame(sorted(block_links(rows["line"].tolist(), rows["root"].tolist())), columns=["a", "b"], dtype="int64")
-
-    return dealt.groupBy("band", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    return docs.select("names", "text").mapInArrow(run, "k long, content string")
 
 
 def line_classes(spark: SparkSession, scratch: Scratch, docs: DataFrame) -> DataFrame:
     """(node, root) for every line (by name) that a similar line exists for; docs has names (line_names) and text.
 
-    A bucket is the distinct lines with one band key. All pairs of a bucket of up to DIRECT lines are verified. A larger
-    bucket, such as thousands of near copies make, begins with LEADERS stars: each line against a few of the bucket's.
-    After union-find, large buckets that hold several components are compared block by block (compare_blocks), which
-    gives a link for every two components that have one, but no pairs. So every pair that meets in any band ends in one
-    component if it is similar.
+    A bucket is the distinct lines with one band key; what meets in any bucket is verified (buckets.similar_components).
     """
-    rows = _band_rows(docs)
-    # Equal lines of several tasks count once; buckets of one line end here.
-    w = Window.partitionBy("band")
-    members = rows.withColumns({"low": F.min("k").over(w), "high": F.max("k").over(w)}).filter("low <> high").select("band", "k").distinct()
-    members = scratch.cut(members, "members")
-    sizes = members.groupBy("band").agg(F.count("*").alias("size"), *(F.min(F.struct(F.xxhash64("k", F.lit(j)), "k")).alias(f"lead{j}") for j in range(LEADERS)))
-    sizes = sizes.select("band", "size", F.array_distinct(F.array(*(F.col(f"lead{j}.k") for j in range(LEADERS)))).alias("leads"))
-    members = scratch.cut(members.join(sizes, "band").withColumn("leads", F.when(F.col("size") > DIRECT, F.col("leads"))), "sized")
-    wanted = members.select("k").distinct()
-    texts = scratch.cut(_texts(docs).join(wanted, "k", "left_semi").dropDuplicates(["k"]), "texts")
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    small = members.filter(F.col("size") <= DIRECT).select("band", "k")
-    direct = small.join(small.withColumnRenamed("k", "k2"), "band").filter("k < k2").select(*pair(F.col("k"), F.col("k2")))
-    stars = members.filter(F.col("size") > DIRECT).select("k", F.explode("leads").alias("k2")).filter("k <> k2").select(*pair(F.col("k"), F.col("k2")))
-    edges = scratch.cut(_verify(direct.unionByName(stars).distinct().repartition("b").sortWithinPartitions("b"), texts).filter("similar").select("a", "b"), "links")
-    roots = scratch.cut(connected_components(spark, scratch, edges), "roots")
-    large = members.filter(F.col("size") > DIRECT).select("band", "k").join(roots.withColumnRenamed("node", "k"), "k", "left").select("band", "k", F.coalesce("root", "k").alias("root"))
-    mixed = scratch.cut(large.join(large.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band"), "band", "left_semi"), "mixed")
-    if not mixed.isEmpty():
-        more = compare_blocks(mixed.join(texts, "k"))
-        roots = connected_components(spark, scratch, roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    return roots
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        return _texts(docs).join(wanted, "k", "left_semi").dropDuplicates(["k"])
+
+    return similar_components(spark, scratch, _band_rows(docs), texts, line_sets, SIMILARITY, DIRECT, BLOCK_LINES)
 
 
 def removed_lines(spark: SparkSession, scratch: Scratch, docs: DataFrame) -> DataFrame:
-    """(row_key, removed, n_lines): per row of docs (row_key, doc_id, names, text) the sorted numbers of its lines that go.
+    """(row_key, removed): per row of docs (row_key, doc_id, names, text) with lines that go their sorted numbers.
 
     Of each component of similar lines, equal ones included, the first line stays: by doc_id (null last), row and place.
-    Rows without non-blank lines are left out.
     """
     roots = line_classes(spark, scratch, docs)
     lines = docs.select("row_key", "doc_id", F.posexplode("names").alias("line_no", "k")).filter("k is not null")
@@ -324,11 +216,14 @@ def removed_lines(spark: SparkSession, scratch: Scratch, docs: DataFrame) -> Dat
     classes = scratch.cut(classes, "classes")  # only lines that some other line repeats or resembles
     kept = classes.groupBy("root").agg(F.min("first").alias("kept"))
     kept = scratch.cut(classes.join(kept, "root").select("k", "n", F.col("kept.row_key").alias("kept_row"), F.col("kept.line_no").alias("kept_line")), "kept")
-    counts = docs.select("row_key", F.size(F.filter("names", lambda k: k.isNotNull())).alias("n_lines")).filter("n_lines > 0")
-    total = counts.agg(F.sum("n_lines")).first()[0] or 0
+    total = docs.agg(F.sum(_number_of("names"))).first()[0] or 0
     found = join_counted(lines.select("row_key", "line_no", "k"), kept, "k", "n", total).filter("row_key <> kept_row or line_no <> kept_line")
-    gone = found.groupBy("row_key").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))  # a document's own lines
-    return counts.join(gone, "row_key", "left")
+    return found.groupBy("row_key").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))  # a document's own lines
+
+
+def _number_of(names: str):
+    """The number of lines that are not blank."""
+    return F.size(F.filter(F.col(names), lambda k: k.isNotNull())).cast("long")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
@@ -342,11 +237,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     The rows, with a key each and their lines' names, are written once; all steps read them from there.
     """
     key, names, gone = fresh(docs, "row_key"), fresh(docs, "names"), fresh(docs, "removed")
-    total = "n_lines" if counts else fresh(docs, "n_lines")
     scratch = Scratch(spark, "lines")
     own = scratch.cut(with_row_key(docs, key).withColumn(names, line_names(F.col(f"`{text_col}`"))), "keyed")
     plain = own.select(F.col(key).alias("row_key"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(names).alias("names"), F.col(f"`{text_col}`").alias("text"))
-    found = removed_lines(spark, scratch, plain).select(F.col("row_key").alias(key), F.col("removed").alias(gone), F.col("n_lines").alias(total))
+    found = removed_lines(spark, scratch, plain).select(F.col("row_key").alias(key), F.col("removed").alias(gone))
 
     @F.arrow_udf("string")
     def without(texts: pa.Array, removed: pa.Array) -> pa.Array:
@@ -360,7 +254,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     joined = own.join(found, key, "left").withColumn(text_col, without(F.col(f"`{text_col}`"), F.col(gone)))
     columns = [f"`{c}`" for c in docs.columns]
     if counts:
-        return joined.select(*columns, F.coalesce(F.col(total), F.lit(0)).cast("long").alias("n_lines"), F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long").alias("n_removed"))
+        return joined.select(*columns, _number_of(names).alias("n_lines"), F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long").alias("n_removed"))
     return joined.select(*columns)
 
 

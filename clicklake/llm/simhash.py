@@ -1,17 +1,24 @@
-"""SimHash near-duplicates: fingerprints, links at few differing bits found by one-wildcard segment variants."""
+"""SimHash near-duplicates: links at few differing bits by one-wildcard segment variants; similar texts by wide fingerprints."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType
 
-from .common import Scratch, connected_components, fresh, read_table, with_row_key
+from .buckets import distinct, similar_components
+from .common import Scratch, connected_components, fresh, join_counted, read_table, with_row_key
 
 #: Fingerprints of one segment value up to which they are compared with each other directly.
 DIRECT = 256
+#: Wide fingerprints: segments of 32 bits, variants of a segment in the index, and of its least certain bits as many as they
+#: choose from. Two texts of similarity 0.8 share a variant with a chance of 0.92, at 0.85 of over 0.99.
+SEGMENTS, VARIANTS, UNSURE = 16, 12, 8
+#: Words a shingle and similarity of near copies; texts of one bucket up to which all pairs are compared, and of a block.
+WORDS, SIMILARITY, PAIRWISE, BLOCK_TEXTS = 5, 0.8, 32, 256
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -103,24 +110,141 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     scratch = Scratch(spark, "simhash")
     keyed = with_row_key(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "row_key")
     rows = scratch.cut(fingerprints(keyed, ["row_key", "doc_id"], "text", shingle), "fingerprints")
-    nodes = scratch.cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    nodes = scratch.cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
     roots = connected_components(spark, scratch, links(spark, scratch, nodes.select("fp"), distance))
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     component = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.join(component, "root").select("fp", "root", "component_id")
-    return rows.join(classes, "fp").select("doc_id", "row_key", "fp", "root", "component_id")
+    classes = scratch.cut(named.join(component, "root").select("fp", "n", "root", "component_id"), "classes")
+    return join_counted(rows, classes, "fp", "n", rows.count()).select("doc_id", "row_key", "fp", "root", "component_id")
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
-    """The rows of `docs`, one of each component: the one with the least id, and of repeated rows the first in the input.
+def words_of(text: str | None) -> list[bytes]:
+    """A text's words as in `fingerprint`."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
-    All columns are kept as they are, whatever their names. Rows without an id come after those with one.
+
+def shingle_hashes(words: list[bytes], shingle: int = WORDS):
+    """XXH64 (seed 42) of a text's shingles; fewer words are one shingle."""
+    import numpy as np
+    import xxhash
+
+    n = max(1, len(words) - shingle + 1)
+    parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if n > 1 else [b" ".join(words)]
+    return np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), "<u8", n)
+
+
+@F.arrow_udf(LongType())
+def text_names(texts: pa.Array) -> pa.Array:
+    """A text's name: the 64-bit hash of its words."""
+    import xxhash
+
+    return pa.array([xxhash.xxh64_intdigest(b" ".join(words_of(t))) - (1 << 63) for t in texts.to_pylist()], pa.int64())
+
+
+def wide_counts(hashes):
+    """Per bit of the wide fingerprint by how much more of the hashes have it than not."""
+    import numpy as np
+
+    counts, n = np.zeros(32 * SEGMENTS, np.int64), len(hashes)
+    factors = np.random.default_rng(42).integers(0, 1 << 63, SEGMENTS // 2, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+    for at in range(0, n, 255):  # so that bytes can count
+        h = hashes[at : at + 255, None] * factors
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        counts += np.add.reduce(np.unpackbits(h.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return 2 * counts - n
+
+
+def segment_variants(counts):
+    """A 64-bit key for each segment and variant, from the counts of some texts (texts x bits).
+
+    A variant is the segment with some of its least certain bits turned, those nearest to as many hashes with as without
+    them: the segment itself, each such bit as wildcard alone, or a few. Of all choices those with the least sum of squared counts are taken.
+    """
+    import numpy as np
+
+    choices = [c for k in range(5) for c in combinations(range(UNSURE), k)]
+    turned = np.zeros((len(choices), UNSURE), np.uint64)
+    for i, c in enumerate(choices):
+        turned[i, list(c)] = 1
+    m = counts.reshape(-1, SEGMENTS, 32)
+    base = ((m > 0) << np.arange(32, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
+    size = np.abs(m)
+    unsure = np.argsort(size, axis=2, kind="stable")[:, :, :UNSURE]
+    score = np.take_along_axis(size, unsure, 2).astype(float) ** 2 @ turned.T.astype(float)
+    best = np.argsort(score, axis=2, kind="stable")[:, :, :VARIANTS]
+    bits = np.uint64(1) << unsure.astype(np.uint64)
+    flips = bits @ turned.T
+    keys = base[:, :, None] ^ np.take_along_axis(flips, best, 2)
+    keys |= np.arange(SEGMENTS, dtype=np.uint64)[None, :, None] << np.uint64(32)
+    return keys.reshape(len(m), -1).view(np.int64)
+
+
+def _variant_rows(docs: DataFrame) -> DataFrame:
+    """(k, band): per distinct text of a task its name and each key of its wide fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        seen: set[int] = set()
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            for at in range(0, len(names), 256):
+                new = [i for i in range(at, min(at + 256, len(names))) if names[i] not in seen and not seen.add(names[i])]
+                if len(seen) > 500_000:  # repeats beyond are sorted out by the next step
+                    seen.clear()
+                if new:
+                    counts = np.array([wide_counts(shingle_hashes(words_of(batch.column(1)[i].as_py()))) for i in new])
+                    keys = segment_variants(counts)
+                    own = np.repeat(np.array([names[i] for i in new], np.int64), keys.shape[1])
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(keys.ravel())], names=["k", "band"])
+
+    return docs.select("k", "text").mapInArrow(run, "k long, band long")
+
+
+def near_copies(spark: SparkSession, scratch: Scratch, docs: DataFrame) -> DataFrame:
+    """(node, root) for every text (by name) with a near copy, from docs (row_key, k, text): similarity 0.8 of five-word shingles.
+
+    A fingerprint of 64 bits cannot tell such texts: at 0.8 they differ in ten bits, so segments short enough for one
+    differing bit would hold too many others. So this one has 512 bits from the same shingle hashes, and of its 16 segments
+    one has to agree up to bits that are uncertain in both texts; these are the wildcards of the variants that are
+    indexed. Texts with a common variant are verified by the Jaccard similarity of their sets of shingles.
+    """
+
+    @F.arrow_udf("binary")
+    def sets(texts: pa.Array) -> pa.Array:
+        return pa.array([distinct(shingle_hashes(words_of(t))).tobytes() for t in texts.to_pylist()], pa.binary())
+
+    def contents(wanted: DataFrame) -> DataFrame:
+        one = docs.groupBy("k").agg(F.min("row_key").alias("row_key")).join(wanted, "k", "left_semi").select("row_key")
+        return docs.join(one, "row_key", "left_semi").select("k", sets("text").alias("content"))
+
+    def hashes(content: list[bytes]) -> list:
+        import numpy as np
+
+        return [np.frombuffer(x, "<u8") for x in content]
+
+    return similar_components(spark, scratch, _variant_rows(docs), contents, hashes, SIMILARITY, PAIRWISE, BLOCK_TEXTS)
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, one of each group of near copies: the one with the least id, of repeated rows the first in the input.
+
+    Texts are lower-cased (A-Z) and compared by their five-word shingles, linked from a similarity of 0.8 on (near_copies);
+    equal texts are one node, so copies cost nothing beyond their rows. Null and empty texts are copies of each other. All
+    columns are kept as they are, whatever their names. Rows without an id come after those with one. An empty table stays empty.
+    The rows, with a key each, are written once; all steps read them from there.
     """
-    key = fresh(docs, "row_key")
-    found = near_duplicates(spark, docs, id_col, text_col, shingle, distance)
-    # Rows of one component share a fingerprint's node or a link; the least (id, row) is a map-side combined minimum.
-    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("best")).select(F.col("best.row_key").alias(key))
-    return with_row_key(docs, key).join(best, key, "left_semi").drop(key)
+    scratch = Scratch(spark, "near-copies")
+    key, name = fresh(docs, "row_key"), fresh(docs, "k")
+    keyed = scratch.cut(with_row_key(docs, key).withColumn(name, text_names(F.col(f"`{text_col}`").cast("string"))), "keyed")
+    plain = keyed.select(F.col(key).alias("row_key"), F.col(name).alias("k"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    roots = near_copies(spark, scratch, plain.select("row_key", "k", "text"))
+    # The least (id, row) of a text, then of a component: map-side combined minima.
+    best = plain.groupBy("k").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("best"))
+    best = best.join(roots.withColumnRenamed("node", "k"), "k", "left").groupBy(F.coalesce("root", "k")).agg(F.min("best").alias("best"))
+    return keyed.join(best.select(F.col("best.row_key").alias(key)), key, "left_semi").select(*(f"`{c}`" for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

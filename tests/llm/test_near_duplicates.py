@@ -97,6 +97,60 @@ def test_simhash_odd_rows(spark, odd, empty):
     assert simhash.keep_one(spark, empty).count() == 0
 
 
+def near_copy_texts(n=60):
+    """Texts of many lengths, each with an edited copy; some groups of equal texts."""
+    import random
+
+    draw, out = random.Random(9), []
+    vocabulary = [f"word{i}" for i in range(3000)]
+    for i in range(n):
+        words = [draw.choice(vocabulary) for _ in range(draw.choice([4, 8, 30, 120, 400, 1500]))]
+        out.append(" ".join(words))
+        for rate in (0.0, 0.004, 0.01, 0.02, 0.03):
+            edited = [draw.choice(vocabulary) if draw.random() < rate else w for w in words]
+            out.append(" ".join(edited))
+    return out
+
+
+def test_near_copies_equal_brute_force_jaccard(spark):
+    """Links at a similarity of 0.8 or more, against all pairs: nearly all are found, and no others."""
+    texts = near_copy_texts()
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    want = [(i, j) for i in range(len(texts)) for j in range(i) if min(len(sets[i]), len(sets[j])) >= 0.8 * max(len(sets[i]), len(sets[j])) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    u, every = Union(), [(i, t) for i, t in enumerate(texts)]
+    for i, j in want:
+        u.join(i, j)
+    docs = spark.createDataFrame(every, "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.keep_one(spark, docs).collect()}
+    least = {min(g) for g in _groups(u, range(len(texts)))}
+    for i in range(len(texts)):
+        u.find(i)
+    least = {min(g) for g in _groups(u, range(len(texts)))}
+    assert least <= kept, "a text without a similar one went"
+    assert len(kept - least) <= 0.05 * (len(texts) - len(least))
+
+
+def test_near_copies_in_large_buckets(spark, monkeypatch):
+    """One large group of near copies and of copies: stars and blocks keep one of it."""
+    import random
+
+    monkeypatch.setattr(simhash, "PAIRWISE", 8)
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", 16)
+    draw, base = random.Random(3), [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(150):
+        words = base[:]
+        if i % 3:
+            words[draw.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, f"another text {i} of its own words a{i} b{i} c{i}") for i in range(20)]
+    kept = {r["doc_id"] for r in simhash.keep_one(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {0, *range(1000, 1020)}
+
+
 def brute_lines(docs):
     """Kept text by position in `docs`, the first line of each component staying."""
     norm = lambda line: re.sub(r"\s+", " ", line.lower()).strip(" ")
