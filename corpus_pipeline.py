@@ -30,12 +30,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose SimHashes link, the one with the least id stays.
-
-    Shingles of five words, and all the differing bits that the operator's two segments can find; texts that near have
-    a similarity far over 0.8.
-    """
-    return simhash.keep_one(spark, docs, shingle=5, distance=3)
+    """Of near copies, texts that a similarity of 0.8 or more of their five-word shingles links, the one with the least id stays."""
+    return simhash.keep_one(spark, docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
