@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import html
-import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,9 +31,14 @@ SCOPES = frozenset("ul ol dl table select div article section main aside nav foo
 #: What the main text leaves out, by element, by role attribute, and by a part of the class or id.
 NOISE_TAGS = frozenset("head script style noscript template nav aside footer form button select textarea iframe object dialog menu svg canvas audio video".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
-NOISE_PARTS = frozenset(
-    "ad ads advert adverts advertisement sponsored sponsor promo banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent notice popup modal newsletter subscribe social share sharing related comment comments disqus widget".split()
+NOISE_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsored sponsor promo promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent notice popup modal newsletter subscribe signup social share sharing related recommended comment comments disqus widget widgets".split()
 )
+#: What such a name may say besides: where the part is, or that it is one.
+PLAIN_WORDS = frozenset("site page the main primary secondary global top bottom left right upper lower inner outer list lists area bar box wrap wrapper container block section panel module unit slot item items row column group header body content form links link buttons button icons post posts article articles entry js".split())
+#: Elements that a name can make noise: parts of the page, not its headings, paragraphs and words.
+NAMED = frozenset("div section ul ol dl li table td tr figure details fieldset center header".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN = frozenset(("article", "main"))
 #: What is not rendered at all, and so does not part the text around it.
 UNSEEN = frozenset("script style noscript template".split())
@@ -43,22 +48,50 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _PART = re.compile(r"[^\W_]+")
 
 
-@dataclass
+@dataclass(slots=True, eq=False)
 class Node:
-    """An element: its path of tags and classes from the root, children, and pieces of own text between them."""
+    """An element: its path of tags and names from the root, children, and pieces of own text between them.
+
+    The path is the 64-bit hash of the parent's and the element's own part: of fixed size however deep the page is.
+    """
 
     tag: str
-    path: str
+    path: int
     noise: bool
     parent: Node | None
     items: list = field(default_factory=list)  # Node or str, in page order
     weak: bool = False  # noise by a part of class or id, or as a form, alone
 
 
+def path_of(parent: int, tag: str, names: str = "") -> int:
+    """The path of an element with a class and id `names`, below the path `parent` (0: the root)."""
+    import xxhash
+
+    own = f"{parent}/{tag}{'.' + '.'.join(names.split()) if names else ''}"
+    return xxhash.xxh64_intdigest(own.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def says_noise(names: list[str]) -> bool:
+    """Whether one of some classes and ids is made of noise words, and words that only say where or that it is a part."""
+    for name in names:
+        words = _PART.findall(name)
+        if any(w in NOISE_WORDS for w in words) and all(w in NOISE_WORDS or w in PLAIN_WORDS or w.isdigit() for w in words):
+            return True
+    return False
+
+
 def parse(page: str | None) -> Node:
     """The element tree. Unclosed and misplaced tags are mended as far as block structure needs; nothing raises."""
-    root = Node("", "", False, None)
+    root = Node("", 0, False, None)
     page, here, at = page or "", root, 0
+    opened: Counter = Counter()  # open elements by tag: looking for one that is not open would walk up the whole page
+
+    def leave(node: Node) -> None:
+        nonlocal here
+        while here is not node:
+            opened[here.tag] -= 1
+            here = here.parent
+
     while at < len(page):
         m = _TOKEN.search(page, at)
         if m is None:
@@ -71,7 +104,7 @@ def parse(page: str | None) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            node = here
+            node = here if opened[tag] else root
             while node is not root and node.tag != tag:
                 # An inline end tag does not end blocks that it stands in.
                 if tag in INLINE and node.tag not in INLINE:
@@ -79,15 +112,16 @@ def parse(page: str | None) -> Node:
                     break
                 node = node.parent
             if node is not root:
-                here = node.parent
+                leave(node.parent)
             continue
         if tag not in INLINE:
-            closes = CLOSES.get(tag, ())
+            ends = ("p", *CLOSES.get(tag, ()))
             node = here
-            while node is not root and (node.tag in INLINE or node.tag == "p" or node.tag in closes):
-                if node.tag == "p" or node.tag in closes:
-                    here = node.parent
-                node = node.parent
+            while node is not root and (node.tag in INLINE or node.tag in ends) and any(opened[t] for t in ends):
+                above = node.parent
+                if node.tag in ends:
+                    leave(above)
+                node = above
         names, role = "", ""
         if m[3] and "=" in m[3]:
             for a in _ATTRIBUTE.finditer(m[3]):
@@ -96,9 +130,9 @@ def parse(page: str | None) -> Node:
                     role = value
                 else:
                     names += " " + value
-        strong = tag in NOISE_TAGS and tag != "form" or role in NOISE_ROLES or (tag == "header" and not _inside_main(here))
-        weak = not strong and (tag == "form" or (tag not in ("html", "body") and tag not in MAIN and any(p in NOISE_PARTS for p in _PART.findall(names))))
-        node = Node(tag, f"{here.path}/{tag}{'.' + '.'.join(names.split()) if names else ''}", strong or weak, here, weak=weak)
+        strong = tag in NOISE_TAGS and tag != "form" or role in NOISE_ROLES or tag == "header"
+        weak = not strong and (tag == "form" or tag in NAMED and says_noise(names.split()))
+        node = Node(tag, path_of(here.path, tag, names), strong or weak, here, weak=weak)
         here.items.append(node)
         if tag in VOID or m[3].endswith("/") and tag in ("svg", "path"):
             continue
@@ -106,6 +140,7 @@ def parse(page: str | None) -> Node:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
             at = page.find(">", end.start()) + 1 or len(page) if end else len(page)
             continue
+        opened[tag] += 1
         here = node
     _spare(root)
     return root
@@ -165,7 +200,7 @@ def main_parts(root: Node) -> list[Node]:
     return found
 
 
-def blocks_of(nodes: list[Node], dropped: set[str] = frozenset()) -> list[str]:
+def blocks_of(nodes: list[Node], dropped: set[int] = frozenset()) -> list[str]:
     """The blocks of text below the nodes, without noise and dropped paths: references decoded, white space made one."""
     out: list[str] = []
     piece: list[str] = []
@@ -186,6 +221,8 @@ def blocks_of(nodes: list[Node], dropped: set[str] = frozenset()) -> list[str]:
             elif x.noise or x.path in dropped:
                 if x.tag not in INLINE and x.tag not in UNSEEN:
                     end()
+                if x.tag == "header" and x.path not in dropped and _inside_main(x):
+                    stack += reversed(_headings(x))
             elif x.tag == "br":
                 piece.append(" ")
             elif x.tag in INLINE:
@@ -198,13 +235,25 @@ def blocks_of(nodes: list[Node], dropped: set[str] = frozenset()) -> list[str]:
     return out
 
 
-def style_rows(root: Node) -> list[tuple[str, int, int]]:
+def _headings(header: Node) -> list[Node]:
+    """The headings of an article's header, in page order: its title stays, bylines and bars go."""
+    found, stack = [], list(reversed(header.items))
+    while stack:
+        node = stack.pop()
+        if not isinstance(node, str) and node.tag in HEADINGS:
+            found.append(node)
+        elif not isinstance(node, str) and not (node.noise and node.tag != "header"):
+            stack += reversed(node.items)
+    return found
+
+
+def style_rows(root: Node) -> list[tuple[int, int, int]]:
     """(path, kind, value) for the style tree: kind 0 a node's sequence of children, kind 1 a piece of its own text.
 
     Paths are merged within a page. Article and main elements are like any others.
     """
-    styles: dict[str, list[str]] = {}
-    texts: set[tuple[str, str]] = set()
+    styles: dict[int, list[str]] = {}
+    texts: set[tuple[int, str]] = set()
     stack = [x for x in root.items if isinstance(x, Node)]
     while stack:
         node = stack.pop()
@@ -218,7 +267,7 @@ def style_rows(root: Node) -> list[tuple[str, int, int]]:
     return [(p, 0, value("|".join(s))) for p, s in styles.items()] + [(p, 1, value(t)) for p, t in texts]
 
 
-def template_paths(root: Node, table: dict[str, tuple[float, float]]) -> set[str]:
+def template_paths(root: Node, table: dict[int, tuple[float, float]]) -> set[int]:
     """Paths of the highest branches whose composite importance is under TEMPLATE.
 
     A node's composite importance is (1 - GAMMA^l) times its presentation's plus GAMMA^l times the mean over its l
@@ -253,7 +302,7 @@ def template_paths(root: Node, table: dict[str, tuple[float, float]]) -> set[str
     return out
 
 
-def main_text(page: str | None, table: dict[str, tuple[float, float]] | None = None) -> str:
+def main_text(page: str | None, table: dict[int, tuple[float, float]] | None = None) -> str:
     """The main text: what is neither noise nor template of the article or main elements if there are any, else of the page.
 
     If the template's removal would leave nothing, its branches are kept.
@@ -276,13 +325,10 @@ def site_style_tree(pages: DataFrame, host: str = "host", html_col: str = "html"
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in batches:
             out = []
             for name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                # Nodes are known by 64-bit hashes of their paths: a table row is of fixed size.
-                out += [(name, xxhash.xxh64_intdigest(p) - (1 << 63), k, v) for p, k, v in style_rows(parse(page))]
+                out += [(name, *row) for row in style_rows(parse(page))]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int8(), pa.int64()))], names=["host", "path", "kind", "value"])
 
@@ -320,18 +366,12 @@ def extract(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_
     joined = rows.withColumn("host", F.xxhash64("host")).join(entries, "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        class Table(dict):
-            def get(self, path, default):
-                return super().get(xxhash.xxh64_intdigest(path) - (1 << 63), default)
-
         for batch in batches:
             texts, hosts, known = [], batch.column("host").to_pylist(), {}
             for i, (name, page) in enumerate(zip(hosts, batch.column("html").to_pylist())):
                 if name not in known:
                     nodes = batch.column("nodes")[i].as_py() or []
-                    known[name] = Table({x["path"]: (x["shape"], x["text"]) for x in nodes})
+                    known[name] = {x["path"]: (x["shape"], x["text"]) for x in nodes}
                 texts.append(main_text(page, known[name]))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

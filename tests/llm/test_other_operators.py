@@ -123,7 +123,7 @@ def test_style_tree_survives_broken_markup():
     bits = ["<div>", "</div>", "<p", ">", "a", "&", "&amp;", "<!--", "-->", "<b>", "</b>", "<li>", "</ul>", "'", '"', "<script>", "</script>", "<article>", " "]
     for _ in range(500):
         page = "".join(random.choice(bits) for _ in range(30))
-        html_text.main_text(page, {"/div": (0.0, 0.0)})
+        html_text.main_text(page, {html_text.path_of(0, "div"): (0.0, 0.0)})
 
 
 # Licences
@@ -325,6 +325,45 @@ def test_long_items_are_found_word_for_word(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(spark, table, bench).collect()} == {(j, j) for j in range(3)}
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<article><p>a</p><h2 id='related-work'>b</h2><p id='share-prices'>c</p><div class='social-history'><p>d</p></div></article>", "a\nb\nc\nd"),
+        ("<article><section id='menu-prices'><h3>x</h3></section><div id='comment-on-law'>y</div><p class='ad hoc notice'>z</p></article>", "x\ny\nz"),
+        ("<article><header><h1>Title</h1><p>By A. Author</p><div class=bar>Mon 1</div></header><p>a</p></article>", "Title\na"),
+        ("<header><h1>Site</h1></header><main><header>bar</header><p>a</p></main>", "a"),
+        ("<article><p>a</p><div id=comments><p>c</p></div><div class='related-posts'>r</div><div class='site-ads-box'>s</div><section class='cookie-notice'>n</section></article>", "a"),
+    ],
+)
+def test_names_of_parts_and_headers(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_deep_and_long_pages_stay_small():
+    """Pages of some 400 kB that close nothing, or close what is not open: memory and time in proportion."""
+    import time
+    import tracemalloc
+
+    for page in ("<div class=section>" * 20_000 + "deep", "<b>x<p>" * 20_000, "<div>" * 20_000 + "</span></section>" * 20_000 + "deep", "word " * 80_000):
+        tracemalloc.start()
+        began = time.time()
+        text = html_text.main_text(page, {1: (0.0, 0.0)})
+        assert text.endswith(("deep", "x", "word")) and time.time() - began < 20
+        assert tracemalloc.get_traced_memory()[1] < 100e6
+        tracemalloc.stop()
+
+
+def test_tree_decides_below_articles_whatever_names_say(spark):
+    """What a host repeats inside its articles goes though no name tells it; a name that only holds a noise word takes nothing away."""
+    page = "<article><h1>Story {0}</h1><div class=x7><p>Read all of it in our app</p></div><div class='promo-codes-explained'><p>The story {0} goes on for many words {0} and more {0} than all else on its page {0}</p></div></article>"
+    rows = [(i, f"http://h.example/{i}", page.format(i)) for i in range(15)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark, pages).collect()}
+    alone = {i: html_text.main_text(p) for i, _, p in rows}
+    assert all("our app" not in got[i] and "our app" in alone[i] for i in got)
+    assert all(f"The story {i} goes on" in got[i] for i in got)
+
+
 @pytest.mark.parametrize(
     "page,want",
     [
