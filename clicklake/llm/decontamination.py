@@ -6,7 +6,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import chain
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,10 +16,11 @@ from .common import Scratch, fresh, read_table
 
 #: Words a passage, and from one passage of a document to the next.
 PASSAGE, STEP = 40, 20
-#: Dimensions of the latent space, and those over them that the iteration carries; power iterations; seed of the sketch.
-RANK, OVERSAMPLING, POWER, SEED = 256, 16, 1, 42
+#: Dimensions of the latent space, and those over them that the iteration carries; products A'(A Q) that the basis is
+#: made by; seed of the sketch.
+RANK, OVERSAMPLING, POWER, SEED = 128, 16, 1, 42
 #: Cosine from which on a passage is a candidate for an item.
-COSINE = 0.4
+COSINE = 0.6
 #: Longest common subsequence, as a share of the item's words, that makes a leak; and that does with the answer present
 #: (this share of an answer of so many words at least).
 LEAK, PARAPHRASE, ANSWER, LEAST_ANSWER = 0.7, 0.6, 0.9, 4
@@ -28,9 +29,9 @@ SHARED = 4
 #: Numbers of one product of passages and queries at most.
 _PRODUCT = 1 << 22
 #: Items searched for at once: they and their words, of fixed size, are what every task holds.
-BLOCK_ITEMS = 2_000
-#: Bytes of texts that are turned into numbers at once.
-_GROUP_BYTES = 16 << 20
+BLOCK_ITEMS = 500
+#: Bytes of texts that are turned into numbers at once; texts whose products are made at once, so that these stay in cache.
+_GROUP_BYTES, _GROUP_TEXTS = 16 << 20, 64
 
 _WORDS = re.compile(r"\w+").findall
 _SENTENCE = re.compile(r"[.!?:\n]+\s*")
@@ -94,14 +95,22 @@ def numbers_of(terms: dict[str, int], texts: pa.Array) -> Iterator[bytes]:
 
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
-    at = 0
+    at, vocabulary = 0, pa.array(list(terms), pa.large_string())
     while at < len(texts):
         stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _GROUP_BYTES, side="right")))
         cut = pc.split_pattern(texts.slice(at, stop - at), " ")
         pieces = pc.list_flatten(cut).dictionary_encode()
-        found = [_WORDS(p) for p in pc.utf8_lower(pieces.dictionary).to_pylist()]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        pool = np.fromiter(map(terms.get, chain.from_iterable(found), repeat(-1)), "<i4", int(size.sum()))
+        # Most pieces are a word and a mark behind it; the others are looked at one by one.
+        low = pc.utf8_lower(pieces.dictionary)
+        word = pc.utf8_rtrim(low, ".,;:!?")
+        plain = pc.utf8_is_alnum(word).to_numpy(zero_copy_only=False)
+        number = pc.fill_null(pc.index_in(word, value_set=vocabulary), -1).to_numpy().astype("<i4")
+        found = [[terms.get(w, -1) for w in _WORDS(p)] for p in low.filter(pa.array(~plain)).to_pylist()]
+        size = np.ones(len(low), np.int64)
+        size[~plain] = np.fromiter(map(len, found), np.int64, len(found))
+        pool = np.empty(int(size.sum()), "<i4")
+        pool[np.repeat(plain, size)] = number[plain]
+        pool[np.repeat(~plain, size)] = np.fromiter(chain.from_iterable(found), "<i4", int(size[~plain].sum()))
         start, index = np.cumsum(size) - size, pieces.indices.to_numpy()
         first = 0
         for last in np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False)).tolist():
@@ -117,15 +126,20 @@ def passages_of(packed: list[bytes], n_terms: int):
     """In how many passages of some texts each term occurs, and the number of passages."""
     import numpy as np
 
-    words, size, _ = _joined(packed)
-    windows = np.array([n_windows(n) for n in size.tolist()], np.int64)
+    words, size, steps = _joined(packed)
+    windows = np.where(steps > 0, np.maximum(1, steps - 1), 0)
     at = np.flatnonzero(words >= 0)
     text = np.repeat(np.arange(len(size)), size)[at]
-    # A word is in the passage that begins at the step before it, and in the one before that.
-    late, term = (at - (np.cumsum(size) - size)[text]) // STEP, words[at].astype(np.int64)
-    begin = (np.cumsum(windows) - windows)[text]
-    keys = [(begin[ok] + p[ok]) * n_terms + term[ok] for p, ok in ((late, late < windows[text]), (late - 1, late > 0))]
-    return np.bincount(np.unique(np.concatenate(keys)) % n_terms, minlength=n_terms), int(windows.sum())
+    base, every = (np.cumsum(steps) - steps)[text], int(steps.sum())
+    place = (at - (np.cumsum(size) - size)[text]) // STEP
+    key, first = np.unique(words[at].astype(np.int64) * every + base + place, return_index=True)
+    # A step is in the passage that begins with it, and in the one before that; the passage before counts here unless
+    # the step before has the term too.
+    text, place = text[first], place[first]
+    after = np.zeros(len(key), bool)
+    after[1:] = (key[1:] == key[:-1] + 1) & (place[1:] > 0)
+    counts = (place < windows[text]).astype(np.int64) + ((place > 0) & ~after)
+    return np.bincount(key // max(1, every), counts, n_terms).astype(np.int64), int(windows.sum())
 
 
 def _joined(packed: list[bytes]):
@@ -253,49 +267,47 @@ def _inverse_frequencies(texts: DataFrame, n_terms: int):
 def _right_vectors(texts: DataFrame, n_terms: int, idf):
     """The leading right singular vectors (terms x RANK at most) of A, all passages' TF-IDF by terms, and their singular values.
 
-    Randomised SVD: a Gaussian sketch S of RANK + OVERSAMPLING columns, Q from the QR of A'(A S), and POWER times more Q
-    from that of A'(A Q). With the last product, T = Q'(A'A Q) is the square of B = A Q; its eigenvectors turn Q into the
-    singular vectors, its eigenvalues are the squared singular values, of which the RANK largest stay. Tasks add up their
-    share of A'(A Q), the shares are summed by term in Spark; terms x (RANK + OVERSAMPLING) numbers reach the driver.
+    Randomised SVD: a Gaussian sketch S of RANK + OVERSAMPLING columns, and Q from the QR of A'(A S), or after POWER such
+    products from that of A'(A Q). B = A Q is taken by its square B'B, a matrix of the basis's size; its eigenvectors turn
+    Q into the singular vectors, its eigenvalues are the squared singular values, of which the RANK largest stay. Tasks add
+    up their shares, Spark sums them by row; terms x (RANK + OVERSAMPLING) numbers reach the driver.
     """
     import numpy as np
 
     rank = min(RANK + OVERSAMPLING, n_terms)
     basis = np.random.default_rng(SEED).standard_normal((n_terms, rank)).astype(np.float32)
-    product = _products(texts, idf, basis)
-    for _ in range(1 + POWER):
-        basis, scale = np.linalg.qr(product)
+    for _ in range(POWER):
+        basis, scale = np.linalg.qr(_products(texts, idf, basis, n_terms, lambda rows, y: rows.back(y)))
         length = np.abs(np.diag(scale))
         basis = basis[:, length > 1e-9 * max(1e-30, length.max(initial=0))].astype(np.float32)
-        product = _products(texts, idf, basis)
-    small = basis.T.astype(float) @ product
+    small = _products(texts, idf, basis, basis.shape[1], lambda rows, y: y.T @ y)
     values, turn = np.linalg.eigh((small + small.T) / 2)
     lead = np.argsort(-values)[:RANK]
     return (basis @ turn[:, lead]).astype(np.float32), np.sqrt(np.maximum(values[lead], 0))
 
 
-def _products(texts: DataFrame, idf, sketch):
-    """A'(A S) for a sketch S (terms x dimensions)."""
+def _products(texts: DataFrame, idf, basis, n: int, product):
+    """The sum of product(rows, A times the basis) over groups of texts, an array of n rows."""
     import numpy as np
 
-    rank = sketch.shape[1]
+    rank = basis.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = np.zeros((len(idf), rank), np.float64)
+        z = np.zeros((n, rank), np.float64)
         for batch in batches:
             packed = batch.column(0).to_pylist()
-            for i in range(0, len(packed), 256):
-                rows = Rows(packed[i : i + 256], idf)
-                z += rows.back(rows.times(sketch))
+            for i in range(0, len(packed), _GROUP_TEXTS):
+                rows = Rows(packed[i : i + _GROUP_TEXTS], idf)
+                z += product(rows, rows.times(basis))
         some = np.flatnonzero(z.any(axis=1))
         values = pa.FixedSizeListArray.from_arrays(pa.array(z[some].ravel()), rank).cast(pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), values], names=["term", "z"])
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), values], names=["place", "z"])
 
-    z = np.zeros((len(idf), rank))
+    z = np.zeros((n, rank))
     if rank:
-        sums = texts.mapInArrow(run, "term int, z array<double>").groupBy("term").agg(F.array(*(F.sum(F.col("z")[j]) for j in range(rank))).alias("z"))
+        sums = texts.mapInArrow(run, "place int, z array<double>").groupBy("place").agg(F.array(*(F.sum(F.col("z")[j]) for j in range(rank))).alias("z"))
         for r in sums.collect():
-            z[r["term"]] = r["z"]
+            z[r["place"]] = r["z"]
     return z
 
 
@@ -355,13 +367,14 @@ class Search:
         return out
 
     def _near(self, latent) -> Iterator[tuple]:
-        """(passages, items) with a cosine of COSINE or more, some passages at a time."""
+        """(passages, items) with a cosine of COSINE or more, some passages at a time; an item once for each of its passages."""
         import numpy as np
 
         rows = max(1, _PRODUCT // max(1, len(self.queries)))
+        item = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
         for i in range(0, len(latent), rows):
-            at, item = np.nonzero(np.maximum.reduceat(latent[i : i + rows] @ self.queries.T, self.first[:-1], axis=1) >= COSINE)
-            yield at + i, item
+            at, query = np.nonzero(latent[i : i + rows] @ self.queries.T >= COSINE)
+            yield at + i, item[query]
 
     def _sharing(self, packed: list[bytes]) -> Iterator[tuple[int, int, int]]:
         """(text, passage of it, item) wherever the passage's region has enough of the item's words to hold a leak.

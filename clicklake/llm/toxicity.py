@@ -107,10 +107,13 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> M
 
     `labels` has doc_id and toxic; null labels and ids are ignored, and of differing labels of one id the greater
     counts. Features are counted in Spark; only the chosen features (MAX_FEATURES at most) and the sentences of the
-    bounded sample that have them reach the driver. No labelled document of both kinds: no document is toxic.
+    bounded sample that have them reach the driver; of an id's rows and repeated rows no more than train_docs in all. No labelled document of both kinds: no document is toxic.
     """
     chosen = labels.filter("toxic is not null and doc_id is not null").filter(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # at most train_docs rows of two numbers
+    known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("h", F.xxhash64("doc_id", "text"))  # at most train_docs rows of two numbers
+    # An id can have any number of rows: of the different ones again those with the least hash, as many at most.
+    least = known.select("h").distinct().orderBy("h").limit(train_docs).agg(F.max("h")).first()[0]
+    sample = known.filter(F.col("h") <= F.lit(least)).dropDuplicates(["h"]).select("text", "toxic")
     n, toxic = sample.agg(F.count("*"), F.sum("toxic")).first()
     if not n or not toxic or toxic == n:
         return Model(leak=1.0 if n and toxic == n else 0.0)

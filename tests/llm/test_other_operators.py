@@ -212,6 +212,20 @@ def test_toxicity_held_out_accuracy(spark):
     assert right >= 0.93 * n and false <= 0.03 * n
 
 
+def test_toxicity_held_out_recall(spark):
+    sf = "/root/testdata/sf0.1"
+    scored = toxicity.query(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").filter("held_out")
+    toxic, caught, false = scored.agg(F.sum("toxic"), F.count_if(F.expr("predicted = 1 and toxic = 1")), F.count_if(F.expr("predicted = 1 and toxic = 0"))).first()
+    assert toxic > 50 and caught >= 0.85 * toxic and false <= 0.05 * toxic
+
+
+def test_toxicity_trains_on_no_more_rows_than_its_bound(spark):
+    rows = labelled(40)
+    docs = spark.createDataFrame([(i, f"{t} {k}") for i, t, _ in rows for k in range(30)] + [(0, rows[0][1])] * 500, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    assert isinstance(toxicity.train(docs, labels, train_docs=60), toxicity.Model)
+
+
 def test_toxicity_odd_rows(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.train(odd, none)
@@ -386,3 +400,26 @@ def test_style_tree_removes_what_a_host_repeats_inside_articles(spark):
     got = {r["page_id"]: r["text"] for r in html_text.extract(spark, pages).collect()}
     assert all(got[i] == f"Story {i}\nIt has its own words {i}" for i in range(12))
     assert got[100] == "Story 1\nIt has its own words 1\nSign up for our letters"
+
+
+def test_latent_space_alone_meets_paraphrases(spark, documents):
+    """Of planted paraphrases with 60 % and more of an item's words in order, the cosine alone makes nearly all candidates."""
+    import random
+
+    draw = random.Random(5)
+    items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
+    texts = [r["text"] for r in documents.select("text").collect()]
+    vocabulary = sorted({w for t in texts for w in decontamination.words_of(t)})
+    rows, planted = list(enumerate(texts)), []
+    for j, text in items.items():
+        words = decontamination.words_of(text)
+        for keep in (0.7, 0.85, 1.0):
+            mine = [w if draw.random() < keep else draw.choice(vocabulary) for w in words]
+            around = decontamination.words_of(draw.choice(texts))[:200]
+            if brute_lcs(words, mine) >= 0.7 * len(words):
+                planted.append((len(rows), j))
+                rows.append((len(rows), " ".join([*around[:77], *mine, *around[77:]])))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.read.parquet(f"{DATA}/benchmark.parquet")
+    found = {(r["doc_id"], r["item_id"]): r["cosine"] for r in decontamination.find_leaks(spark, docs, bench).collect()}
+    assert len(planted) > 100 and all(p in found for p in planted)
+    assert sum(found[p] >= decontamination.COSINE for p in planted) >= 0.9 * len(planted)
