@@ -27,10 +27,9 @@ def event_timestamp_prefix(c: Column | str) -> Column:
 
 
 def any_timestamp(c: Column | str) -> Column:
-    """A time from any of the forms that feature messages use; a date alone is its start."""
+    """A time from any of the forms that feature messages use, fractions and offsets included; a date alone is its start."""
     c = F.col(c) if isinstance(c, str) else c
-    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"(\d)T(\d)", "$1 $2"), r"( UTC|Z|\+00:00)$", ""), r"\.\d+$", "")
-    return F.coalesce(F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")), F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm")), F.try_to_timestamp(text, F.lit("yyyy-MM-dd")))
+    return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}.*)?$"), c.try_cast("timestamp"))
 
 
 def range_end(c: Column | str) -> Column:
@@ -59,6 +58,12 @@ def bucket(n: int, *keys: str | Column) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(n))
 
 
+def portable_bucket(n: int, *keys: str | Column) -> Column:
+    """The same from the first twelve digits of the md5 of the keys' texts: other engines give the same number."""
+    text = F.concat_ws("|", *(F.coalesce((F.col(k) if isinstance(k, str) else k).cast("string"), F.lit("~")) for k in keys))
+    return F.pmod(F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint"), F.lit(n))
+
+
 def filled(df: DataFrame, columns: list[str]) -> DataFrame:
     """Missing values of features as 0, and a flag for each that says so."""
     return df.withColumns({f"{c}_missing": F.col(c).isNull() for c in columns}).na.fill(0, columns)

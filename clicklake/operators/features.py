@@ -51,11 +51,15 @@ def hopping_features(events: DataFrame, time: str = "event_timestamp", length: s
 def user_features_15m_at(events: DataFrame, probes: DataFrame) -> DataFrame:
     """The four features over [t - 15 min, t) for given (user_id, t): a range frame over events and probes together.
 
-    Nothing is multiplied by windows, for decision times that are few against all minutes.
+    Nothing is multiplied by windows, for decision times that are few against all minutes. Rows are grouped by user and
+    hour; what an hour's first quarter looks back on is repeated there, so a task has little more than an hour of a user.
     """
     e = events.select("user_id", F.col("event_timestamp").alias("t"), "event_type", money("price").alias("price"), F.lit(0).alias("_probe"))
     p = probes.select("user_id", "t").distinct().select("user_id", "t", F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("decimal(18,2)").alias("price"), F.lit(1).alias("_probe"))
-    w = Window.partitionBy("user_id").orderBy(F.unix_micros("t")).rangeBetween(-900_000_000, -1)
+    hour = F.date_trunc("hour", "t")
+    e = e.withColumn("_hour", F.explode(F.array_distinct(F.array(hour, F.date_trunc("hour", F.col("t") + F.expr("interval 15 minutes"))))))
+    p = p.withColumn("_hour", hour)
+    w = Window.partitionBy("user_id", "_hour").orderBy(F.unix_micros("t")).rangeBetween(-900_000_000, -1)
     kind = lambda k: F.coalesce(F.sum(F.when(F.col("event_type") == k, 1)).over(w), F.lit(0)).cast("bigint")
     bought = F.coalesce(F.sum(F.when(F.col("event_type") == "purchase", F.col("price"))).over(w), F.lit(0)).cast("double")
     out = e.unionByName(p).select("user_id", "t", "_probe", *(kind(k).alias(f"f_{n}_15m") for n, k in KINDS.items()), bought.alias("total_spend_15m"))

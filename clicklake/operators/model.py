@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import key_hash, key_hash_skipping_nulls
+from .asof import carry_forward
 
 ATTRIBUTES = ["category_id", "category_level1", "brand", "price", "discount_percent"]
 
@@ -14,9 +15,9 @@ def _attribute_order() -> list[Column]:
 
 
 def _versions(starts: DataFrame) -> DataFrame:
-    """Starts of versions (one a product and time) as [valid_from, valid_to) with keys."""
+    """Starts of versions (one a product and time) as [valid_from, valid_to) with keys; the key has the time's fraction if there is one."""
     following = F.lead("valid_from_ts").over(Window.partitionBy("product_id").orderBy("valid_from_ts"))
-    keyed = starts.withColumn("product_sk", key_hash_skipping_nulls(F.col("product_id").cast("string"), F.date_format("valid_from_ts", "yyyy-MM-dd HH:mm:ss")))
+    keyed = starts.withColumn("product_sk", key_hash_skipping_nulls(F.col("product_id").cast("string"), F.col("valid_from_ts").cast("string")))
     return keyed.withColumn("valid_to_ts", following).withColumn("is_current", F.col("valid_to_ts").isNull()).select("product_sk", "product_id", *ATTRIBUTES, "valid_from_ts", "valid_to_ts", "is_current")
 
 
@@ -54,12 +55,12 @@ def scd2_range_join(events: DataFrame, dim: DataFrame, columns: list[str]) -> Da
 def scd2_asof_join(events: DataFrame, dim: DataFrame, columns: list[str]) -> DataFrame:
     """The same without pairing events and versions: both in one column of time, the last version carried forward.
 
-    One shuffle on the product, whose work is linear in events plus versions; the way for products of many versions.
+    Work is linear in events plus versions, and a task has a day of a product at most (carry_forward); the way for products
+    of many versions or events. Events without product or time have no version.
     """
     d = dim.select("product_id", F.col("valid_from_ts").alias("event_timestamp"), F.lit(0).alias("_side"), F.struct("valid_to_ts", *columns).alias("_version"))
     e = events.withColumn("_side", F.lit(1))
-    w = Window.partitionBy("product_id").orderBy("event_timestamp", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = e.unionByName(d, allowMissingColumns=True).withColumn("_version", F.last("_version", ignorenulls=True).over(w)).filter("_side = 1")
+    both = carry_forward(e.unionByName(d, allowMissingColumns=True), "product_id", "event_timestamp", "_side", "_version").filter("_side = 1")
     valid = F.col("product_id").isNotNull() & F.col("event_timestamp").isNotNull() & (F.col("_version.valid_to_ts").isNull() | (F.col("event_timestamp") < F.col("_version.valid_to_ts")))
     return both.select(*events.columns, *(F.when(valid, F.col(f"_version.{c}")).alias(c) for c in columns))
 

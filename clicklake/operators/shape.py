@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.columns import bucket
+from ..functions.columns import money, portable_bucket
 from ..sources.canonical import DISCOUNTS
 
-#: What identifies a source row for hashing.
-ROW = ("user_id", "event_time", "product_id", "event_type", "price")
+
+
+def _row() -> tuple:
+    """What identifies a source row for hashing."""
+    return ("user_id", "event_time", "product_id", "event_type", money("price"))
 
 
 def replicate_time_shift(df: DataFrame, copies: int, days: int = 30) -> DataFrame:
@@ -20,13 +23,13 @@ def replicate_time_shift(df: DataFrame, copies: int, days: int = 30) -> DataFram
 
 def remap_users(df: DataFrame, share: int = 30, offset: int = 1_000_000_000) -> DataFrame:
     """`share` per cent of the users of each replica become new users, the same for all their rows."""
-    moved = (F.col("replica") > 0) & (bucket(100, "user_id", "replica") < share)
+    moved = (F.col("replica") > 0) & (portable_bucket(100, "user_id", "replica") < share)
     return df.withColumn("user_id", F.when(moved, F.col("user_id") + F.col("replica") * F.lit(offset)).otherwise(F.col("user_id")))
 
 
 def jitter_prices(df: DataFrame, pct: int = 5) -> DataFrame:
     """Prices of replicas move by up to `pct` per cent, the same for a product within a replica, in cents."""
-    ratio = 1 + (bucket(20_001, "product_id", "replica") - 10_000) / 1_000_000 * pct
+    ratio = 1 + (portable_bucket(20_001, "product_id", "replica") - 10_000) / 1_000_000 * pct
     return df.withColumn("price", F.when(F.col("replica") > 0, F.round((F.col("price") * ratio).cast("decimal(20,6)"), 2).cast("double")).otherwise(F.col("price")))
 
 
@@ -48,9 +51,9 @@ def evolve_schema(df: DataFrame, day: str) -> tuple[DataFrame, DataFrame]:
 
 def inject_hot_keys(df: DataFrame, ratio: float, users: list[int]) -> DataFrame:
     """A share of the rows goes to a few users, with sessions that say so."""
-    hit = bucket(10_000, *ROW) < int(ratio * 10_000)
-    k = bucket(len(users), F.lit("hot"), *ROW)
-    session = F.concat(F.lit("hot-"), k.cast("string"), F.lit("-"), bucket(100, F.lit("session"), *ROW).cast("string"))
+    hit = portable_bucket(10_000, *_row()) < int(ratio * 10_000)
+    k = portable_bucket(len(users), F.lit("hot"), *_row())
+    session = F.concat(F.lit("hot-"), k.cast("string"), F.lit("-"), portable_bucket(100, F.lit("session"), *_row()).cast("string"))
     return df.withColumns({"user_id": F.when(hit, F.element_at(F.array(*map(F.lit, users)), (k + 1).cast("int")).cast("bigint")).otherwise(F.col("user_id")), "user_session": F.when(hit, session).otherwise(F.col("user_session"))})
 
 

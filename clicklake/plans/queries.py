@@ -27,6 +27,14 @@ def query(name: str, check: str | None = None):
     return register
 
 
+def md5_bucket(n: int, *keys: str) -> str:
+    """functions.columns.portable_bucket in SQL, of keys that are text and not null."""
+    return f"(('0x' || md5(concat_ws('|', {', '.join(keys)}))[1:12])::BIGINT % {n})"
+
+
+USER, PRODUCT = "coalesce(user_id::VARCHAR, '~')", "coalesce(product_id::VARCHAR, '~')"
+
+
 def silver(spark: SparkSession, sf: str) -> DataFrame:
     return ev.stg_events(canonical_events(spark, sf))
 
@@ -648,7 +656,7 @@ def _(spark, sf):
     return training.label_limit(labels_1h(spark, sf), 100)
 
 
-@query("label_sample", None)
+@query("label_sample", sql(f"SELECT user_id, $T(prediction_timestamp) AS prediction_timestamp, target_purchase_1h, $D(date) AS date FROM labels_1h WHERE {md5_bucket(1_000_000, "'42'", USER, "strftime(prediction_timestamp, '%Y-%m-%d %H:%M:%S')")} < 250000", "labels_1h"))
 def _(spark, sf):
     return training.label_sample(labels_1h(spark, sf), 0.25)
 
@@ -671,14 +679,24 @@ def _(spark, sf):
 
 # Feature store
 
-@query("training_set", sql(f"""SELECT l.user_id, strftime(l.prediction_timestamp, '%Y-%m-%d %H:%M:%S') AS prediction_timestamp, l.target_purchase_1h,
-  coalesce(d.f_views_30d, 0) AS f_views_30d, coalesce(d.f_spend_30d, 0) AS f_spend_30d, d.user_id IS NULL AS f_views_30d_missing, coalesce(CASE WHEN h.event_timestamp >= l.prediction_timestamp - INTERVAL 2 HOUR THEN h.f_views_15m END, 0) AS f_views_15m,
-  NOT coalesce(h.event_timestamp >= l.prediction_timestamp - INTERVAL 2 HOUR, false) AS f_views_15m_missing
-  FROM labels_1h l LEFT JOIN (SELECT user_id, count(*) FILTER (event_type = 'view') AS f_views_30d, coalesce(sum(price::DECIMAL(18,2)) FILTER (event_type = 'purchase'), 0)::DOUBLE AS f_spend_30d FROM silver WHERE date >= DATE '2023-12-30' AND date < DATE '2024-01-29' GROUP BY 1) d ON d.user_id = l.user_id
-  ASOF LEFT JOIN features_15m h ON l.user_id = h.user_id AND l.prediction_timestamp >= h.event_timestamp""", "labels_1h"))
+DAYS = "SELECT user_id, count(*) FILTER (event_type = 'view') AS f_views_30d, count(*) FILTER (event_type = 'cart') AS f_carts_30d, count(*) FILTER (event_type = 'purchase') AS f_purchases_30d, coalesce(sum(price::DECIMAL(18,2)) FILTER (event_type = 'purchase'), 0)::DOUBLE AS f_spend_30d, count(DISTINCT category_id) AS f_distinct_categories_30d FROM silver WHERE date >= DATE '2023-12-30' AND date < DATE '2024-01-29' GROUP BY 1"
+LONG = ("f_views_30d", "f_carts_30d", "f_purchases_30d", "f_spend_30d", "f_distinct_categories_30d")
+SHORT = ("f_views_15m", "f_carts_15m", "f_purchases_15m", "total_spend_15m")
+FRESH = "coalesce(h.event_timestamp >= l.prediction_timestamp - INTERVAL 2 HOUR, false)"
+FEATURES = ", ".join([f"coalesce(d.{c}, 0) AS {c}, d.user_id IS NULL AS {c}_missing" for c in LONG] + [f"coalesce(CASE WHEN {FRESH} THEN h.{c} END, 0) AS {c}, NOT {FRESH} AS {c}_missing" for c in SHORT])
+
+
+@query(
+    "training_set",
+    sql(
+        f"""SELECT l.user_id, strftime(l.prediction_timestamp, '%Y-%m-%d %H:%M:%S') AS prediction_timestamp, l.target_purchase_1h, {FEATURES}
+  FROM labels_1h l LEFT JOIN ({DAYS}) d ON d.user_id = l.user_id
+  ASOF LEFT JOIN features_15m h ON l.user_id = h.user_id AND l.prediction_timestamp >= h.event_timestamp""",
+        "labels_1h",
+    ),
+)
 def _(spark, sf):
-    out = training.training_set(labels_1h(spark, sf), views(spark, sf))
-    return out.select("user_id", "prediction_timestamp", "target_purchase_1h", "f_views_30d", "f_spend_30d", "f_views_30d_missing", "f_views_15m", "f_views_15m_missing")
+    return training.training_set(labels_1h(spark, sf), views(spark, sf)).drop("date")
 
 
 NEWEST = "SELECT user_id, {f}, strftime(event_timestamp, '%Y-%m-%d %H:%M:%S') AS event_timestamp FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_timestamp DESC) AS rn FROM features_15m WHERE {w}) WHERE rn = 1".replace("{f}", F15)
@@ -845,19 +863,18 @@ def _(spark, sf):
     return layout.file_layout_report(table(spark, sf, "orders")).agg(F.sum("rows").alias("rows"), F.count("*").alias("files"))
 
 
-@query("lookup_benchmark", sql("SELECT count_if(user_id = 7) AS rows, true AS fewer_or_equal FROM silver"))
+@query("lookup_benchmark", sql("SELECT count_if(user_id = 7) AS rows, (count_if(user_id = 7) > 0)::BIGINT AS files_with_key, true AS of_several FROM silver"))
 def _(spark, sf):
     s = stored(spark, silver(spark, sf), "unclustered")
     path = shared_folder(spark, "clustered")
     layout.cluster_by_user(s, path, files=8)
-    before, after = layout.files_for_key(s, "user_id", 7), layout.files_for_key(spark.read.parquet(path), "user_id", 7)
-    both = before.select(F.col("files_with_key").alias("b")).join(after.select("rows", F.col("files_with_key").alias("a")))
-    return both.select("rows", (F.col("a") <= F.greatest("b", F.lit(1))).alias("fewer_or_equal"))
+    return layout.files_for_key(spark.read.parquet(path), "user_id", 7).select("rows", "files_with_key", (F.col("files") > 1).alias("of_several"))
 
 
-@query("stage_skew_metrics", None)
+@query("stage_skew_metrics", sql("SELECT count(*) AS partitions, min(n) AS min_rows, median(n) AS median_rows, max(n) AS max_rows FROM (SELECT count(*) AS n FROM raw GROUP BY coalesce(user_id, 0) % 16)", "raw"))
 def _(spark, sf):
-    return audit.partition_skew(canonical_events(spark, sf).repartition("user_id"))
+    # Dealt by the key itself, so that any engine can tell how full the partitions are.
+    return audit.partition_skew(canonical_events(spark, sf).repartitionById(16, (F.coalesce("user_id", F.lit(0)) % 16).cast("int")))
 
 
 # Table scaling and fault shaping
@@ -868,15 +885,18 @@ def _(spark, sf):
     return out.groupBy("replica").agg(F.min(C.event_timestamp("event_time")).alias("first_time"), F.count("*").alias("n"))
 
 
-@query("remap_users", None)
+@query("remap_users", sql(f"SELECT replica, count(DISTINCT moved) AS users, count_if(moved >= 1000000000) AS moved_rows FROM (SELECT replica, CASE WHEN replica > 0 AND {md5_bucket(100, USER, 'replica::VARCHAR')} < 30 THEN user_id + replica * 1000000000 ELSE user_id END AS moved FROM raw, (SELECT unnest(range(3))::INTEGER AS replica)) GROUP BY 1", "raw"))
 def _(spark, sf):
     return shape.remap_users(shape.replicate_time_shift(canonical_events(spark, sf), 3)).groupBy("replica").agg(F.count_distinct("user_id").alias("users"), F.count_if(F.col("user_id") >= 1_000_000_000).alias("moved_rows"))
 
 
-@query("jitter_prices", None)
+JITTER = f"price * (1 + ({md5_bucket(20_001, PRODUCT, 'replica::VARCHAR')} - 10000) / 1000000 * 5)"
+
+
+@query("jitter_prices", sql(f"SELECT replica, event_type, count(*) AS n, sum((CASE WHEN replica > 0 THEN round(({JITTER})::DECIMAL(20,6), 2) ELSE price END)::DECIMAL(18,2))::DOUBLE AS total FROM raw, (SELECT unnest(range(2))::INTEGER AS replica) GROUP BY ALL", "raw"))
 def _(spark, sf):
-    out = shape.jitter_prices(shape.replicate_time_shift(canonical_events(spark, sf), 2).withColumn("before", F.col("price")))
-    return out.groupBy("replica").agg(F.max(F.abs(F.col("price") / F.col("before") - 1)).alias("max_change"), F.count("*").alias("n"))
+    out = shape.jitter_prices(shape.replicate_time_shift(canonical_events(spark, sf), 2))
+    return out.groupBy("replica", "event_type").agg(F.count("*").alias("n"), C.money_sum("price").alias("total"))
 
 
 @query("suffix_sessions", sql("SELECT replica, user_session || CASE WHEN replica > 0 THEN '-r' || replica ELSE '' END AS user_session, count(*) AS n FROM (SELECT *, r::INTEGER AS replica FROM raw, range(2) x(r)) GROUP BY ALL", "raw"))
@@ -889,7 +909,12 @@ def _(spark, sf):
     return files.union_evolved(*shape.evolve_schema(canonical_events(spark, sf), EVOLUTION_DATE)).groupBy("discount_percent").agg(F.count("*").alias("n"))
 
 
-@query("inject_hot_keys", None)
+ROW = (USER, "event_time", PRODUCT, "event_type", "coalesce(price::DECIMAL(18,2)::VARCHAR, '~')")
+INJECTED = f"SELECT CASE WHEN {md5_bucket(10_000, *ROW)} < 3500 THEN 900000001 + {md5_bucket(3, "'hot'", *ROW)} ELSE user_id END AS user_id FROM raw"
+SKEW = "SELECT count(*) AS keys, sum(n)::BIGINT AS rows, max(n) AS max_rows, median(n) AS median_rows, (SELECT sum(n)::BIGINT FROM (SELECT n FROM counts ORDER BY n DESC, user_id LIMIT 3)) AS hot_rows FROM counts"
+
+
+@query("inject_hot_keys", sql(f"SELECT *, round(hot_rows / rows, 6) AS hot_ratio FROM (WITH counts AS (SELECT user_id, count(*) AS n FROM ({INJECTED}) WHERE user_id IS NOT NULL GROUP BY 1) {SKEW})", "raw"))
 def _(spark, sf):
     return audit.skew_profile(shape.inject_hot_keys(canonical_events(spark, sf), 0.35, [900_000_001, 900_000_002, 900_000_003]), "user_id")
 

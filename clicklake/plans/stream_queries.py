@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import shape
@@ -82,9 +83,13 @@ def _(spark, sf):
     return spark.read.schema("event_type string").json(folder).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("features_topic_sink", sql("SELECT user_id, f_views_15m, f_purchases_15m, $T(event_timestamp) AS event_timestamp FROM features_15m", "features_15m"))
+@query("features_topic_sink", sql("SELECT user_id, f_views_15m, f_purchases_15m, $T(event_timestamp) AS event_timestamp FROM features_15m WHERE user_id IS NOT NULL AND event_timestamp <= (SELECT max(event_timestamp) - INTERVAL 15 MINUTE FROM silver WHERE user_id IS NOT NULL)", "features_15m"))
 def _(spark, sf):
-    m = kafka.to_messages(features_15m(spark, sf), sinks.FEATURES)
+    """Features of windows that the watermark has passed, streamed as messages to files in place of a topic."""
+    topic = shared_folder(spark, "topic")
+    features = stream.hopping_features_15m(source(spark, sf))
+    sinks.features_topic_sink(features, topic, shared_folder(spark, "checkpoint"), "json").trigger(availableNow=True).start().awaitTermination()
+    m = spark.read.schema("key string, value string").json(topic)
     f = F.from_json("value", "user_id bigint, f_views_15m bigint, f_purchases_15m bigint, event_timestamp timestamp").alias("f")
     return m.filter(F.col("key").isNotNull()).select(f).select("f.*")
 
@@ -98,12 +103,61 @@ def _(spark, sf):
     return a.unionAll(spark.read.schema("user_id bigint").json(f"{folder}/b").select("user_id")).agg(F.count("*").alias("n"))
 
 
-@query("late_row_metrics", sql("SELECT count(*) AS rows FROM raw WHERE user_id IS NOT NULL", "raw"))
+#: Which part of the events arrives when: ten days after ten days, and every seventh row of all with the last.
+PART = "CASE WHEN (length(event_time) + coalesce(product_id, 0)) % 7 = 0 THEN 3 WHEN event_time < '2024-01-11' THEN 0 WHEN event_time < '2024-01-21' THEN 1 ELSE 2 END"
+ARRIVED = f"(SELECT *, max(t) OVER (ORDER BY part RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM (SELECT *, {PART} AS part, strptime(event_time, '%Y-%m-%d %H:%M:%S UTC') AS t FROM raw WHERE user_id IS NOT NULL))"
+
+
+def in_turns(spark: SparkSession, sf: str, start) -> None:
+    """Part after part of the events arrives, and start(stream) runs over what is new, each time on its one checkpoint."""
+    folder = shared_folder(spark, "arriving")
+    rows = canonical_events(spark, sf).withColumn("part", F.expr(PART))
+    for part in range(4):
+        kafka.to_messages(rows.filter(F.col("part") == part), NEW_COLUMNS).select("value").write.mode("append").text(folder)
+        start(kafka.text_events_source(spark, folder, max_files=1_000))
+
+
+@query("late_row_metrics", sql(f"SELECT part::BIGINT AS batch, count_if(late) AS late, count_if(NOT late) AS on_time FROM (SELECT part, coalesce(t < seen - INTERVAL 5 MINUTE, false) AS late FROM {ARRIVED}) GROUP BY 1", "raw"))
+def _(spark, sf):
+    """Rows behind all that came before their micro-batch: apart and counted, four micro-batches with restarts between."""
+    folder, checkpoint = shared_folder(spark, "late"), shared_folder(spark, "checkpoint")
+    sink = sinks.late_side_output(folder, 300)
+    in_turns(spark, sf, lambda s: s.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
+    sides = [spark.read.schema("user_id bigint, batch bigint").parquet(f"{folder}/{side}").select("batch", F.lit(side).alias("side")) for side in ("late", "on_time")]
+    both = sides[0].unionByName(sides[1])
+    return both.groupBy("batch").agg(F.count_if(F.col("side") == "late").alias("late"), F.count_if(F.col("side") == "on_time").alias("on_time"))
+
+
+@query("event_time_watermark", sql(f"SELECT DISTINCT user_id, event_time, product_id, event_type FROM {ARRIVED} WHERE coalesce(t > seen - INTERVAL 15 MINUTE, true)", "raw"))
 def _(spark, sf):
-    folder = shared_folder(spark, "late")
-    q = source(spark, sf).writeStream.foreachBatch(sinks.late_side_output(folder, 300)).option("checkpointLocation", shared_folder(spark, "checkpoint"))
-    q.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/late").select("user_id").unionAll(spark.read.parquet(f"{folder}/on_time").select("user_id")).agg(F.count("*").alias("rows"))
+    """What a stream with a watermark keeps of events that arrive in turns: late ones are dropped, each key comes once."""
+    folder, checkpoint = shared_folder(spark, "sink"), shared_folder(spark, "checkpoint")
+    kept = lambda s: stream.stream_dedup(stream.event_time_watermark(s)).select("user_id", "event_time", "product_id", "event_type")
+    in_turns(spark, sf, lambda s: stream.run_to_end(kept(s), folder, checkpoint))
+    return spark.read.parquet(folder)
+
+
+@query("exactly_once_restart", sql("SELECT event_type, count(*) AS n FROM raw WHERE user_id IS NOT NULL GROUP BY 1", "raw"))
+def _(spark, sf):
+    """A stream whose second micro-batch fails after its write, started again on its checkpoint: every row once."""
+    folder, checkpoint = shared_folder(spark, "once"), shared_folder(spark, "checkpoint")
+    write, failed = sinks.batch_folder(folder), []
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        write(batch, batch_id)
+        if batch_id == 1 and not failed:
+            failed.append(batch_id)
+            raise RuntimeError("the write is done, its commit is not")
+
+    def start(s: DataFrame) -> None:
+        run = lambda: s.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        try:
+            run()
+        except StreamingQueryException:
+            run()
+
+    in_turns(spark, sf, start)
+    return spark.read.schema("event_type string").parquet(folder).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 @query("micro_batch_push", QUERIES["push_features"][1])
@@ -122,13 +176,17 @@ def _(spark, sf):
     return finished(spark, state.running_user_state(rows), "append").select("user_id", "row_time", "f_views_15m", "f_purchases_15m")
 
 
-@query("stream_prediction_outcome", None)
+@query("stream_prediction_outcome", sql(f"""SELECT p.user_id, $T(p.prediction_timestamp) AS prediction_timestamp, (b.user_id IS NOT NULL)::INTEGER AS target_purchase_1h, count(*) AS n FROM candidates p
+  LEFT JOIN (SELECT user_id, strptime(event_time, '%Y-%m-%d %H:%M:%S UTC') AS t FROM raw WHERE event_type = 'purchase' AND user_id IS NOT NULL) b ON b.user_id = p.user_id AND b.t >= p.prediction_timestamp AND b.t < p.prediction_timestamp + INTERVAL 1 HOUR
+  WHERE b.user_id IS NOT NULL OR p.prediction_timestamp + INTERVAL 1 HOUR < (SELECT max(prediction_timestamp) - INTERVAL 15 MINUTE FROM candidates) GROUP BY ALL""", "candidates"))
 def _(spark, sf):
     folder = shared_folder(spark, "predictions")
     predictions(spark, sf).write.parquet(folder)
     p = spark.readStream.schema("user_id bigint, prediction_timestamp timestamp, prediction_id string").parquet(folder)
     bought = source(spark, sf).filter("event_type = 'purchase'").select("user_id", "row_time")
-    return finished(spark, state.stream_prediction_outcome(p, bought), "append")
+    # Outcomes that are known; a prediction without a purchase whose hour the watermark has not passed is still open.
+    out = finished(spark, state.stream_prediction_outcome(p, bought), "append")
+    return out.groupBy("user_id", "prediction_timestamp", "target_purchase_1h").agg(F.count("*").alias("n"))
 
 
 @query("arrival_order_lateness", "SELECT count(*) AS events, count_if(event_id % 20 = 0) AS delayed FROM events")

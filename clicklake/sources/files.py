@@ -92,11 +92,12 @@ def read_table_by_format(spark: SparkSession, path: str, fmt: str = "parquet") -
 def parse_event_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """Text lines of nine fields as typed events, or as rejects with a reason.
 
-    A line of fewer fields or with a number that is none is rejected; an empty price is 0.0, other empty fields are null.
+    A line of fewer fields (commas inside quotes part none) or with a number that is none is rejected; an empty price is
+    0.0, other empty fields are null.
     """
     names = ", ".join(f"{c} string" for c in OLD_COLUMNS)
     f = F.from_csv(F.col(column), names, {"mode": "PERMISSIVE"})
-    parts = lines.select(F.col(column).alias("line"), f.alias("f"), F.size(F.split(F.col(column), ",")).alias("fields"))
+    parts = lines.select(F.col(column).alias("line"), f.alias("f"), F.size(F.split(F.regexp_replace(F.col(column), r'(^|,)"(?:[^"\\]|""|\\.)*"', "$1"), ",")).alias("fields"))
     empty = lambda c: F.nullif(F.trim(F.col(f"f.{c}")), F.lit(""))
     number = lambda c, t: empty(c).try_cast(t)
     bad = lambda c, t: empty(c).isNotNull() & number(c, t).isNull()

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.online import PushTarget
 from ..sources.kafka import to_messages
+from ..storage import exists
 
 FEATURES = ["user_id", "f_views_15m", "f_carts_15m", "f_purchases_15m", "total_spend_15m", "event_timestamp", "created"]
 
@@ -18,9 +19,10 @@ def stage_events_sink(events: DataFrame, folder: str, checkpoint: str) -> DataSt
     return events.writeStream.format("json").option("path", folder).option("checkpointLocation", checkpoint).trigger(processingTime="1 minute")
 
 
-def features_topic_sink(features: DataFrame, servers: str, topic: str, checkpoint: str) -> DataStreamWriter:
-    """Features as JSON messages keyed by user."""
-    return to_messages(features, FEATURES).writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint)
+def features_topic_sink(features: DataFrame, topic: str, checkpoint: str, fmt: str = "kafka", **options: str) -> DataStreamWriter:
+    """Features as JSON messages keyed by user, to a Kafka topic, or by another connector to a place named `topic`."""
+    name = {"topic": topic} if fmt == "kafka" else {"path": topic}
+    return to_messages(features, FEATURES).writeStream.format(fmt).options(**name, **options).option("checkpointLocation", checkpoint)
 
 
 def console_sink(features: DataFrame) -> DataStreamWriter:
@@ -52,16 +54,22 @@ def micro_batch_push(features: DataFrame, target: PushTarget, checkpoint: str) -
 
 
 def late_side_output(folder: str, allowed_seconds: int) -> Callable[[DataFrame, int], None]:
-    """A sink that writes rows apart that are behind the greatest time of their batch by more than allowed.
+    """A sink that writes rows apart that are behind the greatest time of all earlier batches by more than allowed.
 
-    On time and late rows go to `on_time` and `late` under the batch's id, so late ones are counted and not lost.
+    On time and late rows go to `on_time` and `late` under the batch's id, so late ones are counted and not lost. The greatest
+    time up to each batch is kept beside them, a row a batch, so a batch that comes again is judged alike.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         batch = batch.persist()
         try:
-            last = batch.agg(F.max("row_time").alias("_last"))
-            marked = batch.join(F.broadcast(last)).withColumn("_late", F.unix_timestamp("_last") - F.unix_timestamp("row_time") > allowed_seconds)
+            path = f"{folder}/last/batch={batch_id - 1}"
+            seen = spark.read.schema("_last timestamp").parquet(path) if exists(spark, path) else spark.createDataFrame([(None,)], "_last timestamp")
+            last = seen.unionByName(batch.select(F.col("row_time").alias("_last"))).agg(F.max("_last").alias("_last"))
+            last.coalesce(1).write.mode("overwrite").parquet(f"{folder}/last/batch={batch_id}")
+            behind = F.unix_timestamp("_last") - F.unix_timestamp("row_time") > allowed_seconds
+            marked = batch.join(F.broadcast(seen)).withColumn("_late", F.coalesce(behind, F.lit(False)))
             for name, rows in (("late", marked.filter("_late")), ("on_time", marked.filter("not _late"))):
                 rows.drop("_late", "_last").write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
         finally:

@@ -13,32 +13,59 @@ _STATE = "times array<long>, kinds array<string>, prices array<double>"
 _WINDOW = 900_000_000
 
 
+def window_features(old: tuple[list, list, list], new: tuple[list, list, list]) -> tuple[list[tuple], tuple[list, list, list]]:
+    """The four features over [t - 15 min, t) for each new event in order of time, and the events that later ones can see.
+
+    Events are (microseconds, kinds, prices). Two pointers go over all of them once, so the work is linear in their number.
+    """
+    past = sorted(zip(*(a + b for a, b in zip(old, new))), key=lambda x: x[0])
+    counts, cents, first, last, out = {"view": 0, "cart": 0, "purchase": 0}, 0, 0, 0, []
+
+    def count(event: tuple, sign: int) -> int:
+        counts[event[1]] = counts.get(event[1], 0) + sign
+        return sign * round((event[2] or 0) * 100) if event[1] == "purchase" else 0
+
+    for t in sorted(new[0]):
+        while last < len(past) and past[last][0] < t:
+            cents += count(past[last], 1)
+            last += 1
+        while first < last and past[first][0] < t - _WINDOW:
+            cents += count(past[first], -1)
+            first += 1
+        out.append((t, counts["view"], counts["cart"], counts["purchase"], cents / 100))
+    kept = [p for p in past if p[0] >= past[-1][0] - _WINDOW]
+    return out, tuple(map(list, zip(*kept)))
+
+
+def _columns(frames: Iterator[pd.DataFrame]) -> tuple[list, list, list]:
+    rows = pd.concat(list(frames))
+    prices = [None if pd.isna(x) else float(x) for x in rows["price"]]
+    return rows["row_time"].astype("datetime64[us]").astype("int64").tolist(), rows["event_type"].tolist(), prices
+
+
+def _frame(user: int, found: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(found, columns=["row_time", "f_views_15m", "f_carts_15m", "f_purchases_15m", "total_spend_15m"])
+    out.insert(0, "user_id", user)
+    out["row_time"] = pd.to_datetime(out["row_time"], unit="us")
+    return out
+
+
 def running_user_state(events: DataFrame) -> DataFrame:
     """For each event, in order of time within its micro-batch, the four features over [t - 15 min, t).
 
     A user's state holds only events of the last fifteen minutes; a timer on the watermark drops it when they have passed.
-    Events of one microsecond do not count for each other. Spend is summed in cents.
+    Events of one microsecond do not count for each other. Spend is summed in cents. Smaller micro-batches bound what a
+    user brings at once.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        times, kinds, prices = map(list, state.get) if state.exists else ([], [], [])
-        rows = pd.concat(list(frames)).sort_values("row_time", kind="stable")
-        new = rows["row_time"].astype("datetime64[us]").astype("int64").tolist()
-        past = sorted(zip([*times, *new], [*kinds, *rows["event_type"]], [*prices, *rows["price"]]), key=lambda x: x[0])
-        out = []
-        for t, stamp in zip(new, rows["row_time"]):
-            seen = [p for p in past if t - _WINDOW <= p[0] < t]
-            count = lambda k: sum(p[1] == k for p in seen)
-            cents = sum(round((p[2] or 0) * 100) for p in seen if p[1] == "purchase")
-            out.append((key[0], stamp, count("view"), count("cart"), count("purchase"), cents / 100))
-        last = max(p[0] for p in past)
-        kept = [p for p in past if p[0] > last - _WINDOW]
-        state.update(tuple(map(list, zip(*kept))))
-        state.setTimeoutTimestamp(max(last // 1000 + _WINDOW // 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["user_id", "row_time", "f_views_15m", "f_carts_15m", "f_purchases_15m", "total_spend_15m"])
+        found, kept = window_features(tuple(map(list, state.get)) if state.exists else ([], [], []), _columns(frames))
+        state.update(kept)
+        state.setTimeoutTimestamp(max(kept[0][-1] // 1000 + _WINDOW // 1000, state.getCurrentWatermarkMs() + 1))
+        yield _frame(key[0], found)
 
     rows = events.select("user_id", "row_time", "event_type", "price")
     return rows.groupBy("user_id").applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)

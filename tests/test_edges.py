@@ -160,3 +160,118 @@ def test_plans_have_no_python_and_prune_dates(spark):
     write_partitioned(silver(spark, "/root/testdata/sf0.001"), path)
     plan = features.user_features_30d(spark.read.parquet(path), "2024-01-10", "2024-01-10")._jdf.queryExecution().toString()
     assert "Python" not in plan and "PartitionFilters: [isnotnull(date" in plan
+
+
+def test_as_of_joins_of_hot_and_null_keys(spark):
+    """A key with most rows over many days, and null keys: the same rows as pairing, in groups of a day."""
+    f = spark.range(300).selectExpr("if(id % 3 = 0, id % 7, 1) as user_id", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, cast(id * 5 as int)) as event_timestamp", "cast(id as int) as x")
+    f = f.withColumn("created", F.col("event_timestamp"))
+    probe = spark.range(400).selectExpr("if(id % 5 = 0, null, if(id % 4 = 0, id % 9, 1)) as user_id", "timestamp'2024-01-01 00:30:00' + make_interval(0, 0, 0, 0, cast(id * 4 as int)) as at", "id as n")
+    out = {r["n"]: r["x"] for r in training.pit_join(probe, training.FeatureView("v", f, ("x",), "3 days"), "at").collect()}
+    assert len(out) == 400
+    pairs = probe.join(f.withColumnRenamed("user_id", "u"), F.expr("user_id = u and event_timestamp <= at and event_timestamp >= at - interval 3 days"), "left")
+    want = {r["n"]: r["x"] for r in pairs.groupBy("n").agg(F.max_by("x", "event_timestamp").alias("x")).collect()}
+    assert out == want
+
+
+def test_join_plans(spark):
+    """J1 broadcasts a dimension of known size, J2 merges, J3 is left to adaptive execution with skew handling on."""
+    ev = frame(spark, "('small.a',1L,2.0D),('large.b',2L,3.0D)", "category_code,user_id,price")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    dim = model.category_dim(ev)
+    assert "BroadcastHashJoin" in plan(model.category_join(ev, dim, "broadcast"))
+    assert "SortMergeJoin" in plan(model.category_join(ev, dim, "merge"))
+    assert spark.conf.get("spark.sql.adaptive.enabled") == spark.conf.get("spark.sql.adaptive.skewJoin.enabled") == "true"
+    assert "AdaptiveSparkPlan" in plan(skew.user_join(ev, frame(spark, "(1L,'VIP')", "user_id,tier"), "merge"))
+
+
+def test_scans_read_what_is_asked(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").groupBy("o_orderstatus").agg(F.count_distinct("o_custkey"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<o_custkey:" in plan and "o_totalprice" not in plan
+
+
+def test_push_target_stays_small_and_takes_batches_again(spark):
+    from clicklake.storage import names
+
+    target = online.PushTarget(spark, shared_folder(spark, "push"), "online", buckets=4)
+    batch = lambda k: spark.range(k, k + 6).selectExpr("id as user_id", f"timestamp'2024-01-10 10:00:0{k}' as event_timestamp", f"timestamp'2024-01-10 10:00:0{k}' as created", f"{k} as x")
+    want = {}
+    for k in (0, 1, 2, 2, 3, 4, 4):
+        target.push(batch(k), k)
+        want |= {u: k for u in range(k, k + 6)}
+        assert {r["user_id"]: r["x"] for r in target.online(k).collect()} == want
+    kept = [b for v in names(spark, f"{target.folder}/online") for b in names(spark, f"{target.folder}/online/{v}") if b.startswith("bucket=")]
+    assert all(kept.count(b) <= 2 for b in kept)
+
+
+def test_materializer_saves_its_cursor(spark):
+    f = spark.range(10).selectExpr("id % 3 as user_id", "timestamp'2024-01-10' + make_interval(0, 0, 0, cast(id as int)) as event_timestamp", "timestamp'2024-01-10' as created", "id as x")
+    folder = shared_folder(spark, "cursor")
+    for now, best in (("2024-01-12", {0: 0, 1: 1}), ("2024-01-15", {0: 3, 1: 4, 2: 2}), ("2024-01-15", {0: 3, 1: 4, 2: 2})):
+        out = online.Materializer(spark, folder, "2024-01-01").run(f, now)
+        assert {r["user_id"]: r["x"] for r in out.collect()} == best
+    assert [c for _, c in online.Materializer(spark, folder, "2024-01-01").cursors()] == ["2024-01-12", "2024-01-15", "2024-01-15"]
+
+
+def test_running_state_equals_pairing():
+    import random
+
+    from clicklake.streaming.state import window_features
+
+    draw, minute = random.Random(1), 60_000_000
+    events_ = sorted(((draw.randrange(200) * minute // 4, draw.choice(["view", "cart", "purchase"]), draw.choice([1.25, None, 3.5])) for _ in range(300)), key=lambda e: e[0])
+    state, got = ([], [], []), []
+    for i in range(0, 300, 37):
+        out, state = window_features(state, tuple(map(list, zip(*events_[i : i + 37]))))
+        got += out
+    for i, (t, views, carts, bought, spend) in enumerate(got):
+        upto = events_[: min(300, (i // 37 + 1) * 37)]
+        seen = [e for e in upto if t - 15 * minute <= e[0] < t]
+        assert (views, carts, bought) == tuple(sum(e[1] == k for e in seen) for k in ("view", "cart", "purchase"))
+        assert spend == sum(round((e[2] or 0) * 100) for e in seen if e[1] == "purchase") / 100
+
+
+def test_late_rows_are_dropped_and_counted(spark):
+    from clicklake.sources import kafka
+    from clicklake.streaming import features as stream
+
+    folder, sink, check = (shared_folder(spark, n) for n in ("files", "sink", "check"))
+    event = lambda t, u: (f'{{"event_time": "2024-01-10 {t} UTC", "event_type": "view", "user_id": {u}}}',)
+    dropped = 0
+    for part in ([event("10:00:00", 1), event("11:00:00", 2)], [event("10:30:00", 3), event("10:59:59", 4), event("11:10:00", 5)]):
+        spark.createDataFrame(part, "value string").coalesce(1).write.mode("append").text(folder)
+        q = stream.run_to_end(stream.stream_dedup(stream.event_time_watermark(kafka.text_events_source(spark, folder), "2 seconds"), ["user_id"]), sink, check)
+        dropped += stream.dropped_by_watermark(q)
+    assert sorted(r["user_id"] for r in spark.read.parquet(sink).select("user_id").collect()) == [1, 2, 4, 5] and dropped == 1
+
+
+def test_jobs_run_by_layer_and_stop_at_a_failed_gate(spark):
+    from clicklake.plans import jobs
+    from clicklake.sources.canonical import canonical_events
+
+    root, raw = shared_folder(spark, "lake"), canonical_events(spark, "/root/testdata/sf0.001")
+    with pytest.raises(quality.GateError):
+        jobs.write_bronze(spark, raw.withColumn("user_id", F.lit(None).cast("bigint")), root)
+    good = raw.filter("user_id is not null and event_type is not null")
+    try:
+        jobs.write_bronze(spark, good, root)
+    except quality.GateError as e:
+        pytest.fail(str(e))
+    jobs.write_silver_and_gold(spark, root)
+    jobs.write_features_and_labels(spark, root, "2024-01-29", "2024-02-01")
+    assert all(not spark.read.parquet(p).isEmpty() for p in jobs.paths(root).values())
+
+
+def test_times_with_fractions_and_offsets(spark):
+    from clicklake.functions.columns import any_timestamp
+
+    texts = ["2024-01-10T10:00:00Z", "2024-01-10 10:00:00 UTC", "2024-01-10T12:00:00+02:00", "2024-01-10 10:00:00.250000", "2024-01-10", "x", "2024", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.date_format(any_timestamp("t"), "yyyy-MM-dd HH:mm:ss.SSS").alias("t"))
+    ten = "2024-01-10 10:00:00.000"
+    assert [r["t"] for r in df.collect()] == [ten, ten, ten, "2024-01-10 10:00:00.250", "2024-01-10 00:00:00.000", None, None, None]
+
+
+def test_short_lines_with_quoted_commas(spark):
+    out = parse_event_lines(spark.createDataFrame([('2019-10-26 10:00:00 UTC,view,1,2,code,"a,b",1.5,7',), ('2019-10-26 10:00:00 UTC,view,1,2,code,"a,b",1.5,7,s',)], "value string")).collect()
+    assert [r["reject_reason"] for r in out] == ["short line", None]
