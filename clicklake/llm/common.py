@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..storage import shared_folder
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -44,22 +43,6 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir of the session.
-
-    A local session without that setting (as in tests) gets a temporary folder; on a cluster its absence is an
-    error, because other machines could not read what one of them keeps in a folder of its own.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    base = tempfile.mkdtemp(prefix="clicklake-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
 class Scratch:
     """A folder of its own under the shared folder, for tables that cut lineage and for the operators' files.
 
@@ -67,7 +50,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.path, self._n = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", 0
+        self.spark, self.path, self._n = spark, shared_folder(spark, label), 0
 
     def cut(self, df: DataFrame, label: str) -> DataFrame:
         """Write `df` and return the written table."""

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Scratch, filesystem, read_table, with_row_key, write_once
+from .common import filesystem, join_counted, read_table, Scratch, with_row_key, write_once
 
 WIDTH, LEVEL = 64, 6
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -125,13 +125,14 @@ def write_media(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
 
     keyed = with_row_key(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "row_key").select("row_key", "doc_id", "text")
     rows = scratch.cut(keyed.mapInArrow(write, "row_key long, doc_id long, n_bytes long, digest string, shard string, offset long, length long"), "written")
-    first = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
-    return folder, scratch.cut(rows.select("row_key", "doc_id", "n_bytes", "digest").join(first, "digest"), "catalog")
+    first = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at"), F.count("*").alias("n")).select("digest", "n", "at.*")
+    first = scratch.cut(first, "places")
+    return folder, scratch.cut(join_counted(rows.select("row_key", "doc_id", "n_bytes", "digest"), first, "digest", "n", rows.count()), "catalog")
 
 
 def contents(catalog: DataFrame) -> DataFrame:
-    """digest, shard, offset, length: one row per content, dealt so that a task reads one stretch of a shard in order."""
-    own = catalog.groupBy("digest").agg(F.first("shard").alias("shard"), F.first("offset").alias("offset"), F.first("length").alias("length"))
+    """digest, shard, offset, length, copies: one row per content, dealt so that a task reads one stretch of a shard in order."""
+    own = catalog.groupBy("digest").agg(F.first("shard").alias("shard"), F.first("offset").alias("offset"), F.first("length").alias("length"), F.count("*").alias("copies"))
     return own.withColumn("block", F.floor(F.col("offset") / (8 << 20))).repartition("shard", "block").sortWithinPartitions("shard", "offset").drop("block")
 
 
@@ -188,4 +189,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, catalog = write_media(spark, read_table(spark, sf_dir, "documents"))
     read = with_features(folder, with_metadata(folder, contents(catalog)))
     columns = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth"]
-    return catalog.select("doc_id", "n_bytes", "digest").join(read.select("digest", *columns), "digest").select("doc_id", "n_bytes", *columns)
+    read = Scratch(spark, "media-read").cut(read.select("digest", "copies", *columns), "features")
+    return join_counted(catalog.select("doc_id", "n_bytes", "digest"), read, "digest", "copies", catalog.count()).select("doc_id", "n_bytes", *columns)
