@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..schemas import REQUIRED, WAREHOUSE_TYPES, schema
+
 
 def cluster_by_user(df: DataFrame, path: str, key: str = "user_id", files: int | None = None) -> None:
     """Rewrite so that each file holds a range of keys, sorted: a lookup reads the files whose statistics hold its key."""
@@ -26,10 +28,6 @@ def file_layout_report(df: DataFrame) -> DataFrame:
     return df.groupBy(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("file_size")).agg(F.count("*").alias("rows"))
 
 
-def layout_summary(df: DataFrame) -> DataFrame:
-    return file_layout_report(df).agg(F.count("*").alias("files"), F.sum("file_size").alias("bytes"), F.avg("file_size").alias("avg_bytes"), F.sum("rows").alias("rows"))
-
-
 def files_for_key(df: DataFrame, key: str, value: int) -> DataFrame:
     """How many files hold rows of a key, and how many there are: what a lookup must and could read."""
     f = F.col("_metadata.file_path")
@@ -68,5 +66,11 @@ def warehouse_projection(df: DataFrame, types: dict[str, str], required: list[st
     return df.select(*(F.col(c).try_cast(t).alias(c) for c, t in types.items())).dropna(subset=required)
 
 
+def warehouse_table(df: DataFrame, name: str) -> DataFrame:
+    """A canonical table as the warehouse declares it: its columns and types, amounts as decimals, rows that lack a required value left out."""
+    types = {f.name: WAREHOUSE_TYPES.get(f.name, f.dataType.simpleString()) for f in schema(name)}
+    return warehouse_projection(df, types, REQUIRED[name])
+
+
 def write_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str]) -> None:
     df.write.mode("append").jdbc(url, table, properties=properties)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import columns as C
 from ..operators import audit, events as ev, features, labels, layout, model, online, quality, shape, skew, training
-from ..schemas import KEYS, NEW_COLUMNS, OLD_COLUMNS
+from ..schemas import KEYS, NEW_COLUMNS, OLD_COLUMNS, REQUIRED
 from ..sources import files, kafka
 from ..sources.canonical import AS_OF, EVOLUTION_DATE, canonical_events, plain, sql, table
 from ..storage import shared_folder, stored
@@ -219,6 +219,27 @@ def _(spark, sf):
     return out.select("product_id", "brand", F.col("price").cast("double").alias("price"), F.col("discount_percent").cast("double").alias("discount"))
 
 
+WAREHOUSE = {"raw_events": ("raw", "price"), "stg_events": ("silver", "price"), "dim_product": ("dim_product", "price"), "fact_user_events": ("fact", "price"), "feat_user_30d": ("features_30d", "f_spend_30d")}
+STORED = " UNION ALL ".join(
+    f"SELECT '{name}' AS table, count(*) AS rows, coalesce(sum({amount}::DECIMAL(12,2)), 0)::DOUBLE AS amount FROM {source}"
+    + (" WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in REQUIRED[name]) if REQUIRED[name] else "")
+    for name, (source, amount) in WAREHOUSE.items()
+)
+
+
+@query("warehouse_tables", sql(STORED, "features_30d"))
+def _(spark, sf):
+    raw, s = canonical_events(spark, sf), stored(spark, silver(spark, sf), "silver")
+    dim = model.dim_product_scd2(s)
+    tables = {"raw_events": raw, "stg_events": s, "dim_product": dim, "fact_user_events": model.fact_user_events(s, dim), "feat_user_30d": features.user_features_30d(s, DAY, "2024-02-01")}
+    out = None
+    for name, (_, amount) in WAREHOUSE.items():
+        held = layout.warehouse_table(tables[name], name)
+        row = held.agg(F.lit(name).alias("table"), F.count("*").alias("rows"), F.coalesce(F.sum(amount), F.lit(0)).cast("double").alias("amount"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("offline_feature_upgrade", sql("SELECT user_id, f_views_30d, 0::BIGINT AS f_carts_30d FROM features_30d", "features_30d"))
 def _(spark, sf):
     full = features_30d(spark, sf).select("user_id", "f_views_30d", "f_carts_30d")

@@ -35,6 +35,19 @@ KEYS = {
 }
 
 
+#: What the warehouse's tables declare beyond DDL, types of amounts and columns that are never null.
+WAREHOUSE_TYPES = {"price": "decimal(10,2)", "discount_percent": "decimal(5,2)", "f_spend_30d": "decimal(12,2)"}
+REQUIRED = {
+    "raw_events": [],
+    "stg_events": ["event_timestamp", "date", "event_type", "product_id", "user_id"],
+    "dim_product": ["product_sk", "product_id", "valid_from_ts", "is_current"],
+    "dim_user": ["user_id"],
+    "fact_user_events": ["event_id", "event_timestamp", "date", "user_id", "product_sk", "event_type"],
+    "feat_user_30d": ["user_id", "event_timestamp", "date"],
+    "user_labels": ["user_id", "prediction_timestamp", "target_purchase_1h", "date"],
+}
+
+
 def schema(name: str) -> StructType:
     return StructType.fromDDL(DDL[name])
 

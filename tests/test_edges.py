@@ -275,3 +275,13 @@ def test_times_with_fractions_and_offsets(spark):
 def test_short_lines_with_quoted_commas(spark):
     out = parse_event_lines(spark.createDataFrame([('2019-10-26 10:00:00 UTC,view,1,2,code,"a,b",1.5,7',), ('2019-10-26 10:00:00 UTC,view,1,2,code,"a,b",1.5,7,s',)], "value string")).collect()
     assert [r["reject_reason"] for r in out] == ["short line", None]
+
+
+def test_console_sink_takes_a_stream(spark):
+    from clicklake.streaming.sinks import console_sink
+
+    folder = shared_folder(spark, "rows")
+    spark.range(3).write.parquet(folder)
+    q = console_sink(spark.readStream.schema("id long").parquet(folder)).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert q.exception() is None and sum(p["numInputRows"] for p in q.recentProgress) == 3
