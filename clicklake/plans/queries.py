@@ -133,7 +133,9 @@ def _(spark, sf):
     return spark.read.parquet(bronze).select(*NEW_COLUMNS)
 
 
-@query("kafka_events_source", sql("SELECT event_type, count(*) AS n, $T(min(strptime(event_time, '%Y-%m-%d %H:%M:%S UTC'))) AS first_time FROM raw GROUP BY 1", "raw"))
+@query("kafka_events_source", sql("""SELECT event_type, count(*) AS n, $T(min(strptime(event_time, '%Y-%m-%d %H:%M:%S UTC'))) AS first_time
+  FROM raw
+  GROUP BY 1""", "raw"))
 def _(spark, sf):
     parsed = kafka.parse_messages(kafka.to_messages(canonical_events(spark, sf)))
     return parsed.groupBy("event_type").agg(F.count("*").alias("n"), F.min("row_time").alias("first_time"))
@@ -155,7 +157,10 @@ def _(spark, sf):
     return kafka.kafka_records_with_metadata(messages).select("partition", "offset", "key", "user_id", "event_type", "event_timestamp")
 
 
-@query("parse_event_lines", sql("SELECT event_time, event_type, CASE WHEN e % 3 = 0 THEN NULL ELSE product_id END AS product_id, CASE WHEN e % 5 = 0 THEN 0.0 ELSE price END AS price, CASE WHEN e % 3 = 0 THEN 'bad product_id' END AS reject_reason FROM (SELECT *, length(event_time) + coalesce(product_id, 0) AS e FROM raw)", "raw"))
+@query("parse_event_lines", sql("""SELECT event_time, event_type, CASE WHEN e % 3 = 0 THEN NULL ELSE product_id END AS product_id, CASE WHEN e % 5 = 0 THEN 0.0 ELSE price END AS price,
+    CASE WHEN e % 3 = 0 THEN 'bad product_id' END AS reject_reason
+  FROM (SELECT *, length(event_time) + coalesce(product_id, 0) AS e
+  FROM raw)""", "raw"))
 def _(spark, sf):
     raw = canonical_events(spark, sf).withColumn("e", F.length("event_time") + F.coalesce("product_id", F.lit(0)))
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -208,12 +213,19 @@ def _(spark, sf):
     return spark.read.parquet(path)
 
 
-@query("warehouse_copy", sql("SELECT user_id, brand, category_level1 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY brand, category_level1) AS rn FROM silver WHERE user_id IS NOT NULL) WHERE rn = 1"))
+@query("warehouse_copy", sql("""SELECT user_id, brand, category_level1
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id
+  ORDER BY brand, category_level1) AS rn
+  FROM silver
+  WHERE user_id IS NOT NULL)
+  WHERE rn = 1"""))
 def _(spark, sf):
     return layout.warehouse_copy(silver(spark, sf), ["user_id", "brand", "category_level1"], "user_id")
 
 
-@query("warehouse_projection", sql("SELECT product_id, brand, price::DECIMAL(10,2)::DOUBLE AS price, discount_percent::DOUBLE AS discount FROM silver WHERE product_id IS NOT NULL AND brand IS NOT NULL"))
+@query("warehouse_projection", sql("""SELECT product_id, brand, price::DECIMAL(10,2)::DOUBLE AS price, discount_percent::DOUBLE AS discount
+  FROM silver
+  WHERE product_id IS NOT NULL AND brand IS NOT NULL"""))
 def _(spark, sf):
     out = layout.warehouse_projection(silver(spark, sf), {"product_id": "bigint", "brand": "string", "price": "decimal(10,2)", "discount_percent": "decimal(5,2)"}, ["product_id", "brand"])
     return out.select("product_id", "brand", F.col("price").cast("double").alias("price"), F.col("discount_percent").cast("double").alias("discount"))
@@ -256,35 +268,45 @@ def _(spark, sf):
 
 # Scalar functions
 
-@query("cast_and_null", sql("SELECT count(*) AS n, count(TRY_CAST(brand AS BIGINT)) AS brands_as_numbers, count(TRY_CAST(user_id::VARCHAR AS BIGINT)) AS users, 0::BIGINT AS nulls FROM raw", "raw"))
+@query("cast_and_null", sql("""SELECT count(*) AS n, count(TRY_CAST(brand AS BIGINT)) AS brands_as_numbers, count(TRY_CAST(user_id::VARCHAR AS BIGINT)) AS users, 0::BIGINT AS nulls
+  FROM raw""", "raw"))
 def _(spark, sf):
     return canonical_events(spark, sf).agg(F.count("*").alias("n"), F.count(F.col("brand").try_cast("bigint")).alias("brands_as_numbers"), F.count(F.col("user_id").cast("string").try_cast("bigint")).alias("users"), F.count(F.lit(None).cast("int")).alias("nulls"))
 
 
-@query("time_functions", sql("SELECT event_time, $T(event_timestamp) AS parsed, $T(event_timestamp) AS parsed_prefix, $D(date) AS date, $D(date - 30) AS month_before, $D(date + 1) AS day_after, $T(date_trunc('minute', event_timestamp)) AS minute, $T(event_timestamp + INTERVAL 1 HOUR) AS hour_later, replace(event_time, ' UTC', '') AS stripped, event_time[1:10] AS day_text FROM silver"))
+@query("time_functions", sql("""SELECT event_time, $T(event_timestamp) AS parsed, $T(event_timestamp) AS parsed_prefix, $D(date) AS date, $D(date - 30) AS month_before,
+    $D(date + 1) AS day_after, $T(date_trunc('minute', event_timestamp)) AS minute, $T(event_timestamp + INTERVAL 1 HOUR) AS hour_later,
+    replace(event_time, ' UTC', '') AS stripped, event_time[1:10] AS day_text
+  FROM silver"""))
 def _(spark, sf):
     t, d = C.event_timestamp("event_time"), F.to_date(C.event_timestamp("event_time"))
     return silver(spark, sf).select("event_time", t.alias("parsed"), C.event_timestamp_prefix("event_time").alias("parsed_prefix"), d.alias("date"), F.date_sub(d, 30).alias("month_before"), F.date_add(d, 1).alias("day_after"), F.date_trunc("minute", t).alias("minute"), (t + F.expr("interval 1 hour")).alias("hour_later"), F.replace(F.col("event_time"), F.lit(" UTC"), F.lit("")).alias("stripped"), F.substring("event_time", 1, 10).alias("day_text"))
 
 
-@query("mixed_timestamps", sql("SELECT event_time, $T(event_timestamp) AS iso, $T(event_timestamp) AS spaced, $T(date::TIMESTAMP) AS day, $T(date::TIMESTAMP + INTERVAL 86399 SECOND) AS day_end FROM silver"))
+@query("mixed_timestamps", sql("""SELECT event_time, $T(event_timestamp) AS iso, $T(event_timestamp) AS spaced, $T(date::TIMESTAMP) AS day,
+    $T(date::TIMESTAMP + INTERVAL 86399 SECOND) AS day_end
+  FROM silver"""))
 def _(spark, sf):
     s = silver(spark, sf)
     iso = F.concat(F.replace(F.substring("event_time", 1, 19), F.lit(" "), F.lit("T")), F.lit("Z"))
     return s.select("event_time", C.any_timestamp(iso).alias("iso"), C.any_timestamp("event_time").alias("spaced"), C.any_timestamp(F.substring("event_time", 1, 10)).alias("day"), C.range_end(F.substring("event_time", 1, 10)).alias("day_end"))
 
 
-@query("text_functions", sql("SELECT event_time, category_level1, md5(concat_ws('_', user_id::VARCHAR, event_time)) AS hash, starts_with(category_code, 'small') AS is_small, category_code LIKE 'large%' AS is_large, event_type IN ('view', 'cart') AS is_active FROM silver"))
+@query("text_functions", sql("""SELECT event_time, category_level1, md5(concat_ws('_', user_id::VARCHAR, event_time)) AS hash, starts_with(category_code, 'small') AS is_small,
+    category_code LIKE 'large%' AS is_large, event_type IN ('view', 'cart') AS is_active
+  FROM silver"""))
 def _(spark, sf):
     return silver(spark, sf).select("event_time", C.first_level("category_code").alias("category_level1"), C.key_hash_skipping_nulls(F.col("user_id").cast("string"), "event_time").alias("hash"), F.col("category_code").startswith("small").alias("is_small"), F.col("category_code").like("large%").alias("is_large"), F.col("event_type").isin("view", "cart").alias("is_active"))
 
 
-@query("array_functions", sql("SELECT user_id, event_time, [4, 5, 8][(user_id % 3 + 1)::INTEGER] AS picked, unnest(range(0, 3))::INTEGER AS salt FROM raw", "raw"))
+@query("array_functions", sql("""SELECT user_id, event_time, [4, 5, 8][(user_id % 3 + 1)::INTEGER] AS picked, unnest(range(0, 3))::INTEGER AS salt
+  FROM raw""", "raw"))
 def _(spark, sf):
     return canonical_events(spark, sf).select("user_id", "event_time", F.element_at(F.array(F.lit(4), F.lit(5), F.lit(8)), (F.col("user_id") % 3 + 1).cast("int")).alias("picked"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("salt"))
 
 
-@query("json_fields_with_defaults", "SELECT event_id, coalesce((props->>'k')::BIGINT, -1) AS k, coalesce(props->>'absent', 'none') AS absent FROM events")
+@query("json_fields_with_defaults", """SELECT event_id, coalesce((props->>'k')::BIGINT, -1) AS k, coalesce(props->>'absent', 'none') AS absent
+  FROM events""")
 def _(spark, sf):
     m = F.from_json("props", "k bigint, absent string")
     return table(spark, sf, "events").select("event_id", F.coalesce(m["k"], F.lit(-1)).alias("k"), F.coalesce(m["absent"], F.lit("none")).alias("absent"))
@@ -308,7 +330,10 @@ def _(spark, sf):
     return silver(spark, sf).filter("date >= date'2024-01-01' and date < date'2024-01-15'").select("user_id", "event_time")
 
 
-@query("event_time_window", sql("SELECT count(*) AS n FROM raw WHERE strptime(event_time, '%Y-%m-%d %H:%M:%S UTC') >= TIMESTAMP '2024-01-03' AND strptime(event_time, '%Y-%m-%d %H:%M:%S UTC') < TIMESTAMP '2024-01-04'", "raw"))
+@query("event_time_window", sql("""SELECT count(*) AS n
+  FROM raw
+  WHERE strptime(event_time, '%Y-%m-%d %H:%M:%S UTC') >= TIMESTAMP '2024-01-03' AND strptime(event_time,
+    '%Y-%m-%d %H:%M:%S UTC') < TIMESTAMP '2024-01-04'""", "raw"))
 def _(spark, sf):
     t = C.event_timestamp("event_time")
     return canonical_events(spark, sf).filter((t >= F.to_timestamp(F.lit("2024-01-03"))) & (t < F.to_timestamp(F.lit("2024-01-04")))).agg(F.count("*").alias("n"))
@@ -319,7 +344,9 @@ def _(spark, sf):
     return silver(spark, sf).filter(F.col("event_type").isin("view", "cart")).select("user_id", "event_time", "event_type")
 
 
-@query("right_censor", sql("SELECT user_id, event_time, product_id, event_type FROM silver, horizon WHERE date = DATE '2024-01-29' AND event_timestamp <= cut", "horizon"))
+@query("right_censor", sql("""SELECT user_id, event_time, product_id, event_type
+  FROM silver, horizon
+  WHERE date = DATE '2024-01-29' AND event_timestamp <= cut""", "horizon"))
 def _(spark, sf):
     rows = silver(spark, sf).filter("date = date'2024-01-29'")
     return labels.right_censor(rows, rows).select("user_id", "event_time", "product_id", "event_type")
@@ -330,14 +357,18 @@ def _(spark, sf):
     return canonical_events(spark, sf).agg(F.count_if(F.col("brand").isNull()).alias("no_brand"), F.count_if(F.col("brand").isNotNull()).alias("with_brand"))
 
 
-@query("schema_split", sql(f"SELECT CASE WHEN event_time[1:10] < '{EVOLUTION_DATE}' THEN 'old' ELSE 'new' END AS part, count(*) AS n, count(discount_percent) AS discounts FROM raw GROUP BY 1", "raw"))
+@query("schema_split", sql(f"""SELECT CASE WHEN event_time[1:10] < '{EVOLUTION_DATE}' THEN 'old' ELSE 'new' END AS part, count(*) AS n, count(discount_percent) AS discounts
+  FROM raw
+  GROUP BY 1""", "raw"))
 def _(spark, sf):
     old, new = shape.schema_split(canonical_events(spark, sf), EVOLUTION_DATE)
     both = old.withColumn("part", F.lit("old")).unionByName(new.withColumn("part", F.lit("new")))
     return both.groupBy("part").agg(F.count("*").alias("n"), F.count("discount_percent").alias("discounts"))
 
 
-@query("point_lookup", sql("SELECT event_time, product_id, event_type, price FROM silver WHERE user_id = 7 AND event_timestamp >= TIMESTAMP '2024-01-05'"))
+@query("point_lookup", sql("""SELECT event_time, product_id, event_type, price
+  FROM silver
+  WHERE user_id = 7 AND event_timestamp >= TIMESTAMP '2024-01-05'"""))
 def _(spark, sf):
     return audit.point_lookup(silver(spark, sf), 7, "2024-01-05").select("event_time", "product_id", "event_type", "price")
 
@@ -349,8 +380,14 @@ def _(spark, sf):
 
 # Joins
 
-CATEGORIES = "(SELECT DISTINCT category_code, CASE WHEN category_code LIKE 'small%' THEN 'compact' WHEN category_code LIKE 'large%' THEN 'bulky' ELSE 'standard' END AS category_group, CASE WHEN category_code LIKE 'small%' THEN 0.08 ELSE 0.1 END::DOUBLE AS tax_rate, CASE WHEN category_code LIKE 'large%' THEN 1 ELSE 2 END AS priority FROM raw WHERE category_code IS NOT NULL)"
-SUMMARY = sql(f"SELECT r.category_code, category_group, count(*) AS events, coalesce(sum(price::DECIMAL(18,2)), 0)::DOUBLE AS revenue, coalesce(sum(price::DECIMAL(18,2)), 0)::DOUBLE / count(price) AS avg_price FROM raw r JOIN {CATEGORIES} c ON r.category_code = c.category_code GROUP BY 1, 2", "raw")
+CATEGORIES = """(SELECT DISTINCT category_code, CASE WHEN category_code LIKE 'small%' THEN 'compact' WHEN category_code LIKE 'large%' THEN 'bulky' ELSE 'standard' END AS category_group, CASE WHEN category_code LIKE 'small%' THEN 0.08 ELSE 0.1 END::DOUBLE AS tax_rate, CASE WHEN category_code LIKE 'large%' THEN 1 ELSE 2 END AS priority
+  FROM raw
+  WHERE category_code IS NOT NULL)"""
+SUMMARY = sql(f"""SELECT r.category_code, category_group, count(*) AS events, coalesce(sum(price::DECIMAL(18,2)), 0)::DOUBLE AS revenue,
+    coalesce(sum(price::DECIMAL(18,2)), 0)::DOUBLE / count(price) AS avg_price
+  FROM raw r
+  JOIN {CATEGORIES} c ON r.category_code = c.category_code
+  GROUP BY 1, 2""", "raw")
 
 
 @query("category_join_broadcast", SUMMARY)
@@ -373,7 +410,15 @@ def _(spark, sf):
     return model.category_dim(canonical_events(spark, sf))
 
 
-HOT = "hot AS (SELECT user_id FROM raw WHERE user_id IS NOT NULL GROUP BY 1 HAVING count(*) > 0.009 * (SELECT count(*) FROM raw WHERE user_id IS NOT NULL)), tiers AS (SELECT DISTINCT r.user_id, CASE WHEN h.user_id IS NULL THEN 'STANDARD' ELSE 'VIP' END AS tier FROM raw r LEFT JOIN hot h USING (user_id) WHERE r.user_id IS NOT NULL)"
+HOT = """hot AS (SELECT user_id
+  FROM raw
+  WHERE user_id IS NOT NULL
+  GROUP BY 1 HAVING count(*) > 0.009 * (SELECT count(*)
+  FROM raw
+  WHERE user_id IS NOT NULL)), tiers AS (SELECT DISTINCT r.user_id, CASE WHEN h.user_id IS NULL THEN 'STANDARD' ELSE 'VIP' END AS tier
+  FROM raw r
+  LEFT JOIN hot h USING (user_id)
+  WHERE r.user_id IS NOT NULL)"""
 
 
 def tiered(body: str) -> str:
@@ -411,12 +456,16 @@ def _(spark, sf):
     return skew.skew_compare(canonical_events(spark, sf), 0.009)
 
 
-@query("two_phase_salted_agg", sql("SELECT user_id, count(*) AS events, coalesce(sum(price::DECIMAL(18,2)), 0)::DOUBLE AS spend FROM raw GROUP BY 1", "raw"))
+@query("two_phase_salted_agg", sql("""SELECT user_id, count(*) AS events, coalesce(sum(price::DECIMAL(18,2)), 0)::DOUBLE AS spend
+  FROM raw
+  GROUP BY 1""", "raw"))
 def _(spark, sf):
     return skew.two_phase_salted_agg(canonical_events(spark, sf), 4, ["event_time", "product_id"])
 
 
-JOINED = "SELECT s.user_id, s.event_time, s.event_type, s.product_id, p.product_sk FROM silver s LEFT JOIN dim_product p ON s.product_id = p.product_id AND s.event_timestamp >= p.valid_from_ts AND (s.event_timestamp < p.valid_to_ts OR p.valid_to_ts IS NULL)"
+JOINED = """SELECT s.user_id, s.event_time, s.event_type, s.product_id, p.product_sk
+  FROM silver s
+  LEFT JOIN dim_product p ON s.product_id = p.product_id AND s.event_timestamp >= p.valid_from_ts AND (s.event_timestamp < p.valid_to_ts OR p.valid_to_ts IS NULL)"""
 
 
 @query("scd2_temporal_join", sql(JOINED, "dim_product"))
@@ -434,7 +483,12 @@ def _(spark, sf):
 LABELS = sql("SELECT user_id, $T(prediction_timestamp) AS prediction_timestamp, target_purchase_1h, $D(date) AS date FROM labels_1h", "labels_1h")
 
 
-@query("label_interval_join", sql("SELECT c.user_id, $T(c.prediction_timestamp) AS prediction_timestamp, count(p.user_id) AS purchases FROM candidates c LEFT JOIN (SELECT * FROM silver WHERE event_type = 'purchase') p ON p.user_id = c.user_id AND p.event_timestamp >= c.prediction_timestamp AND p.event_timestamp < c.prediction_timestamp + INTERVAL 1 HOUR GROUP BY ALL", "candidates"))
+@query("label_interval_join", sql("""SELECT c.user_id, $T(c.prediction_timestamp) AS prediction_timestamp, count(p.user_id) AS purchases
+  FROM candidates c
+  LEFT JOIN (SELECT *
+  FROM silver
+  WHERE event_type = 'purchase') p ON p.user_id = c.user_id AND p.event_timestamp >= c.prediction_timestamp AND p.event_timestamp < c.prediction_timestamp + INTERVAL 1 HOUR
+  GROUP BY ALL""", "candidates"))
 def _(spark, sf):
     s = silver(spark, sf)
     bought = s.filter("event_type = 'purchase'").select("user_id", F.col("event_timestamp").alias("bought"))
@@ -452,18 +506,28 @@ def _(spark, sf):
 F15 = "f_views_15m, f_carts_15m, f_purchases_15m, total_spend_15m"
 
 
-@query("pit_join", sql(f"SELECT l.user_id, $T(l.prediction_timestamp) AS prediction_timestamp, CASE WHEN ok THEN f_views_15m END AS f_views_15m, CASE WHEN ok THEN total_spend_15m END AS total_spend_15m FROM (SELECT l.*, f.* EXCLUDE user_id, f.event_timestamp >= l.prediction_timestamp - INTERVAL 2 HOUR AS ok FROM labels_1h l ASOF LEFT JOIN features_15m f ON l.user_id = f.user_id AND l.prediction_timestamp >= f.event_timestamp) l", "labels_1h"))
+@query("pit_join", sql(f"""SELECT l.user_id, $T(l.prediction_timestamp) AS prediction_timestamp, CASE WHEN ok THEN f_views_15m END AS f_views_15m,
+    CASE WHEN ok THEN total_spend_15m END AS total_spend_15m
+  FROM (SELECT l.*, f.* EXCLUDE user_id, f.event_timestamp >= l.prediction_timestamp - INTERVAL 2 HOUR AS ok
+  FROM labels_1h l
+  ASOF LEFT JOIN features_15m f ON l.user_id = f.user_id AND l.prediction_timestamp >= f.event_timestamp) l""", "labels_1h"))
 def _(spark, sf):
     view = training.FeatureView("user_15m", features_15m(spark, sf), ("f_views_15m", "total_spend_15m"), "2 hours")
     return training.pit_join(labels_1h(spark, sf), view, "prediction_timestamp").select("user_id", "prediction_timestamp", "f_views_15m", "total_spend_15m")
 
 
-@query("fk_orphans", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = 'F')")
+@query("fk_orphans", """SELECT l_orderkey, l_linenumber
+  FROM lineitem
+  WHERE NOT EXISTS (SELECT 1
+  FROM orders
+  WHERE o_orderkey = l_orderkey AND o_orderstatus = 'F')""")
 def _(spark, sf):
     return model.fk_orphans(table(spark, sf, "lineitem"), "l_orderkey", table(spark, sf, "orders").filter("o_orderstatus = 'F'"), "o_orderkey").select("l_orderkey", "l_linenumber")
 
 
-PREDICTIONS = "predictions AS (SELECT md5(concat_ws('_', user_id, strftime(prediction_timestamp, '%Y-%m-%d %H:%M:%S'))) AS prediction_id, user_id, prediction_timestamp FROM candidates)"
+PREDICTIONS = """predictions AS (SELECT md5(concat_ws('_', user_id, strftime(prediction_timestamp, '%Y-%m-%d %H:%M:%S'))) AS prediction_id, user_id,
+    prediction_timestamp
+  FROM candidates)"""
 
 
 def predictions(spark, sf):
@@ -493,7 +557,10 @@ def _(spark, sf):
 
 # Aggregations
 
-@query("user_activity_exact", sql("SELECT user_id, count(*) AS events, count(DISTINCT category_id) AS categories, count(DISTINCT user_session) AS sessions, coalesce(sum(price::DECIMAL(18,2)), 0)::DOUBLE AS spend FROM silver GROUP BY 1"))
+@query("user_activity_exact", sql("""SELECT user_id, count(*) AS events, count(DISTINCT category_id) AS categories, count(DISTINCT user_session) AS sessions,
+    coalesce(sum(price::DECIMAL(18,2)), 0)::DOUBLE AS spend
+  FROM silver
+  GROUP BY 1"""))
 def _(spark, sf):
     return features.user_activity(silver(spark, sf))
 
@@ -503,7 +570,8 @@ def _(spark, sf):
     return features.user_activity_error(silver(spark, sf)).drop("sessions_approx")
 
 
-@query("user_features_30d", sql(f"SELECT {F30}, $T(event_timestamp) AS event_timestamp, $T(created) AS created, $D(date) AS date FROM features_30d", "features_30d"))
+@query("user_features_30d", sql(f"""SELECT {F30}, $T(event_timestamp) AS event_timestamp, $T(created) AS created, $D(date) AS date
+  FROM features_30d""", "features_30d"))
 def _(spark, sf):
     return features_30d(spark, sf)
 
@@ -535,7 +603,8 @@ def _(spark, sf):
 KEY_COUNTS = "(SELECT user_id, event_time, product_id, event_type, count(*) AS n FROM raw GROUP BY ALL)"
 
 
-@query("dedup_effect", sql(f"SELECT sum(n)::BIGINT AS rows_before, count(*) AS rows_after, sum(n - 1)::BIGINT AS rows_dropped FROM {KEY_COUNTS}", "raw"))
+@query("dedup_effect", sql(f"""SELECT sum(n)::BIGINT AS rows_before, count(*) AS rows_after, sum(n - 1)::BIGINT AS rows_dropped
+  FROM {KEY_COUNTS}""", "raw"))
 def _(spark, sf):
     return ev.dedup_effect(canonical_events(spark, sf))
 
@@ -546,17 +615,29 @@ def _(spark, sf):
     return ev.duplicate_rate(canonical_events(spark, sf).withColumn("part", F.substring("event_time", 1, 10)), "part")
 
 
-@query("null_profile", "SELECT 'o_orderkey' AS column, 'bigint' AS type, count(o_orderkey) AS non_null, count(*) - count(o_orderkey) AS nulls, round(100.0 * (count(*) - count(o_orderkey)) / count(*), 4) AS null_pct FROM orders UNION ALL SELECT 'o_orderpriority', 'string', count(o_orderpriority), count(*) - count(o_orderpriority), round(100.0 * (count(*) - count(o_orderpriority)) / count(*), 4) FROM orders")
+@query("null_profile", """SELECT 'o_orderkey' AS column, 'bigint' AS type, count(o_orderkey) AS non_null, count(*) - count(o_orderkey) AS nulls,
+    round(100.0 * (count(*) - count(o_orderkey)) / count(*), 4) AS null_pct
+  FROM orders
+  UNION ALL SELECT 'o_orderpriority', 'string', count(o_orderpriority), count(*) - count(o_orderpriority),
+    round(100.0 * (count(*) - count(o_orderpriority)) / count(*), 4)
+  FROM orders""")
 def _(spark, sf):
     return audit.null_profile(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"))
 
 
-@query("value_share", sql("SELECT brand AS value, count(*) AS n, CASE WHEN brand IS NOT NULL THEN round(100.0 * count(*) / (SELECT count(brand) FROM raw), 4) END AS pct_non_null, round(100.0 * count(*) / (SELECT count(*) FROM raw), 4) AS pct_all FROM raw GROUP BY brand", "raw"))
+@query("value_share", sql("""SELECT brand AS value, count(*) AS n, CASE WHEN brand IS NOT NULL THEN round(100.0 * count(*) / (SELECT count(brand)
+  FROM raw), 4) END AS pct_non_null, round(100.0 * count(*) / (SELECT count(*)
+  FROM raw), 4) AS pct_all
+  FROM raw
+  GROUP BY brand""", "raw"))
 def _(spark, sf):
     return audit.value_share(canonical_events(spark, sf), "brand")
 
 
-@query("cardinality_profile", sql("SELECT 'user_id' AS column, count(DISTINCT user_id) AS distinct, round(count(DISTINCT user_id) / count(*), 6) AS ratio FROM raw UNION ALL SELECT 'product_id', count(DISTINCT product_id), round(count(DISTINCT product_id) / count(*), 6) FROM raw", "raw"))
+@query("cardinality_profile", sql("""SELECT 'user_id' AS column, count(DISTINCT user_id) AS distinct, round(count(DISTINCT user_id) / count(*), 6) AS ratio
+  FROM raw
+  UNION ALL SELECT 'product_id', count(DISTINCT product_id), round(count(DISTINCT product_id) / count(*), 6)
+  FROM raw""", "raw"))
 def _(spark, sf):
     return audit.cardinality_profile(canonical_events(spark, sf), ["user_id", "product_id"])
 
@@ -567,7 +648,9 @@ def _(spark, sf):
     return audit.skew_profile(canonical_events(spark, sf), "user_id")
 
 
-@query("stream_partition_profile", f"SELECT partition, count(*) AS messages, count(DISTINCT user_id) AS keys, 0::BIGINT AS keys_on_many FROM ({RECORDS}) GROUP BY 1")
+@query("stream_partition_profile", f"""SELECT partition, count(*) AS messages, count(DISTINCT user_id) AS keys, 0::BIGINT AS keys_on_many
+  FROM ({RECORDS})
+  GROUP BY 1""")
 def _(spark, sf):
     return audit.stream_partition_profile(records(spark, sf))
 
@@ -580,22 +663,34 @@ def _(spark, sf):
     return audit.late_events(records(spark, sf)).select("event_id", "lateness_seconds", "is_late")
 
 
-@query("delay_distribution", f"SELECT count(lateness_seconds) AS n, min(lateness_seconds) AS min, median(lateness_seconds)::DOUBLE AS median, max(lateness_seconds) AS max, sum(lateness_seconds)::DOUBLE / count(lateness_seconds) AS mean FROM {LATE}")
+@query("delay_distribution", f"""SELECT count(lateness_seconds) AS n, min(lateness_seconds) AS min, median(lateness_seconds)::DOUBLE AS median, max(lateness_seconds) AS max,
+    sum(lateness_seconds)::DOUBLE / count(lateness_seconds) AS mean
+  FROM {LATE}""")
 def _(spark, sf):
     return audit.delay_distribution(audit.late_events(records(spark, sf)))
 
 
-@query("discount_distribution", sql("SELECT discount_percent AS value, count(*) AS n, CASE WHEN discount_percent IS NOT NULL THEN round(100.0 * count(*) / (SELECT count(discount_percent) FROM raw), 4) END AS pct_non_null, round(100.0 * count(*) / (SELECT count(*) FROM raw), 4) AS pct_all FROM raw GROUP BY 1", "raw"))
+@query("discount_distribution", sql("""SELECT discount_percent AS value, count(*) AS n, CASE WHEN discount_percent IS NOT NULL THEN round(100.0 * count(*) / (SELECT count(discount_percent)
+  FROM raw), 4) END AS pct_non_null, round(100.0 * count(*) / (SELECT count(*)
+  FROM raw), 4) AS pct_all
+  FROM raw
+  GROUP BY 1""", "raw"))
 def _(spark, sf):
     return audit.value_share(canonical_events(spark, sf), "discount_percent")
 
 
-@query("label_balance", sql("SELECT count(*) AS rows, count_if(target_purchase_1h = 1) AS positives, count_if(target_purchase_1h = 0) AS negatives, round(count_if(target_purchase_1h = 1) / count(*), 6) AS positive_rate FROM labels_1h", "labels_1h"))
+@query("label_balance", sql("""SELECT count(*) AS rows, count_if(target_purchase_1h = 1) AS positives, count_if(target_purchase_1h = 0) AS negatives,
+    round(count_if(target_purchase_1h = 1) / count(*), 6) AS positive_rate
+  FROM labels_1h""", "labels_1h"))
 def _(spark, sf):
     return training.label_balance(labels_1h(spark, sf))
 
 
-@query("busiest_user", sql("SELECT user_id, count(*) AS events FROM silver WHERE user_id IS NOT NULL GROUP BY 1 HAVING count(*) >= 10 ORDER BY 2 DESC, 1 LIMIT 1"))
+@query("busiest_user", sql("""SELECT user_id, count(*) AS events
+  FROM silver
+  WHERE user_id IS NOT NULL
+  GROUP BY 1 HAVING count(*) >= 10
+  ORDER BY 2 DESC, 1 LIMIT 1"""))
 def _(spark, sf):
     return audit.busiest_user(silver(spark, sf))
 
@@ -617,7 +712,9 @@ def _(spark, sf):
 
 # Dimensional model
 
-@query("dim_product_scd2", sql("SELECT product_sk, product_id, category_id, category_level1, brand, price, discount_percent, $T(valid_from_ts) AS valid_from_ts, $T(valid_to_ts) AS valid_to_ts, is_current FROM dim_product", "dim_product"))
+@query("dim_product_scd2", sql("""SELECT product_sk, product_id, category_id, category_level1, brand, price, discount_percent, $T(valid_from_ts) AS valid_from_ts,
+    $T(valid_to_ts) AS valid_to_ts, is_current
+  FROM dim_product""", "dim_product"))
 def _(spark, sf):
     return products(spark, sf)
 
@@ -629,12 +726,18 @@ def _(spark, sf):
     return model.dim_product_scd2_changes(silver(spark, sf)).select("product_id", "price", "valid_from_ts", "valid_to_ts")
 
 
-@query("dim_user", sql("SELECT user_id, $T(min(event_timestamp)) AS first_seen, $T(max(event_timestamp)) AS last_seen, count(*) AS total_lifetime_events, true AS is_active, true AS is_current FROM silver WHERE user_id IS NOT NULL GROUP BY user_id"))
+@query("dim_user", sql("""SELECT user_id, $T(min(event_timestamp)) AS first_seen, $T(max(event_timestamp)) AS last_seen, count(*) AS total_lifetime_events, true AS is_active,
+    true AS is_current
+  FROM silver
+  WHERE user_id IS NOT NULL
+  GROUP BY user_id"""))
 def _(spark, sf):
     return model.dim_user(silver(spark, sf)).select("user_id", "first_seen", "last_seen", "total_lifetime_events", "is_active", "is_current")
 
 
-@query("fact_user_events", sql("SELECT event_id, $T(event_timestamp) AS event_timestamp, event_time, $D(date) AS date, user_id, product_sk, category_level1, brand, price, discount_percent, event_type, user_session FROM fact", "fact"))
+@query("fact_user_events", sql("""SELECT event_id, $T(event_timestamp) AS event_timestamp, event_time, $D(date) AS date, user_id, product_sk, category_level1, brand, price,
+    discount_percent, event_type, user_session
+  FROM fact""", "fact"))
 def _(spark, sf):
     s = silver(spark, sf)
     return model.fact_user_events(s, model.dim_product_scd2(s))
@@ -647,12 +750,21 @@ def _(spark, sf):
 
 # Windows, top-k, sets
 
-@query("brand_cumulative_share", sql("SELECT value, n, row_number() OVER (ORDER BY n DESC, value)::INTEGER AS rank, round(100.0 * sum(n) OVER (ORDER BY n DESC, value ROWS UNBOUNDED PRECEDING) / sum(n) OVER (), 4) AS cumulative_pct FROM (SELECT brand AS value, count(*) AS n FROM raw WHERE brand IS NOT NULL GROUP BY 1)", "raw"))
+@query("brand_cumulative_share", sql("""SELECT value, n, row_number() OVER (ORDER BY n DESC, value)::INTEGER AS rank, round(100.0 * sum(n) OVER (ORDER BY n DESC,
+    value ROWS UNBOUNDED PRECEDING) / sum(n) OVER (), 4) AS cumulative_pct
+  FROM (SELECT brand AS value, count(*) AS n
+  FROM raw
+  WHERE brand IS NOT NULL
+  GROUP BY 1)""", "raw"))
 def _(spark, sf):
     return audit.cumulative_share(canonical_events(spark, sf), "brand")
 
 
-@query("throughput_profile", "WITH r AS (SELECT ts, row_number() OVER (ORDER BY ts, event_id) AS rn FROM events) SELECT a.rn, CASE WHEN b.ts > a.ts THEN round(250 / ((epoch_us(b.ts) - epoch_us(a.ts)) / 1e6), 6) END AS rows_per_second FROM r a JOIN r b ON b.rn = a.rn + 250 WHERE (a.rn - 1) % 100 = 0")
+@query("throughput_profile", """WITH r AS (SELECT ts, row_number() OVER (ORDER BY ts, event_id) AS rn
+  FROM events) SELECT a.rn, CASE WHEN b.ts > a.ts THEN round(250 / ((epoch_us(b.ts) - epoch_us(a.ts)) / 1e6), 6) END AS rows_per_second
+  FROM r a
+  JOIN r b ON b.rn = a.rn + 250
+  WHERE (a.rn - 1) % 100 = 0""")
 def _(spark, sf):
     return audit.throughput_profile(table(spark, sf, "events"))
 
@@ -662,7 +774,11 @@ def _(spark, sf):
     return training.sorted_within_files(labels_1h(spark, sf))
 
 
-@query("top_categories", sql("SELECT category_code AS value, count(*) AS n FROM raw WHERE category_code IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15", "raw"))
+@query("top_categories", sql("""SELECT category_code AS value, count(*) AS n
+  FROM raw
+  WHERE category_code IS NOT NULL
+  GROUP BY 1
+  ORDER BY 2 DESC, 1 LIMIT 15""", "raw"))
 def _(spark, sf):
     return audit.top_values(canonical_events(spark, sf), "category_code", 15)
 
@@ -672,7 +788,10 @@ def _(spark, sf):
     return audit.top_values(canonical_events(spark, sf), "brand", 8)
 
 
-@query("label_limit", sql("SELECT user_id, strftime(t, '%Y-%m-%d %H:%M:%S') AS prediction_timestamp, target_purchase_1h, strftime(d, '%Y-%m-%d') AS date FROM (SELECT user_id, prediction_timestamp AS t, target_purchase_1h, date AS d FROM labels_1h ORDER BY t, user_id LIMIT 100)", "labels_1h"))
+@query("label_limit", sql("""SELECT user_id, strftime(t, '%Y-%m-%d %H:%M:%S') AS prediction_timestamp, target_purchase_1h, strftime(d, '%Y-%m-%d') AS date
+  FROM (SELECT user_id, prediction_timestamp AS t, target_purchase_1h, date AS d
+  FROM labels_1h
+  ORDER BY t, user_id LIMIT 100)""", "labels_1h"))
 def _(spark, sf):
     return training.label_limit(labels_1h(spark, sf), 100)
 
@@ -687,7 +806,12 @@ def _(spark, sf):
     return ev.duplicate_examples(canonical_events(spark, sf))
 
 
-@query("chronological_split", sql("SELECT split, count(*) AS n FROM (SELECT CASE WHEN epoch(prediction_timestamp) <= (SELECT quantile_cont(epoch(prediction_timestamp), 0.7) FROM labels_1h) THEN 'train' WHEN epoch(prediction_timestamp) <= (SELECT quantile_cont(epoch(prediction_timestamp), 0.85) FROM labels_1h) THEN 'validation' ELSE 'test' END AS split FROM labels_1h) GROUP BY 1", "labels_1h"))
+@query("chronological_split", sql("""SELECT split, count(*) AS n
+  FROM (SELECT CASE WHEN epoch(prediction_timestamp) <= (SELECT quantile_cont(epoch(prediction_timestamp), 0.7)
+  FROM labels_1h) THEN 'train' WHEN epoch(prediction_timestamp) <= (SELECT quantile_cont(epoch(prediction_timestamp), 0.85)
+  FROM labels_1h) THEN 'validation' ELSE 'test' END AS split
+  FROM labels_1h)
+  GROUP BY 1""", "labels_1h"))
 def _(spark, sf):
     return training.chronological_split(labels_1h(spark, sf), "prediction_timestamp").groupBy("split").agg(F.count("*").alias("n"))
 
@@ -700,7 +824,12 @@ def _(spark, sf):
 
 # Feature store
 
-DAYS = "SELECT user_id, count(*) FILTER (event_type = 'view') AS f_views_30d, count(*) FILTER (event_type = 'cart') AS f_carts_30d, count(*) FILTER (event_type = 'purchase') AS f_purchases_30d, coalesce(sum(price::DECIMAL(18,2)) FILTER (event_type = 'purchase'), 0)::DOUBLE AS f_spend_30d, count(DISTINCT category_id) AS f_distinct_categories_30d FROM silver WHERE date >= DATE '2023-12-30' AND date < DATE '2024-01-29' GROUP BY 1"
+DAYS = """SELECT user_id, count(*) FILTER (event_type = 'view') AS f_views_30d, count(*) FILTER (event_type = 'cart') AS f_carts_30d,
+    count(*) FILTER (event_type = 'purchase') AS f_purchases_30d, coalesce(sum(price::DECIMAL(18,2)) FILTER (event_type = 'purchase'),
+    0)::DOUBLE AS f_spend_30d, count(DISTINCT category_id) AS f_distinct_categories_30d
+  FROM silver
+  WHERE date >= DATE '2023-12-30' AND date < DATE '2024-01-29'
+  GROUP BY 1"""
 LONG = ("f_views_30d", "f_carts_30d", "f_purchases_30d", "f_spend_30d", "f_distinct_categories_30d")
 SHORT = ("f_views_15m", "f_carts_15m", "f_purchases_15m", "total_spend_15m")
 FRESH = "coalesce(h.event_timestamp >= l.prediction_timestamp - INTERVAL 2 HOUR, false)"
@@ -750,7 +879,14 @@ def _(spark, sf):
     return target.online(1).drop("created")
 
 
-@query("online_lookup", sql("SELECT u.user_id, CASE WHEN ok THEN f_views_15m END AS f_views_15m FROM (SELECT DISTINCT user_id FROM silver) u LEFT JOIN (SELECT *, event_timestamp >= TIMESTAMP '2024-01-30 22:00:00' AND event_timestamp <= TIMESTAMP '2024-01-31' AS ok FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_timestamp DESC) AS rn FROM features_15m) WHERE rn = 1) f ON f.user_id = u.user_id", "features_15m"))
+@query("online_lookup", sql("""SELECT u.user_id, CASE WHEN ok THEN f_views_15m END AS f_views_15m
+  FROM (SELECT DISTINCT user_id
+  FROM silver) u
+  LEFT JOIN (SELECT *, event_timestamp >= TIMESTAMP '2024-01-30 22:00:00' AND event_timestamp <= TIMESTAMP '2024-01-31' AS ok
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id
+  ORDER BY event_timestamp DESC) AS rn
+  FROM features_15m)
+  WHERE rn = 1) f ON f.user_id = u.user_id""", "features_15m"))
 def _(spark, sf):
     table_ = online.newest(features_15m(spark, sf))
     return online.online_lookup(table_, silver(spark, sf), "2024-01-31 00:00:00", "2 hours").select("user_id", "f_views_15m")
@@ -761,7 +897,10 @@ def _(spark, sf):
     return labels.active_user_minutes(silver(spark, sf), LABEL_DAY)
 
 
-@query("freshness_report", sql("SELECT count(DISTINCT user_id) FILTER (event_timestamp < TIMESTAMP '2024-01-15') AS keys_before, count(DISTINCT user_id) AS keys_after, count(DISTINCT user_id) - count(DISTINCT user_id) FILTER (event_timestamp < TIMESTAMP '2024-01-15') AS keys_added FROM features_15m WHERE event_timestamp < TIMESTAMP '2024-01-25'", "features_15m"))
+@query("freshness_report", sql("""SELECT count(DISTINCT user_id) FILTER (event_timestamp < TIMESTAMP '2024-01-15') AS keys_before, count(DISTINCT user_id) AS keys_after,
+    count(DISTINCT user_id) - count(DISTINCT user_id) FILTER (event_timestamp < TIMESTAMP '2024-01-15') AS keys_added
+  FROM features_15m
+  WHERE event_timestamp < TIMESTAMP '2024-01-25'""", "features_15m"))
 def _(spark, sf):
     return online.freshness_report(*_incremental(spark, sf))
 
@@ -844,7 +983,10 @@ def _(spark, sf):
     return quality.contract_suite({"raw_events": canonical_events(spark, sf), "stg_events": s, "dim_product": model.dim_product_scd2(s), "feat_user_15m": features.hopping_features(s), "user_labels": labels.user_labels(s, LABEL_DAY)})
 
 
-@query("table_summary", sql("SELECT 'silver' AS table, count(*) AS rows, 14 AS columns, count(DISTINCT date) AS partitions FROM silver UNION ALL SELECT 'orders', count(*), 6, 0 FROM orders"))
+@query("table_summary", sql("""SELECT 'silver' AS table, count(*) AS rows, 14 AS columns, count(DISTINCT date) AS partitions
+  FROM silver
+  UNION ALL SELECT 'orders', count(*), 6, 0
+  FROM orders"""))
 def _(spark, sf):
     return quality.table_summary({"silver": silver(spark, sf), "orders": table(spark, sf, "orders")})
 
@@ -884,7 +1026,8 @@ def _(spark, sf):
     return layout.file_layout_report(table(spark, sf, "orders")).agg(F.sum("rows").alias("rows"), F.count("*").alias("files"))
 
 
-@query("lookup_benchmark", sql("SELECT count_if(user_id = 7) AS rows, (count_if(user_id = 7) > 0)::BIGINT AS files_with_key, true AS of_several FROM silver"))
+@query("lookup_benchmark", sql("""SELECT count_if(user_id = 7) AS rows, (count_if(user_id = 7) > 0)::BIGINT AS files_with_key, true AS of_several
+  FROM silver"""))
 def _(spark, sf):
     s = stored(spark, silver(spark, sf), "unclustered")
     path = shared_folder(spark, "clustered")
@@ -892,7 +1035,10 @@ def _(spark, sf):
     return layout.files_for_key(spark.read.parquet(path), "user_id", 7).select("rows", "files_with_key", (F.col("files") > 1).alias("of_several"))
 
 
-@query("stage_skew_metrics", sql("SELECT count(*) AS partitions, min(n) AS min_rows, median(n) AS median_rows, max(n) AS max_rows FROM (SELECT count(*) AS n FROM raw GROUP BY coalesce(user_id, 0) % 16)", "raw"))
+@query("stage_skew_metrics", sql("""SELECT count(*) AS partitions, min(n) AS min_rows, median(n) AS median_rows, max(n) AS max_rows
+  FROM (SELECT count(*) AS n
+  FROM raw
+  GROUP BY coalesce(user_id, 0) % 16)""", "raw"))
 def _(spark, sf):
     # Dealt by the key itself, so that any engine can tell how full the partitions are.
     return audit.partition_skew(canonical_events(spark, sf).repartitionById(16, (F.coalesce("user_id", F.lit(0)) % 16).cast("int")))
@@ -900,13 +1046,19 @@ def _(spark, sf):
 
 # Table scaling and fault shaping
 
-@query("replicate_time_shift", sql("SELECT replica, $T(min(t)) AS first_time, count(*) AS n FROM (SELECT r::INTEGER AS replica, strptime(event_time, '%Y-%m-%d %H:%M:%S UTC') + to_days((30 * r)::INTEGER) AS t FROM raw, range(3) x(r)) GROUP BY 1", "raw"))
+@query("replicate_time_shift", sql("""SELECT replica, $T(min(t)) AS first_time, count(*) AS n
+  FROM (SELECT r::INTEGER AS replica, strptime(event_time, '%Y-%m-%d %H:%M:%S UTC') + to_days((30 * r)::INTEGER) AS t
+  FROM raw, range(3) x(r))
+  GROUP BY 1""", "raw"))
 def _(spark, sf):
     out = shape.replicate_time_shift(canonical_events(spark, sf), 3)
     return out.groupBy("replica").agg(F.min(C.event_timestamp("event_time")).alias("first_time"), F.count("*").alias("n"))
 
 
-@query("remap_users", sql(f"SELECT replica, count(DISTINCT moved) AS users, count_if(moved >= 1000000000) AS moved_rows FROM (SELECT replica, CASE WHEN replica > 0 AND {md5_bucket(100, USER, 'replica::VARCHAR')} < 30 THEN user_id + replica * 1000000000 ELSE user_id END AS moved FROM raw, (SELECT unnest(range(3))::INTEGER AS replica)) GROUP BY 1", "raw"))
+@query("remap_users", sql(f"""SELECT replica, count(DISTINCT moved) AS users, count_if(moved >= 1000000000) AS moved_rows
+  FROM (SELECT replica, CASE WHEN replica > 0 AND {md5_bucket(100, USER, 'replica::VARCHAR')} < 30 THEN user_id + replica * 1000000000 ELSE user_id END AS moved
+  FROM raw, (SELECT unnest(range(3))::INTEGER AS replica))
+  GROUP BY 1""", "raw"))
 def _(spark, sf):
     return shape.remap_users(shape.replicate_time_shift(canonical_events(spark, sf), 3)).groupBy("replica").agg(F.count_distinct("user_id").alias("users"), F.count_if(F.col("user_id") >= 1_000_000_000).alias("moved_rows"))
 
@@ -914,33 +1066,53 @@ def _(spark, sf):
 JITTER = f"price * (1 + ({md5_bucket(20_001, PRODUCT, 'replica::VARCHAR')} - 10000) / 1000000 * 5)"
 
 
-@query("jitter_prices", sql(f"SELECT replica, event_type, count(*) AS n, sum((CASE WHEN replica > 0 THEN round(({JITTER})::DECIMAL(20,6), 2) ELSE price END)::DECIMAL(18,2))::DOUBLE AS total FROM raw, (SELECT unnest(range(2))::INTEGER AS replica) GROUP BY ALL", "raw"))
+@query("jitter_prices", sql(f"""SELECT replica, event_type, count(*) AS n, sum((CASE WHEN replica > 0 THEN round(({JITTER})::DECIMAL(20,6),
+    2) ELSE price END)::DECIMAL(18,2))::DOUBLE AS total
+  FROM raw, (SELECT unnest(range(2))::INTEGER AS replica)
+  GROUP BY ALL""", "raw"))
 def _(spark, sf):
     out = shape.jitter_prices(shape.replicate_time_shift(canonical_events(spark, sf), 2))
     return out.groupBy("replica", "event_type").agg(F.count("*").alias("n"), C.money_sum("price").alias("total"))
 
 
-@query("suffix_sessions", sql("SELECT replica, user_session || CASE WHEN replica > 0 THEN '-r' || replica ELSE '' END AS user_session, count(*) AS n FROM (SELECT *, r::INTEGER AS replica FROM raw, range(2) x(r)) GROUP BY ALL", "raw"))
+@query("suffix_sessions", sql("""SELECT replica, user_session || CASE WHEN replica > 0 THEN '-r' || replica ELSE '' END AS user_session, count(*) AS n
+  FROM (SELECT *, r::INTEGER AS replica
+  FROM raw, range(2) x(r))
+  GROUP BY ALL""", "raw"))
 def _(spark, sf):
     return shape.suffix_sessions(shape.replicate_time_shift(canonical_events(spark, sf), 2)).groupBy("replica", "user_session").agg(F.count("*").alias("n"))
 
 
-@query("evolve_schema", sql(f"SELECT discount_percent, count(*) AS n FROM (SELECT CASE WHEN event_time[1:10] >= '{EVOLUTION_DATE}' THEN [4, 5, 8, 10, 12][((length(event_time) + coalesce(product_id, 0)) % 5 + 1)::INTEGER] END AS discount_percent FROM raw) GROUP BY 1", "raw"))
+@query("evolve_schema", sql(f"""SELECT discount_percent, count(*) AS n
+  FROM (SELECT CASE WHEN event_time[1:10] >= '{EVOLUTION_DATE}' THEN [4, 5, 8, 10, 12][((length(event_time) + coalesce(product_id,
+    0)) % 5 + 1)::INTEGER] END AS discount_percent
+  FROM raw)
+  GROUP BY 1""", "raw"))
 def _(spark, sf):
     return files.union_evolved(*shape.evolve_schema(canonical_events(spark, sf), EVOLUTION_DATE)).groupBy("discount_percent").agg(F.count("*").alias("n"))
 
 
 ROW = (USER, "event_time", PRODUCT, "event_type", "coalesce(price::DECIMAL(18,2)::VARCHAR, '~')")
 INJECTED = f"SELECT CASE WHEN {md5_bucket(10_000, *ROW)} < 3500 THEN 900000001 + {md5_bucket(3, "'hot'", *ROW)} ELSE user_id END AS user_id FROM raw"
-SKEW = "SELECT count(*) AS keys, sum(n)::BIGINT AS rows, max(n) AS max_rows, median(n) AS median_rows, (SELECT sum(n)::BIGINT FROM (SELECT n FROM counts ORDER BY n DESC, user_id LIMIT 3)) AS hot_rows FROM counts"
+SKEW = """SELECT count(*) AS keys, sum(n)::BIGINT AS rows, max(n) AS max_rows, median(n) AS median_rows, (SELECT sum(n)::BIGINT
+  FROM (SELECT n
+  FROM counts
+  ORDER BY n DESC, user_id LIMIT 3)) AS hot_rows
+  FROM counts"""
 
 
-@query("inject_hot_keys", sql(f"SELECT *, round(hot_rows / rows, 6) AS hot_ratio FROM (WITH counts AS (SELECT user_id, count(*) AS n FROM ({INJECTED}) WHERE user_id IS NOT NULL GROUP BY 1) {SKEW})", "raw"))
+@query("inject_hot_keys", sql(f"""SELECT *, round(hot_rows / rows, 6) AS hot_ratio
+  FROM (WITH counts AS (SELECT user_id, count(*) AS n
+  FROM ({INJECTED})
+  WHERE user_id IS NOT NULL
+  GROUP BY 1) {SKEW})""", "raw"))
 def _(spark, sf):
     return audit.skew_profile(shape.inject_hot_keys(canonical_events(spark, sf), 0.35, [900_000_001, 900_000_002, 900_000_003]), "user_id")
 
 
-@query("drift_column", sql("SELECT event_type, sum(round((price * 1.5)::DECIMAL(20,6), 2)::DECIMAL(18,2))::DOUBLE AS total FROM raw GROUP BY 1", "raw"))
+@query("drift_column", sql("""SELECT event_type, sum(round((price * 1.5)::DECIMAL(20,6), 2)::DECIMAL(18,2))::DOUBLE AS total
+  FROM raw
+  GROUP BY 1""", "raw"))
 def _(spark, sf):
     return shape.drift_column(canonical_events(spark, sf)).groupBy("event_type").agg(C.money_sum("price").alias("total"))
 
@@ -950,12 +1122,22 @@ def _(spark, sf):
     return shape.inject_duplicates(table(spark, sf, "events"), 50, "event_id").groupBy("event_id").agg(F.count("*").alias("n"))
 
 
-@query("assign_arrival", "SELECT event_id, delay_seconds, is_delayed, strftime(t + to_seconds(delay_seconds), '%Y-%m-%d %H:%M:%S') AS arrival FROM (SELECT event_id, date_trunc('second', ts) AS t, CASE WHEN event_id % 20 = 0 THEN 300 + (event_id * 37) % 301 ELSE 0 END::INTEGER AS delay_seconds, event_id % 20 = 0 AS is_delayed FROM events)")
+@query("assign_arrival", """SELECT event_id, delay_seconds, is_delayed, strftime(t + to_seconds(delay_seconds), '%Y-%m-%d %H:%M:%S') AS arrival
+  FROM (SELECT event_id, date_trunc('second', ts) AS t,
+    CASE WHEN event_id % 20 = 0 THEN 300 + (event_id * 37) % 301 ELSE 0 END::INTEGER AS delay_seconds, event_id % 20 = 0 AS is_delayed
+  FROM events)""")
 def _(spark, sf):
     e = table(spark, sf, "events").select("event_id", F.date_trunc("second", F.col("ts").cast("timestamp")).alias("event_timestamp"))
     return shape.assign_arrival(e).select("event_id", "delay_seconds", "is_delayed", "arrival")
 
 
-@query("scaling_manifest", sql(f"SELECT sum(n)::BIGINT AS rows, sum(n - 1)::BIGINT AS duplicates, (SELECT max(c) FROM (SELECT count(*) AS c FROM raw GROUP BY user_id)) AS max_user_rows, 11 AS columns, round((SELECT max(c) FROM (SELECT count(*) AS c FROM raw GROUP BY user_id)) / sum(n), 6) AS max_user_ratio FROM {KEY_COUNTS}", "raw"))
+@query("scaling_manifest", sql(f"""SELECT sum(n)::BIGINT AS rows, sum(n - 1)::BIGINT AS duplicates, (SELECT max(c)
+  FROM (SELECT count(*) AS c
+  FROM raw
+  GROUP BY user_id)) AS max_user_rows, 11 AS columns, round((SELECT max(c)
+  FROM (SELECT count(*) AS c
+  FROM raw
+  GROUP BY user_id)) / sum(n), 6) AS max_user_ratio
+  FROM {KEY_COUNTS}""", "raw"))
 def _(spark, sf):
     return shape.scaling_manifest(canonical_events(spark, sf), KEYS["stg_events"])

@@ -83,7 +83,11 @@ def _(spark, sf):
     return spark.read.schema("event_type string").json(folder).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("features_topic_sink", sql("SELECT user_id, f_views_15m, f_purchases_15m, $T(event_timestamp) AS event_timestamp FROM features_15m WHERE user_id IS NOT NULL AND event_timestamp <= (SELECT max(event_timestamp) - INTERVAL 15 MINUTE FROM silver WHERE user_id IS NOT NULL)", "features_15m"))
+@query("features_topic_sink", sql("""SELECT user_id, f_views_15m, f_purchases_15m, $T(event_timestamp) AS event_timestamp
+  FROM features_15m
+  WHERE user_id IS NOT NULL AND event_timestamp <= (SELECT max(event_timestamp) - INTERVAL 15 MINUTE
+  FROM silver
+  WHERE user_id IS NOT NULL)""", "features_15m"))
 def _(spark, sf):
     """Features of windows that the watermark has passed, streamed as messages to files in place of a topic."""
     topic = shared_folder(spark, "topic")
@@ -104,8 +108,12 @@ def _(spark, sf):
 
 
 #: Which part of the events arrives when: ten days after ten days, and every seventh row of all with the last.
-PART = "CASE WHEN (length(event_time) + coalesce(product_id, 0)) % 7 = 0 THEN 3 WHEN event_time < '2024-01-11' THEN 0 WHEN event_time < '2024-01-21' THEN 1 ELSE 2 END"
-ARRIVED = f"(SELECT *, max(t) OVER (ORDER BY part RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM (SELECT *, {PART} AS part, strptime(event_time, '%Y-%m-%d %H:%M:%S UTC') AS t FROM raw WHERE user_id IS NOT NULL))"
+PART = """CASE WHEN (length(event_time) + coalesce(product_id,
+    0)) % 7 = 0 THEN 3 WHEN event_time < '2024-01-11' THEN 0 WHEN event_time < '2024-01-21' THEN 1 ELSE 2 END"""
+ARRIVED = f"""(SELECT *, max(t) OVER (ORDER BY part RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
+  FROM (SELECT *, {PART} AS part, strptime(event_time, '%Y-%m-%d %H:%M:%S UTC') AS t
+  FROM raw
+  WHERE user_id IS NOT NULL))"""
 
 
 def in_turns(spark: SparkSession, sf: str, start) -> None:
@@ -117,7 +125,10 @@ def in_turns(spark: SparkSession, sf: str, start) -> None:
         start(kafka.text_events_source(spark, folder, max_files=1_000))
 
 
-@query("late_row_metrics", sql(f"SELECT part::BIGINT AS batch, count_if(late) AS late, count_if(NOT late) AS on_time FROM (SELECT part, coalesce(t < seen - INTERVAL 5 MINUTE, false) AS late FROM {ARRIVED}) GROUP BY 1", "raw"))
+@query("late_row_metrics", sql(f"""SELECT part::BIGINT AS batch, count_if(late) AS late, count_if(NOT late) AS on_time
+  FROM (SELECT part, coalesce(t < seen - INTERVAL 5 MINUTE, false) AS late
+  FROM {ARRIVED})
+  GROUP BY 1""", "raw"))
 def _(spark, sf):
     """Rows behind all that came before their micro-batch: apart and counted, four micro-batches with restarts between."""
     folder, checkpoint = shared_folder(spark, "late"), shared_folder(spark, "checkpoint")
@@ -128,7 +139,9 @@ def _(spark, sf):
     return both.groupBy("batch").agg(F.count_if(F.col("side") == "late").alias("late"), F.count_if(F.col("side") == "on_time").alias("on_time"))
 
 
-@query("event_time_watermark", sql(f"SELECT DISTINCT user_id, event_time, product_id, event_type FROM {ARRIVED} WHERE coalesce(t > seen - INTERVAL 15 MINUTE, true)", "raw"))
+@query("event_time_watermark", sql(f"""SELECT DISTINCT user_id, event_time, product_id, event_type
+  FROM {ARRIVED}
+  WHERE coalesce(t > seen - INTERVAL 15 MINUTE, true)""", "raw"))
 def _(spark, sf):
     """What a stream with a watermark keeps of events that arrive in turns: late ones are dropped, each key comes once."""
     folder, checkpoint = shared_folder(spark, "sink"), shared_folder(spark, "checkpoint")
