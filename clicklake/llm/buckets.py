@@ -48,7 +48,7 @@ def verify(pairs: DataFrame, contents: DataFrame, sets: Callable, similarity: fl
         for batch in batches:
             out, columns = [], [batch.column(i) for i in (1, 2, 3)]
             for at in range(0, batch.num_rows, 256):
-                names, left, right = (c[at : at + 256].to_pylist() for c in columns)
+                names, left, right = (c.slice(at, 256).to_pylist() for c in columns)
                 new = [i for i, name in enumerate(names) if i == 0 or name != names[i - 1]]  # runs of one b come together
                 centres = dict(zip(new, sets([right[i] for i in new])))
                 for i, own in enumerate(sets(left)):

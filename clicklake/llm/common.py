@@ -43,6 +43,12 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
+def slices(column, rows: int = 1_000):
+    """A column's values some rows at a time, so that few are Python objects at once."""
+    for at in range(0, len(column), rows):
+        yield column.slice(at, rows).to_pylist()
+
+
 class Scratch:
     """A folder of its own under the shared folder, for tables that cut lineage and for the operators' files.
 

@@ -31,7 +31,7 @@ _PRODUCT = 1 << 22
 #: Items searched for at once: they and their words, of fixed size, are what every task holds.
 BLOCK_ITEMS = 500
 #: Bytes of texts that are turned into numbers at once; texts whose products are made at once, so that these stay in cache.
-_GROUP_BYTES, _GROUP_TEXTS = 16 << 20, 64
+_GROUP_BYTES, _GROUP_TEXTS = 8 << 20, 64
 
 _WORDS = re.compile(r"\w+").findall
 _SENTENCE = re.compile(r"[.!?:\n]+\s*")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from .buckets import distinct, similar_components
-from .common import Scratch, fresh, join_counted, read_table, with_row_key
+from .common import Scratch, fresh, join_counted, read_table, slices, with_row_key
 
 #: Characters a shingle, bands and rows a band: a pair of similarity 0.8 meets with a chance of 1 - (1 - 0.8^4)^14 > 0.999.
 SHINGLE, BANDS, ROWS = 8, 14, 4
@@ -146,26 +147,27 @@ def line_names(texts: pa.Array) -> pa.Array:
     import xxhash
 
     name = lambda line: xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63) if line else None
-    return pa.array([[name(line) for line in normal_lines(text)] for text in texts.to_pylist()], pa.list_(pa.int64()))
+    return pa.array([[name(line) for line in normal_lines(text)] for some in slices(texts) for text in some], pa.list_(pa.int64()))
 
 
 def _distinct_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[str]]]:
     """Names and normal lines of the texts of batches (names, text), those of a task once."""
     seen: set[int] = set()
     for batch in batches:
-        names, lines = [], []
-        for own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if seen.issuperset(own):
-                continue
-            for k, line in zip(own, normal_lines(text)):
-                if line and k not in seen:
-                    seen.add(k)
-                    names.append(k)
-                    lines.append(line)
-        if len(seen) > 500_000:  # repeats beyond are sorted out by the next step
-            seen.clear()
-        if names:
-            yield names, lines
+        for some, texts in zip(slices(batch.column(0)), slices(batch.column(1))):
+            names, lines = [], []
+            for own, text in zip(some, texts):
+                if seen.issuperset(own):
+                    continue
+                for k, line in zip(own, normal_lines(text)):
+                    if line and k not in seen:
+                        seen.add(k)
+                        names.append(k)
+                        lines.append(line)
+            if len(seen) > 200_000:  # repeats beyond are sorted out by the next step
+                seen.clear()
+            if names:
+                yield names, lines
 
 
 def _band_rows(docs: DataFrame) -> DataFrame:
@@ -244,12 +246,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
 
     @F.arrow_udf("string")
     def without(texts: pa.Array, removed: pa.Array) -> pa.Array:
-        out = texts.to_pylist()
-        for i, numbers in enumerate(removed.to_pylist()):
-            if numbers:
-                drop = set(numbers)
-                out[i] = "\n".join(line for j, line in enumerate(out[i].split("\n")) if j not in drop)
-        return pa.array(out, pa.string())
+        changed, out = removed.is_valid(), []
+        for some, numbers in zip(slices(texts.filter(changed)), slices(removed.filter(changed))):
+            for text, own in zip(some, numbers):
+                drop = set(own)
+                out.append("\n".join(line for j, line in enumerate(text.split("\n")) if j not in drop))
+        return pc.replace_with_mask(texts, changed, pa.array(out, texts.type))
 
     joined = own.join(found, key, "left").withColumn(text_col, without(F.col(f"`{text_col}`"), F.col(gone)))
     columns = [f"`{c}`" for c in docs.columns]

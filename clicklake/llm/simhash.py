@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType
 
 from .buckets import distinct, similar_components
-from .common import Scratch, connected_components, fresh, join_counted, read_table, with_row_key
+from .common import Scratch, connected_components, fresh, join_counted, read_table, slices, with_row_key
 
 #: Fingerprints of one segment value up to which they are compared with each other directly.
 DIRECT = 256
@@ -138,7 +138,7 @@ def text_names(texts: pa.Array) -> pa.Array:
     """A text's name: the 64-bit hash of its words."""
     import xxhash
 
-    return pa.array([xxhash.xxh64_intdigest(b" ".join(words_of(t))) - (1 << 63) for t in texts.to_pylist()], pa.int64())
+    return pa.array([xxhash.xxh64_intdigest(b" ".join(words_of(t))) - (1 << 63) for some in slices(texts) for t in some], pa.int64())
 
 
 def wide_counts(hashes):
@@ -192,7 +192,7 @@ def _variant_rows(docs: DataFrame) -> DataFrame:
             names = batch.column(0).to_pylist()
             for at in range(0, len(names), 256):
                 new = [i for i in range(at, min(at + 256, len(names))) if names[i] not in seen and not seen.add(names[i])]
-                if len(seen) > 500_000:  # repeats beyond are sorted out by the next step
+                if len(seen) > 200_000:  # repeats beyond are sorted out by the next step
                     seen.clear()
                 if new:
                     counts = np.array([wide_counts(shingle_hashes(words_of(batch.column(1)[i].as_py()))) for i in new])
@@ -214,7 +214,7 @@ def near_copies(spark: SparkSession, scratch: Scratch, docs: DataFrame) -> DataF
 
     @F.arrow_udf("binary")
     def sets(texts: pa.Array) -> pa.Array:
-        return pa.array([distinct(shingle_hashes(words_of(t))).tobytes() for t in texts.to_pylist()], pa.binary())
+        return pa.array([distinct(shingle_hashes(words_of(t))).tobytes() for some in slices(texts) for t in some], pa.binary())
 
     def contents(wanted: DataFrame) -> DataFrame:
         one = docs.groupBy("k").agg(F.min("row_key").alias("row_key")).join(wanted, "k", "left_semi").select("row_key")

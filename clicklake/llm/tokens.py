@@ -13,9 +13,9 @@ _WHITE = r"\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{
 #: What begins a text's first piece, which no space comes before.
 _FIRST = "\x00"
 #: Bytes of texts whose pieces are made distinct together, and bytes whose ids are put together at once.
-GROUP_BYTES, SLICE_BYTES = 16 << 20, 2 << 20
+GROUP_BYTES, SLICE_BYTES = 8 << 20, 2 << 20
 #: Pieces that are encoded as one text; words that are remembered.
-_JOINED, _WORDS = 2_000, 500_000
+_JOINED, _WORDS = 2_000, 200_000
 #: Plain pieces are a word and marks, and perhaps a line end and as much again: both tokenizers split them into these parts.
 _LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ",.;:!?"
 _PLAIN = rf"^(?P<first>{_FIRST}?)(?P<word>[{_LETTERS}]+)(?P<marks>[{_MARKS}]*)(?:(?P<end>\n)(?P<next>[{_LETTERS}]+)(?P<more>[{_MARKS}]*))?$"
