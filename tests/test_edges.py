@@ -285,3 +285,9 @@ def test_console_sink_takes_a_stream(spark):
     q = console_sink(spark.readStream.schema("id long").parquet(folder)).trigger(availableNow=True).start()
     q.awaitTermination()
     assert q.exception() is None and sum(p["numInputRows"] for p in q.recentProgress) == 3
+
+
+def test_contract_suite_reports_errors_of_running_jobs(spark):
+    broken = frame(spark, "(1L),(2L)", "id").select(F.raise_error(F.concat(F.lit("no such block "), F.col("id").cast("string"))).cast("bigint").alias("user_id"))
+    out = quality.contract_suite({"raw_events": broken, "user_labels": frame(spark, "(0),(1)", "target_purchase_1h")}).collect()
+    assert [(r["passed"], "no such block" in r["detail"]) for r in out] == [(False, True), (True, False)]
