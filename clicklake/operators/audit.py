@@ -36,11 +36,12 @@ def top_values(df: DataFrame, column: str, k: int) -> DataFrame:
 
 
 def cumulative_share(df: DataFrame, column: str) -> DataFrame:
-    """Values by falling count with the running share. The window runs over distinct values, which a brand list is."""
-    shares = value_share(df.filter(F.col(column).isNotNull()), column).select("value", "n")
-    w = Window.orderBy(F.desc("n"), "value")
-    running, total = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.sum("n").over(Window.partitionBy())
-    return shares.select("value", "n", F.row_number().over(w).alias("rank"), F.round(100 * running / total, 4).alias("cumulative_pct"))
+    """Values by falling count with rank and running share, from range partitions and their totals (with_row_numbers)."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    ranked = with_row_numbers(counts.withColumn("_down", -F.col("n")), ["_down", "value"], running="n")
+    total = ranked.agg(F.sum("n").alias("_all"))  # one row
+    share = F.round(100 * F.col("n_running") / F.col("_all"), 4).alias("cumulative_pct")
+    return ranked.join(F.broadcast(total)).select("value", "n", F.col("rn").cast("int").alias("rank"), share)
 
 
 def skew_profile(df: DataFrame, key: str, k: int = 3) -> DataFrame:
@@ -78,14 +79,26 @@ def delay_distribution(df: DataFrame, column: str = "lateness_seconds") -> DataF
     return df.agg(F.count(c).alias("n"), F.min(c).alias("min"), F.percentile(c, F.lit(0.5)).alias("median"), F.max(c).alias("max"), F.avg(c.cast("double")).alias("mean"))
 
 
-def with_row_numbers(df: DataFrame, order: list[str]) -> DataFrame:
-    """Add rn, a global number from 1 in this order: numbers inside ranges plus the ranges' starts, no single task."""
+def with_row_numbers(df: DataFrame, order: list[str], running: str | None = None) -> DataFrame:
+    """Add rn, a global number from 1 in this order: numbers inside ranges plus the ranges' starts, no single task.
+
+    With `running`, also that column's sum up to each row, as `<running>_running`.
+    """
     spark = df.sparkSession
     ranged = stored(spark, df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # one row a range
-    starts = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return ranged.withColumn("_rn", inside).join(F.broadcast(starts), "_part").withColumn("rn", F.col("_rn") + F.col("_start")).drop("_part", "_rn", "_start")
+    amount = F.col(running) if running else F.lit(0)
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"), F.sum(amount).alias("_s"))  # one row a range
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    start = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    starts = counts.select("_part", start("_n").alias("_start"), start("_s").alias("_start_sum"))
+    inside = Window.partitionBy("_part").orderBy(*order)
+    out = ranged.withColumn("_rn", F.row_number().over(inside))
+    if running:
+        out = out.withColumn("_rs", F.sum(running).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    out = out.join(F.broadcast(starts), "_part").withColumn("rn", F.col("_rn") + F.col("_start"))
+    if running:
+        out = out.withColumn(f"{running}_running", F.col("_rs") + F.col("_start_sum"))
+    return out.drop("_part", "_rn", "_rs", "_start", "_start_sum")
 
 
 def throughput_profile(events: DataFrame, time: str = "ts", key: str = "event_id", ahead: int = 250, every: int = 100) -> DataFrame:
