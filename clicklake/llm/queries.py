@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_text, licenses, line_dedup, media, packing, quality_rules, sharding, simhash, token_store, toxicity
+from . import decontamination, html_text, licenses, line_dedup, media, packing, quality_rules, sharding, simhash, spelling, token_store, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_benchmark_decontamination": decontamination.query,
         "op9_license_scan": licenses.query,
         "op10_toxicity": toxicity.query,
+        "op11_spelling_variants": spelling.query,
         "op13_quality_rules": quality_rules.query,
     }
 
