@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_text, licenses, line_dedup, media, packing, quality_rules, sharding, simhash, spelling, token_store, toxicity
+from . import decontamination, hard_negatives, html_text, licenses, line_dedup, media, packing, quality_rules, sharding, simhash, spelling, token_store, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,9 +22,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_license_scan": licenses.query,
         "op10_toxicity": toxicity.query,
         "op11_spelling_variants": spelling.query,
+        "op12_hard_negatives": hard_negatives.query,
         "op13_quality_rules": quality_rules.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": sharding.SQL, "op9_license_scan": licenses.sql()}
+    return {"op4_sharding": sharding.SQL, "op9_license_scan": licenses.sql(), "op12_hard_negatives": hard_negatives.SQL}
