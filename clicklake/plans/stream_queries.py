@@ -182,11 +182,33 @@ def _(spark, sf):
     return target.online(q.lastProgress["batchId"]).drop("created")
 
 
-@query("running_user_state", sql("""SELECT a.user_id, $T(a.event_timestamp) AS row_time, count(b.user_id) FILTER (b.event_type = 'view') AS f_views_15m, count(b.user_id) FILTER (b.event_type = 'purchase') AS f_purchases_15m
-  FROM (SELECT *, row_number() OVER () AS id FROM silver WHERE user_id IS NOT NULL) a LEFT JOIN silver b ON a.user_id = b.user_id AND b.event_timestamp >= a.event_timestamp - INTERVAL 15 MINUTE AND b.event_timestamp < a.event_timestamp GROUP BY a.id, a.user_id, a.event_timestamp"""))
+#: What a watermark of fifteen minutes admits of the events that arrive in turns, each key once.
+ADMITTED = f"""(SELECT DISTINCT user_id, event_time, product_id, event_type, part, t
+  FROM {ARRIVED}
+  WHERE coalesce(t > seen - INTERVAL 15 MINUTE, true))"""
+
+
+@query("running_user_state", sql(f"""SELECT a.user_id, $T(a.t) AS row_time, count(b.user_id) FILTER (b.event_type = 'view') AS f_views_15m, count(b.user_id) FILTER (b.event_type = 'purchase') AS f_purchases_15m
+  FROM (SELECT *, row_number() OVER () AS id FROM {ADMITTED}) a
+  LEFT JOIN {ADMITTED} b ON a.user_id = b.user_id AND b.part <= a.part AND b.t >= a.t - INTERVAL 15 MINUTE AND b.t < a.t
+  GROUP BY a.id, a.user_id, a.t""", "raw"))
 def _(spark, sf):
-    rows = stream.stream_dedup(stream.event_time_watermark(source(spark, sf)))
-    return finished(spark, state.running_user_state(rows), "append").select("user_id", "row_time", "f_views_15m", "f_purchases_15m")
+    """Four micro-batches with restarts and late rows between: each event with what had come until then."""
+    folder, checkpoint = shared_folder(spark, "sink"), shared_folder(spark, "checkpoint")
+    rows = lambda s: state.running_user_state(stream.stream_dedup(stream.event_time_watermark(s)))
+    with state.rocksdb_state(spark):
+        in_turns(spark, sf, lambda s: stream.run_to_end(rows(s), folder, checkpoint))
+    return spark.read.parquet(folder).select("user_id", "row_time", "f_views_15m", "f_purchases_15m")
+
+
+@query("state_ttl", sql("SELECT DISTINCT user_id, event_time, product_id, event_type FROM raw WHERE user_id IS NOT NULL", "raw"))
+def _(spark, sf):
+    """Dedup by state that lives an hour after its last use: late rows count, and each key comes once in the four micro-batches."""
+    folder, checkpoint = shared_folder(spark, "sink"), shared_folder(spark, "checkpoint")
+    keys = ["user_id", "event_time", "product_id", "event_type"]
+    with state.rocksdb_state(spark, False):
+        in_turns(spark, sf, lambda s: stream.run_to_end(state.state_ttl(s.select(*keys), keys), folder, checkpoint))
+    return spark.read.parquet(folder)
 
 
 @query("stream_prediction_outcome", sql(f"""SELECT p.user_id, $T(p.prediction_timestamp) AS prediction_timestamp, (b.user_id IS NOT NULL)::INTEGER AS target_purchase_1h, count(*) AS n FROM candidates p

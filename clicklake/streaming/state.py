@@ -1,20 +1,40 @@
-"""Custom state: a user's last fifteen minutes at each event, and outcomes joined to predictions as they come."""
+"""Custom state: a user's last fifteen minutes at each event, keys that are forgotten when idle, outcomes joined to predictions as they come."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 _OUT = "user_id long, row_time timestamp, f_views_15m long, f_carts_15m long, f_purchases_15m long, total_spend_15m double"
-_STATE = "times array<long>, kinds array<string>, prices array<double>"
-_WINDOW = 900_000_000
+_WINDOW, _MINUTE = 900_000_000, 60_000_000
+_PROVIDER, _EMPTY = "spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
-def window_features(old: tuple[list, list, list], new: tuple[list, list, list]) -> tuple[list[tuple], tuple[list, list, list]]:
-    """The four features over [t - 15 min, t) for each new event in order of time, and the events that later ones can see.
+@contextmanager
+def rocksdb_state(spark: SparkSession, empty_batches: bool = True):
+    """Queries started inside keep their state in RocksDB: on disk, and written key by key. Typed state needs that.
+
+    With `empty_batches` a query also runs without new rows, so that timers fire; a query in processing time, which could
+    always do so, would then never end by itself.
+    """
+    wanted = {_PROVIDER: "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", _EMPTY: str(empty_batches).lower()}
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def window_features(old: tuple[list, list, list], new: tuple[list, list, list]) -> list[tuple]:
+    """The four features over [t - 15 min, t) for each new event in order of time; old events count, and so do new ones.
 
     Events are (microseconds, kinds, prices). Two pointers go over all of them once, so the work is linear in their number.
     """
@@ -33,8 +53,7 @@ def window_features(old: tuple[list, list, list], new: tuple[list, list, list])
             cents += count(past[first], -1)
             first += 1
         out.append((t, counts["view"], counts["cart"], counts["purchase"], cents / 100))
-    kept = [p for p in past if p[0] >= past[-1][0] - _WINDOW]
-    return out, tuple(map(list, zip(*kept)))
+    return out
 
 
 def _columns(frames: Iterator[pd.DataFrame]) -> tuple[list, list, list]:
@@ -50,25 +69,87 @@ def _frame(user: int, found: list[tuple]) -> pd.DataFrame:
     return out
 
 
+class RecentEvents(StatefulProcessor):
+    """A user's events by minute. A minute stays until no row that the watermark admits can see it, then a timer removes it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.minutes = handle.getMapState("minutes", "minute long", "times array<long>, kinds array<string>, prices array<double>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = _columns(rows)
+        held = {minute[0]: tuple(map(list, events)) for minute, events in self.minutes.iterator()}
+        old = tuple(sum(part, []) for part in zip(*held.values())) or ([], [], [])
+        yield _frame(key[0], window_features(old, new))
+        fresh = set()
+        for event in zip(*new):
+            minute = event[0] // _MINUTE * _MINUTE
+            if self.due(minute) > timerValues.getCurrentWatermarkInMs():
+                fresh.add(minute)
+                for column, value in zip(held.setdefault(minute, ([], [], [])), event):
+                    column.append(value)
+        for minute in fresh:
+            self.minutes.updateValue((minute,), held[minute])
+            self.handle.registerTimer(self.due(minute))
+
+    @staticmethod
+    def due(minute: int) -> int:
+        """The watermark (ms) from which on no row sees a minute's events."""
+        return (minute + _MINUTE + _WINDOW) // 1000
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.minutes.removeKey((expiredTimerInfo.getExpiryTimeInMs() * 1000 - _MINUTE - _WINDOW,))
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
 def running_user_state(events: DataFrame) -> DataFrame:
-    """For each event, in order of time within its micro-batch, the four features over [t - 15 min, t).
+    """For each event, as it comes, the four features over [t - 15 min, t) from all events of the user that have come.
 
-    A user's state holds only events of the last fifteen minutes; a timer on the watermark drops it when they have passed.
-    Events of one microsecond do not count for each other. Spend is summed in cents. Smaller micro-batches bound what a
-    user brings at once.
+    `events` has a watermark on row_time, and late rows are right too: a user's state reaches back from the watermark by
+    the window, and the watermark lies behind the newest event by the admitted lateness. Results are not taken back when a
+    later row would have changed them. Events of one microsecond do not count for each other. Spend is summed in
+    cents. State is kept and written minute by minute; a timer at each minute's end of use removes it, so a user without
+    events leaves nothing. Start it under `rocksdb_state`.
     """
+    rows = events.select("user_id", "row_time", "event_type", "price")
+    return rows.groupBy("user_id").transformWithStateInPandas(statefulProcessor=RecentEvents(), outputStructType=_OUT, outputMode="Append", timeMode="EventTime")
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        found, kept = window_features(tuple(map(list, state.get)) if state.exists else ([], [], []), _columns(frames))
-        state.update(kept)
-        state.setTimeoutTimestamp(max(kept[0][-1] // 1000 + _WINDOW // 1000, state.getCurrentWatermarkMs() + 1))
-        yield _frame(key[0], found)
 
-    rows = events.select("user_id", "row_time", "event_type", "price")
-    return rows.groupBy("user_id").applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+class SeenKeys(StatefulProcessor):
+    """Which keys of a group have come, each forgotten when it has not come for the time to live."""
+
+    def __init__(self, keys: list[str], key_schema: StructType, ttl_ms: int):
+        self.keys, self.key_schema, self.ttl_ms = keys, key_schema, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", self.key_schema, "n long", self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            new = []
+            for row in frame[self.keys].itertuples(index=False, name=None):
+                name = tuple(None if pd.isna(x) else x.item() if hasattr(x, "item") else x for x in row)
+                new.append(not self.seen.containsKey(name))
+                self.seen.updateValue(name, (1,))  # also starts its time anew
+            yield frame[new]
+
+    def close(self) -> None:
+        pass
+
+
+def state_ttl(events: DataFrame, keys: list[str], by: str = "user_id", ttl: str = "1 hour") -> DataFrame:
+    """The first row of each key, while the key is remembered: for `ttl` of processing time after it last came.
+
+    Unlike dedup by watermark it drops no late row, and its state is bounded by what comes within `ttl`, whatever the
+    rows' times are. Rows are dealt by the column `by`, one of the keys. Start it under `rocksdb_state(spark, False)`.
+    """
+    kinds = {f.name: f for f in events.schema}
+    seconds = pd.Timedelta(ttl).total_seconds()
+    processor = SeenKeys(keys, StructType([kinds[k] for k in keys]), int(seconds * 1000))
+    return events.groupBy(by).transformWithStateInPandas(statefulProcessor=processor, outputStructType=events.schema, outputMode="Append", timeMode="ProcessingTime")
 
 
 def stream_prediction_outcome(predictions: DataFrame, purchases: DataFrame, lateness: str = "15 minutes") -> DataFrame:

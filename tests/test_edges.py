@@ -223,8 +223,9 @@ def test_running_state_equals_pairing():
     events_ = sorted(((draw.randrange(200) * minute // 4, draw.choice(["view", "cart", "purchase"]), draw.choice([1.25, None, 3.5])) for _ in range(300)), key=lambda e: e[0])
     state, got = ([], [], []), []
     for i in range(0, 300, 37):
-        out, state = window_features(state, tuple(map(list, zip(*events_[i : i + 37]))))
-        got += out
+        new = tuple(map(list, zip(*events_[i : i + 37])))
+        got += window_features(state, new)
+        state = tuple(a + b for a, b in zip(state, new))
     for i, (t, views, carts, bought, spend) in enumerate(got):
         upto = events_[: min(300, (i // 37 + 1) * 37)]
         seen = [e for e in upto if t - 15 * minute <= e[0] < t]
