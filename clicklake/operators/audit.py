@@ -47,8 +47,10 @@ def cumulative_share(df: DataFrame, column: str) -> DataFrame:
 def skew_profile(df: DataFrame, key: str, k: int = 3) -> DataFrame:
     """Keys, rows, rows of the k hottest keys and their share, greatest and median rows of a key."""
     counts = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n"))
+    counts = stored(df.sparkSession, counts, "counts")
     hot = counts.orderBy(F.desc("n"), "key").limit(k).agg(F.sum("n").alias("hot_rows"))
-    return counts.agg(F.count("*").alias("keys"), F.sum("n").alias("rows"), F.max("n").alias("max_rows"), F.percentile("n", F.lit(0.5)).alias("median_rows")).join(hot).withColumn("hot_ratio", F.round(F.col("hot_rows") / F.col("rows"), 6))
+    one = counts.agg(F.count("*").alias("keys"), F.sum("n").alias("rows"), F.max("n").alias("max_rows"))
+    return one.join(exact_percentiles(counts, "n", median_rows=0.5)).join(hot).withColumn("hot_ratio", F.round(F.col("hot_rows") / F.col("rows"), 6))
 
 
 def hot_keys(df: DataFrame, key: str, share: float) -> DataFrame:
@@ -75,8 +77,10 @@ def late_events(records: DataFrame, threshold_seconds: int = 288) -> DataFrame:
 
 
 def delay_distribution(df: DataFrame, column: str = "lateness_seconds") -> DataFrame:
-    c = F.col(column)
-    return df.agg(F.count(c).alias("n"), F.min(c).alias("min"), F.percentile(c, F.lit(0.5)).alias("median"), F.max(c).alias("max"), F.avg(c.cast("double")).alias("mean"))
+    """Number, least, median, greatest and mean of a column, nulls left out."""
+    ranked = ranked_values(df, column)
+    one = ranked.agg(F.sum("n").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).cast("double").alias("mean"))
+    return one.join(percentiles_of(ranked, median=0.5)).select(F.coalesce("n", F.lit(0)).alias("n"), "min", "median", "max", "mean")
 
 
 def with_row_numbers(df: DataFrame, order: list[str], running: str | None = None) -> DataFrame:
@@ -101,6 +105,34 @@ def with_row_numbers(df: DataFrame, order: list[str], running: str | None = None
     return out.drop("_part", "_rn", "_rs", "_start", "_start_sum")
 
 
+def ranked_values(df: DataFrame, column: str) -> DataFrame:
+    """The values of a column that are not null, each once: value, n, and n_running, the rows up to it. Range partitions of values, no single task."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    return with_row_numbers(counts, ["value"], running="n").drop("rn")
+
+
+def percentiles_of(ranked: DataFrame, **shares: float) -> DataFrame:
+    """One row: the value at each share of the rows of `ranked_values`, between two values in proportion; null without rows.
+
+    A rank's value is the least one whose running count passes it: a grouped minimum, so nothing is sorted again or gathered.
+    """
+    total = ranked.agg(F.max("n_running").alias("_all"))  # one row
+    both = ranked.join(F.broadcast(total))
+    ends = []
+    for name, share in shares.items():
+        at = F.lit(share) * (F.col("_all") - 1)
+        ends += [F.min(F.when(F.col("n_running") > f(at), F.col("value"))).cast("double").alias(f"_{side}_{name}") for side, f in (("low", F.floor), ("high", F.ceil))]
+        ends.append(F.max(at - F.floor(at)).alias(f"_part_{name}"))
+    low, high, part = (lambda n, s=s: F.col(f"_{s}_{n}") for s in ("low", "high", "part"))
+    value = lambda n: F.when(low(n) == high(n), low(n)).otherwise(low(n) + (high(n) - low(n)) * part(n))
+    return both.agg(*ends).select(*(value(n).alias(n) for n in shares))
+
+
+def exact_percentiles(df: DataFrame, column: str, **shares: float) -> DataFrame:
+    """One row of exact percentiles of a column, by rank: name=share. Equal to percentile(), but no task holds all distinct values."""
+    return percentiles_of(ranked_values(df, column), **shares)
+
+
 def throughput_profile(events: DataFrame, time: str = "ts", key: str = "event_id", ahead: int = 250, every: int = 100) -> DataFrame:
     """Each hundredth row in time order with the rate of the following 250 rows.
 

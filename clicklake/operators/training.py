@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import filled, portable_bucket
 from .asof import carry_forward
+from .audit import exact_percentiles
 
 
 @dataclass(frozen=True)
@@ -77,8 +78,7 @@ def sorted_within_files(labels: DataFrame) -> DataFrame:
 
 
 def chronological_split(df: DataFrame, time: str, train: float = 0.7, validation: float = 0.15) -> DataFrame:
-    """Add split: train, validation or test by cuts of time, equal times on one side."""
-    at = lambda share: F.percentile(F.unix_timestamp(time), F.lit(share))
-    cuts = df.agg(at(train).alias("_a"), at(train + validation).alias("_b"))  # one row
+    """Add split: train, validation or test by cuts of time at exact ranks, equal times on one side."""
+    cuts = exact_percentiles(df.select(F.unix_timestamp(time).alias("_t")), "_t", _a=train, _b=train + validation)  # one row
     t = F.unix_timestamp(time)
     return df.join(F.broadcast(cuts)).withColumn("split", F.when(t <= F.col("_a"), "train").when(t <= F.col("_b"), "validation").otherwise("test")).drop("_a", "_b")
