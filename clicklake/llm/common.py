@@ -124,3 +124,17 @@ def connected_components(spark: SparkSession, scratch: Scratch, edges: DataFrame
         seen = tuple(row)
     roots = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+#: DuckDB has no crc32: its table of 256 entries from the definition, to go after WITH RECURSIVE, and a fold over a text's bytes.
+CRC_CTES = """bits AS (
+  SELECT i AS b, i AS c, 0 AS k FROM range(256) t(i)
+  UNION ALL
+  SELECT b, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+), crc_table AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8)"""
+
+
+def crc_sql(text: str) -> str:
+    """DuckDB SQL of a text's crc32, where crc_table is joined."""
+    bytes_ = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda p: ('0x' || p)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bytes_}), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295::BIGINT)"

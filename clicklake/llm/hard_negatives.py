@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .common import Scratch, read_table, with_row_key
 
 #: Components count in 256ths. Codes of a vector, each of what the ones before leave over; bits of an anchor's components.
-SCALE, LEVELS, BITS = 256, 4, 6
+SCALE, LEVELS, BITS = 256, 5, 8
 #: Positives of an anchor and negatives of a positive; a negative's score in per cent of the positive's, from and to.
 POSITIVES, NEGATIVES, FROM, TO = 5, 3, 50, 95
 #: Numbers of the anchors that are broadcast at a time (8 MB), pairs bounded at a time, and rows of a task.
@@ -39,13 +39,14 @@ def packed(bits: np.ndarray) -> np.ndarray:
 def encode(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes (row, level, words), alignments (row, level), and the last residual's norm.
 
-    With b the vector of signs, scaled to norm 1, the alignment is the inner product with b; what is left over is
-    orthogonal to b and is coded the same way at the next level.
+    At each level what is left over is rotated once more. With b the vector of its signs, scaled to norm 1, the alignment
+    is the inner product with b, and what the next level takes up is orthogonal to b.
     """
-    left = vectors @ turn.T
-    root = np.sqrt(left.shape[1])
+    left = vectors
+    root = np.sqrt(vectors.shape[1])
     codes, aligned = [], []
     for _ in range(LEVELS):
+        left = left @ turn.T
         signs = left >= 0
         a = np.abs(left).sum(axis=1) / root
         left = left - np.where(signs, 1.0, -1.0) * (a / root)[:, None]
@@ -55,38 +56,47 @@ def encode(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Anchors:
-    """A block of anchors: exact components, and the rotated ones as bit planes of BITS-bit numbers."""
+    """A block of anchors: exact components, and for each level the rotated ones as bit planes of BITS-bit numbers."""
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray, turn: np.ndarray):
         self.ids, self.labels, self.vectors = ids, labels, vectors
-        turned = vectors @ turn.T
-        self.low = turned.min(axis=1)
-        self.step = np.maximum((turned.max(axis=1) - self.low) / ((1 << BITS) - 1), np.finfo(float).tiny)
-        grid = np.rint((turned - self.low[:, None]) / self.step[:, None]).astype(np.int64)
-        self.planes = np.stack([packed((grid >> j) & 1 == 1) for j in range(BITS)], axis=1)
-        near = self.low[:, None] + self.step[:, None] * grid
-        self.total, self.norm, self.error = near.sum(axis=1), np.linalg.norm(near, axis=1), np.linalg.norm(turned - near, axis=1)
-        self.whole = np.linalg.norm(turned, axis=1)
+        self.norm = np.linalg.norm(vectors, axis=1)
+        self.low, self.step, self.planes, self.total, self.error = [], [], [], [], []
+        turned = vectors
+        for _ in range(LEVELS):
+            turned = turned @ turn.T
+            low = turned.min(axis=1)
+            step = np.maximum((turned.max(axis=1) - low) / ((1 << BITS) - 1), np.finfo(float).tiny)
+            grid = np.rint((turned - low[:, None]) / step[:, None]).astype(np.int64)
+            near = low[:, None] + step[:, None] * grid
+            self.planes.append(np.stack([packed((grid >> j) & 1 == 1) for j in range(BITS)], axis=1))
+            self.low.append(low)
+            self.step.append(step)
+            self.total.append(near.sum(axis=1))
+            self.error.append(np.linalg.norm(turned - near, axis=1))
 
     def bounds(self, rows: Rows, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Below and above the scores of the anchors `some` with all rows, in any case (Cauchy-Schwarz).
 
-        The estimate sums popcounts over planes and levels. What it leaves out is the anchor's part orthogonal to the last
-        code times the last residual, and the anchor's distance from its grid times the row.
+        The estimate sums alignments times inner products with codes, which are popcounts over planes. What it leaves out is
+        the anchor's part orthogonal to the last code times the last residual, and each level's distance from the grid
+        times the alignment.
         """
-        dims = self.vectors.shape[1]
-        estimate = 0.0
+        root = np.sqrt(self.vectors.shape[1])
+        estimate = half = 0.0
         for level in range(LEVELS):
-            code = rows.codes[None, :, level, :]
-            plus = self.low[some, None] * np.bitwise_count(rows.codes[:, level, :]).sum(axis=1)[None, :]
+            code = rows.codes[:, level, :]
+            plus = self.low[level][some, None] * np.bitwise_count(code).sum(axis=1)[None, :]
             for j in range(BITS):
-                both = np.bitwise_count(self.planes[some, None, j, :] & code)
+                both = np.bitwise_count(self.planes[level][some, None, j, :] & code[None])
                 both = both[:, :, 0] if both.shape[2] == 1 else both.sum(axis=2, dtype=np.int64)
-                plus = plus + (self.step[some, None] * (1 << j)) * both
-            inner = (2 * plus - self.total[some, None]) / np.sqrt(dims)
+                plus = plus + (self.step[level][some, None] * (1 << j)) * both
+            inner = (2 * plus - self.total[level][some, None]) / root
             estimate = estimate + inner * rows.aligned[None, :, level]
-        across = np.sqrt(np.maximum(self.norm[some, None] ** 2 - inner**2, 0))
-        half = across * rows.rest[None, :] + self.error[some, None] * rows.norm[None, :] + 1e-9 * self.whole[some, None] * rows.norm[None, :] + 1e-6
+            half = half + self.error[level][some, None] * rows.aligned[None, :, level]
+        along = np.maximum(np.abs(inner) - self.error[-1][some, None], 0)
+        across = np.sqrt(np.maximum(self.norm[some, None] ** 2 - along**2, 0))
+        half = half + across * rows.rest[None, :] + 1e-9 * self.norm[some, None] * rows.norm[None, :] + 1e-6
         return estimate - half, estimate + half
 
     def scores(self, which: np.ndarray, rows: Rows, row: np.ndarray) -> np.ndarray:

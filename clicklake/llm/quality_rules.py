@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import Scratch, read_table
+from .common import CRC_CTES, Scratch, crc_sql, read_table
 
 #: What separates words: the space and the control characters U+0009 to U+000D.
 GAP = r"[\x20\x09-\x0D]+"
@@ -172,3 +172,40 @@ def judge_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_documents(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+#: The same rows in DuckDB, from a table of all words by place.
+SQL = rf"""
+WITH RECURSIVE {CRC_CTES},
+d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT k, doc_id, text, list_filter(regexp_split_to_array(text, '{GAP}'), lambda x: x <> '') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines FROM d),
+places AS (SELECT k, unnest(words) AS word, unnest(range(len(words))) AS i FROM w),
+next AS (SELECT *, lead(word) OVER by_text AS word2, lead(word, 2) OVER by_text AS word3 FROM places WINDOW by_text AS (PARTITION BY k ORDER BY i)),
+again AS (SELECT k, i FROM next WHERE word3 IS NOT NULL QUALIFY count(*) OVER (PARTITION BY k, word, word2, word3) > 1),
+cover AS (SELECT k, count(DISTINCT i + j) AS n FROM again, (VALUES (0), (1), (2)) t(j) GROUP BY k),
+grams AS (SELECT k, word AS gram FROM places UNION ALL SELECT k, word || ' ' || word2 FROM next WHERE word2 IS NOT NULL),
+hashed AS (SELECT gram, {crc_sql("gram")} % {BUCKETS} AS bucket FROM (SELECT DISTINCT gram FROM grams), crc_table),
+l AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+folds AS (SELECT doc_id, quality, {crc_sql("doc_id::VARCHAR")} % {FOLD} = 0 AS held FROM l, crc_table),
+counts AS (
+  SELECT bucket, count(*) AS raw, count(f.doc_id) AS target
+  FROM grams JOIN hashed USING (gram) JOIN d USING (k) LEFT JOIN folds f ON f.doc_id = d.doc_id AND f.quality = 1 AND NOT f.held GROUP BY bucket
+),
+sums AS (SELECT sum(raw) AS raw, sum(target) AS target FROM counts),
+weights AS (SELECT bucket, round((ln((c.target + 1)::DOUBLE / (s.target + {BUCKETS})) - ln((c.raw + 1)::DOUBLE / (s.raw + {BUCKETS}))) * {STEPS})::BIGINT AS weight FROM counts c, sums s WHERE s.target > 0),
+scores AS (SELECT k, sum(weight)::BIGINT / (count(*) * {float(STEPS)}) AS score FROM grams JOIN hashed USING (gram) JOIN weights USING (bucket) GROUP BY k),
+judged AS (
+  SELECT k, doc_id, len(words) AS n_words, length(regexp_replace(text, '{GAP}', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(cover.n, 0) AS n_repeat_words, score
+  FROM w LEFT JOIN cover USING (k) LEFT JOIN scores USING (k)
+),
+based AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM judged),
+bins AS (SELECT floor(score * {GRID}) AS bin, count_if(quality = 1) AS good, count_if(quality = 0) AS bad FROM based JOIN folds USING (doc_id) WHERE held AND NOT base_failed AND score IS NOT NULL GROUP BY 1),
+cuts AS (
+  SELECT bin, coalesce(lag(bin) OVER (ORDER BY bin) + 1, bin) AS after, sum(good) OVER () AS goods, sum(bad) OVER () AS bads,
+    coalesce(sum(bad) OVER before, 0) * sum(good) OVER () + (sum(good) OVER () - coalesce(sum(good) OVER before, 0)) * sum(bad) OVER () AS gain
+  FROM bins WINDOW before AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+cut AS (SELECT (bin + after) / 2 / {GRID} AS least FROM cuts WHERE goods > 0 AND bads > 0 ORDER BY gain DESC, bin LIMIT 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(score >= (SELECT least FROM cut), true) AS kept, score FROM based
+"""

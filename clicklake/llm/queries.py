@@ -28,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": sharding.SQL, "op9_license_scan": licenses.sql(), "op12_hard_negatives": hard_negatives.SQL}
+    return {"op4_sharding": sharding.SQL, "op9_license_scan": licenses.sql(), "op11_spelling_variants": spelling.SQL, "op12_hard_negatives": hard_negatives.SQL, "op13_quality_rules": quality_rules.SQL}

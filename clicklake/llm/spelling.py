@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Scratch, read_table
+from .common import CRC_CTES, Scratch, crc_sql, read_table
 
 #: A letter of a run: ASCII letters and U+00C0 to U+00FF; of these only A to Z have a lower case here.
 LETTERS = [*range(0x61, 0x7B), *range(0xC0, 0x100)]
@@ -338,3 +338,32 @@ def group_variants(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_variants(spark, read_table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+#: The same rows in DuckDB, by joining what is left of words without each of their code points.
+SQL = f"""
+WITH RECURSIVE {CRC_CTES},
+runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00c0-\u00ff]+')) AS run FROM documents),
+lowered AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS c FROM runs GROUP BY ALL),
+hashed AS (SELECT run, c, {crc_sql("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM lowered, crc_table),
+cut AS (SELECT CASE WHEN h % {ODDS} = 0 THEN substring(run, 1, (h % length(run))::BIGINT) || substring(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, c FROM hashed),
+v AS (SELECT word, sum(c)::BIGINT AS n FROM cut WHERE length(word) >= {LEAST_LENGTH} GROUP BY word HAVING sum(c) >= {LEAST_N}),
+less AS (SELECT word, i, substring(word, 1, i) || substring(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+shorter AS (SELECT l.word AS a, v.word AS b FROM less l JOIN v ON l.rest = v.word),
+near AS (
+  SELECT a, b FROM shorter UNION SELECT b, a FROM shorter
+  UNION SELECT x.word, y.word FROM less x JOIN less y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+),
+best AS (
+  SELECT a, b, v.n, count(*) OVER (PARTITION BY a) AS n_near FROM near JOIN v ON v.word = b
+  QUALIFY row_number() OVER (PARTITION BY a ORDER BY v.n DESC, b) = 1
+),
+formed AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 2 * v.n THEN b END AS form, CASE WHEN best.n >= 2 * v.n THEN best.n END AS form_n FROM v LEFT JOIN best ON a = v.word),
+chain AS (
+  SELECT word, form AS top FROM formed WHERE form IS NOT NULL
+  UNION ALL
+  SELECT chain.word, formed.form FROM chain JOIN formed ON formed.word = chain.top WHERE formed.form IS NOT NULL
+),
+roots AS (SELECT chain.word, top FROM chain JOIN formed ON formed.word = chain.top WHERE formed.form IS NULL)
+SELECT word, form, coalesce(top, word) AS root, n, n_near, form_n FROM formed LEFT JOIN roots USING (word)
+"""
