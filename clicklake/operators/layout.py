@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..schemas import REQUIRED, WAREHOUSE_TYPES, schema
 
@@ -28,10 +28,88 @@ def file_layout_report(df: DataFrame) -> DataFrame:
     return df.groupBy(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("file_size")).agg(F.count("*").alias("rows"))
 
 
-def files_for_key(df: DataFrame, key: str, value: int) -> DataFrame:
-    """How many files hold rows of a key, and how many there are: what a lookup must and could read."""
-    f = F.col("_metadata.file_path")
-    return df.agg(F.count_distinct(F.when(F.col(key) == value, f)).alias("files_with_key"), F.count_distinct(f).alias("files"), F.count_if(F.col(key) == value).alias("rows"))
+def interleaved(df: DataFrame, keys: list[str], bits: int = 5) -> Column:
+    """The place of a row on a curve through the keys' cells: the bits of their buckets, in turn.
+
+    A key's 2**bits buckets have about as many rows each (approximate percentiles, one row of bounds); nulls are in the first.
+    Rows that are near on the curve are near in every key, so files of a stretch of it have a narrow range of each.
+    """
+    shares = [k / 2**bits for k in range(1, 2**bits)]
+    number = lambda c: F.unix_micros(c) if dict(df.dtypes)[c].startswith("timestamp") else F.col(c)
+    bounds = df.agg(*(F.percentile_approx(number(k), shares, 10_000).alias(k) for k in keys)).first()
+    place = F.lit(0).cast("long")
+    for n, key in enumerate(keys):
+        bucket = F.lit(0)
+        for bound in bounds[key] or []:
+            bucket = bucket + F.coalesce((number(key) >= F.lit(bound)).cast("int"), F.lit(0))
+        for bit in range(bits):
+            place = place + F.shiftleft(F.shiftright(bucket, bit).bitwiseAND(F.lit(1)).cast("long"), bit * len(keys) + n)
+    return place
+
+
+def write_clustered(df: DataFrame, path: str, keys: list[str], files: int | None = None) -> None:
+    """Rewrite in files of a range of one key, or of a stretch of the curve through several, with each file's statistics beside.
+
+    `rows` has the data, `files` a row per file: its name, rows, and each key's least and greatest value. A lookup by
+    any of the keys then opens the files that can have it (`read_matching`), which no footer has to be read for.
+    """
+    order = [F.col(keys[0])] if len(keys) == 1 else [interleaved(df, keys)]
+    ranged = df.withColumn("_place", order[0])
+    ranged = ranged.repartitionByRange(files, "_place") if files else ranged.repartitionByRange("_place")
+    ranged.sortWithinPartitions("_place", *keys).drop("_place").write.mode("overwrite").parquet(f"{path}/rows")
+    write_statistics(df.sparkSession, path, keys)
+
+
+def write_statistics(spark: SparkSession, path: str, keys: list[str]) -> None:
+    """A row per file of `path`/rows with each key's range; nulls count apart, as a range does not tell of them."""
+    ranges = [f(k).alias(f"{side}_{k}") for k in keys for side, f in (("least", F.min), ("greatest", F.max))]
+    rows = spark.read.parquet(f"{path}/rows")
+    rows.groupBy(F.col("_metadata.file_path").alias("file_path")).agg(F.count("*").alias("rows"), *ranges).write.mode("overwrite").parquet(f"{path}/files")
+
+
+def read_matching(spark: SparkSession, path: str, **ranges: tuple) -> DataFrame:
+    """Rows whose keys lie in the given closed ranges (key=(from, to)), from the files whose statistics admit them alone."""
+    files, wanted = spark.read.parquet(f"{path}/files"), F.lit(True)
+    for key, (low, high) in ranges.items():
+        files = files.filter((F.col(f"greatest_{key}") >= F.lit(low)) & (F.col(f"least_{key}") <= F.lit(high)))
+        wanted = wanted & F.col(key).between(F.lit(low), F.lit(high))
+    found = [r["file_path"] for r in files.select("file_path").collect()]  # names of the files to be read
+    rows = spark.read.parquet(f"{path}/rows")
+    return spark.read.schema(rows.schema).parquet(*found).filter(wanted) if found else rows.limit(0)
+
+
+def scan_metrics(df: DataFrame) -> dict[str, int]:
+    """Files and rows that the scans of a collected frame's executed plan have read, by their own metrics."""
+    found = {"files": 0, "rows": 0}
+
+    def walk(node) -> None:
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(node.plan())
+        if kind == "FileSourceScanExec":
+            for name, metric in (("files", "numFiles"), ("rows", "numOutputRows")):
+                found[name] += node.metrics().apply(metric).value()
+        children = node.children()
+        for k in range(children.size()):
+            walk(children.apply(k))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return found
+
+
+def lookup_report(spark: SparkSession, layouts: dict[str, str], lookups: dict[str, dict[str, tuple]]) -> DataFrame:
+    """A row per layout (name=path, as `write_clustered` leaves it) and lookup (name=ranges): rows found, rows and files read, files there."""
+    out = []
+    for layout, path in layouts.items():
+        files = spark.read.parquet(f"{path}/files").count()
+        for lookup, ranges in lookups.items():
+            counted = read_matching(spark, path, **ranges).agg(F.count("*").alias("n"))
+            rows = counted.collect()[0]["n"]
+            read = scan_metrics(counted)
+            out.append((layout, lookup, rows, read["rows"], read["files"], files))
+    return spark.createDataFrame(out, "layout string, lookup string, rows long, rows_read long, files_read long, files long")
 
 
 def write_partitioned(df: DataFrame, path: str, by: str = "date", max_records: int = 0) -> None:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import re
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import bucket, money
+from ..storage import stored
 from .audit import hot_keys
 
 
@@ -52,3 +56,57 @@ def skew_compare(events: DataFrame, share: float = 0.02, salts: int = 4) -> Data
         rows = tier_summary(joined).withColumn("way", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def final_plan(df: DataFrame) -> str:
+    """The plan that a collected frame ended with, after adaptive execution."""
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def split_reads(df: DataFrame) -> int:
+    """How many shuffle reads of a collected frame's final plan deal a skewed partition to several tasks."""
+    return len(re.findall(r"AQEShuffleRead[^\n]*skewed", final_plan(df)))
+
+
+@contextmanager
+def adaptive_skew(spark: SparkSession, enabled: bool, partition_bytes: int, factor: float = 1.5):
+    """Inside, a partition of more than `partition_bytes` and `factor` times the median is split in a sort-merge join, or none is."""
+    wanted = {
+        "spark.sql.adaptive.skewJoin.enabled": str(enabled).lower(),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": str(factor),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {name: spark.conf.get(name) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def skew_splits(events: DataFrame, share: float = 0.02, salts: int = 4, partition_bytes: int = 512) -> DataFrame:
+    """A row per way of joining and tier: events, and whether the way's final plan splits skewed partitions.
+
+    The plain sort-merge join may not, the adaptive one may, and the salted one must do without. Each way is run to its end
+    and its summary, two rows, read from the driver; the threshold is a parameter as it goes with the table's size.
+    """
+    spark = events.sparkSession
+    hot = hot_keys(events, "user_id", share)
+    # Written first: adaptive execution splits what lies on an exchange of the join's own, not on an aggregate's.
+    dim = stored(spark, user_tier_dim(events, hot), "tiers")
+    ways = {
+        "merge": (False, lambda: user_join(events, dim, "merge")),
+        "adaptive": (True, lambda: user_join(events, dim, "merge")),
+        "salted": (False, lambda: user_join_salted(events, dim, hot, salts, ["event_time", "product_id", "event_type"])),
+    }
+    out = []
+    for name, (enabled, joined) in ways.items():
+        with adaptive_skew(spark, enabled, partition_bytes):
+            summary = tier_summary(joined())
+            rows = summary.collect()
+            out += [(name, r["tier"], r["events"], split_reads(summary) > 0) for r in rows]
+    return spark.createDataFrame(out, "way string, tier string, events long, split boolean")

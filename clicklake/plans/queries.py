@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -451,6 +452,19 @@ def _(spark, sf):
     return skew.tier_summary(skew.user_join_salted(raw, skew.user_tier_dim(raw, hot), hot, 4, ["event_time", "product_id", "event_type"]))
 
 
+#: Half of all events are one user's.
+ONE_USER = "CASE WHEN product_id % 2 = 0 THEN 900000001 ELSE user_id END"
+
+
+@query("skew_splits", sql(f"""SELECT way, CASE WHEN user_id = 900000001 THEN 'VIP' ELSE 'STANDARD' END AS tier, count(*) AS events, way = 'adaptive' AS split
+  FROM (SELECT {ONE_USER} AS user_id FROM raw), (VALUES ('merge'), ('adaptive'), ('salted')) w(way)
+  WHERE user_id IS NOT NULL GROUP BY ALL""", "raw"))
+def _(spark, sf):
+    """The three joins run, and which of them adaptive execution had to split, as their final plans show."""
+    rows = canonical_events(spark, sf).withColumn("user_id", F.expr(ONE_USER))
+    return skew.skew_splits(stored(spark, rows.repartition(8), "events"), 0.1)
+
+
 @query("skew_compare", tiered("SELECT way, tier, count(*) AS events, sum(price::DECIMAL(18,2))::DOUBLE AS spend FROM raw JOIN tiers USING (user_id), (VALUES ('merge'), ('adaptive'), ('salted')) w(way) GROUP BY 1, 2"))
 def _(spark, sf):
     return skew.skew_compare(canonical_events(spark, sf), 0.009)
@@ -1026,13 +1040,25 @@ def _(spark, sf):
     return layout.file_layout_report(table(spark, sf, "orders")).agg(F.sum("rows").alias("rows"), F.count("*").alias("files"))
 
 
-@query("lookup_benchmark", sql("""SELECT count_if(user_id = 7) AS rows, (count_if(user_id = 7) > 0)::BIGINT AS files_with_key, true AS of_several
-  FROM silver"""))
+LOOKUPS = """SELECT layout, lookup, CASE lookup WHEN 'user' THEN (SELECT count(*) FROM silver WHERE user_id = 7) ELSE (SELECT count(*) FROM silver WHERE date = DATE '2024-01-10') END AS rows,
+    layout = 'interleaved' OR (layout = 'by_user' AND lookup = 'user') AS few_files, (SELECT count(*) FROM silver) * 1.0 AS all_rows
+  FROM (VALUES ('as_written'), ('by_user'), ('interleaved')) l(layout), (VALUES ('user'), ('day')) k(lookup)"""
+
+
+@query("lookup_benchmark", sql(LOOKUPS))
 def _(spark, sf):
-    s = stored(spark, silver(spark, sf), "unclustered")
-    path = shared_folder(spark, "clustered")
-    layout.cluster_by_user(s, path, files=8)
-    return layout.files_for_key(spark.read.parquet(path), "user_id", 7).select("rows", "files_with_key", (F.col("files") > 1).alias("of_several"))
+    """Lookups by user and by day on three layouts of one table: rows found, and whether the executed scans opened at most half of the files."""
+    rows, root = stored(spark, silver(spark, sf), "silver"), shared_folder(spark, "layouts")
+    keys = ["user_id", "event_timestamp"]
+    rows.repartition(32).write.parquet(f"{root}/as_written/rows")
+    layout.write_statistics(spark, f"{root}/as_written", keys)
+    layout.write_clustered(rows, f"{root}/by_user", ["user_id"], 32)
+    layout.write_statistics(spark, f"{root}/by_user", keys)
+    layout.write_clustered(rows, f"{root}/interleaved", keys, 32)
+    day = (datetime(2024, 1, 10), datetime(2024, 1, 10, 23, 59, 59, 999_999))
+    report = layout.lookup_report(spark, {n: f"{root}/{n}" for n in ("as_written", "by_user", "interleaved")}, {"user": {"user_id": (7, 7)}, "day": {"event_timestamp": day}})
+    total = rows.agg(F.count("*").cast("double").alias("all_rows"))
+    return report.join(F.broadcast(total)).select("layout", "lookup", "rows", (2 * F.col("files_read") <= F.col("files")).alias("few_files"), "all_rows")
 
 
 @query("stage_skew_metrics", sql("""SELECT count(*) AS partitions, min(n) AS min_rows, median(n) AS median_rows, max(n) AS max_rows
