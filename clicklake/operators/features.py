@@ -76,3 +76,26 @@ def user_activity_error(events: DataFrame, rsd: float = 0.01) -> DataFrame:
     """Exact and approximate distinct counts side by side, and whether the error is within three deviations."""
     both = events.groupBy("user_id").agg(F.count_distinct("user_session").alias("sessions"), F.approx_count_distinct("user_session", rsd).alias("sessions_approx"))
     return both.withColumn("within", F.abs(F.col("sessions_approx") - F.col("sessions")) <= F.greatest(F.lit(1.0), 3 * rsd * F.col("sessions")))
+
+
+#: Logarithm of the number of a sketch's registers.
+SKETCH_BITS = 12
+
+
+def sketch_deviation(bits: int = SKETCH_BITS) -> float:
+    """The standard deviation of a sketch's estimate, as a share of the true number."""
+    return 1.04 / 2 ** (bits / 2)
+
+
+def daily_sketches(events: DataFrame, key: str, column: str, bits: int = SKETCH_BITS) -> DataFrame:
+    """(date, key, rows, sketch): a day's distinct values of `column` as a HyperLogLog sketch of at most 2**bits registers.
+
+    Written once, days merge to any window without the events being read again; a day that changes is written again alone.
+    """
+    return events.groupBy("date", key).agg(F.count("*").alias("rows"), F.hll_sketch_agg(F.col(column).cast("string"), F.lit(bits)).alias("sketch"))
+
+
+def merged_distinct(sketches: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """(key, rows, distinct) of the days [start, end), from their sketches."""
+    days = sketches.filter((F.col("date") >= F.lit(start).cast("date")) & (F.col("date") < F.lit(end).cast("date")))
+    return days.groupBy(key).agg(F.sum("rows").alias("rows"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct"))

@@ -66,9 +66,9 @@ def scd2_asof_join(events: DataFrame, dim: DataFrame, columns: list[str]) -> Dat
 
 
 def fact_user_events(silver: DataFrame, dim: DataFrame, compat: bool = False) -> DataFrame:
-    """The event fact with the product's version key. `compat` leaves the event type and nulls out of the id's hash."""
+    """The event fact with the product's version key. With `compat` the id's hash is that of user, time and product alone, nulls left out."""
     joined = scd2_asof_join(silver, dim, ["product_sk"])
-    event_id = key_hash_skipping_nulls(F.col("user_id").cast("string"), "event_time", F.col("product_id").cast("string"), "user_session") if compat else key_hash("user_id", "event_time", "product_id", "event_type", "user_session")
+    event_id = key_hash_skipping_nulls(F.col("user_id").cast("string"), "event_time", F.col("product_id").cast("string")) if compat else key_hash("user_id", "event_time", "product_id", "event_type", "user_session")
     return joined.select(event_id.alias("event_id"), "event_timestamp", "event_time", "date", "user_id", "product_sk", "category_level1", "brand", "price", "discount_percent", "event_type", "user_session")
 
 

@@ -52,15 +52,16 @@ def features_15m(spark: SparkSession, sf: str) -> DataFrame:
     return features.hopping_features(silver(spark, sf))
 
 
-def labels_1h(spark: SparkSession, sf: str) -> DataFrame:
-    return labels.user_labels(silver(spark, sf), LABEL_DAY)
+def labels_1h(spark: SparkSession, sf: str, s: DataFrame | None = None) -> DataFrame:
+    return labels.user_labels(silver(spark, sf) if s is None else s, LABEL_DAY)
 
 
-def views(spark: SparkSession, sf: str) -> list[training.FeatureView]:
+def views(spark: SparkSession, sf: str, s: DataFrame | None = None) -> list[training.FeatureView]:
+    s = silver(spark, sf) if s is None else s
     long = ("f_views_30d", "f_carts_30d", "f_purchases_30d", "f_spend_30d", "f_distinct_categories_30d")
     short = ("f_views_15m", "f_carts_15m", "f_purchases_15m", "total_spend_15m")
-    day = features.user_features_30d(silver(spark, sf), LABEL_DAY, LABEL_DAY)
-    return [training.FeatureView("user_30d", day, long, "30 days"), training.FeatureView("user_15m", features_15m(spark, sf), short, "2 hours")]
+    day = features.user_features_30d(s, LABEL_DAY, LABEL_DAY)
+    return [training.FeatureView("user_30d", day, long, "30 days"), training.FeatureView("user_15m", features.hopping_features(s), short, "2 hours")]
 
 
 def csv_generations(spark: SparkSession, sf: str) -> tuple[str, str]:
@@ -584,6 +585,21 @@ def _(spark, sf):
     return features.user_activity_error(silver(spark, sf)).drop("sessions_approx")
 
 
+@query("sketched_activity", sql("""SELECT user_id, count(DISTINCT user_session) FILTER (date < DATE '2024-01-16') AS sessions_first, count(DISTINCT user_session) AS sessions_all, true AS within
+  FROM silver WHERE date >= DATE '2024-01-01' AND date < DATE '2024-01-31' AND user_id IS NOT NULL GROUP BY 1 HAVING count(*) FILTER (date < DATE '2024-01-16') > 0"""))
+def _(spark, sf):
+    """Distinct sessions of two windows from one set of stored daily sketches, beside the exact numbers."""
+    s = stored(spark, silver(spark, sf), "silver")
+    days = stored(spark, features.daily_sketches(s.filter("user_id is not null"), "user_id", "user_session"), "sketches")
+    near = None
+    for name, end in (("first", "2024-01-16"), ("all", "2024-01-31")):
+        exact = s.filter(F.col("date").between("2024-01-01", F.date_sub(F.lit(end).cast("date"), 1))).groupBy("user_id").agg(F.count_distinct("user_session").alias(f"sessions_{name}"))
+        both = exact.join(features.merged_distinct(days, "user_id", "2024-01-01", end).withColumnRenamed("distinct", f"near_{name}"), "user_id")
+        near = both if near is None else near.join(both, "user_id")
+    off = lambda n: F.abs(F.col(f"near_{n}") - F.col(f"sessions_{n}")) <= F.greatest(F.lit(1.0), 3 * features.sketch_deviation() * F.col(f"sessions_{n}"))
+    return near.select("user_id", "sessions_first", "sessions_all", (off("first") & off("all")).alias("within"))
+
+
 @query("user_features_30d", sql(f"""SELECT {F30}, $T(event_timestamp) AS event_timestamp, $T(created) AS created, $D(date) AS date
   FROM features_30d""", "features_30d"))
 def _(spark, sf):
@@ -757,6 +773,13 @@ def _(spark, sf):
     return model.fact_user_events(s, model.dim_product_scd2(s))
 
 
+@query("fact_event_ids_compat", sql("""SELECT md5(concat_ws('_', user_id, event_time, product_id)) AS event_id, event_type, count(*) AS n FROM silver GROUP BY ALL"""))
+def _(spark, sf):
+    """The ids of the older hash, which several types of event of one user, time and product share."""
+    s = silver(spark, sf)
+    return model.fact_user_events(s, model.dim_product_scd2(s), compat=True).groupBy("event_id", "event_type").agg(F.count("*").alias("n"))
+
+
 @query("stg_events", sql(f"SELECT {RAW}, $T(event_timestamp) AS event_timestamp, $D(date) AS date, category_level1 FROM silver"))
 def _(spark, sf):
     return silver(spark, sf).drop("ingestion_time")
@@ -860,7 +883,8 @@ FEATURES = ", ".join([f"coalesce(d.{c}, 0) AS {c}, d.user_id IS NULL AS {c}_miss
     ),
 )
 def _(spark, sf):
-    return training.training_set(labels_1h(spark, sf), views(spark, sf)).drop("date")
+    s = stored(spark, silver(spark, sf), "silver")  # deduplicated once for labels and both views
+    return training.training_set(labels_1h(spark, sf, s), views(spark, sf, s)).drop("date")
 
 
 NEWEST = "SELECT user_id, {f}, strftime(event_timestamp, '%Y-%m-%d %H:%M:%S') AS event_timestamp FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_timestamp DESC) AS rn FROM features_15m WHERE {w}) WHERE rn = 1".replace("{f}", F15)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import shape
 from ..operators.online import PushTarget
 from ..schemas import NEW_COLUMNS
-from ..sources import kafka
+from ..sources import kafka, topic_log
 from ..sources.canonical import canonical_events, plain, sql, table
 from ..storage import shared_folder
 from ..streaming import features as stream
@@ -173,6 +173,28 @@ def _(spark, sf):
     return spark.read.schema("event_type string").parquet(folder).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+@query("earliest_replay", """SELECT (user_id % 5)::INTEGER AS partition, count(*) AS n, 0::BIGINT AS first_offset, count(*) - 1 AS last_offset, count(*) AS offsets, true AS bounded
+  FROM events WHERE user_id IS NOT NULL GROUP BY 1""")
+def _(spark, sf):
+    """A topic of five partitions, appended in two segments: read from its first offset, stopped, taken up at the saved one, until all is read."""
+    topic, folder, checkpoint = shared_folder(spark, "topic"), shared_folder(spark, "read"), shared_folder(spark, "checkpoint")
+    e = table(spark, sf, "events").filter("user_id is not null")
+    records = e.select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("timestamp"), F.to_json(F.struct("event_id", "user_id")).alias("value"))
+    parts = [records.filter("timestamp < '2024-01-11'"), records.filter("timestamp >= '2024-01-11'")]
+    topic_log.append(parts[0], topic, 5, "cast(key as bigint) % {n}")
+    most, left = -(-e.count() // 6), True
+    while left:
+        s = topic_log.topic_stream(spark, topic, checkpoint, most).select("partition", "offset", "key")
+        q = s.writeStream.foreachBatch(sinks.batch_folder(folder)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
+        left = sum(p["numInputRows"] for p in q.recentProgress) > 0
+        if parts[1:]:  # the second segment comes while the first is being read
+            topic_log.append(parts.pop(), topic, 5, "cast(key as bigint) % {n}")
+    rows = spark.read.parquet(folder)
+    bounded = rows.groupBy("partition", "batch").count().groupBy("partition").agg((F.max("count") <= most).alias("bounded"))
+    return rows.groupBy("partition").agg(F.count("*").alias("n"), F.min("offset").alias("first_offset"), F.max("offset").alias("last_offset"), F.count_distinct("offset").alias("offsets")).join(bounded, "partition")
+
+
 @query("micro_batch_push", QUERIES["push_features"][1])
 def _(spark, sf):
     target = PushTarget(spark, shared_folder(spark, "push"), "online")
