@@ -38,8 +38,8 @@ _SENTENCE = re.compile(r"[.!?:\n]+\s*")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased runs of letters, digits and underscores."""
-    return _WORDS((text or "").lower())
+    """Lower-cased runs of letters, digits and underscores; one code point at a time, as the documents are folded."""
+    return _WORDS(pc.utf8_lower(pa.scalar(text or "", pa.large_string())).as_py())
 
 
 def lcs(item: dict[int, int], size: int, region: list[int]) -> int:

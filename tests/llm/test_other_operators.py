@@ -423,3 +423,11 @@ def test_latent_space_alone_meets_paraphrases(spark, documents):
     found = {(r["doc_id"], r["item_id"]): r["cosine"] for r in decontamination.find_leaks(spark, docs, bench).collect()}
     assert len(planted) > 100 and all(p in found for p in planted)
     assert sum(found[p] >= decontamination.COSINE for p in planted) >= 0.9 * len(planted)
+
+
+def test_leaks_in_capitals_of_other_alphabets(spark):
+    items = ["ΟΔΟΣ ΣΟΦΙΑΣ ΚΑΙ ΛΟΓΟΣ ΘΕΟΣ ΚΟΣΜΟΣ ΝΟΜΟΣ ΒΙΟΣ", "İZMİR İYİ BİR ŞEHİR VE İSTANBUL GİBİ DEĞİL", "what is the tallest of all the mountains here"]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame([(10 + i, f"something before it. {x} and something after it") for i, x in enumerate(items)] + [(20, "nothing of the kind")], "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(spark, docs, benchmark).collect()} == {(10, 0), (11, 1), (12, 2)}
+    assert [r["doc_id"] for r in decontamination.keep_unleaked(spark, docs, benchmark).collect()] == [20]
