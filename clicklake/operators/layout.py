@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..schemas import REQUIRED, WAREHOUSE_TYPES, schema
+from ..storage import names, remove
 
 
 def cluster_by_user(df: DataFrame, path: str, key: str = "user_id", files: int | None = None) -> None:
@@ -119,8 +120,38 @@ def write_partitioned(df: DataFrame, path: str, by: str = "date", max_records: i
 
 
 def write_dim(df: DataFrame, path: str) -> None:
-    """Replace a dimension whole, schema included."""
-    df.write.mode("overwrite").option("overwriteSchema", "true").parquet(path)
+    """Replace a dimension whole, schema included, in place; `publish` is for tables that are read meanwhile."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def publish(df: DataFrame, path: str, keep: int = 2) -> int:
+    """Replace a table whole for readers of `published`: written as a version beside the old one; returns its number.
+
+    A version counts once its write has ended (_SUCCESS), so a reader, or a job that dies meanwhile, leaves the old one
+    in place; what a dead job left is written over. Versions before the `keep` newest go: the one before the last is for queries
+    that still read it.
+    """
+    spark = df.sparkSession
+    done = versions(spark, path)
+    number = done[-1] + 1 if done else 0
+    df.write.mode("overwrite").parquet(f"{path}/version={number:08d}")
+    for old in [*done, number][:-keep]:
+        remove(spark, f"{path}/version={old:08d}")
+    return number
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The finished versions of a published table, oldest first."""
+    found = [n for n in names(spark, path) if n.startswith("version=")]
+    return sorted(int(n.split("=")[1]) for n in found if "_SUCCESS" in names(spark, f"{path}/{n}"))
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The newest finished version of a table that `publish` writes."""
+    done = versions(spark, path)
+    if not done:
+        raise FileNotFoundError(f"no finished version in {path}")
+    return spark.read.parquet(f"{path}/version={done[-1]:08d}")
 
 
 def export_features(df: DataFrame, path: str) -> None:

@@ -205,6 +205,17 @@ def _(spark, sf):
     return spark.read.parquet(path).agg(F.count("*").alias("n"), F.count_if("is_current").alias("n_current"))
 
 
+@query("published_dim", sql("SELECT count(*) AS n, count_if(is_current) AS n_current, 2::BIGINT AS versions, 3::BIGINT AS newest FROM dim_product", "dim_product"))
+def _(spark, sf):
+    """A dimension published four times, the last version unfinished: readers have the last finished one."""
+    path, dim = shared_folder(spark, "dim"), stored(spark, products(spark, sf), "products")
+    for share in (0.2, 0.5, 0.8, 1.0):
+        layout.publish(dim.filter(C.portable_bucket(1_000, "product_sk") < int(share * 1_000)), path)
+    dim.limit(1).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{path}/version=00000004")
+    done = layout.versions(spark, path)
+    return layout.published(spark, path).agg(F.count("*").alias("n"), F.count_if("is_current").alias("n_current"), F.lit(len(done)).cast("bigint").alias("versions"), F.lit(done[-1]).cast("bigint").alias("newest"))
+
+
 F30 = "user_id, f_views_30d, f_carts_30d, f_purchases_30d, f_spend_30d, f_distinct_categories_30d"
 
 

@@ -150,6 +150,17 @@ def _(spark, sf):
     return spark.read.parquet(folder)
 
 
+@query("short_watermark", sql(f"""SELECT (SELECT count(*) FROM (SELECT DISTINCT user_id, event_time, product_id, event_type FROM {ARRIVED} WHERE coalesce(t > seen - INTERVAL 2 SECOND, true))) AS kept,
+    count(*) AS dropped
+  FROM {ARRIVED} WHERE t <= seen - INTERVAL 2 SECOND""", "raw"))
+def _(spark, sf):
+    """A watermark of two seconds over events that arrive in turns: keys kept, and late rows dropped as the runs' own progress counts them."""
+    folder, checkpoint, dropped = shared_folder(spark, "sink"), shared_folder(spark, "checkpoint"), []
+    kept = lambda s: stream.stream_dedup(stream.event_time_watermark(s, "2 seconds")).select("user_id", "event_time", "product_id", "event_type")
+    in_turns(spark, sf, lambda s: dropped.append(stream.dropped_by_watermark(stream.run_to_end(kept(s), folder, checkpoint))))
+    return spark.read.parquet(folder).agg(F.count("*").alias("kept"), F.lit(sum(dropped)).cast("bigint").alias("dropped"))
+
+
 @query("exactly_once_restart", sql("SELECT event_type, count(*) AS n FROM raw WHERE user_id IS NOT NULL GROUP BY 1", "raw"))
 def _(spark, sf):
     """A stream whose second micro-batch fails after its write, started again on its checkpoint: every row once."""

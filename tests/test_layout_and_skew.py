@@ -58,3 +58,19 @@ def test_only_the_adaptive_join_is_split(spark):
         joined = skew.user_join(rows, users, "merge")
         most = largest(joined)
     assert most > 6_000
+
+
+def test_a_failed_replacement_leaves_the_old_table(spark):
+    path = shared_folder(spark, "table")
+    with pytest.raises(FileNotFoundError):
+        layout.published(spark, path)
+    assert layout.publish(spark.range(5), path) == 0
+    old = layout.published(spark, path)
+    broken = spark.range(0, 100, 1, 4).select(F.when(F.col("id") == 99, F.raise_error(F.lit("stopped")).cast("bigint")).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="stopped"):
+        layout.publish(broken, path)
+    assert layout.published(spark, path).count() == 5
+    assert layout.publish(spark.range(7).withColumn("more", F.lit("x")), path) == 1
+    assert layout.published(spark, path).columns == ["id", "more"] and old.count() == 5  # the one before can still be read
+    layout.publish(spark.range(2), path)
+    assert layout.versions(spark, path) == [1, 2]
