@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
 from collections import Counter
@@ -16,8 +17,9 @@ from .common import Scratch, read_table
 #: Weight of presentation against content falls with a node's number of children; pages of a host that carry a node
 #: from which on it can be judged; importance under which a branch is template.
 GAMMA, LEAST_PAGES, TEMPLATE = 0.9, 5, 0.3
-#: Rows of the importance table up to which it is broadcast (some 40 bytes each); beyond, pages are joined by host.
-BROADCAST_ROWS = 200_000
+#: Rows of the importance table up to which it is broadcast (some 40 bytes each); beyond, pages are joined by host, those
+#: of a host in parts of about PART_PAGES.
+BROADCAST_ROWS, PART_PAGES = 200_000, 20_000
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,6 +42,8 @@ PLAIN_WORDS = frozenset("site page the main primary secondary global top bottom
 NAMED = frozenset("div section ul ol dl li table td tr figure details fieldset center header".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN = frozenset(("article", "main"))
+#: Parts of an article that may repeat from page to page and still be its own: they go with a template branch around them only.
+FIXED = HEADINGS | frozenset("ul ol dl li dt dd table caption thead tbody tfoot tr td th figcaption pre".split())
 #: What is not rendered at all, and so does not part the text around it.
 UNSEEN = frozenset("script style noscript template".split())
 
@@ -50,25 +54,35 @@ _PART = re.compile(r"[^\W_]+")
 
 @dataclass(slots=True, eq=False)
 class Node:
-    """An element: its path of tags and names from the root, children, and pieces of own text between them.
-
-    The path is the 64-bit hash of the parent's and the element's own part: of fixed size however deep the page is.
-    """
+    """An element: its part (tag with classes and id), children, and pieces of own text between them."""
 
     tag: str
-    path: int
+    part: str
     noise: bool
     parent: Node | None
     items: list = field(default_factory=list)  # Node or str, in page order
     weak: bool = False  # noise by a part of class or id, or as a form, alone
 
 
-def path_of(parent: int, tag: str, names: str = "") -> int:
-    """The path of an element with a class and id `names`, below the path `parent` (0: the root)."""
+@dataclass(slots=True, eq=False)
+class Block:
+    """A block element without noise: blocks and runs of text (finished: decoded, white space made one), in page order."""
+
+    tag: str
+    part: str
+    parent: Block | None
+    items: list = field(default_factory=list)
+
+
+def hashed(text: str) -> int:
     import xxhash
 
-    own = f"{parent}/{tag}{'.' + '.'.join(names.split()) if names else ''}"
-    return xxhash.xxh64_intdigest(own.encode("utf-8", "surrogatepass")) - (1 << 63)
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def path_of(parent: int, part: str, place: str = "") -> int:
+    """The key of the child at a place among its parent's children of the same part: of fixed size however deep the page is."""
+    return hashed(f"{parent}/{part}/{place}")
 
 
 def says_noise(names: list[str]) -> bool:
@@ -82,7 +96,7 @@ def says_noise(names: list[str]) -> bool:
 
 def parse(page: str | None) -> Node:
     """The element tree. Unclosed and misplaced tags are mended as far as block structure needs; nothing raises."""
-    root = Node("", 0, False, None)
+    root = Node("", "", False, None)
     page, here, at = page or "", root, 0
     opened: Counter = Counter()  # open elements by tag: looking for one that is not open would walk up the whole page
 
@@ -132,7 +146,7 @@ def parse(page: str | None) -> Node:
                     names += " " + value
         strong = tag in NOISE_TAGS and tag != "form" or role in NOISE_ROLES or tag == "header"
         weak = not strong and (tag == "form" or tag in NAMED and says_noise(names.split()))
-        node = Node(tag, path_of(here.path, tag, names), strong or weak, here, weak=weak)
+        node = Node(tag, ".".join((tag, *names.split())), strong or weak, here, weak=weak)
         here.items.append(node)
         if tag in VOID or m[3].endswith("/") and tag in ("svg", "path"):
             continue
@@ -200,14 +214,14 @@ def main_parts(root: Node) -> list[Node]:
     return found
 
 
-def blocks_of(nodes: list[Node], dropped: set[int] = frozenset()) -> list[str]:
-    """The blocks of text below the nodes, without noise and dropped paths: references decoded, white space made one."""
-    out: list[str] = []
+def outline(nodes: list[Node]) -> Block:
+    """The blocks below the nodes, without noise and without blocks that hold no text."""
+    whole = here = Block("", "", None)
     piece: list[str] = []
 
     def end() -> None:
         if text := " ".join(html.unescape("".join(piece)).split()):
-            out.append(text)
+            here.items.append(text)
         piece.clear()
 
     for top in nodes:
@@ -216,12 +230,15 @@ def blocks_of(nodes: list[Node], dropped: set[int] = frozenset()) -> list[str]:
             x = stack.pop()
             if x is None:
                 end()
+                here = here.parent
+                if not here.items[-1].items:
+                    here.items.pop()
             elif isinstance(x, str):
                 piece.append(x)
-            elif x.noise or x.path in dropped:
+            elif x.noise:
                 if x.tag not in INLINE and x.tag not in UNSEEN:
                     end()
-                if x.tag == "header" and x.path not in dropped and _inside_main(x):
+                if x.tag == "header" and _inside_main(x):
                     stack += reversed(_headings(x))
             elif x.tag == "br":
                 piece.append(" ")
@@ -229,10 +246,13 @@ def blocks_of(nodes: list[Node], dropped: set[int] = frozenset()) -> list[str]:
                 stack += reversed(x.items)
             else:
                 end()
+                inner = Block(x.tag, x.part, here)
+                here.items.append(inner)
+                here = inner
                 stack.append(None)
                 stack += reversed(x.items)
         end()
-    return out
+    return whole
 
 
 def _headings(header: Node) -> list[Node]:
@@ -247,102 +267,136 @@ def _headings(header: Node) -> list[Node]:
     return found
 
 
-def style_rows(root: Node) -> list[tuple[int, int, int]]:
-    """(path, kind, value) for the style tree: kind 0 a node's sequence of children, kind 1 a piece of its own text.
+def places(whole: Block) -> Iterator[tuple[Block, tuple[int, int], list[tuple[int, int]]]]:
+    """Every block with its two keys and those of its items, parents first.
 
-    Paths are merged within a page. Article and main elements are like any others.
+    A style node is a child at a place in its parent's sequence of children, below the parent's own place: one key counts
+    places from the front at every level, the other from the back, so pages of different length agree on what stands
+    at either end. Siblings of the same tag and names are different nodes.
     """
-    styles: dict[int, list[str]] = {}
-    texts: set[tuple[int, str]] = set()
-    stack = [x for x in root.items if isinstance(x, Node)]
+    stack = [(whole, (0, 0))]
     while stack:
-        node = stack.pop()
-        children = [x for x in node.items if isinstance(x, Node)]
-        styles.setdefault(node.path, []).append(",".join(x.tag for x in children))
-        texts |= {(node.path, t) for x in node.items if isinstance(x, str) and (t := " ".join(x.split()))}
-        stack += children
-    import xxhash
-
-    value = lambda s: xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass")) - (1 << 63)
-    return [(p, 0, value("|".join(s))) for p, s in styles.items()] + [(p, 1, value(t)) for p, t in texts]
-
-
-def template_paths(root: Node, table: dict[int, tuple[float, float]]) -> set[int]:
-    """Paths of the highest branches whose composite importance is under TEMPLATE.
-
-    A node's composite importance is (1 - GAMMA^l) times its presentation's plus GAMMA^l times the mean over its l
-    children and its own text of theirs. Nodes without an entry in the host's table have importance 1. Main elements, their
-    ancestors and the skeleton of the page are never template, nor are inline elements inside main ones: parts of sentences.
+        block, (front, back) = stack.pop()
+        parts = [x.part if isinstance(x, Block) else "#text" for x in block.items]
+        left, seen, keys = Counter(parts), Counter(), []
+        for part in parts:
+            keys.append((path_of(front, part, str(seen[part])), path_of(back, part, str(-left[part]))))
+            seen[part] += 1
+            left[part] -= 1
+        yield block, (front, back), keys
+        stack += [(x, k) for x, k in zip(block.items, keys) if isinstance(x, Block)]
+
+
+def style_rows(whole: Block) -> set[tuple[int, int, int, int]]:
+    """(key, kind, value, page) for the style tree: kind 0 a block's sequence of children, kind 1 a run of text, by both keys.
+
+    `page` tells pages apart by the longest other run of text: copies and near copies of a page count once, so what they
+    share is not taken for what a host repeats. A page whose own words are all shorter than two of its template's runs is
+    not told from its fellows, and keeps them.
     """
-    worth: dict[int, float] = {}
-    order, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        order.append(node)
-        stack += [x for x in node.items if isinstance(x, Node)]
-    held: set[int] = set()
-    for node in main_parts(root):
-        while node is not None:
-            held.add(id(node))
-            node = node.parent
-    for node in reversed(order):
-        shape, text = table.get(node.path, (1.0, 1.0))
-        children = [worth[id(x)] for x in node.items if isinstance(x, Node)]
-        parts = children + [text] * any(isinstance(x, str) and x.strip() for x in node.items)
-        g = GAMMA ** len(children)
-        worth[id(node)] = (1 - g) * shape + g * (sum(parts) / len(parts) if parts else shape)
-    out, stack = set(), [(root, False)]
+    found, texts = [], set()
+    for block, own, keys in places(whole):
+        if any(isinstance(x, Block) for x in block.items):
+            sequence = hashed(",".join(x.part if isinstance(x, Block) else "#text" for x in block.items))
+            found += [(key, 0, sequence, None) for key in own]
+        for x, both in zip(block.items, keys):
+            if isinstance(x, str):
+                texts.add(x)
+                found += [(key, 1, hashed(x), x) for key in both]
+    longest = heapq.nlargest(2, texts, key=lambda t: (len(t), t)) + [""] * 2
+    first, second = hashed(longest[0]), hashed(longest[1])
+    return {(key, kind, value, second if text == longest[0] else first) for key, kind, value, text in found}
+
+
+def without_template(whole: Block, table: dict[tuple[int, int], float], inside: bool) -> list[str]:
+    """The runs of text that are left when the highest branches of low importance are gone.
+
+    A run's importance is what the table says of its words at its place (the lower of both keys; 1 if nothing), a block's
+    (1 - GAMMA^l) times its presentation's plus GAMMA^l times the mean of its items', l its child blocks. A branch goes
+    if its importance and that of each of its runs are under TEMPLATE, so nothing of a page's own goes with it. Headings
+    alone never go, and of an article or main element (`inside`) no lists, table parts and preformatted text alone.
+    """
+    order = list(places(whole))
+    state: dict[int, tuple[float, bool, bool]] = {}  # importance, whether every run is template, whether it may go
+    runs: dict[int, list[float]] = {}
+    stays = FIXED if inside else HEADINGS
+    for block, own, keys in reversed(order):
+        worth, solid, free, inner = [], True, False, 0
+        mine = runs[id(block)] = []
+        for x, both in zip(block.items, keys):
+            if isinstance(x, str):
+                value = hashed(x)
+                mine.append(min(table.get((key, value), 1.0) for key in both))
+                w, s, f = mine[-1], mine[-1] < TEMPLATE, True
+            else:
+                w, s, f = state[id(x)]
+                inner += 1
+            worth.append(w)
+            solid, free = solid and s, free or f
+        g = GAMMA**inner
+        shape = min(table.get((key, 0), 1.0) for key in own)
+        state[id(block)] = ((1 - g) * shape + g * (sum(worth) / len(worth) if worth else shape), solid, free and block.tag not in stays)
+    out: list[str] = []
+    stack: list = [(whole, False, True)]
     while stack:
-        node, inside = stack.pop()
-        inside = inside or node.tag in MAIN
-        if node is not root and node.tag not in ("html", "body") and id(node) not in held and worth[id(node)] < TEMPLATE and not (inside and node.tag in INLINE):
-            out.add(node.path)
+        x, fixed, keep = stack.pop()
+        if isinstance(x, str):
+            if keep:
+                out.append(x)
             continue
-        stack += [(x, inside) for x in node.items if isinstance(x, Node)]
+        worth, solid, free = state[id(x)]
+        if x.parent is not None and x.tag not in MAIN and x.tag not in ("", "html", "body") and not fixed and solid and free and worth < TEMPLATE:
+            continue
+        fixed = fixed or x.tag in stays
+        own = iter(runs[id(x)])
+        stack += reversed([(y, fixed, True) if isinstance(y, Block) else (y, fixed, next(own) >= TEMPLATE or fixed) for y in x.items])
     return out
 
 
-def main_text(page: str | None, table: dict[int, tuple[float, float]] | None = None) -> str:
+def main_blocks(page: str | None) -> tuple[Block, bool]:
+    """What is not noise of the article or main elements if there are any, else of the page; and whether there are."""
+    root = parse(page)
+    parts = main_parts(root)
+    return outline(parts or [root]), bool(parts)
+
+
+def main_text(page: str | None, table: dict[tuple[int, int], float] | None = None) -> str:
     """The main text: what is neither noise nor template of the article or main elements if there are any, else of the page.
 
     If the template's removal would leave nothing, its branches are kept.
     """
-    root = parse(page)
-    dropped = template_paths(root, table) if table else set()
-    parts = main_parts(root)
-    if parts:
-        return "\n".join(blocks_of(parts, dropped) or blocks_of(parts))
-    return "\n".join(blocks_of([root], dropped) or blocks_of([root]))
+    whole, inside = main_blocks(page)
+    return "\n".join(table and without_template(whole, table, inside) or without_template(whole, {}, inside))
 
 
-def site_style_tree(pages: DataFrame, host: str = "host", html_col: str = "html") -> DataFrame:
-    """The importance table: host, path, pages, shape (presentation) and text (content), for nodes of LEAST_PAGES pages or more.
+def site_style_tree(scratch: Scratch, pages: DataFrame, host: str = "host", html_col: str = "html") -> DataFrame:
+    """The importance table: host, key, value, worth, pages. A row without an entry is of importance 1.
 
-    With m the pages of a host that have the node: shape is the entropy of the node's sequences of children over these
-    pages to the base m, so one sequence everywhere gives 0. text is 1 minus the mean, over the node's pieces of text, of
-    the entropy of the pages that have the piece, log_m of their number, so the same words everywhere give 0. Both are
-    sums over distinct values, counted map-side first, so a host with a third of all pages is no larger task.
+    With m the pages of a host that have a node: presentation (value 0) is the entropy of the node's sequences of children over
+    these pages to the base m, so one sequence everywhere gives 0. A run of text (value: its hash) at a node is a feature
+    spread evenly over the n pages that have it there: 1 less that entropy, 1 - log_m n, so the same words everywhere give 0.
+    Only nodes of LEAST_PAGES pages or more, and of texts those under TEMPLATE, are rows. All are sums over distinct values,
+    counted map-side first, so a host with a third of all pages is no larger task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                out += [(name, *row) for row in style_rows(parse(page))]
+                out += [(name, *row) for row in style_rows(main_blocks(page)[0])]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int8(), pa.int64()))], names=["host", "path", "kind", "value"])
-
-    rows = pages.select(F.xxhash64(host).alias("host"), html_col).mapInArrow(run, "host long, path long, kind byte, value long")
-    counts = rows.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("n"))
-    shape = F.col("kind") == 0
-    logs = counts.groupBy("host", "path").agg(
-        F.sum(F.when(shape, F.col("n")).otherwise(0)).alias("pages"),
-        F.sum(F.when(shape, F.col("n") * F.log("n"))).alias("n_log_n"),
-        F.sum(F.when(~shape, F.log("n"))).alias("log_n"),
-        F.count_if(~shape).alias("pieces"),
-    )
+                kinds = (pa.int64(), pa.int64(), pa.int8(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["host", "key", "kind", "value", "page"])
+
+    rows = pages.select(F.xxhash64(host).alias("host"), html_col).mapInArrow(run, "host long, key long, kind byte, value long, page long")
+    counts = scratch.cut(rows.groupBy("host", "key", "kind", "value").agg(F.count_distinct("page").alias("n")), "style")
+    nodes = counts.groupBy("host", "key", "kind").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("n_log_n")).filter(F.col("pages") >= LEAST_PAGES)
     m = F.log("pages")
-    return logs.filter(F.col("pages") >= LEAST_PAGES).select("host", "path", "pages", (1 - F.col("n_log_n") / F.col("pages") / m).alias("shape"), F.when(F.col("pieces") > 0, 1 - F.col("log_n") / F.col("pieces") / m).otherwise(1.0).alias("text"))
+    shapes = nodes.filter("kind = 0").select("host", "key", F.lit(0).cast("long").alias("value"), (1 - F.col("n_log_n") / F.col("pages") / m).alias("worth"), "pages").filter("worth < 1")
+    # Under TEMPLATE are values on more than m^(1 - TEMPLATE) pages: for the fewest pages that are judged, and so for all, on some.
+    some = counts.filter((F.col("kind") == 1) & (F.col("n") > LEAST_PAGES ** (1 - TEMPLATE)))
+    texts = some.join(nodes.filter("kind = 1").select("host", "key", "pages"), ["host", "key"])
+    return shapes.unionByName(texts.select("host", "key", "value", (1 - F.log("n") / m).alias("worth"), "pages").filter(F.col("worth") < TEMPLATE))
 
 
 def host_of(url):
@@ -354,16 +408,24 @@ def extract(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_
     """page_id, url, text, n_chars for every page, the main text extracted with its host's style tree.
 
     Null, empty and text-free html gives the empty text. Pages without a host (null or odd URLs) are merged as one. A
-    page of few fellows, or of a host with one page, is judged by its elements alone. Repeated rows stay rows. An empty
+    page of few fellows, or of a host with one page, is judged by its elements alone. Copies and near copies count as one
+    page. Repeated rows stay rows. An empty
     table gives no rows. Other columns of `pages` are not read.
     """
     scratch = Scratch(spark, "html")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-    table = scratch.cut(site_style_tree(rows), "importance")
-    entries = table.groupBy("host").agg(F.collect_list(F.struct("path", "shape", "text")).alias("nodes"))  # a host's distinct template nodes, not its pages
-    # Small enough to send to every task, or else joined by host; a host's pages can be split between tasks then too.
-    entries = F.broadcast(entries) if table.count() <= BROADCAST_ROWS else entries
-    joined = rows.withColumn("host", F.xxhash64("host")).join(entries, "host", "left")
+    table = scratch.cut(site_style_tree(scratch, rows), "importance")
+    # A host's distinct template nodes, not its pages. Hosts without template texts have nothing that could go.
+    entries = table.groupBy("host").agg(F.collect_list(F.struct("key", "value", "worth")).alias("nodes"), F.max("pages").alias("pages"), F.count_if(F.col("value") != 0).alias("texts")).filter("texts > 0")
+    rows = rows.withColumn("host", F.xxhash64("host"))
+    if table.count() <= BROADCAST_ROWS:
+        joined = rows.join(F.broadcast(entries.select("host", "nodes")), "host", "left")
+    else:
+        # By host, large hosts in parts: their number is at most that of all pages by PART_PAGES.
+        parted = entries.select("host", "nodes", F.ceil(F.col("pages") / PART_PAGES).alias("parts"))
+        large = F.broadcast(parted.filter("parts > 1").select("host", "parts"))
+        mine = rows.join(large, "host", "left").withColumn("part", F.pmod(F.xxhash64("url"), F.coalesce("parts", F.lit(1)))).drop("parts")
+        joined = mine.join(parted.select("host", "nodes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")), ["host", "part"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -371,7 +433,7 @@ def extract(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_
             for i, (name, page) in enumerate(zip(hosts, batch.column("html").to_pylist())):
                 if name not in known:
                     nodes = batch.column("nodes")[i].as_py() or []
-                    known[name] = {x["path"]: (x["shape"], x["text"]) for x in nodes}
+                    known[name] = {(x["key"], x["value"]): x["worth"] for x in nodes}
                 texts.append(main_text(page, known[name]))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
