@@ -14,21 +14,30 @@ def _attribute_order() -> list[Column]:
     return [F.desc_nulls_last("price"), *(F.asc_nulls_last(c) for c in ("discount_percent", "brand", "category_id", "category_level1"))]
 
 
-def _versions(starts: DataFrame) -> DataFrame:
+def versions_of(starts: DataFrame) -> DataFrame:
     """Starts of versions (one a product and time) as [valid_from, valid_to) with keys; the key has the time's fraction if there is one."""
     following = F.lead("valid_from_ts").over(Window.partitionBy("product_id").orderBy("valid_from_ts"))
     keyed = starts.withColumn("product_sk", key_hash_skipping_nulls(F.col("product_id").cast("string"), F.col("valid_from_ts").cast("string")))
     return keyed.withColumn("valid_to_ts", following).withColumn("is_current", F.col("valid_to_ts").isNull()).select("product_sk", "product_id", *ATTRIBUTES, "valid_from_ts", "valid_to_ts", "is_current")
 
 
+def first_seen(silver: DataFrame) -> DataFrame:
+    """Every attribute tuple of a product with the first time it is seen."""
+    return silver.groupBy("product_id", *ATTRIBUTES).agg(F.min("event_timestamp").alias("valid_from_ts"))
+
+
+def winners(starts: DataFrame) -> DataFrame:
+    """Of the tuples of a product that start at one instant, the one that counts."""
+    w = Window.partitionBy("product_id", "valid_from_ts").orderBy(*_attribute_order())
+    return starts.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+
+
 def dim_product_scd2(silver: DataFrame) -> DataFrame:
     """A version per attribute tuple from the first time it is seen. A return to old values makes no new version.
 
     Of versions that start at one instant the one with the highest price counts, then by discount, brand, category.
     """
-    first = silver.groupBy("product_id", *ATTRIBUTES).agg(F.min("event_timestamp").alias("valid_from_ts"))
-    w = Window.partitionBy("product_id", "valid_from_ts").orderBy(*_attribute_order())
-    return _versions(first.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn"))
+    return versions_of(winners(first_seen(silver)))
 
 
 def dim_product_scd2_changes(silver: DataFrame) -> DataFrame:
@@ -37,7 +46,7 @@ def dim_product_scd2_changes(silver: DataFrame) -> DataFrame:
     one = silver.select("product_id", "event_timestamp", *ATTRIBUTES).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
     before = F.lag(F.struct(*ATTRIBUTES)).over(Window.partitionBy("product_id").orderBy("event_timestamp"))
     changed = one.withColumn("_before", before).filter(F.col("_before").isNull() | ~F.struct(*ATTRIBUTES).eqNullSafe(F.col("_before")))
-    return _versions(changed.withColumnRenamed("event_timestamp", "valid_from_ts"))
+    return versions_of(changed.withColumnRenamed("event_timestamp", "valid_from_ts"))
 
 
 def dim_user(silver: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import columns as C
-from ..operators import audit, events as ev, features, labels, layout, model, online, quality, shape, skew, training
+from ..operators import audit, dims, events as ev, features, labels, layout, model, online, quality, shape, skew, training
 from ..schemas import KEYS, NEW_COLUMNS, OLD_COLUMNS, REQUIRED
 from ..sources import files, kafka
 from ..sources.canonical import AS_OF, EVOLUTION_DATE, canonical_events, plain, sql, table
@@ -760,6 +760,18 @@ def _(spark, sf):
     return products(spark, sf)
 
 
+@query("dim_product_merged", sql("""SELECT product_sk, product_id, category_id, category_level1, brand, price, discount_percent, $T(valid_from_ts) AS valid_from_ts,
+    $T(valid_to_ts) AS valid_to_ts, is_current
+  FROM dim_product""", "dim_product"))
+def _(spark, sf):
+    """The dimension kept by merges: the last ten days come first, the first ones late, some events twice."""
+    s, path = stored(spark, silver(spark, sf), "silver"), shared_folder(spark, "products")
+    for low, high in (("2024-01-21", "2100-01-01"), ("2024-01-08", "2024-01-21"), ("1970-01-01", "2024-01-11")):
+        dims.merge_products(spark, path, s.filter((F.col("date") >= low) & (F.col("date") < high)), 16)
+    dims.merge_products(spark, path, s.filter("date is null"), 16)
+    return dims.merged_products(spark, path)
+
+
 @query("dim_product_scd2_changes", sql("""SELECT product_id, price, $T(valid_from_ts) AS valid_from_ts, $T(lead(valid_from_ts) OVER (PARTITION BY product_id ORDER BY valid_from_ts)) AS valid_to_ts FROM (
   SELECT *, event_timestamp AS valid_from_ts, lag({'a': category_id, 'b': category_level1, 'c': brand, 'd': price, 'e': discount_percent}) OVER (PARTITION BY product_id ORDER BY event_timestamp) AS before, {'a': category_id, 'b': category_level1, 'c': brand, 'd': price, 'e': discount_percent} AS now
   FROM (SELECT *, row_number() OVER (PARTITION BY product_id, event_timestamp ORDER BY price DESC NULLS LAST, discount_percent NULLS LAST, brand NULLS LAST, category_id NULLS LAST, category_level1 NULLS LAST) AS rn FROM silver) WHERE rn = 1) WHERE before IS NULL OR before IS DISTINCT FROM now"""))
