@@ -139,6 +139,18 @@ def _(spark, sf):
     return both.groupBy("batch").agg(F.count_if(F.col("side") == "late").alias("late"), F.count_if(F.col("side") == "on_time").alias("on_time"))
 
 
+@query("late_rows_observed", sql(f"""SELECT part::BIGINT AS batch, count_if(late) AS late, count_if(NOT late) AS on_time
+  FROM (SELECT part, coalesce(t < seen - INTERVAL 5 MINUTE, false) AS late
+  FROM {ARRIVED})
+  GROUP BY 1""", "raw"))
+def _(spark, sf):
+    """The same numbers as the micro-batches' own runs observed them while they wrote."""
+    folder, checkpoint = shared_folder(spark, "late"), shared_folder(spark, "checkpoint")
+    sink = sinks.late_side_output(folder, 300)
+    in_turns(spark, sf, lambda s: s.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema("late bigint, on_time bigint, batch bigint").parquet(f"{folder}/counts")
+
+
 @query("event_time_watermark", sql(f"""SELECT DISTINCT user_id, event_time, product_id, event_type
   FROM {ARRIVED}
   WHERE coalesce(t > seen - INTERVAL 15 MINUTE, true)""", "raw"))

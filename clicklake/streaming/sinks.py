@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.online import PushTarget
@@ -57,7 +57,8 @@ def late_side_output(folder: str, allowed_seconds: int) -> Callable[[DataFrame,
     """A sink that writes rows apart that are behind the greatest time of all earlier batches by more than allowed.
 
     On time and late rows go to `on_time` and `late` under the batch's id, so late ones are counted and not lost. The greatest
-    time up to each batch is kept beside them, a row a batch, so a batch that comes again is judged alike.
+    time up to each batch is kept beside them, a row a batch, so a batch that comes again is judged alike. `counts` has both numbers
+    of each batch, observed as its rows are written, so no one reads them again to count.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -70,8 +71,12 @@ def late_side_output(folder: str, allowed_seconds: int) -> Callable[[DataFrame,
             last.coalesce(1).write.mode("overwrite").parquet(f"{folder}/last/batch={batch_id}")
             behind = F.unix_timestamp("_last") - F.unix_timestamp("row_time") > allowed_seconds
             marked = batch.join(F.broadcast(seen)).withColumn("_late", F.coalesce(behind, F.lit(False)))
-            for name, rows in (("late", marked.filter("_late")), ("on_time", marked.filter("not _late"))):
+            seen_rows = Observation(f"late-{batch_id}")
+            observed = marked.observe(seen_rows, F.count_if(F.col("_late")).alias("late"), F.count_if(~F.col("_late")).alias("on_time"))
+            for name, rows in (("late", observed.filter("_late")), ("on_time", marked.filter("not _late"))):
                 rows.drop("_late", "_last").write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
+            counts = spark.createDataFrame([(seen_rows.get["late"], seen_rows.get["on_time"])], "late long, on_time long")
+            counts.coalesce(1).write.mode("overwrite").parquet(f"{folder}/counts/batch={batch_id}")
         finally:
             batch.unpersist()
 
