@@ -258,13 +258,13 @@ def _(spark, sf):
 
 @query("stream_prediction_outcome", sql(f"""SELECT p.user_id, $T(p.prediction_timestamp) AS prediction_timestamp, (b.user_id IS NOT NULL)::INTEGER AS target_purchase_1h, count(*) AS n FROM candidates p
   LEFT JOIN (SELECT user_id, strptime(event_time, '%Y-%m-%d %H:%M:%S UTC') AS t FROM raw WHERE event_type = 'purchase' AND user_id IS NOT NULL) b ON b.user_id = p.user_id AND b.t >= p.prediction_timestamp AND b.t < p.prediction_timestamp + INTERVAL 1 HOUR
-  WHERE b.user_id IS NOT NULL OR p.prediction_timestamp + INTERVAL 1 HOUR < (SELECT max(prediction_timestamp) - INTERVAL 15 MINUTE FROM candidates) GROUP BY ALL""", "candidates"))
+  WHERE b.user_id IS NOT NULL OR p.prediction_timestamp + INTERVAL 1 HOUR <= (SELECT max(prediction_timestamp) - INTERVAL 15 MINUTE FROM candidates) GROUP BY ALL""", "candidates"))
 def _(spark, sf):
     folder = shared_folder(spark, "predictions")
     predictions(spark, sf).write.parquet(folder)
     p = spark.readStream.schema("user_id bigint, prediction_timestamp timestamp, prediction_id string").parquet(folder)
     bought = source(spark, sf).filter("event_type = 'purchase'").select("user_id", "row_time")
-    # Outcomes that are known; a prediction without a purchase whose hour the watermark has not passed is still open.
+    # Outcomes that are known; a prediction without a purchase whose hour's end the watermark has not reached is still open.
     out = finished(spark, state.stream_prediction_outcome(p, bought), "append")
     return out.groupBy("user_id", "prediction_timestamp", "target_purchase_1h").agg(F.count("*").alias("n"))
 
