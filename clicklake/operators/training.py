@@ -34,11 +34,14 @@ def pit_join(rows: DataFrame, view: FeatureView, time: str, honour_created: bool
     Of feature rows of one time the newest created counts. With `honour_created`, rows created after the decision are
     not seen. Both tables go into one column of time and the last feature row is carried forward day by day (carry_forward):
     work is linear in both tables, and a task has a day of a user at most. Rows without entity or time find nothing.
+    Feature rows after the last row's time, or more than `ttl` before the first one's, serve nobody: they are left out first.
     """
     f = view.source.filter(F.col(view.entity).isNotNull() & F.col(view.timestamp).isNotNull())
     f = f.select(F.col(view.entity).alias("_key"), F.col(view.timestamp).alias("_t"), F.col(view.created).alias("_c"), *view.fields)
     if honour_created:
         f = f.withColumn("_t", F.greatest("_t", "_c")).withColumn("_valid", F.col("_t"))
+    reach = rows.agg((F.min(time) - F.expr(f"interval {view.ttl}")).alias("_low"), F.max(time).alias("_high"))  # one row
+    f = f.join(F.broadcast(reach), F.col("_t").between(F.col("_low"), F.col("_high"))).drop("_low", "_high")
     w = Window.partitionBy("_key", "_t").orderBy(F.desc_nulls_last("_c"), *(F.desc_nulls_last(c) for c in view.fields))
     f = f.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
     f = f.select("_key", "_t", F.lit(0).alias("_side"), F.struct(F.col("_t").alias("t"), *view.fields).alias("_f"))
