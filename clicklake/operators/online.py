@@ -72,6 +72,8 @@ class PushTarget:
         self.spark, self.folder, self.mode, self.buckets = spark, folder, mode, buckets
 
     def push(self, batch: DataFrame, batch_id: int) -> None:
+        if self.mode == "online":
+            batch = newest(batch)  # a row a key, before anything is kept
         batch = batch.persist()
         try:
             if self.mode != "online":
