@@ -55,10 +55,23 @@ def dim_user(silver: DataFrame) -> DataFrame:
 
 
 def scd2_range_join(events: DataFrame, dim: DataFrame, columns: list[str]) -> DataFrame:
-    """Each event with the version valid at its time: equality on the product, the range as residual. Spark picks the join."""
+    """Each event with the version valid at its time: equality on the product and a slot of time, the range as residual.
+
+    A product's time is cut into as many slots as it has versions. A version is in every slot that it touches, so at most
+    twice as many rows as versions are joined, and an event meets the versions of its slot, not all of its product.
+    """
     d = dim.select(F.col("product_id").alias("_pid"), F.col("valid_from_ts").alias("_from"), F.col("valid_to_ts").alias("_to"), *columns)
-    on = (F.col("product_id") == F.col("_pid")) & (F.col("event_timestamp") >= F.col("_from")) & ((F.col("event_timestamp") < F.col("_to")) | F.col("_to").isNull())
-    return events.join(d, on, "left").drop("_pid", "_from", "_to")
+    d = d.filter("_pid is not null and _from is not null and (_to is null or _to > _from)")  # others hold no time
+    micros = lambda c: F.unix_micros(F.col(c))
+    spans = d.groupBy("_pid").agg(F.min(micros("_from")).alias("_start"), F.max(F.greatest(micros("_from"), micros("_to"))).alias("_end"), F.count("*").alias("_n"))
+    spans = spans.select("_pid", "_start", "_n", F.greatest(F.lit(1.0), (F.col("_end") - F.col("_start")) / F.col("_n")).alias("_width"))
+    slot = lambda c: F.least(F.greatest(F.floor((micros(c) - F.col("_start")) / F.col("_width")), F.lit(0)), F.col("_n"))
+    d = d.join(spans, "_pid").withColumn("_slot", F.explode(F.sequence(slot("_from"), F.when(F.col("_to").isNull(), F.col("_n")).otherwise(slot("_to")))))
+    d = d.drop("_start", "_n", "_width")
+    placed = events.join(spans.withColumnRenamed("_pid", "_owner"), F.col("product_id") == F.col("_owner"), "left")
+    placed = placed.withColumn("_place", F.when(F.col("event_timestamp").isNotNull(), slot("event_timestamp"))).drop("_owner", "_start", "_n", "_width")
+    on = (F.col("product_id") == F.col("_pid")) & (F.col("_place") == F.col("_slot")) & (F.col("event_timestamp") >= F.col("_from")) & ((F.col("event_timestamp") < F.col("_to")) | F.col("_to").isNull())
+    return placed.join(d, on, "left").drop("_pid", "_from", "_to", "_place", "_slot")
 
 
 def scd2_asof_join(events: DataFrame, dim: DataFrame, columns: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ import shutil
 from datetime import datetime, timedelta
 
 import pytest
-from clicklake.operators import features
+from clicklake.operators import features, model
 from clicklake.plans.queries import QUERIES
 from clicklake.plans import stream_queries  # noqa: F401  registers its queries
 from pyspark.sql import functions as F
@@ -51,3 +51,24 @@ def test_hops_of_dense_users_over_midnights(agree):
     rows = [(start + timedelta(seconds=draw.randrange(4 * 86_400)), None if n % 40 == 0 else n % 3, draw.choice(kinds), draw.choice([None, 0.1, 2.35])) for n in range(900)]
     edges = [(datetime(2024, 1, 10) + timedelta(seconds=s), 7, "purchase", 1.0) for s in (-901, -900, -61, -60, -1, 0, 59, 60)]
     agree("user_features_15m_batch", rows + edges)
+
+
+@pytest.mark.parametrize("name", ["hopping_features_15m", "stream_batch_parity", "features_topic_sink", "micro_batch_push", "tumbling_features_15m"])
+def test_streams_of_several_batches(agree, monkeypatch, name):
+    """Bounded micro-batches in order of time: state of earlier ones goes, and no row is late or lost."""
+    monkeypatch.setattr(stream_queries, "FILE_ROWS", 60)
+    monkeypatch.setattr(stream_queries, "BATCH_FILES", 2)
+    draw, start = random.Random(8), datetime(2024, 1, 9, 22)
+    kinds = ["view", "click", "purchase", "error"]
+    agree(name, [(start + timedelta(seconds=draw.randrange(20_000)), n % 5, draw.choice(kinds), draw.choice([None, 0.1, 2.35])) for n in range(500)])
+
+
+def test_events_meet_the_versions_of_their_slot_alone(spark):
+    n = 3_000
+    dim = spark.range(n).select(F.lit(1).alias("product_id"), F.col("id").alias("v"), F.timestamp_seconds(F.col("id") * 7).alias("valid_from_ts"), F.when(F.col("id") < n - 1, F.timestamp_seconds((F.col("id") + 1) * 7)).alias("valid_to_ts"))
+    dim = dim.unionByName(dim.limit(1).selectExpr("2 as product_id", "v", "valid_from_ts", "valid_to_ts"))
+    events = spark.range(-50, 7 * n + 100).select(F.when(F.col("id") % 11 > 0, 1).otherwise(2).alias("product_id"), F.timestamp_seconds("id").alias("event_timestamp"), "id")
+    joined = model.scd2_range_join(events, dim, ["v"])
+    own = F.when(F.col("id") >= 0, F.when(F.col("product_id") == 1, F.least(F.floor(F.col("id") / 7), F.lit(n - 1))).when(F.col("id") < 7, 0))
+    assert joined.count() == 7 * n + 150 and joined.filter(~F.col("v").eqNullSafe(own)).count() == 0
+    assert "_slot" in joined._jdf.queryExecution().optimizedPlan().toString()
