@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 _OUT = "user_id long, row_time timestamp, f_views_15m long, f_carts_15m long, f_purchases_15m long, total_spend_15m double"
 _WINDOW, _MINUTE = 900_000_000, 60_000_000
 _PROVIDER, _EMPTY = "spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.noDataMicroBatches.enabled"
+_RETAINED = "spark.sql.streaming.minBatchesToRetain"
 
 
 @contextmanager
@@ -22,7 +23,19 @@ def rocksdb_state(spark: SparkSession, empty_batches: bool = True):
     With `empty_batches` a query also runs without new rows, so that timers fire; a query in processing time, which could
     always do so, would then never end by itself.
     """
-    wanted = {_PROVIDER: "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", _EMPTY: str(empty_batches).lower()}
+    with _settings(spark, {_PROVIDER: "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", _EMPTY: str(empty_batches).lower()}):
+        yield
+
+
+@contextmanager
+def short_history(spark: SparkSession, batches: int = 2):
+    """Queries started inside keep the state of the last few micro-batches only, so a long run's checkpoint stays small."""
+    with _settings(spark, {_RETAINED: str(batches)}):
+        yield
+
+
+@contextmanager
+def _settings(spark: SparkSession, wanted: dict[str, str]):
     before = {name: spark.conf.get(name) for name in wanted}
     for name, value in wanted.items():
         spark.conf.set(name, value)
