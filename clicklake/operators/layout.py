@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..schemas import REQUIRED, WAREHOUSE_TYPES, schema
@@ -17,11 +15,20 @@ def cluster_by_user(df: DataFrame, path: str, key: str = "user_id", files: int |
 
 
 def compact_files(spark: SparkSession, source: str, target: str, file_bytes: int = 256 << 20) -> int:
-    """Rewrite a folder in files of about `file_bytes`; returns their number. The source stays until readers have moved."""
-    size = file_layout_report(spark.read.parquet(source)).agg(F.sum("file_size")).first()[0] or 0
-    files = max(1, math.ceil(size / file_bytes))
-    spark.read.parquet(source).repartition(files).write.mode("overwrite").parquet(target)
-    return files
+    """Rewrite a folder in files of about `file_bytes`; returns their number. The source stays until readers have moved.
+
+    Nothing is shuffled: a task reads stored bytes of at most `file_bytes`, of as many files as that takes, and writes one file.
+    """
+    wanted = {"maxPartitionBytes": str(file_bytes), "openCostInBytes": "0", "minPartitionNum": "1"}
+    before = {name: spark.conf.get(f"spark.sql.files.{name}", None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(f"spark.sql.files.{name}", value)
+    try:
+        spark.read.parquet(source).write.mode("overwrite").parquet(target)
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(f"spark.sql.files.{name}") if value is None else spark.conf.set(f"spark.sql.files.{name}", value)
+    return sum(n.startswith("part-") for n in names(spark, target))
 
 
 def file_layout_report(df: DataFrame) -> DataFrame:

@@ -1077,7 +1077,8 @@ def _(spark, sf):
 @query("compact_files", "SELECT count(*) AS rows, sum(o_custkey)::BIGINT AS check_sum FROM orders")
 def _(spark, sf):
     source, target = shared_folder(spark, "scattered"), shared_folder(spark, "compact")
-    table(spark, sf, "orders").repartition(16).write.parquet(source)
+    orders = table(spark, sf, "orders")
+    orders.repartition(max(16, orders.count() // 500_000)).write.parquet(source)
     layout.compact_files(spark, source, target)
     return spark.read.parquet(target).agg(F.count("*").alias("rows"), F.sum("o_custkey").alias("check_sum"))
 

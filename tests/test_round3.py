@@ -5,7 +5,7 @@ import shutil
 from datetime import datetime, timedelta
 
 import pytest
-from clicklake.operators import features, model
+from clicklake.operators import features, layout, model
 from clicklake.plans.queries import QUERIES
 from clicklake.plans import stream_queries  # noqa: F401  registers its queries
 from pyspark.sql import functions as F
@@ -72,3 +72,16 @@ def test_events_meet_the_versions_of_their_slot_alone(spark):
     own = F.when(F.col("id") >= 0, F.when(F.col("product_id") == 1, F.least(F.floor(F.col("id") / 7), F.lit(n - 1))).when(F.col("id") < 7, 0))
     assert joined.count() == 7 * n + 150 and joined.filter(~F.col("v").eqNullSafe(own)).count() == 0
     assert "_slot" in joined._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_compaction_shuffles_nothing(spark, tmp_path):
+    spark.range(0, 100_000, 1, 20).withColumn("x", F.rand(1)).write.parquet(f"{tmp_path}/a")
+    size = layout.file_layout_report(spark.read.parquet(f"{tmp_path}/a")).agg(F.sum("file_size")).first()[0]
+    files = layout.compact_files(spark, f"{tmp_path}/a", f"{tmp_path}/b", size // 4 + 1)
+    made = layout.file_layout_report(spark.read.parquet(f"{tmp_path}/b"))
+    assert 4 <= files <= 6 and made.count() == files
+    assert spark.read.parquet(f"{tmp_path}/b").agg(F.count("*"), F.sum("id")).first()[:] == (100_000, 100_000 * 99_999 // 2)
+    assert layout.compact_files(spark, f"{tmp_path}/a", f"{tmp_path}/one") == 1
+    # An output file has the rows of a few source files; a shuffle gave each rows of all twenty.
+    sources = spark.read.parquet(f"{tmp_path}/b").groupBy("_metadata.file_path").agg(F.count_distinct(F.floor(F.col("id") / 5_000)).alias("n"))
+    assert sources.agg(F.max("n")).first()[0] <= 6
