@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType
+
+from ..functions.columns import bucket
 
 _OUT = "user_id long, row_time timestamp, f_views_15m long, f_carts_15m long, f_purchases_15m long, total_spend_15m double"
 _WINDOW, _MINUTE = 900_000_000, 60_000_000
+_MARK, _CELLS = 16, 32
 _PROVIDER, _EMPTY = "spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.noDataMicroBatches.enabled"
 _RETAINED = "spark.sql.streaming.minBatchesToRetain"
 
@@ -132,37 +136,52 @@ def running_user_state(events: DataFrame) -> DataFrame:
 
 
 class SeenKeys(StatefulProcessor):
-    """Which keys of a group have come, each forgotten when it has not come for the time to live."""
+    """Which keys of a group have come and when last, by cells of keys; each is forgotten when it has not come for the time to live."""
 
-    def __init__(self, keys: list[str], key_schema: StructType, ttl_ms: int):
-        self.keys, self.key_schema, self.ttl_ms = keys, key_schema, ttl_ms
+    def __init__(self, columns: list[str], ttl_ms: int):
+        self.columns, self.ttl_ms = columns, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", self.key_schema, "n long", self.ttl_ms)
+        self.seen = handle.getMapState("seen", "cell int", "marks binary, times binary", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        now, cells = timerValues.getCurrentProcessingTimeInMs(), {}
         for frame in rows:
             new = []
-            for row in frame[self.keys].itertuples(index=False, name=None):
-                name = tuple(None if pd.isna(x) else x.item() if hasattr(x, "item") else x for x in row)
-                new.append(not self.seen.containsKey(name))
-                self.seen.updateValue(name, (1,))  # also starts its time anew
-            yield frame[new]
+            for mark in map(bytes, frame["seen_mark"]):
+                cell = mark[0] % _CELLS
+                if cell not in cells:
+                    cells[cell] = self._alive(cell, now)
+                new.append(mark not in cells[cell])
+                cells[cell][mark] = now  # also starts its time anew
+            yield frame.loc[new, self.columns]
+        for cell, held in cells.items():
+            self.seen.updateValue((cell,), (b"".join(held), np.fromiter(held.values(), "<i8").tobytes()))
+
+    def _alive(self, cell: int, now: int) -> dict[bytes, int]:
+        marks, times = map(bytes, self.seen.getValue((cell,)) or (b"", b""))
+        each = (marks[i : i + _MARK] for i in range(0, len(marks), _MARK))
+        return {m: t for m, t in zip(each, np.frombuffer(times, "<i8").tolist()) if t + self.ttl_ms > now}
 
     def close(self) -> None:
         pass
 
 
-def state_ttl(events: DataFrame, keys: list[str], by: str = "user_id", ttl: str = "1 hour") -> DataFrame:
+def state_ttl(events: DataFrame, keys: list[str], ttl: str = "1 hour", groups: int = 256) -> DataFrame:
     """The first row of each key, while the key is remembered: for `ttl` of processing time after it last came.
 
     Unlike dedup by watermark it drops no late row, and its state is bounded by what comes within `ttl`, whatever the
-    rows' times are. Rows are dealt by the column `by`, one of the keys. Start it under `rocksdb_state(spark, False)`.
+    rows' times are. A key is known by 128 bits of its SHA-256. Rows are dealt by them to `groups` of 32 cells (as at first,
+    for a checkpoint), and a cell is read and written once a micro-batch, so many rows cost no more calls than there are cells;
+    a micro-batch of few rows writes the cells of these whole.
+    Start it under `rocksdb_state(spark, False)`.
     """
-    kinds = {f.name: f for f in events.schema}
-    seconds = pd.Timedelta(ttl).total_seconds()
-    processor = SeenKeys(keys, StructType([kinds[k] for k in keys]), int(seconds * 1000))
-    return events.groupBy(by).transformWithStateInPandas(statefulProcessor=processor, outputStructType=events.schema, outputMode="Append", timeMode="ProcessingTime")
+    long = [f.name for f in events.schema if f.dataType == LongType()]  # in pandas a null would make doubles of them
+    mark = F.unhex(F.substring(F.sha2(F.to_json(F.struct(*keys)), 256), 1, 2 * _MARK))
+    rows = events.withColumn("seen_mark", mark).withColumns({c: F.col(c).cast("string") for c in long}).withColumn("seen_group", bucket(groups, "seen_mark"))
+    processor = SeenKeys(events.columns, int(pd.Timedelta(ttl).total_seconds() * 1000))
+    out = rows.groupBy("seen_group").transformWithStateInPandas(statefulProcessor=processor, outputStructType=rows.select(*events.columns).schema, outputMode="Append", timeMode="ProcessingTime")
+    return out.withColumns({c: F.col(c).cast("long") for c in long})
 
 
 def stream_prediction_outcome(predictions: DataFrame, purchases: DataFrame, lateness: str = "15 minutes") -> DataFrame:
