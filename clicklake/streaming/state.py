@@ -13,9 +13,8 @@ from pyspark.sql.types import LongType
 
 from ..functions.columns import bucket
 
-_OUT = "user_id long, row_time timestamp, f_views_15m long, f_carts_15m long, f_purchases_15m long, total_spend_15m double"
-_WINDOW, _MINUTE = 900_000_000, 60_000_000
-_MARK, _CELLS = 16, 32
+_NAMES = ["user_id", "at", "f_views_15m", "f_carts_15m", "f_purchases_15m", "cents"]
+_WINDOW, _MARK, _CELLS = 900_000_000, 16, 32
 _PROVIDER, _EMPTY = "spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.noDataMicroBatches.enabled"
 _RETAINED = "spark.sql.streaming.minBatchesToRetain"
 
@@ -50,89 +49,94 @@ def _settings(spark: SparkSession, wanted: dict[str, str]):
             spark.conf.set(name, value)
 
 
-def window_features(old: tuple[list, list, list], new: tuple[list, list, list]) -> list[tuple]:
-    """The four features over [t - 15 min, t) for each new event in order of time; old events count, and so do new ones.
+def _facts(kinds: list, prices: list) -> tuple[np.ndarray, np.ndarray]:
+    """Each event's kind as a number (0: none that counts) and what it spends, in cents."""
+    number = {"view": 1, "cart": 2, "purchase": 3}
+    spent = [round(p * 100) if k == "purchase" and not pd.isna(p) else 0 for k, p in zip(kinds, prices)]
+    return np.array([number.get(k, 0) for k in kinds], "int64"), np.array(spent, "int64")
+
 
-    Events are (microseconds, kinds, prices). Two pointers go over all of them once, so the work is linear in their number.
+def _windows(events: list[np.ndarray], users: np.ndarray, times: np.ndarray) -> list[np.ndarray]:
+    """Views, carts, purchases and cents over [t - 15 min, t) of a user, for each user and t that is asked for.
+
+    `events` are users, microseconds, kinds and cents. Both ends of each window are sorted among the events, before those of
+    their own time; a window's sum is the difference of two running sums. All users are done at once.
     """
-    past = sorted(zip(*(a + b for a, b in zip(old, new))), key=lambda x: x[0])
-    counts, cents, first, last, out = {"view": 0, "cart": 0, "purchase": 0}, 0, 0, 0, []
-
-    def count(event: tuple, sign: int) -> int:
-        counts[event[1]] = counts.get(event[1], 0) + sign
-        return sign * round((event[2] or 0) * 100) if event[1] == "purchase" else 0
-
-    for t in sorted(new[0]):
-        while last < len(past) and past[last][0] < t:
-            cents += count(past[last], 1)
-            last += 1
-        while first < last and past[first][0] < t - _WINDOW:
-            cents += count(past[first], -1)
-            first += 1
-        out.append((t, counts["view"], counts["cart"], counts["purchase"], cents / 100))
+    n = len(users)
+    at, of = np.concatenate([times - _WINDOW, times, events[1]]), np.concatenate([users, users, events[0]])
+    order = np.lexsort((np.arange(len(at)) >= 2 * n, at, of))
+    out = []
+    for amounts in (events[2] == 1, events[2] == 2, events[2] == 3, events[3]):
+        sums = np.empty(len(at), "int64")
+        sums[order] = np.cumsum(np.concatenate([np.zeros(2 * n, "int64"), amounts])[order])
+        out.append(sums[n : 2 * n] - sums[:n])
     return out
 
 
-def _columns(frames: Iterator[pd.DataFrame]) -> tuple[list, list, list]:
-    rows = pd.concat(list(frames))
-    prices = [None if pd.isna(x) else float(x) for x in rows["price"]]
-    return rows["row_time"].astype("datetime64[us]").astype("int64").tolist(), rows["event_type"].tolist(), prices
-
+def window_features(old: tuple[list, list, list], new: tuple[list, list, list]) -> list[tuple]:
+    """The four features over [t - 15 min, t) for each new event of one user in order of time; old events count, and so do new ones.
 
-def _frame(user: int, found: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(found, columns=["row_time", "f_views_15m", "f_carts_15m", "f_purchases_15m", "total_spend_15m"])
-    out.insert(0, "user_id", user)
-    out["row_time"] = pd.to_datetime(out["row_time"], unit="us")
-    return out
+    Events are (microseconds, kinds, prices).
+    """
+    at = np.array(old[0] + new[0], "int64")
+    times = np.array(sorted(new[0]), "int64")
+    found = _windows([np.zeros_like(at), at, *_facts(old[1] + new[1], old[2] + new[2])], np.zeros_like(times), times)
+    return [(t, v, c, p, cents / 100) for t, v, c, p, cents in zip(times.tolist(), *(x.tolist() for x in found))]
 
 
 class RecentEvents(StatefulProcessor):
-    """A user's events by minute. A minute stays until no row that the watermark admits can see it, then a timer removes it."""
+    """The events of a group of users that can still count: what a micro-batch brings lies under the quarter of an hour of
+    its newest event, as rows of users, microseconds, kinds and cents. It stays until no row that the watermark admits can see
+    that quarter, then a timer removes it.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.minutes = handle.getMapState("minutes", "minute long", "times array<long>, kinds array<string>, prices array<double>")
+        self.minutes = handle.getMapState("minutes", "quarter long", "events binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = _columns(rows)
-        held = {minute[0]: tuple(map(list, events)) for minute, events in self.minutes.iterator()}
-        old = tuple(sum(part, []) for part in zip(*held.values())) or ([], [], [])
-        yield _frame(key[0], window_features(old, new))
-        fresh = set()
-        for event in zip(*new):
-            minute = event[0] // _MINUTE * _MINUTE
-            if self.due(minute) > timerValues.getCurrentWatermarkInMs():
-                fresh.add(minute)
-                for column, value in zip(held.setdefault(minute, ([], [], [])), event):
-                    column.append(value)
-        for minute in fresh:
-            self.minutes.updateValue((minute,), held[minute])
-            self.handle.registerTimer(self.due(minute))
+        frame = pd.concat(list(rows))
+        new = [frame["user"].to_numpy("int64"), frame["at"].to_numpy("int64"), *_facts(frame["event_type"].tolist(), frame["price"].tolist())]
+        held = {quarter[0]: np.frombuffer(events[0], "<i8").reshape(4, -1) for quarter, events in self.minutes.iterator()}
+        found = _windows([np.concatenate(c) for c in zip(new, *held.values())], new[0], new[1])
+        users = [None] * len(frame) if key[0] is None else new[0]
+        yield pd.DataFrame(dict(zip(_NAMES, (pd.array(users, "Int64"), new[1], *found))))
+        admitted = timerValues.getCurrentWatermarkInMs() * 1000
+        fresh = [c[(new[2] > 0) & (new[1] + _WINDOW > admitted)] for c in new]
+        if len(fresh[0]):
+            quarter = int(fresh[1].max()) // _WINDOW
+            both = np.hstack([held.get(quarter, np.empty((4, 0), "<i8")), fresh])
+            self.minutes.updateValue((quarter,), (both[:, both[1] + _WINDOW > admitted].astype("<i8").tobytes(),))
+            self.handle.registerTimer(self.due(quarter))
 
     @staticmethod
-    def due(minute: int) -> int:
-        """The watermark (ms) from which on no row sees a minute's events."""
-        return (minute + _MINUTE + _WINDOW) // 1000
+    def due(quarter: int) -> int:
+        """The watermark (ms) from which on no row sees a quarter's events."""
+        return (quarter + 2) * _WINDOW // 1000
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.minutes.removeKey((expiredTimerInfo.getExpiryTimeInMs() * 1000 - _MINUTE - _WINDOW,))
+        self.minutes.removeKey((expiredTimerInfo.getExpiryTimeInMs() * 1000 // _WINDOW - 2,))
         return iter(())
 
     def close(self) -> None:
         pass
 
 
-def running_user_state(events: DataFrame) -> DataFrame:
+def running_user_state(events: DataFrame, groups: int = 251) -> DataFrame:
     """For each event, as it comes, the four features over [t - 15 min, t) from all events of the user that have come.
 
     `events` has a watermark on row_time, and late rows are right too: a user's state reaches back from the watermark by
     the window, and the watermark lies behind the newest event by the admitted lateness. Results are not taken back when a
     later row would have changed them. Events of one microsecond do not count for each other. Spend is summed in
-    cents. State is kept and written minute by minute; a timer at each minute's end of use removes it, so a user without
-    events leaves nothing. Start it under `rocksdb_state`.
+    cents. State is kept for the users that agree in user_id modulo `groups` (the key's user_id is that remainder), so calls of
+    Python and of the state follow groups and micro-batches, not users or events; a group has a micro-batch's rows by `groups`.
+    A prime spreads ids that go in steps; it stays as at first for a checkpoint. A timer removes what is out of use, so
+    a group without events leaves nothing. Start it under `rocksdb_state`.
     """
-    rows = events.select("user_id", "row_time", "event_type", "price")
-    return rows.groupBy("user_id").transformWithStateInPandas(statefulProcessor=RecentEvents(), outputStructType=_OUT, outputMode="Append", timeMode="EventTime")
+    rows = events.select(F.pmod("user_id", F.lit(groups)).alias("user_id"), F.coalesce("user_id", F.lit(0)).alias("user"), "row_time", F.unix_micros("row_time").alias("at"), "event_type", "price")
+    kinds = ", ".join(f"{n} long" for n in _NAMES)
+    out = rows.groupBy("user_id").transformWithStateInPandas(statefulProcessor=RecentEvents(), outputStructType=kinds, outputMode="Append", timeMode="EventTime")
+    return out.select("user_id", F.timestamp_micros("at").alias("row_time"), *_NAMES[2:5], (F.col("cents") / 100).alias("total_spend_15m"))
 
 
 class SeenKeys(StatefulProcessor):
