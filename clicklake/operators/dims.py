@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import portable_bucket
 from ..storage import names, remove
@@ -12,11 +12,12 @@ from .model import ATTRIBUTES, first_seen, versions_of, winners
 KEY = ["product_id", *ATTRIBUTES]
 
 
-def _same(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
-    on = F.lit(True)
-    for c in columns:
-        on = on & left[c].eqNullSafe(right[c])
-    return on
+def _merged(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Every tuple of both with its first time; `changed` if it is new or seen earlier. Both are grouped once, not joined."""
+    both = old.withColumn("_seen", F.col("valid_from_ts")).withColumn("_old", F.lit(True))
+    both = both.unionByName(new, allowMissingColumns=True).groupBy("bucket", *KEY)
+    starts = both.agg(F.min("valid_from_ts").alias("valid_from_ts"), F.min("_seen").alias("_seen"), F.count("_old").alias("_old"))
+    return starts.withColumn("changed", (F.col("_old") == 0) | ~F.col("valid_from_ts").eqNullSafe(F.col("_seen"))).drop("_seen", "_old")
 
 
 def merge_products(spark: SparkSession, path: str, silver: DataFrame, buckets: int = 64) -> list[int]:
@@ -29,20 +30,22 @@ def merge_products(spark: SparkSession, path: str, silver: DataFrame, buckets: i
     readers, and a merge that dies, leave the old dimension in place. One merge runs at a time; `buckets` stays as at first.
     """
     listed = _listed(spark, path)
-    new = first_seen(silver).withColumn("bucket", portable_bucket(buckets, "product_id").cast("int")).persist()
+    new, starts = first_seen(silver).withColumn("bucket", portable_bucket(buckets, "product_id").cast("int")).persist(), None
     try:
         met = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # `buckets` numbers at most
         old = _folders(spark, path, {b: listed[b] for b in met if b in listed}, new)
-        earlier = old.withColumnRenamed("valid_from_ts", "_seen")
-        changes = new.join(earlier, _same(new, earlier, ["bucket", *KEY]) & (earlier["_seen"] <= new["valid_from_ts"]), "left_anti")
-        touched = sorted(r["bucket"] for r in changes.select("bucket").distinct().collect())
+        starts = _merged(old, new).persist()
+        touched = sorted(r["bucket"] for r in starts.filter("changed").select("bucket").distinct().collect())
         if not touched:
             return []
         number = max([*listed.values(), *(int(n.split("=")[1]) for n in names(spark, f"{path}/rows"))], default=-1) + 1
-        starts = old.filter(F.col("bucket").isin(touched)).unionByName(changes).groupBy("bucket", *KEY).agg(F.min("valid_from_ts").alias("valid_from_ts"))
-        starts.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/rows/merge={number}")
+        rows = starts.filter(F.col("bucket").isin(touched)).drop("changed")
+        # By bucket, but a large bucket by several tasks of their advisory size.
+        rows.hint("rebalance", F.col("bucket")).write.partitionBy("bucket").parquet(f"{path}/rows/merge={number}")
     finally:
-        new.unpersist()
+        for kept in (new, starts):
+            if kept is not None:
+                kept.unpersist()
     listed |= dict.fromkeys(touched, number)
     publish(spark.createDataFrame(sorted(listed.items()), "bucket int, merge int").coalesce(1), f"{path}/list")
     _sweep(spark, path)
